@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import cooccurrence, formatting
+from quillgraph.llm import cooccurrence, formatting, survivors
 from quillgraph.tables import table
 
 QUERIES = {
@@ -13,6 +13,10 @@ QUERIES = {
     "p2_found": lambda s, d: formatting.found(table(s, d, "paper"), table(s, d, "raw_record")),
     "p2_papers": lambda s, d: formatting.collapse(formatting.encoded_papers(table(s, d, "paper"))),
     "p2_records": lambda s, d: formatting.collapse(formatting.encoded_records(table(s, d, "raw_record"))),
+    "p3_found": lambda s, d: survivors.best_papers(table(s, d, "paper"), table(s, d, "paper_identifier")).select(
+        "group_id", "title_id", "year_id"
+    ),
+    "p3_records": lambda s, d: survivors.best_records(table(s, d, "paper"), table(s, d, "paper_identifier")),
 }
 
 
