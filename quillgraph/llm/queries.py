@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import cooccurrence, formatting, survivors
+from quillgraph.llm import cooccurrence, formatting, similar_sets, survivors
 from quillgraph.tables import table
 
 QUERIES = {
@@ -17,6 +17,10 @@ QUERIES = {
         "group_id", "title_id", "year_id"
     ),
     "p3_records": lambda s, d: survivors.best_records(table(s, d, "paper"), table(s, d, "paper_identifier")),
+    "p5_found": lambda s, d: similar_sets.similar_reference_lists(table(s, d, "citation"), 0.6)
+    .pairs()
+    .selectExpr("a AS paper_a", "b AS paper_b"),
+    "p5_lists": lambda s, d: similar_sets.similar_reference_lists(table(s, d, "citation"), 0.6).summary(),
 }
 
 

@@ -35,5 +35,15 @@ SQL = {
              log2(n_ab * total.n::DOUBLE / (ma.n::DOUBLE * mb.n)) AS pmi
       FROM t JOIN m ma ON ma.p = a JOIN m mb ON mb.p = b, total
     """,
+    "p5_found": """
+      WITH e AS (
+        SELECT DISTINCT citing_paper_id AS c, cited_paper_id AS p FROM citation
+        WHERE citing_paper_id IS NOT NULL AND cited_paper_id IS NOT NULL AND citing_paper_id <> cited_paper_id),
+      s AS (SELECT c, count(*) AS n FROM e GROUP BY c HAVING count(*) >= 5),
+      l AS (SELECT e.c, e.p, s.n FROM e JOIN s ON e.c = s.c),
+      t AS (SELECT x.c AS a, y.c AS b, x.n AS na, y.n AS nb, count(*) AS k
+            FROM l x JOIN l y ON x.p = y.p AND x.c < y.c GROUP BY 1, 2, 3, 4)
+      SELECT a AS paper_a, b AS paper_b FROM t WHERE 10 * k >= 6 * (na + nb - k)
+    """,
     "p2_papers": f"{_PAPERS} SELECT min(id) AS id, count(*) AS copies FROM w GROUP BY form, y",
 }
