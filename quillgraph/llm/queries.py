@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import cooccurrence, formatting, similar_sets, survivors
+from quillgraph.llm import bpe, cooccurrence, formatting, packing, similar_sets, survivors
 from quillgraph.tables import table
 
 QUERIES = {
@@ -21,6 +21,8 @@ QUERIES = {
     .pairs()
     .selectExpr("a AS paper_a", "b AS paper_b"),
     "p5_lists": lambda s, d: similar_sets.similar_reference_lists(table(s, d, "citation"), 0.6).summary(),
+    "p6_ids": lambda s, d: bpe.encode_column(table(s, d, "documents")),
+    "p7_containers": lambda s, d: packing.packed_documents(table(s, d, "documents")),
 }
 
 
