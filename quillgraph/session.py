@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,3 +54,19 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the session's executors.
+
+    The package is zipped into the driver's own file folder and fetched from there by executors.
+    """
+    target = Path(SparkFiles.getRootDirectory()) / "quillgraph.zip"
+    if target.exists():
+        return
+    package = Path(__file__).parent
+    with zipfile.ZipFile(f"{target}.part", "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    os.replace(f"{target}.part", target)
+    spark.sparkContext.addPyFile(str(target))
