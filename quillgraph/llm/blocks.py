@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
-def pairs_within(df: DataFrame, key: str, member: str, block: int = BLOCK, shuffle: bool = True) -> DataFrame:
+def pairs_within(df: DataFrame, key: str, member: str, block: int = BLOCK) -> DataFrame:
     """(key, a, b) with a < b: every pair of distinct members that share a key, once per key.
 
-    ``df`` holds each (key, member) once. A group of up to ``block`` members is one row of an
+    A member that is stored several times under a key counts once. A group of up to ``block`` members is one row of an
     intermediate table. A larger one is split by a hash of the member into blocks; every pair of
     blocks is a row of its own, so a group that holds a third of all rows is spread over many tasks
     and no row holds more than about two blocks. All pairs come out, however large the group.
@@ -26,9 +26,8 @@ def pairs_within(df: DataFrame, key: str, member: str, block: int = BLOCK, shuff
         .withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
         .select(key, F.least("_x", "_y").alias("_i"), F.greatest("_x", "_y").alias("_j"), "_x", F.col(member).alias("_m"))
     )
-    if shuffle:  # else the cells of a hot group would stay where the join put them
-        rows = rows.repartition(key, "_i", "_j")
-    cells = rows.groupBy(key, "_i", "_j").agg(F.sort_array(F.collect_list(F.struct("_m", "_x"))).alias("_s"))
+    # Repartitioned, else all cells of a hot group would stay where the join put them.
+    cells = rows.repartition(key, "_i", "_j").groupBy(key, "_i", "_j").agg(F.sort_array(F.collect_set(F.struct("_m", "_x"))).alias("_s"))
     # Both ends by position: the members are sorted, so the second end is a slice, not a filter of all.
     first = cells.select(key, "_i", "_j", "_s", F.posexplode("_s").alias("_p", "_a"))
     rest = F.slice("_s", F.col("_p") + 2, F.greatest(F.size("_s") - F.col("_p") - 1, F.lit(0)))

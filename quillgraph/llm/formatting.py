@@ -1,8 +1,8 @@
 """Duplicates hidden by formatting: records equal but for white space, case, punctuation or layout.
 
 Method: dictionary encoding. Each distinct raw value of a field is canonicalised once and gets the
-integer of its canonical value; a record becomes the sorted tuple of its (field, integer) pairs; the
-compact tuples are grouped.
+integer of its canonical value; a record becomes the tuple of its integers in the order of the fields;
+the compact tuples are grouped.
 """
 
 from __future__ import annotations
@@ -34,34 +34,44 @@ def names_no_work(canonical: Column) -> Column:
     return F.coalesce((canonical == "") | canonical.isin(*PLACEHOLDERS), F.lit(True))
 
 
-def encode(df: DataFrame, id_column: str, fields: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """(id, key): each record as a sorted array of (field number, value integer).
-
-    ``fields`` names string columns and gives how a value of each is canonicalised. A value that is
-    NULL, or whose canonical form is NULL or '', is absent from the array, so absent, null and empty
-    are the same. Each distinct raw value is canonicalised once. A dictionary that is small by count
-    is broadcast, a larger one is joined by a shuffle, in which adaptive execution splits hot values.
+def encode(
+    df: DataFrame,
+    id_column: str,
+    fields: dict[str, Callable[[Column], Column]],
+    numbers: Sequence[str] = (),
+    absent: Callable[[Column], Column] = lambda form: form == "",
+) -> DataFrame:
+    """(id, key): each record as a tuple of integers, one per field, NULL where the field is absent.
+
+    ``fields`` names string columns and gives how a value of each is canonicalised; ``numbers`` names
+    integer columns, which are their own codes. A field is absent where it is NULL or ``absent`` holds
+    for its canonical form, so absent, null and empty are the same. Each distinct raw value is
+    canonicalised once. A dictionary that is small by count is broadcast, a larger one is joined by a
+    shuffle, in which adaptive execution splits hot values.
     """
-    out = df.select(F.col(id_column).alias("id"), *[F.col(c).alias(f"_raw{i}") for i, c in enumerate(fields)])
-    for i, canonicalise in enumerate(fields.values()):
-        raw = out.where(F.col(f"_raw{i}").isNotNull()).select(F.col(f"_raw{i}").alias("raw")).distinct()
-        forms = raw.withColumn("form", canonicalise(F.col("raw"))).where(F.col("form") != "")
-        # Integers are fixed by the checkpoint: a task that runs again would number values anew.
+    out = df.select(F.col(id_column).alias("id"), *[F.col(c).alias(f"_raw{i}") for i, c in enumerate(fields)], *[F.col(c).cast("long").alias(f"_n{i}") for i, c in enumerate(numbers)])
+    for i, (name, canonicalise) in enumerate(fields.items()):
+        raw = df.select(F.col(name).alias(f"_raw{i}")).where(F.col(f"_raw{i}").isNotNull()).distinct()
+        forms = raw.withColumn("form", canonicalise(F.col(f"_raw{i}")))
+        # Integers are fixed by the checkpoint: a task that runs again would number values anew. What
+        # is absent is dropped behind it, else the filter would canonicalise every value again.
         numbered = cut(forms.select("form").distinct().withColumn("value", F.monotonically_increasing_id()))
-        dictionary = cut(forms.join(numbered, "form").select(F.col("raw").alias(f"_raw{i}"), F.col("value").alias(f"_v{i}")))
-        if dictionary.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES:
+        numbered = numbered.where(~absent(F.col("form")))
+        dictionary = forms.join(numbered, "form").select(f"_raw{i}", F.col("value").alias(f"_v{i}"))
+        if raw.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES:
             dictionary = F.broadcast(dictionary)
         out = out.join(dictionary, f"_raw{i}", "left").drop(f"_raw{i}")
-    pairs = [F.when(F.col(f"_v{i}").isNotNull(), F.struct(F.lit(i).alias("f"), F.col(f"_v{i}").alias("v"))) for i in range(len(fields))]
-    return out.select("id", F.array_sort(F.array_compact(F.array(*pairs))).alias("key"))
+    values = [f"_v{i}" for i in range(len(fields))] + [f"_n{i}" for i in range(len(numbers))]
+    return out.select("id", F.struct(*values).alias("key"))
 
 
 def collapse(encoded: DataFrame) -> DataFrame:
     """(id, copies): one row per different record: its smallest id and the number of its copies.
 
-    Rows with a NULL id form records as well; their id is NULL if no other copy has one.
+    A row stored twice under one id is one record. Rows with a NULL id form records as well; their id
+    is NULL if no other copy has one.
     """
-    return encoded.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).drop("key")
+    return encoded.distinct().groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).drop("key")
 
 
 def copies(encoded: DataFrame) -> DataFrame:
@@ -69,7 +79,7 @@ def copies(encoded: DataFrame) -> DataFrame:
 
     A row that is stored twice under one id is one record. Large groups are paired in blocks.
     """
-    members = encoded.where(F.col("id").isNotNull()).distinct()
+    members = encoded.where(F.col("id").isNotNull())
     return pairs_within(members, "key", "id").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 
@@ -77,12 +87,10 @@ def copies(encoded: DataFrame) -> DataFrame:
 
 
 def encoded_papers(paper: DataFrame) -> DataFrame:
-    """Papers by folded title and publication year. Papers without a title that names a work, and
-    repeated rows, are left out; a missing year equals a missing year."""
-    rows = paper.select("id", "title", F.col("publication_year").cast("string").alias("year")).distinct()
-    title = lambda c: F.when(~names_no_work(fold(c)), fold(c))
-    encoded = encode(rows, "id", {"title": title, "year": lambda c: c})
-    return encoded.where(F.exists("key", lambda p: p["f"] == 0))
+    """Papers by folded title and publication year. Papers without a title that names a work are left
+    out; a missing year equals a missing year."""
+    encoded = encode(paper, "id", {"title": fold}, ["publication_year"], names_no_work)
+    return encoded.where(F.col("key._v0").isNotNull())
 
 
 # --- raw records ------------------------------------------------------------------------------
@@ -132,7 +140,7 @@ def parse_records(raw: DataFrame, payload: str = "payload") -> DataFrame:
 
 def encoded_records(raw: DataFrame) -> DataFrame:
     """Readable raw records by their three folded fields. A number and its digits are the same year."""
-    rows = parse_records(raw.select("record_id", "payload").distinct()).where("readable")
+    rows = parse_records(raw.select("record_id", "payload")).where("readable")
     year = lambda c: F.regexp_replace(fold(F.regexp_replace(c, r"\.0+\s*\z", "")), r"\A0+(?=\d)", "")
     return encode(rows, "record_id", {"display_name": fold, "publication_year": year, "venue": fold})
 
