@@ -16,8 +16,8 @@ from quillgraph.llm.blocks import pairs_within
 from quillgraph.session import cut
 
 
-def baskets(df: DataFrame, basket: str, item: str, least: int = 1, keep: Column | None = None) -> DataFrame:
-    """(basket, item), each once, of the baskets that hold at least ``least`` different items.
+def baskets(df: DataFrame, basket: str, item: str, least: int = 1, keep: Column | None = None, sizes: bool = False) -> DataFrame:
+    """(basket, item), each once, and with ``sizes`` the size n of the basket, of the baskets that hold at least ``least`` different items.
 
     Rows with a NULL basket or item, or that fail ``keep``, do not count. The first shuffle is on both
     columns, so neither a hot basket nor a hot item gathers in one task.
@@ -25,9 +25,11 @@ def baskets(df: DataFrame, basket: str, item: str, least: int = 1, keep: Column
     known = F.col(basket).isNotNull() & F.col(item).isNotNull()
     rows = df.where(known if keep is None else known & keep)
     rows = rows.select(F.col(basket).alias("basket"), F.col(item).alias("item")).distinct()
-    if least <= 1:
+    if least <= 1 and not sizes:
         return rows
     large = rows.groupBy("basket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    if sizes:
+        return rows.join(large.withColumnRenamed("_n", "n"), "basket")
     return rows.join(large.select("basket"), "basket", "left_semi")
 
 

@@ -7,6 +7,7 @@ number of trees gives the target recall at the threshold, so crowded neighbourho
 that; the others lose less. Candidates are verified exactly.
 
 Sets with the same items are one class; classes are compared once, and copies are expanded at the end.
+Sets of very many items are compared by a join on their items instead, so nothing large is gathered.
 """
 
 from __future__ import annotations
@@ -55,17 +56,17 @@ def _mixed(values: np.ndarray, seed: int) -> np.ndarray:
     return (x >> np.uint64(32)).astype(np.uint32)
 
 
-_TREE_ROW = "tree int, s1 int, s2 int, s3 int, no long, n int, items array<int>"
+_TREE_ROW = "tree int, s1 int, s2 int, s3 int, no long, items array<int>"
 
 
 def _plant(trees: int):
-    """Rows (no, n, hashes) to one row per tree, with the tree's signature of ``DEPTH`` minhashes."""
+    """Rows (no, hashes) to one row per tree, with the tree's signature of ``DEPTH`` minhashes."""
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column(2)
+            lists = batch.column(1)
             offsets = lists.offsets.to_numpy().astype(np.int64)
             first, values = offsets[0], lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
             values, starts = values[first : offsets[-1]], offsets[:-1] - first
@@ -76,24 +77,24 @@ def _plant(trees: int):
                     pa.array(np.minimum.reduceat(_mixed(values, tree * DEPTH + k), starts).view(np.int32)) for k in range(DEPTH)
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(batch.num_rows, tree, np.int32)), *signs, batch.column(0), batch.column(1), items],
-                    names=["tree", "s1", "s2", "s3", "no", "n", "items"],
+                    [pa.array(np.full(batch.num_rows, tree, np.int32)), *signs, batch.column(0), items],
+                    names=["tree", "s1", "s2", "s3", "no", "items"],
                 )
 
     return plant
 
 
 class _Sets:
-    """Rows of the trees as arrays; ``cols`` are tree, s1, s2, s3, no, n."""
+    """Rows of the trees as arrays; ``cols`` are tree, s1, s2, s3, no."""
 
     def __init__(self, cols: list[np.ndarray], starts: np.ndarray, values: np.ndarray):
         self.cols, self.starts, self.values = cols, starts, values
 
     @staticmethod
     def of(batch: pa.RecordBatch) -> _Sets:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-        offsets = batch.column(6).offsets.to_numpy().astype(np.int64)
-        values = batch.column(6).values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        offsets = batch.column(5).offsets.to_numpy().astype(np.int64)
+        values = batch.column(5).values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
         return _Sets(cols, offsets - offsets[0], values)
 
     def __len__(self) -> int:
@@ -109,7 +110,7 @@ class _Sets:
             return parts[0]
         lengths = np.concatenate([np.diff(p.starts) for p in parts])
         return _Sets(
-            [np.concatenate([p.cols[i] for p in parts]) for i in range(6)],
+            [np.concatenate([p.cols[i] for p in parts]) for i in range(5)],
             np.concatenate([[0], np.cumsum(lengths)]),
             np.concatenate([p.values for p in parts]),
         )
@@ -119,8 +120,8 @@ class _Verifier:
     """Similarity of pairs of rows, exact on 32-bit item hashes; these never hide a common item."""
 
     def __init__(self, sets: _Sets, threshold: float):
-        self.n, self.t = sets.cols[5].astype(np.int64), threshold
-        self.length = np.diff(sets.starts)
+        self.t = threshold
+        self.n = self.length = np.diff(sets.starts)  # repeated hashes stay, so these are the sizes
         self.starts, self.values = sets.starts[:-1], sets.values
         bits = np.uint64(1) << (sets.values.view(np.uint32).astype(np.uint64) & np.uint64(63))
         more = np.uint64(1) << ((sets.values.view(np.uint32).astype(np.uint64) >> np.uint64(6)) & np.uint64(63))
@@ -205,10 +206,10 @@ def _compare(sets: _Sets, floor: int, threshold: float) -> tuple[list[np.ndarray
     return left, right
 
 
-_FOUND = "a long, b long, tree int, s1 int, s2 int, s3 int, block int, no long, n int, items array<int>"
+_FOUND = "a long, b long, tree int, s1 int, s2 int, s3 int, block int, no long, items array<int>"
 _FOUND_ARROW = pa.schema(
     [("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("s1", pa.int32()), ("s2", pa.int32()), ("s3", pa.int32())]
-    + [("block", pa.int32()), ("no", pa.int64()), ("n", pa.int32()), ("items", pa.list_(pa.int32()))]
+    + [("block", pa.int32()), ("no", pa.int64()), ("items", pa.list_(pa.int32()))]
 )
 
 
@@ -227,7 +228,7 @@ def _harvest(threshold: float, held: int):
         items = pa.ListArray.from_arrays(pa.array(sets.starts.astype(np.int32)), pa.array(sets.values))
         none = pa.nulls(len(sets), pa.int64())
         c = [pa.array(x) for x in sets.cols]
-        return pa.RecordBatch.from_arrays([none, none, *c[:4], pa.array(block), c[4], c[5], items], schema=_FOUND_ARROW)
+        return pa.RecordBatch.from_arrays([none, none, *c[:4], pa.array(block), c[4], items], schema=_FOUND_ARROW)
 
     def harvest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[_Sets] = []
@@ -301,7 +302,7 @@ def _compare_blocks(threshold: float):
         table = pa.Table.from_batches(list(batches))
         if not table.num_rows:
             return
-        cols = ["tree", "s1", "s2", "s3", "no", "n", "items"]
+        cols = ["tree", "s1", "s2", "s3", "no", "items"]
         sets = _Sets.of(table.select(cols).combine_chunks().to_batches(max_chunksize=table.num_rows)[0])
         block = table.column("block").to_numpy()
         verify, no = _Verifier(sets, threshold), sets.cols[4]
@@ -321,37 +322,40 @@ def _compare_blocks(threshold: float):
     return compare
 
 
-def classes(lists: DataFrame) -> DataFrame:
-    """(no, rep, n, items) of each different set among (basket, item): its smallest basket, its size
-    and, up to ``CARRIED_ITEMS``, its sorted items. A larger set is a class of its own, without items.
+def numbered_sets(lists: DataFrame) -> DataFrame:
+    """(no, basket, n, items) of (basket, item, n) rows: the sorted items of every set.
 
-    ``n`` comes from a count with map-side combining, so a huge set is never brought together.
+    A set of more than ``CARRIED_ITEMS`` items is not brought together; its items are an empty array.
     """
-    sizes = lists.groupBy("basket").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    small = lists.join(sizes.where(F.col("n") <= CARRIED_ITEMS), "basket")
-    sets = small.groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    merged = sets.groupBy("items").agg(F.min("basket").alias("rep")).withColumn("n", F.size("items"))
-    large = sizes.where(F.col("n") > CARRIED_ITEMS).select(F.col("basket").alias("rep"), "n", F.lit(None).cast("array<string>").alias("items"))
-    return merged.select("rep", "n", "items").unionByName(large).select(F.monotonically_increasing_id().alias("no"), "rep", "n", "items")
+    carried = F.when(F.col("n") <= CARRIED_ITEMS, F.col("item"))
+    sets = lists.groupBy("basket", "n").agg(F.sort_array(F.collect_list(carried)).alias("items"))
+    return sets.select(F.monotonically_increasing_id().alias("no"), "basket", "n", "items")
+
+
+def classes(sets: DataFrame) -> DataFrame:
+    """(no, items, copies): each different set of up to ``CARRIED_ITEMS`` items, under its least number."""
+    small = sets.where(F.col("n") <= CARRIED_ITEMS)
+    return small.groupBy("items").agg(F.min("no").alias("no"), F.count(F.lit(1)).alias("copies"))
 
 
 def similar_classes(found: DataFrame, threshold: float, held: int = HELD) -> DataFrame:
-    """(a, b), a < b: numbers of classes of up to ``CARRIED_ITEMS`` items that are similar."""
+    """(a, b), a < b: numbers of similar classes; candidates whose common items, counted by 32-bit
+    hashes, reach the threshold."""
     trees = tree_count(threshold)
-    hashed = found.where(F.col("items").isNotNull()).select("no", "n", F.transform("items", lambda i: F.xxhash64(i)).alias("hashes"))
+    hashed = found.select("no", F.transform("items", lambda i: F.xxhash64(i)).alias("hashes"))
     forest = hashed.mapInArrow(_plant(trees), _TREE_ROW)
     # By the first hash of a tree: a hot item can gather at most its share of one tree in a task.
     sorted_trees = forest.repartition("tree", "s1").sortWithinPartitions("tree", "s1", "s2", "s3")
     both = cut(sorted_trees.mapInArrow(_harvest(threshold, held), _FOUND))
     near = both.where(F.col("a").isNotNull()).select("a", "b")
     crowd = ["tree", "s1", "s2", "s3"]
-    left = both.where(F.col("no").isNotNull()).select(*crowd, "block", "no", "n", "items")
+    left = both.where(F.col("no").isNotNull()).select(*crowd, "block", "no", "items")
     if left.limit(1).count():
         blocks = left.groupBy(*crowd).agg(F.max("block").alias("_last"))
         cells = (
             left.join(F.broadcast(blocks), crowd)  # at most one row per HELD rows of the forest
             .withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-            .select(*crowd, F.least("block", "_c").alias("_i"), F.greatest("block", "_c").alias("_j"), "block", "no", "n", "items")
+            .select(*crowd, F.least("block", "_c").alias("_i"), F.greatest("block", "_c").alias("_j"), "block", "no", "items")
         )
         more = cells.groupBy(*crowd, "_i", "_j").applyInArrow(_compare_blocks_grouped(threshold), "a long, b long")
         near = near.unionByName(more)
@@ -368,14 +372,15 @@ def _compare_blocks_grouped(threshold: float):
     return of
 
 
-def large_pairs(lists: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): similar classes of which one has more than ``CARRIED_ITEMS`` items.
+def large_pairs(lists: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): similar sets of which one has more than ``CARRIED_ITEMS`` items.
 
-    There are at most rows / CARRIED_ITEMS such sets. Only sets of at least ``threshold`` times that size can be similar to
-    one. Their common items are counted by a join and an aggregation, with nothing brought together.
+    There are at most rows / CARRIED_ITEMS such sets. Only sets of at least ``threshold`` times that
+    size can be similar to one. Their common items are counted by a join and an aggregation, with
+    nothing brought together. Equal large sets are pairs here, not copies of a class.
     """
-    able = found.where(F.col("n") >= F.floor(F.lit(CARRIED_ITEMS * threshold))).select("no", F.col("rep").alias("basket"), "n")
-    rows = lists.join(able, "basket").select("no", "n", "item")
+    able = sets.where(F.col("n") >= F.floor(F.lit(CARRIED_ITEMS * threshold))).select("no", "basket", "n")
+    rows = lists.select("basket", "item").join(able, "basket").select("no", "n", "item")
     x = rows.select("item", F.col("no").alias("a"), F.col("n").alias("n_a")).where(F.col("n_a") > CARRIED_ITEMS)
     y = rows.select("item", F.col("no").alias("b"), F.col("n").alias("n_b"))
     near = (F.least("n_a", "n_b") >= F.lit(threshold - 1e-9) * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b"))
@@ -385,51 +390,64 @@ def large_pairs(lists: DataFrame, found: DataFrame, threshold: float) -> DataFra
 
 
 class SimilarSets:
-    """Classes of equal sets and links between similar classes of (basket, item) rows, each once."""
+    """Similar sets among (basket, item, n) rows, each once, where n is the size of the basket.
+
+    ``links`` (a, b), a < b, are numbers of similar classes; a class is all sets with the same items,
+    and a set of more than ``CARRIED_ITEMS`` items is a class of its own.
+    """
 
     def __init__(self, lists: DataFrame, threshold: float, held: int = HELD):
-        self.threshold = threshold
-        self.lists = cut(lists)
-        self.classes = cut(classes(self.lists))
-        near = similar_classes(self.classes, threshold, held)
-        ends = self.classes.where(F.col("items").isNotNull())
-        a = ends.select(F.col("no").alias("a"), F.col("items").alias("items_a"))
-        b = ends.select(F.col("no").alias("b"), F.col("items").alias("items_b"))
+        self.sets = cut(numbered_sets(lists))
+        near = cut(similar_classes(classes(self.sets), threshold, held))
+        # Only sets with a candidate are shuffled again.
+        ends = near.select(F.col("a").alias("no")).unionByName(near.select(F.col("b").alias("no"))).distinct()
+        items = cut(self.sets.join(ends, "no", "left_semi").select("no", "items"))
         common = F.size(F.array_intersect("items_a", "items_b"))
         union = F.size("items_a") + F.size("items_b") - common
-        exact = near.join(a, "a").join(b, "b").where(common >= F.lit(threshold - 1e-9) * union).select("a", "b")
-        if self.classes.where(F.col("items").isNull()).limit(1).count():
-            exact = exact.unionByName(large_pairs(self.lists, self.classes, threshold)).distinct()
+        exact = (
+            near.join(items.select(F.col("no").alias("a"), F.col("items").alias("items_a")), "a")
+            .join(items.select(F.col("no").alias("b"), F.col("items").alias("items_b")), "b")
+            .where(common >= F.lit(threshold - 1e-9) * union)
+            .select("a", "b")
+        )
+        if self.sets.where(F.col("n") > CARRIED_ITEMS).limit(1).count():
+            large = large_pairs(lists, self.sets, threshold)
+            for end in ("a", "b"):  # a link to a copy is one to its class
+                to = self._copies().select(F.col("no").alias(end), "class_no")
+                large = large.join(to, end, "left").withColumn(end, F.coalesce("class_no", end)).drop("class_no")
+            exact = exact.unionByName(large.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         self.links = cut(exact)
 
-    def membership(self) -> DataFrame:
-        """(basket, no): the class of every set."""
-        sizes = self.lists.groupBy("basket").agg(F.count(F.lit(1)).alias("n"))
-        small = self.lists.join(sizes.where(F.col("n") <= CARRIED_ITEMS).select("basket"), "basket")
-        sets = small.groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("items"))
-        named = self.classes.where(F.col("items").isNotNull())
-        large = self.classes.where(F.col("items").isNull()).select(F.col("rep").alias("basket"), "no")
-        return sets.join(named.select("items", "no"), "items").select("basket", "no").unionByName(large)
+    def _copies(self) -> DataFrame:
+        """(no, class_no) of the sets of classes with more than one set."""
+        several = classes(self.sets).where(F.col("copies") > 1).select("items", F.col("no").alias("class_no"))
+        return self.sets.where(F.col("n") <= CARRIED_ITEMS).join(several, "items").select("no", "class_no", "basket")
 
     def pairs(self) -> DataFrame:
         """(a, b), a < b: every two baskets with similar sets; copies are expanded."""
-        members = cut(self.membership())
-        within = pairs_within(members, "no", "basket").select("a", "b")
-        left = members.select(F.col("no").alias("a"), F.col("basket").alias("x"))
-        right = members.select(F.col("no").alias("b"), F.col("basket").alias("y"))
+        copies = cut(self._copies())
+        within = pairs_within(copies, "class_no", "basket").select("a", "b")
+        ends = self.links.select(F.col("a").alias("no")).unionByName(self.links.select(F.col("b").alias("no"))).distinct()
+        firsts = self.sets.join(ends, "no", "left_semi").select(F.col("no").alias("class_no"), "basket")
+        others = copies.where(F.col("no") != F.col("class_no")).select("class_no", "basket")
+        members = cut(firsts.unionByName(others.join(ends.withColumnRenamed("no", "class_no"), "class_no", "left_semi")))
+        left = members.select(F.col("class_no").alias("a"), F.col("basket").alias("x"))
+        right = members.select(F.col("class_no").alias("b"), F.col("basket").alias("y"))
         across = self.links.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         return within.unionByName(across)
 
     def summary(self) -> DataFrame:
-        """(basket, class_id, links): the representative of the set's class and the number of other
-        classes that are similar to it."""
+        """(basket, class_id, links): the basket that stands for the set's class and the number of
+        other classes that are similar to it."""
         ends = self.links.select(F.col("a").alias("no")).unionByName(self.links.select(F.col("b").alias("no")))
         counts = ends.groupBy("no").agg(F.count(F.lit(1)).alias("links"))
-        named = self.classes.select("no", F.col("rep").alias("class_id")).join(counts, "no", "left")
-        return self.membership().join(named, "no").select("basket", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+        all_sets = self.sets.select("no", "basket").join(self._copies().select("no", "class_no"), "no", "left")
+        of = all_sets.select("basket", F.coalesce("class_no", "no").alias("no"))
+        named = self.sets.select("no", F.col("basket").alias("class_id")).join(counts, "no", "left")
+        return of.join(named, "no").select("basket", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def similar_reference_lists(citation: DataFrame, threshold: float = 0.6, held: int = HELD) -> SimilarSets:
     """Similar reference lists: sets of five or more different papers that one paper cites."""
-    rows = baskets(citation, "citing_paper_id", "cited_paper_id", 5, F.col("citing_paper_id") != F.col("cited_paper_id"))
+    rows = baskets(citation, "citing_paper_id", "cited_paper_id", 5, F.col("citing_paper_id") != F.col("cited_paper_id"), True)
     return SimilarSets(rows, threshold, held)
