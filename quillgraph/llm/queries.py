@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe, cooccurrence, formatting, packing, similar_sets, survivors
+from quillgraph.llm import bpe, cooccurrence, formatting, language, packing, similar_sets, survivors
 from quillgraph.tables import table
 
 QUERIES = {
@@ -23,6 +23,8 @@ QUERIES = {
     "p5_lists": lambda s, d: similar_sets.similar_reference_lists(table(s, d, "citation"), 0.6).summary(),
     "p6_ids": lambda s, d: bpe.encode_column(table(s, d, "documents")),
     "p7_containers": lambda s, d: packing.packed_documents(table(s, d, "documents")),
+    "p8_found": lambda s, d: language.found(table(s, d, "documents"), table(s, d, "language_sample")),
+    "p8_stretches": lambda s, d: language.label(table(s, d, "documents"), table(s, d, "language_sample")),
 }
 
 
