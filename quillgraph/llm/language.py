@@ -61,9 +61,11 @@ def label_code(label: str | None) -> str | None:
 # A line break within a sentence: after a hyphen in a word, or beside a space that stayed.
 _SOFT = re.compile(r"(?<=\w)-\r?\n(?=[^\W\d_])|\r?\n (?=\S)| \r?\n(?=\S)")
 # Sentences end at closing punctuation before white space, at that of Chinese and Japanese, and at line breaks.
-_END = re.compile(r"(?<=[.!?…][\"'»”’)\]])\s+|(?<=[.!?…])\s+|(?<=[。！？])|[\r\n  ]+")
+_END = re.compile(r"[.!?…][\"'»”’)\]]?(?=\s)|[。！？][」』”]?|[\r\n\u2028\u2029]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-_WIDE = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯]")
+#: A word of letters alone, not part of a path, an address or an identifier.
+_PLAIN = re.compile(r"(?<![\w/.:@=\-])[^\W\d_]{2,}(?:['’\-][^\W\d_]+)*(?![\w/@=]|[.:]\w)")
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]{2}")
 #: Sentences shorter than that join the next, unless a line ends.
 _SHORT = 12
 
@@ -71,46 +73,63 @@ _SHORT = 12
 def sentences(text: str) -> list[tuple[int, int]]:
     """(begin, end) of the sentences and lines of a whole text, in characters; white space is left out."""
     soft = {m.start() + m.group().index("\n") for m in _SOFT.finditer(text)} if "\n" in text else ()
-    out, begin = [], 0
-
-    def add(a: int, b: int, line_ended: bool) -> None:
-        nonlocal begin
-        while a < b and text[a].isspace():
-            a += 1
-        while b > a and text[b - 1].isspace():
-            b -= 1
-        if a < b:
-            if b - a < _SHORT and not line_ended and b < len(text):
-                return  # "J." and the like stay with what follows
-            out.append((a, b))
-        begin = -1
-
+    out, begin, size = [], 0, len(text)
     for m in _END.finditer(text):
-        breaks = "\n" in m.group() or "\r" in m.group()
-        if breaks and m.group().count("\n") <= 1 and any(i in soft for i in range(m.start(), m.end())):
+        a, b = m.span()
+        mark = text[a]
+        line = mark in "\r\n\u2028\u2029"
+        if line and soft and (a in soft or a + 1 in soft) and text.count("\n", a, b) < 2:
             continue
-        begin, start = -2, begin
-        add(start, m.start(), breaks)
-        begin = m.end() if begin == -1 else start
-    add(begin, len(text), True)
-    return out
+        if not line and b - begin < _SHORT and b < size:
+            continue  # "J." and the like stay with what follows
+        out.append((begin, a if line else b))
+        begin = b
+    out.append((begin, size))
+    trimmed = []
+    for a, b in out:
+        piece = text[a:b]
+        bare = piece.lstrip()
+        if bare:
+            trimmed.append((b - len(bare), a + len(piece.rstrip())))
+    return trimmed
+
+
+class _Reading(dict):
+    """How each character is read: lower case, digits alike, odd characters not at all."""
+
+    GONE = ("Cf", "So", "Cc", "Sk", "Co", "Cs", "Cn")
+
+    def __missing__(self, code: int):
+        c = chr(code)
+        kind = unicodedata.category(c)
+        self[code] = way = " " if c.isspace() else None if kind in self.GONE else "0" if kind == "Nd" else c.lower()
+        return way
+
+
+_READING = _Reading()
 
 
 def prepared(sentence: str) -> str:
     """What the network reads: lower case, line breaks undone, digits alike, without odd characters."""
-    s = _SOFT.sub(lambda m: "" if m.group()[0] == "-" else " ", sentence)
-    s = re.sub(r"\d+", "0", re.sub(r"\s+", " ", s)).lower()
-    if s.isascii():
-        return s
-    return "".join(c for c in unicodedata.normalize("NFC", s) if unicodedata.category(c) not in ("Cf", "So", "Cc", "Sk", "Co", "Cs", "Cn"))
+    if "\n" in sentence:
+        sentence = _SOFT.sub(lambda m: "" if m.group()[0] == "-" else " ", sentence)
+    s = " ".join(sentence.translate(_READING).split())
+    return s if s.isascii() or unicodedata.is_normalized("NFC", s) else unicodedata.normalize("NFC", s)
 
 
 def tells(sentence: str) -> int:
-    """How much a sentence can tell: its words of letters alone, or its East Asian characters by twos.
-    Words that touch digits, slashes and the like (paths, identifiers) do not count."""
-    wide = len(_WIDE.findall(sentence)) // 2
-    words = sum(1 for t in sentence.split() if (m := _WORD.fullmatch(t.strip(".,;:!?()[]{}«»\"'“”‘’*…-–—"))) and len(m.group()) > 1)
-    return max(wide, words)
+    """How much a sentence can tell: its words of letters alone, or its pairs of East Asian characters,
+    counted up to 3. Words that touch digits, slashes and the like (paths, identifiers) do not count."""
+    count = 0
+    for pattern in (_PLAIN,) if sentence.isascii() else (_PLAIN, _WIDE):
+        count = 0
+        for _ in pattern.finditer(sentence):
+            count += 1
+            if count == 3:
+                return 3
+        if count and pattern is _PLAIN and _WIDE.search(sentence) is None:
+            return count
+    return count
 
 
 # --- training -----------------------------------------------------------------------------------
@@ -240,33 +259,47 @@ class Reader:
     """Labels sentences. Sentences that come again, but for digits and case, are looked up."""
 
     #: Sentences kept, and sentences read at once.
-    KEPT, AT_ONCE = 200_000, 512
+    KEPT, AT_ONCE = 150_000, 512
 
     def __init__(self, network: gru.Network):
         self.network = network
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}
+        self.told = np.zeros(0, np.int8)
+        self.rows = np.zeros((0, NONE + 1), np.float32)
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How much each sentence tells, and its class probabilities: the mean over all its positions.
+        A sentence that tells nothing is not read; its class is NONE."""
+        keys = list(map(prepared, texts))
+        if len(self.known) > self.KEPT:
+            self.__init__(self.network)
+        known = self.known
+        new = [k for k in dict.fromkeys(keys) if k not in known]
+        if new:
+            base = len(known)
+            known.update(zip(new, range(base, base + len(new))))
+            told = np.fromiter(map(tells, new), np.int8, len(new))
+            rows = np.zeros((len(new), NONE + 1), np.float32)
+            rows[told == 0, NONE] = 1
+            raw = {int(i): new[i].encode("utf-8", "ignore") for i in np.flatnonzero(told)}
+            order = sorted(raw, key=lambda i: len(raw[i]))
+            start = 0
+            while start < len(order):
+                # As many as fit a bounded number of positions: one very long sentence is read alone.
+                longest = len(raw[order[min(start + self.AT_ONCE, len(order)) - 1]])
+                part = order[start : start + max(1, min(self.AT_ONCE, 400_000 // longest))]
+                x, lengths = gru.patches([raw[i] for i in part])
+                p = self.network.probabilities(x, lengths)
+                if lengths.min() != len(x):
+                    p *= (np.arange(len(x))[:, None] < lengths)[:, :, None]
+                rows[part] = p.sum(0) / lengths[:, None]
+                start += len(part)
+            self.told, self.rows = np.concatenate([self.told, told]), np.concatenate([self.rows, rows])
+        at = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+        return self.told[at], self.rows[at]
 
     def pooled(self, texts: list[str]) -> np.ndarray:
-        """Class probabilities of each sentence: the mean over all its positions."""
-        keys = [prepared(s) for s in texts]
-        if len(self.known) > self.KEPT:
-            self.known = {}
-        new = [k for k in dict.fromkeys(keys) if k not in self.known]
-        raw = [k.encode("utf-8", "ignore") or b" " for k in new]
-        order = sorted(range(len(new)), key=lambda i: len(raw[i]))
-        start = 0
-        while start < len(order):
-            # As many as fit a bounded number of positions: one very long sentence is read alone.
-            most = max(1, min(self.AT_ONCE, 400_000 // max(1, len(raw[order[min(start + self.AT_ONCE, len(order)) - 1]]))))
-            part = order[start : start + most]
-            x, lengths = gru.patches([raw[i] for i in part])
-            p = self.network.probabilities(x, lengths)
-            if lengths.min() != len(x):
-                p *= (np.arange(len(x))[:, None] < lengths)[:, :, None]
-            for i, row in zip(part, p.sum(0) / lengths[:, None]):
-                self.known[new[i]] = row
-            start += most
-        return np.array([self.known[k] for k in keys], np.float32).reshape(len(keys), NONE + 1)
+        return self.read(texts)[1]
 
     def positions(self, text: str) -> np.ndarray:
         """Class probabilities of every byte of a prepared sentence."""
@@ -329,13 +362,15 @@ def train_on(documents: DataFrame, samples: DataFrame | None) -> gru.Network:
     return fit([(label_code(c), s) for c, s in clean if s and label_code(c)], picked)
 
 
-def label(documents: DataFrame, samples: DataFrame | None, network: gru.Network | None = None) -> DataFrame:
+def label(documents: DataFrame, samples: DataFrame | None, network: gru.Network | None = None, whole: bool = False) -> DataFrame:
     """(doc_id, label, begin, end, lang, confidence): the stretches of every document.
 
     ``begin`` and ``end`` count characters of the text; ``label`` is the language that the delivered
     label names, NULL if none. A document without any (NULL, blank, nothing but numbers, names, paths)
     has one row with the last four NULL. Every row of ``documents`` comes out, repeated rows as often
-    as they occur. Whole texts are read.
+    as they occur. Whole texts are read. With ``whole``, one row per document and language comes out,
+    (doc_id, label, lang, confidence, chars, languages): the mean confidence by length, the characters,
+    and how many languages the document has. Texts do not leave their partition: there is no shuffle.
     """
     network = network or train_on(documents, samples)
     shared = documents.sparkSession.sparkContext.broadcast(network)
@@ -343,57 +378,48 @@ def label(documents: DataFrame, samples: DataFrame | None, network: gru.Network
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(shared.value, key)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+        for all_rows in batches:
+            for start in range(0, all_rows.num_rows, 1000):
+                batch = all_rows.slice(start, 1000)
                 texts = batch.column(2).to_pylist()
                 spans = [sentences(t) if t else [] for t in texts]
-                parts = [[t[a:b] for a, b in s] for t, s in zip(texts, spans)]
-                told = [[tells(x) for x in p] for p in parts]
-                # Only what can tell a language is read; the rest is labelled as none at once.
-                pooled = reader.pooled([x for p, n in zip(parts, told) for x, k in zip(p, n) if k])
+                told, pooled = reader.read([t[a:b] for t, s in zip(texts, spans) for a, b in s])
                 rows: list[tuple] = []
                 at = 0
-                for i, (s, n) in enumerate(zip(spans, told)):
-                    able = [j for j, k in enumerate(n) if k]
-                    found = stretches([s[j] for j in able], [n[j] for j in able], pooled[at : at + len(able)])
-                    at += len(able)
+                for i, s in enumerate(spans):
+                    found = stretches(s, told[at : at + len(s)].tolist(), pooled[at : at + len(s)])
+                    at += len(s)
+                    if whole:
+                        found = _by_language(found)
                     rows += [(i, *f) for f in found] or [(i, None, None, None, None)]
                 index = pa.array([r[0] for r in rows])
                 codes = [label_code(v) for v in batch.column(1).to_pylist()]
+                kinds = (pa.float64(), pa.int64(), pa.int32()) if whole else (pa.int32(), pa.int32(), pa.float64())
+                places = (2, 3, 4) if whole else (1, 2, 4)
+                lang = pa.array([None if r[1 if whole else 3] is None else LANGUAGES[r[1 if whole else 3]] for r in rows], pa.string())
+                values = [pa.array([r[k] for r in rows], kind) for k, kind in zip(places, kinds)]
+                columns = [lang, *values] if whole else [*values[:2], lang, values[2]]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(index),
-                        pa.array([codes[r[0]] for r in rows], pa.string()),
-                        pa.array([r[1] for r in rows], pa.int32()),
-                        pa.array([r[2] for r in rows], pa.int32()),
-                        pa.array([None if r[3] is None else LANGUAGES[r[3]] for r in rows], pa.string()),
-                        pa.array([r[4] for r in rows], pa.float64()),
-                    ],
-                    names=["doc_id", "label", "begin", "end", "lang", "confidence"],
+                    [batch.column(0).take(index), pa.array([codes[r[0]] for r in rows], pa.string()), *columns], names=names
                 )
 
+    shape = "lang string, confidence double, chars long, languages int" if whole else "begin int, end int, lang string, confidence double"
+    names = ["doc_id", "label", *(c.split()[0] for c in shape.split(", "))]
     source = documents.select("doc_id", "lang", "text")
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(read, f"doc_id {kind}, label string, begin int, end int, lang string, confidence double")
-
+    return source.mapInArrow(read, f"doc_id {kind}, label string, {shape}")
 
-def document_languages(stretched: DataFrame) -> DataFrame:
-    """(doc_id, label, lang, confidence, chars, languages) per document and language of ``label``:
-    the mean confidence by length, the characters, and how many languages the document has.
 
-    Rows of equal id count as one document."""
-    length = (F.col("end") - F.col("begin")).cast("long")
-    each = (
-        stretched.where(F.col("lang").isNotNull())
-        .groupBy("doc_id", "lang")
-        .agg(F.max("label").alias("label"), F.sum(length).alias("chars"), (F.sum(F.col("confidence") * length) / F.sum(length)).alias("confidence"))
-    )
-    counts = each.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("languages"))
-    return each.join(counts, "doc_id").select("doc_id", "label", "lang", "confidence", "chars", "languages")
+def _by_language(found: list[tuple[int, int, int, float]]) -> list[tuple[int, float, int, int]]:
+    sums: dict[int, list[float]] = {}
+    for begin, end, lang, confidence in found:
+        own = sums.setdefault(lang, [0.0, 0])
+        own[0] += confidence * (end - begin)
+        own[1] += end - begin
+    return [(lang, total / chars, chars, len(sums)) for lang, (total, chars) in sums.items()]
 
 
 def found(documents: DataFrame, samples: DataFrame | None) -> DataFrame:
     """(doc_id, lang): true languages of the documents whose label does not tell them."""
-    each = document_languages(label(documents, samples))
+    each = label(documents, samples, whole=True).where(F.col("lang").isNotNull())
     return each.where((F.col("languages") > 1) | F.col("label").isNull() | (F.col("label") != F.col("lang"))).select("doc_id", "lang")
