@@ -24,10 +24,10 @@ def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame
     Counts are combined before the shuffle. The result has at most ``1 / share`` rows. NULL keys are
     no keys. An empty input gives an empty result.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__qg_n"))
     # One partial sum per partition goes to one task: a scalar subquery, not a window over all keys.
-    total = counts.agg(F.sum("_n").alias("_all")).scalar()
-    return counts.where(F.col("_n") >= F.lit(share) * total)
+    total = counts.agg(F.sum("__qg_n").alias("__qg_all")).scalar()
+    return counts.where(F.col("__qg_n") >= F.lit(share) * total)
 
 
 def salted_aggregate(
@@ -55,12 +55,12 @@ def salted_aggregate(
     """
     if heavy is None:
         heavy = heavy_keys(df, key, share)
-    heavy = F.broadcast(heavy.select(F.col(key).alias("_heavy")))  # <= 1 / share rows
+    heavy = F.broadcast(heavy.select(F.col(key).alias("__qg_heavy")))  # <= 1 / share rows
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    salted = df.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn(
-        "_salt", F.when(F.col("_heavy").isNotNull() | F.col(key).isNull(), salt).otherwise(F.lit(0))
+    salted = df.join(heavy, F.col(key) == F.col("__qg_heavy"), "left").withColumn(
+        "__qg_salt", F.when(F.col("__qg_heavy").isNotNull() | F.col(key).isNull(), salt).otherwise(F.lit(0))
     )
-    first = salted.groupBy(key, "_salt").agg(*[c.alias(n) for n, c in partial.items()])
+    first = salted.groupBy(key, "__qg_salt").agg(*[c.alias(n) for n, c in partial.items()])
     return first.groupBy(key).agg(*[merge[n](n).alias(n) for n in partial])
 
 

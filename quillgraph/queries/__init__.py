@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.queries import keys
+from quillgraph.queries import graphs, ingest, keys, papers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = [keys]
+MODULES = [papers, graphs, ingest, keys]
 
 
 def queries() -> dict[str, Query]:
