@@ -63,10 +63,11 @@ def groups_by_shared_key(members: DataFrame, keys: list[str], member: str) -> Da
     costs as many links as rows.
     """
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, member]])
-    rows = members.where(known).select(*keys, F.col(member).alias("v")).distinct()
+    own = [f"_k{i}" for i in range(len(keys))]  # whatever the keys are called
+    rows = members.where(known).select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col(member).alias("v")).distinct()
     # The smallest member of each key, found with map-side combining; keys of one member drop out.
-    stars = rows.groupBy(*keys).agg(F.min("v").alias("u"), F.max("v").alias("_top")).where(F.col("u") != F.col("_top"))
-    links = rows.join(stars.drop("_top"), keys).where(F.col("u") != F.col("v")).select("u", "v")
+    stars = rows.groupBy(*own).agg(F.min("v").alias("u"), F.max("v").alias("_top")).where(F.col("u") != F.col("_top"))
+    links = rows.join(stars.drop("_top"), own).where(F.col("u") != F.col("v")).select("u", "v")
     return components(links).select(F.col("node").alias("member"), "component")
 
 
