@@ -152,6 +152,13 @@ class Vocabulary:
         return out
 
 
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    """Where each of consecutive pieces begins, and the end of the last."""
+    out = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=out[1:])
+    return out
+
+
 class Encoder:
     """Encodes texts; keeps the encodings of words, within bounds, from batch to batch."""
 
@@ -194,21 +201,21 @@ class Encoder:
             else:
                 counts.append(0)
         self._learn()
-        return np.concatenate(numbers) if numbers else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum(counts)])
+        return np.concatenate(numbers) if numbers else np.zeros(0, np.int64), _ends(np.array(counts, np.int64))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's begin."""
         words, begins = self.words(texts)
         first = self.starts[words]
         sizes = self.starts[words + 1] - first
-        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ends = _ends(sizes)
         at = np.arange(ends[-1]) + np.repeat(first - ends[:-1], sizes)
         return self.ids[at], ends[begins]
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         """Numbers of ids of the texts."""
         words, begins = self.words(texts)
-        ends = np.concatenate([[0], np.cumsum(self.starts[words + 1] - self.starts[words])])
+        ends = _ends(self.starts[words + 1] - self.starts[words])
         return np.diff(ends[begins])
 
 

@@ -14,7 +14,7 @@ _LISTS = """
   t AS (SELECT x.p AS a, y.p AS b, count(*) AS n_ab FROM l x JOIN l y ON x.c = y.c AND x.p < y.p GROUP BY 1, 2)
 """
 
-_FOLDED = r"lower(upper(regexp_replace(title, '[\s\p{P}\p{Z}\p{Cc}\p{Cf}]+', '', 'g')))"
+_FOLDED = r"lower(replace(upper(regexp_replace(title, '[\s\p{P}\p{Z}\p{Cc}\p{Cf}]+', '', 'g')), 'ẞ', 'SS'))"
 
 _PAPERS = f"""
   WITH p AS (SELECT DISTINCT id, {_FOLDED} AS form, coalesce(publication_year, -9999999) AS y
@@ -26,7 +26,7 @@ _SPACES = r"[\s\p{P}\p{Z}\p{Cc}\p{Cf}]+"
 
 
 def _fold(value: str) -> str:
-    return f"lower(upper(regexp_replace({value}, '{_SPACES}', '', 'g')))"
+    return f"lower(replace(upper(regexp_replace({value}, '{_SPACES}', '', 'g')), 'ẞ', 'SS'))"
 
 
 def _listed(name: str) -> str:
