@@ -224,3 +224,27 @@ SQL = {
       SELECT DISTINCT c.normalized_path, s.id AS source_id FROM document_copy c JOIN scan_source s ON starts_with(c.normalized_path, rtrim(s.normalized_path, '/') || '/')
     """,
 }
+
+
+def _expand(s, d):
+    """A budgeted walk from the work with the most references; which works are met depends on a running
+    count, so there is no SQL."""
+    from quillgraph.operators import expand
+    from quillgraph.queries.relations import edges
+    from quillgraph.schema import Direction
+    from quillgraph.session import cut
+
+    own = works(s, d)
+    of = edges(s, d).join(own.select(F.col("paper_id").alias("citing"), F.col("work_id").alias("a")), "citing")
+    of = of.join(own.select(F.col("paper_id").alias("cited"), F.col("work_id").alias("b")), "cited")
+    refs = of.groupBy(F.col("a").alias("work_id")).agg(F.sort_array(F.collect_set("b")).alias("referenced_works"))
+    counts = of.groupBy(F.col("b").alias("work_id")).agg(F.count(F.lit(1)).alias("cited_by_count"))
+    full = cut(own.join(refs, "work_id", "left").join(counts, "work_id", "left"))
+    first = full.orderBy(F.desc(F.size(F.coalesce("referenced_works", F.array().cast("array<string>")))), "work_id").first()
+    seed = expand.Work(first.work_id, [("openalex", first.work_id, first.work_id)], first.title, first.publication_year)
+    found = expand.walk(seed, expand.offline_neighbours(full), Direction.both, 2, 50)
+    rows = [(a[1], b[1], found.truncated) for a, b in dict.fromkeys(found.edges)]
+    return s.createDataFrame(rows, "citing string, cited string, truncated boolean")
+
+
+QUERIES["expand_budget"] = _expand
