@@ -37,6 +37,7 @@ def stored_edges(citation: DataFrame, paper: DataFrame) -> DataFrame:
         rows.distinct()
         .join(ids.withColumnRenamed("id", "citing"), "citing", "left_semi")
         .join(ids.withColumnRenamed("id", "cited"), "cited", "left_semi")
+        .select("citing", "cited")
     )
 
 
@@ -75,7 +76,8 @@ def induced(edges: DataFrame, nodes: DataFrame, rows: int | None = None) -> Data
     """All edges with both ends among ``nodes`` (id)."""
     ids = nodes.select("id")
     ids = _sized(ids, rows) if rows is not None else ids
-    return edges.join(ids.withColumnRenamed("id", "citing"), "citing", "left_semi").join(ids.withColumnRenamed("id", "cited"), "cited", "left_semi")
+    inner = edges.join(ids.withColumnRenamed("id", "citing"), "citing", "left_semi").join(ids.withColumnRenamed("id", "cited"), "cited", "left_semi")
+    return inner.select("citing", "cited")
 
 
 def _rank_arrays(n: int, source: np.ndarray, target: np.ndarray) -> np.ndarray:
