@@ -8,6 +8,7 @@ from quillgraph.functions import hints
 from quillgraph.operators import audit, documents, identity, importing, scan
 from quillgraph.operators.works import with_keys
 from quillgraph.queries.relations import SCAN, WORKS, copies, listing, sources, works
+from quillgraph.session import cut
 from quillgraph.tables import table
 
 _joined = lambda c: F.array_join(c, " ")
@@ -21,25 +22,26 @@ def _resolve(s, d):
 
 
 def _candidates(s, d):
-    rows = importing.candidates(works(s, d), table(s, d, "paper_identifier"))
+    rows = importing.candidates(cut(works(s, d)), table(s, d, "paper_identifier"))
     return rows.select("work_id", "status", "title", "paper_id", importing.import_choice()["normalized_value"].alias("import_by"))
 
 
-def _requests(s, d):
+def _requests(known):
     """One request per work: its identifiers, of which the first is replaced by a stranger for some."""
-    keyed = with_keys(works(s, d)).where(F.size("keys") > 0)
+    keyed = with_keys(known).where(F.size("keys") > 0)
     stranger = F.struct(F.lit("doi").alias("scheme"), F.lit("10.5555/nobody").alias("value"), F.lit("10.5555/nobody").alias("normalized_value"))
     return keyed.select(F.col("work_id").alias("request"), F.concat(F.col("keys"), F.array(stranger)).alias("identifiers"))
 
 
 def _import(s, d):
-    rows = importing.import_status(_requests(s, d), works(s, d), table(s, d, "paper_identifier"), "request")
+    known = cut(works(s, d))  # read by the requests, the lookup and the answer
+    rows = importing.import_status(_requests(known), known, table(s, d, "paper_identifier"), "request")
     held = F.when(F.col("status") == "matched", F.col("paper_id"))
     return rows.select("request", "status", "work_id", held.alias("paper_id"), _keys("added").alias("added"), _keys("ignored").alias("ignored"))
 
 
 def _fill(s, d):
-    rows = importing.metadata_fill(table(s, d, "paper"), table(s, d, "paper_identifier"), works(s, d))
+    rows = importing.metadata_fill(table(s, d, "paper"), table(s, d, "paper_identifier"), cut(works(s, d)))
     return rows.select("paper_id", "status", F.size("added").cast("long").alias("added"))
 
 
@@ -232,7 +234,6 @@ def _expand(s, d):
     from quillgraph.operators import expand
     from quillgraph.queries.relations import edges
     from quillgraph.schema import Direction
-    from quillgraph.session import cut
 
     own = works(s, d)
     of = edges(s, d).join(own.select(F.col("paper_id").alias("citing"), F.col("work_id").alias("a")), "citing")
