@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from quillgraph.llm.blocks import pairs_within
 from quillgraph.session import cut
 
+#: Baskets of more items are not paired, where a pair needs more baskets than there are such.
+HUGE = 2000
+
 
 def baskets(df: DataFrame, basket: str, item: str, least: int = 1, keep: Column | None = None, sizes: bool = False) -> DataFrame:
     """(basket, item), each once, and with ``sizes`` the size n of the basket, of the baskets that hold at least ``least`` different items.
@@ -33,6 +36,28 @@ def baskets(df: DataFrame, basket: str, item: str, least: int = 1, keep: Column
     return rows.join(large.select("basket"), "basket", "left_semi")
 
 
+def pair_counts(members: DataFrame, least_together: int = 1, huge: int = HUGE) -> DataFrame:
+    """(a, b, n_ab), a < b, of the codes of (basket, code) rows that share ``least_together`` baskets.
+
+    With fewer huge baskets than a pair needs, a pair must meet in one of the others too. Then only
+    those are paired, and a huge basket, which may hold a third of all rows, is merely asked which of
+    the remaining pairs it holds: two joins, whatever its size. Else all baskets are paired, in blocks.
+    """
+    sizes = members.groupBy("basket").agg(F.count(F.lit(1)).alias("_n"))
+    count = lambda df: pairs_within(df, "basket", "code").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
+    few = [r.basket for r in sizes.where(F.col("_n") > huge).select("basket").limit(least_together).collect()]
+    if not few or len(few) >= least_together:
+        counts = count(members)
+        return counts.where(F.col("n_ab") >= least_together) if least_together > 1 else counts
+    in_huge = F.col("basket").isin(few)
+    near = count(members.where(~in_huge)).where(F.col("n_ab") >= least_together - len(few))
+    held = members.where(in_huge)
+    a, b = held.select("basket", F.col("code").alias("a")), held.select("basket", F.col("code").alias("b"))
+    more = near.join(a, "a").join(b, ["basket", "b"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_more"))
+    total = F.col("n_ab") + F.coalesce("_more", F.lit(0))
+    return near.join(more, ["a", "b"], "left").select("a", "b", total.alias("n_ab")).where(F.col("n_ab") >= least_together)
+
+
 def cooccurrence(
     df: DataFrame,
     basket: str,
@@ -64,9 +89,7 @@ def cooccurrence(
     # follow the order of the items: a < b holds for codes as for items.
     coded = cut(marginals.repartitionByRange("item").sortWithinPartitions("item").withColumn("code", F.monotonically_increasing_id()))
     members = rows.join(coded.select("item", "code"), "item").select("basket", "code")
-    counts = pairs_within(members, "basket", "code").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
-    if least_together > 1:
-        counts = counts.where(F.col("n_ab") >= least_together)
+    counts = pair_counts(members, least_together)
     names = coded.select("code", "item", "n")
     left = names.select(F.col("code").alias("a"), F.col("item").alias("item_a"), F.col("n").alias("n_a"))
     right = names.select(F.col("code").alias("b"), F.col("item").alias("item_b"), F.col("n").alias("n_b"))

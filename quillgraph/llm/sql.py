@@ -62,6 +62,20 @@ _GROUPS = """
 """
 _BARRED = ", ".join(f"'{x}'" for x in PLACEHOLDERS)
 
+_BEST = f"""
+  {_GROUPS},
+  p AS (
+    SELECT group_id, paper.id, created_at, publication_year, CASE WHEN {_FOLDED} NOT IN ('', {_BARRED}) THEN {_FOLDED} END AS form
+    FROM g JOIN paper ON paper.id = g.id),
+  q AS (
+    SELECT *, form IS NOT NULL AND NOT EXISTS (
+      SELECT 1 FROM p o WHERE o.group_id = p.group_id AND o.form <> p.form AND starts_with(o.form, p.form)) AS complete FROM p),
+  best AS (
+    SELECT group_id, count(*) AS members, arg_max(id, created_at) FILTER (complete) AS title_id,
+           arg_max(id, created_at) FILTER (publication_year BETWEEN 1800 AND 2026) AS year_id
+    FROM q GROUP BY group_id)
+"""
+
 SQL = {
     "p1_found": f"""
       {_LISTS}
@@ -93,17 +107,11 @@ SQL = {
       UNION ALL
       SELECT 'raw_record', a.record_id, b.record_id FROM rec a JOIN rec b ON a.f0 = b.f0 AND a.f1 = b.f1 AND a.f2 = b.f2 AND a.record_id < b.record_id
     """,
-    "p3_found": f"""
-      {_GROUPS},
-      p AS (
-        SELECT group_id, paper.id, created_at, publication_year, CASE WHEN {_FOLDED} NOT IN ('', {_BARRED}) THEN {_FOLDED} END AS form
-        FROM g JOIN paper ON paper.id = g.id),
-      q AS (
-        SELECT *, form IS NOT NULL AND NOT EXISTS (
-          SELECT 1 FROM p o WHERE o.group_id = p.group_id AND o.form <> p.form AND starts_with(o.form, p.form)) AS complete FROM p)
-      SELECT group_id, arg_max(id, created_at) FILTER (complete) AS title_id,
-             arg_max(id, created_at) FILTER (publication_year BETWEEN 1800 AND 2026) AS year_id
-      FROM q GROUP BY group_id
+    "p3_found": f"{_BEST} SELECT group_id, title_id, year_id FROM best",
+    "p3_records": f"""
+      {_BEST}
+      SELECT group_id, members, t.title, y.publication_year
+      FROM best LEFT JOIN paper t ON t.id = title_id LEFT JOIN paper y ON y.id = year_id
     """,
     "p5_lists": """
       WITH e AS (

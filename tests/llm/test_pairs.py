@@ -63,6 +63,16 @@ def test_cooccurrence_is_brute_force(spark, seed):
     assert {(r.a, r.b) for r in strict} == want
 
 
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_huge_baskets_lose_no_pair(spark, least):
+    rng = random.Random(8)
+    lists = {f"b{i}": set(rng.sample(range(40), 6)) for i in range(60)} | {"h1": set(range(30)), "h2": set(range(15, 40)), "h3": set(range(40))}
+    both = Counter(p for s in lists.values() for p in itertools.combinations(sorted(s), 2))
+    members = spark.createDataFrame([(b, c) for b, s in lists.items() for c in s], "basket string, code long")
+    got = {(r.a, r.b): r.n_ab for r in cooccurrence.pair_counts(members, least, 10).collect()}
+    assert got == {p: n for p, n in both.items() if n >= least}
+
+
 def test_cooccurrence_of_nothing(spark):
     assert cooccurrence.reference_list_pairs(citations(spark, []), 6, 4).count() == 0
     assert cooccurrence.reference_list_pairs(citations(spark, [("a", "b"), (None, None)])).count() == 0
