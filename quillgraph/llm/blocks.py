@@ -24,10 +24,18 @@ def pairs_within(df: DataFrame, key: str, member: str, block: int = BLOCK) -> Da
         .withColumn("_k", F.ceil(F.col("_n") / block).cast("int"))
         .withColumn("_x", F.pmod(F.xxhash64(member), F.col("_k")).cast("int"))
         .withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-        .select(key, F.least("_x", "_y").alias("_i"), F.greatest("_x", "_y").alias("_j"), "_x", F.col(member).alias("_m"))
+        .select(
+            key,
+            F.least("_x", "_y").alias("_i"),
+            F.greatest("_x", "_y").alias("_j"),
+            "_x",
+            F.col(member).alias("_m"),
+        )
     )
     # Repartitioned, else all cells of a hot group would stay where the join put them.
-    cells = rows.repartition(key, "_i", "_j").groupBy(key, "_i", "_j").agg(F.sort_array(F.collect_set(F.struct("_m", "_x"))).alias("_s"))
+    cells = rows.repartition(key, "_i", "_j").groupBy(key, "_i", "_j").agg(
+        F.sort_array(F.collect_set(F.struct("_m", "_x"))).alias("_s"),
+    )
     # Both ends by position: the members are sorted, so the second end is a slice, not a filter of all.
     first = cells.select(key, "_i", "_j", "_s", F.posexplode("_s").alias("_p", "_a"))
     rest = F.slice("_s", F.col("_p") + 2, F.greatest(F.size("_s") - F.col("_p") - 1, F.lit(0)))

@@ -44,7 +44,9 @@ class Vocabulary:
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
-            self.ids = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+            self.ids = {base64.b64decode(token): int(rank) for token, rank in (
+                line.split() for line in lines if line.strip()
+            )}
         ids = self.ids
         # Each token's two halves: what its last merge joined. A single byte is its own halves.
         self.left, self.right = [0] * len(ids), [0] * len(ids)
@@ -282,7 +284,10 @@ def count_column(df: DataFrame, id_column: str = "doc_id", text: str = "text", p
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _portions(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own.count(texts[a:b]))], names=["id", "tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(own.count(texts[a:b]))],
+                    names=["id", "tokens"],
+                )
 
     source = df.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()

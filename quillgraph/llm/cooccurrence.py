@@ -19,7 +19,14 @@ from quillgraph.session import cut
 HUGE = 2000
 
 
-def baskets(df: DataFrame, basket: str, item: str, least: int = 1, keep: Column | None = None, sizes: bool = False) -> DataFrame:
+def baskets(
+    df: DataFrame,
+    basket: str,
+    item: str,
+    least: int = 1,
+    keep: Column | None = None,
+    sizes: bool = False,
+) -> DataFrame:
     """(basket, item), each once, and with ``sizes`` the size n of the basket, of the baskets that hold at least ``least`` different items.
 
     Rows with a NULL basket or item, or that fail ``keep``, do not count. The first shuffle is on both
@@ -44,7 +51,9 @@ def pair_counts(members: DataFrame, least_together: int = 1, huge: int = HUGE) -
     the remaining pairs it holds: two joins, whatever its size. Else all baskets are paired, in blocks.
     """
     sizes = members.groupBy("basket").agg(F.count(F.lit(1)).alias("_n"))
-    count = lambda df: pairs_within(df, "basket", "code").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
+    count = lambda df: pairs_within(df, "basket", "code").groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n_ab"),
+    )
     few = [r.basket for r in sizes.where(F.col("_n") > huge).select("basket").limit(least_together).collect()]
     if not few or len(few) >= least_together:
         counts = count(members)
@@ -55,7 +64,9 @@ def pair_counts(members: DataFrame, least_together: int = 1, huge: int = HUGE) -
     a, b = held.select("basket", F.col("code").alias("a")), held.select("basket", F.col("code").alias("b"))
     more = near.join(a, "a").join(b, ["basket", "b"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_more"))
     total = F.col("n_ab") + F.coalesce("_more", F.lit(0))
-    return near.join(more, ["a", "b"], "left").select("a", "b", total.alias("n_ab")).where(F.col("n_ab") >= least_together)
+    return near.join(more, ["a", "b"], "left").select("a", "b", total.alias("n_ab")).where(
+        F.col("n_ab") >= least_together,
+    )
 
 
 def cooccurrence(
@@ -87,7 +98,12 @@ def cooccurrence(
         marginals = marginals.where(F.col("n") * F.lit(least_lift) <= F.lit(total))
     # The codes must not change when a task runs again, so they are fixed in the checkpoint. They
     # follow the order of the items: a < b holds for codes as for items.
-    coded = cut(marginals.repartitionByRange("item").sortWithinPartitions("item").withColumn("code", F.monotonically_increasing_id()))
+    coded = cut(
+        marginals.repartitionByRange("item").sortWithinPartitions("item").withColumn(
+            "code",
+            F.monotonically_increasing_id(),
+        ),
+    )
     members = rows.join(coded.select("item", "code"), "item").select("basket", "code")
     counts = pair_counts(members, least_together)
     names = coded.select("code", "item", "n")

@@ -46,10 +46,15 @@ def encode(
     ``fields`` names string columns and gives how a value of each is canonicalised; ``numbers`` names
     integer columns, which are their own codes. A field is absent where it is NULL or ``absent`` holds
     for its canonical form, so absent, null and empty are the same. Each distinct raw value is
-    canonicalised once. A dictionary that is small by count is broadcast, a larger one is joined by a
-    shuffle, in which adaptive execution splits hot values.
+    canonicalised once, in full, however long. A dictionary that is small by count is broadcast, a
+    larger one is joined by a shuffle, in which adaptive execution splits hot values. Repeated rows come
+    out as often as they occur; an empty table gives an empty result; further columns are ignored.
     """
-    out = df.select(F.col(id_column).alias("id"), *[F.col(c).alias(f"_raw{i}") for i, c in enumerate(fields)], *[F.col(c).cast("long").alias(f"_n{i}") for i, c in enumerate(numbers)])
+    out = df.select(
+        F.col(id_column).alias("id"),
+        *[F.col(c).alias(f"_raw{i}") for i, c in enumerate(fields)],
+        *[F.col(c).cast("long").alias(f"_n{i}") for i, c in enumerate(numbers)],
+    )
     for i, (name, canonicalise) in enumerate(fields.items()):
         raw = df.select(F.col(name).alias(f"_raw{i}")).where(F.col(f"_raw{i}").isNotNull()).distinct()
         forms = raw.withColumn("form", canonicalise(F.col(f"_raw{i}")))
@@ -104,43 +109,49 @@ def _bare(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"[\s_-]+", "")
 
 
-def parse_records(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    """The columns of ``raw`` without the payload, and ``fields``: map of field name to value.
+def parse_records(raw: DataFrame, id_column: str = "record_id", payload: str = "payload") -> DataFrame:
+    """(id, readable, display_name, publication_year, venue) of raw records; other columns are ignored.
 
     A payload is a JSON object, or a list of ``name=value`` / ``name: value`` separated by ``;``,
     ``|``, tabs or line breaks. Names are compared without case, white space, ``_`` and ``-``. A
-    separator counts only where the name of a field follows, so values may hold one. ``fields`` is NULL where a payload
-    cannot be read: NULL, blank, JSON that does not close, or a list with fewer than two of the fields
-    (one that was cut off within its first value).
+    separator counts only where the name of a field follows, so values may hold one. ``readable`` is
+    false, and the fields are NULL, where a payload cannot be read: NULL, blank, JSON that does not
+    close, or a list with fewer than two of the fields (one that was cut off within its first value).
     """
     text = F.col(payload)
     names = [f.replace("_", "") for f in FIELDS]
     parsed = F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE", "allowNumericLeadingZeros": "true"})
     from_json = F.filter(
-        F.transform(F.map_entries(parsed), lambda e: F.struct(_bare(e["key"]).alias("name"), e["value"].alias("value"))),
+        F.transform(
+            F.map_entries(parsed),
+            lambda e: F.struct(_bare(e["key"]).alias("name"), e["value"].alias("value")),
+        ),
         lambda e: e["name"].isin(*names),
     )
     pieces = F.split(text, rf"(?i)[;|\t\r\n]+\s*(?={_NAME}\s*[:=])")
     shape = rf"(?is)\A\s*({_NAME})\s*[:=](.*)\z"
     from_list = F.transform(
         F.filter(pieces, lambda p: p.rlike(shape)),
-        lambda p: F.struct(_bare(F.regexp_extract(p, shape, 1)).alias("name"), F.regexp_extract(p, shape, 2).alias("value")),
+        lambda p: F.struct(
+            _bare(F.regexp_extract(p, shape, 1)).alias("name"),
+            F.regexp_extract(p, shape, 2).alias("value"),
+        ),
     )
     closed = text.rlike(r"(?s)\A\s*\{.*\}\s*\z")
     entries = (
         F.when(text.rlike(r"\A\s*\{"), F.when(closed & parsed.isNotNull(), from_json))
         .when(F.size(from_list) >= 2, from_list)
     )
-    rows = raw.withColumn("_entries", entries)
+    rows = raw.select(id_column, entries.alias("_entries"))
     # The last of two equal names wins, as in most readers of JSON; no such name gives NULL.
     value = lambda n: F.try_element_at(F.filter("_entries", lambda e: e["name"] == n), F.lit(-1))["value"]
     out = [value(n).alias(f) for n, f in zip(names, FIELDS)]
-    return rows.select(*[c for c in raw.columns if c != payload], F.col("_entries").isNotNull().alias("readable"), *out)
+    return rows.select(id_column, F.col("_entries").isNotNull().alias("readable"), *out)
 
 
 def encoded_records(raw: DataFrame) -> DataFrame:
     """Readable raw records by their three folded fields. A number and its digits are the same year."""
-    rows = parse_records(raw.select("record_id", "payload")).where("readable")
+    rows = parse_records(raw).where("readable")
     year = lambda c: F.regexp_replace(fold(F.regexp_replace(c, r"\.0+\s*\z", "")), r"\A0+(?=\d)", "")
     return encode(rows, "record_id", {"display_name": fold, "publication_year": year, "venue": fold})
 

@@ -32,7 +32,12 @@ class Network:
         self.units = units
         self.p = {
             "w": (rng.standard_normal((2, PATCH, 256, 3 * units)) * 0.25).astype(f),
-            "u": np.stack([np.concatenate([np.linalg.qr(rng.standard_normal((units, units)))[0] for _ in range(3)], 1) for _ in range(2)]).astype(f),
+            "u": np.stack(
+                [np.concatenate(
+                    [np.linalg.qr(rng.standard_normal((units, units)))[0] for _ in range(3)],
+                    1,
+                ) for _ in range(2)]
+            ).astype(f),
             "b": np.zeros((2, 1, 3 * units), f),
             "v": (rng.standard_normal((2 * units, classes)) * 0.2).astype(f),
             "c": np.zeros(classes, f),
@@ -144,5 +149,7 @@ def train(network: Network, batches, rate: float = 0.01, warm: int = 30) -> list
             g = g * scale
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
-            network.p[k] -= (now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            network.p[k] -= (
+                now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+            ).astype(np.float32)
     return losses

@@ -158,9 +158,16 @@ def _picked(documents: DataFrame) -> DataFrame:
                     if tells(s) >= 3:
                         langs.append(code)
                         out.append(s[:SENTENCE_BYTES])
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.string())], names=["lang", "sentence"])
-
-    rows = labelled.join(F.broadcast(sample), "doc_id", "left_semi").select(F.col("doc_id").cast("string"), "lang", "text")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(out, pa.string())],
+                names=["lang", "sentence"],
+            )
+
+    rows = labelled.join(F.broadcast(sample), "doc_id", "left_semi").select(
+        F.col("doc_id").cast("string"),
+        "lang",
+        "text",
+    )
     return rows.mapInArrow(pick, "lang string, sentence string")
 
 
@@ -188,13 +195,19 @@ def _nothing(names: list[str], rng: np.random.Generator) -> str:
     kind = rng.integers(6)
     if kind < 3:
         initial = lambda: chr(65 + rng.integers(26)) + ("." if rng.random() < 0.4 else "")
-        people = [f"{initial()} {pick()}" if rng.random() < 0.6 else f"{pick()} {initial()}" for _ in range(rng.integers(1, 6))]
+        people = [
+            f"{initial()} {pick()}" if rng.random() < 0.6 else f"{pick()} {initial()}" for _ in range(rng.integers(1, 6))
+        ]
         return ", ".join(people)
     if kind == 3:
         return f"({pick()} {rng.integers(1900, 2030)}; {pick()} {rng.integers(1900, 2030)})"
     if kind == 4:
-        return " ".join(f"{rng.random() * 10 ** rng.integers(1, 7):.{rng.integers(0, 4)}f}" for _ in range(rng.integers(2, 12)))
-    return rng.choice(["doi:10.", "arXiv:", "/srv/", "https://", "id="]) + "/".join(str(rng.integers(10**6)) for _ in range(rng.integers(1, 5))) + rng.choice([".pdf", "", "v2", ".txt"])
+        return " ".join(
+            f"{rng.random() * 10 ** rng.integers(1, 7):.{rng.integers(0, 4)}f}" for _ in range(rng.integers(2, 12))
+        )
+    return rng.choice(["doi:10.", "arXiv:", "/srv/", "https://", "id="]) + "/".join(
+        str(rng.integers(10**6)) for _ in range(rng.integers(1, 5))
+    ) + rng.choice([".pdf", "", "v2", ".txt"])
 
 
 def _varied(s: str, rng: np.random.Generator) -> bytes:
@@ -207,7 +220,12 @@ def _varied(s: str, rng: np.random.Generator) -> bytes:
     return raw[rng.integers(0, max(1, min(len(raw) // 3, 24))) :][:SENTENCE_BYTES] or b" "
 
 
-def fit(clean: list[tuple[str, str]], labelled: list[tuple[str, str]], seed: int = 3, steps: tuple[int, int] = STEPS) -> gru.Network:
+def fit(
+    clean: list[tuple[str, str]],
+    labelled: list[tuple[str, str]],
+    seed: int = 3,
+    steps: tuple[int, int] = STEPS,
+) -> gru.Network:
     """A network trained on (language, sentence) pairs: ``clean`` ones and ``labelled`` ones, whose
     labels may be wrong. The same data in any order give the same network."""
     rng = np.random.default_rng(seed)
@@ -357,12 +375,19 @@ def _reader(network: gru.Network, key: int) -> Reader:
 
 def train_on(documents: DataFrame, samples: DataFrame | None) -> gru.Network:
     """The network for a corpus. At most SAMPLE_ROWS * SENTENCES_EACH sentences reach the driver."""
-    clean = [(r.lang, r.text) for r in samples.select("lang", "text").limit(SAMPLE_ROWS).collect()] if samples is not None else []
+    clean = [
+        (r.lang, r.text) for r in samples.select("lang", "text").limit(SAMPLE_ROWS).collect()
+    ] if samples is not None else []
     picked = [(r.lang, r.sentence) for r in _picked(documents).collect()]
     return fit([(label_code(c), s) for c, s in clean if s and label_code(c)], picked)
 
 
-def label(documents: DataFrame, samples: DataFrame | None, network: gru.Network | None = None, whole: bool = False) -> DataFrame:
+def label(
+    documents: DataFrame,
+    samples: DataFrame | None,
+    network: gru.Network | None = None,
+    whole: bool = False,
+) -> DataFrame:
     """(doc_id, label, begin, end, lang, confidence): the stretches of every document.
 
     ``begin`` and ``end`` count characters of the text; ``label`` is the language that the delivered
@@ -396,11 +421,18 @@ def label(documents: DataFrame, samples: DataFrame | None, network: gru.Network
                 codes = [label_code(v) for v in batch.column(1).to_pylist()]
                 kinds = (pa.float64(), pa.int64(), pa.int32()) if whole else (pa.int32(), pa.int32(), pa.float64())
                 places = (2, 3, 4) if whole else (1, 2, 4)
-                lang = pa.array([None if r[1 if whole else 3] is None else LANGUAGES[r[1 if whole else 3]] for r in rows], pa.string())
+                lang = pa.array(
+                    [None if r[1 if whole else 3] is None else LANGUAGES[r[1 if whole else 3]] for r in rows],
+                    pa.string(),
+                )
                 values = [pa.array([r[k] for r in rows], kind) for k, kind in zip(places, kinds)]
                 columns = [lang, *values] if whole else [*values[:2], lang, values[2]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(index), pa.array([codes[r[0]] for r in rows], pa.string()), *columns], names=names
+                    [
+                        batch.column(0).take(index),
+                        pa.array([codes[r[0]] for r in rows], pa.string()),
+                        *columns,
+                    ], names=names
                 )
 
     shape = "lang string, confidence double, chars long, languages int" if whole else "begin int, end int, lang string, confidence double"
@@ -422,4 +454,6 @@ def _by_language(found: list[tuple[int, int, int, float]]) -> list[tuple[int, fl
 def found(documents: DataFrame, samples: DataFrame | None) -> DataFrame:
     """(doc_id, lang): true languages of the documents whose label does not tell them."""
     each = label(documents, samples, whole=True).where(F.col("lang").isNotNull())
-    return each.where((F.col("languages") > 1) | F.col("label").isNull() | (F.col("label") != F.col("lang"))).select("doc_id", "lang")
+    return each.where(
+        (F.col("languages") > 1) | F.col("label").isNull() | (F.col("label") != F.col("lang")),
+    ).select("doc_id", "lang")

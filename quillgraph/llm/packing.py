@@ -75,7 +75,11 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """
     if not len(sizes):
         return np.zeros(0, np.int64)
-    low = max(math.ceil(int(sizes.sum()) / capacity), int((sizes > capacity // 2).sum() if capacity % 2 else (sizes > capacity / 2).sum()), 1) - 1
+    low = max(
+        math.ceil(int(sizes.sum()) / capacity),
+        int((sizes > capacity // 2).sum() if capacity % 2 else (sizes > capacity / 2).sum()),
+        1,
+    ) - 1
     k = low + 1
     while True:
         best, sums = difference(sizes, k)
@@ -119,7 +123,12 @@ def containers(sized: DataFrame, id_column: str, capacity: int, block: int = BLO
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    rows = cut(sized.select(F.col(id_column).alias("_id"), F.coalesce("tokens", F.lit(0)).cast("long").alias("_t")).withColumn("no", F.monotonically_increasing_id()))
+    rows = cut(
+        sized.select(
+            F.col(id_column).alias("_id"),
+            F.coalesce("tokens", F.lit(0)).cast("long").alias("_t"),
+        ).withColumn("no", F.monotonically_increasing_id()),
+    )
     items = rows.select("no", (F.col("_t") % capacity).alias("tokens")).where("tokens > 0")
     blocks = max(1, math.ceil(items.count() / block))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("no"), F.lit(blocks)))
@@ -132,7 +141,10 @@ def containers(sized: DataFrame, id_column: str, capacity: int, block: int = BLO
         (F.col("_t") - F.col("_t") % capacity).alias("begin"),
         (F.col("_t") % capacity).alias("tokens"),
     )
-    whole = rows.where(F.col("_t") >= capacity).withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor(F.col("_t") / capacity).cast("int") - 1)))
+    whole = rows.where(F.col("_t") >= capacity).withColumn(
+        "piece",
+        F.explode(F.sequence(F.lit(0), F.floor(F.col("_t") / capacity).cast("int") - 1)),
+    )
     full = whole.select(
         F.concat_ws("-", F.lit("f"), "no", "piece").alias("container"),
         F.lit(0).cast("long").alias("at"),

@@ -74,7 +74,9 @@ def _plant(trees: int):
             items = pa.ListArray.from_arrays(pa.array((offsets - first).astype(np.int32)), short)
             for tree in range(trees):
                 signs = [
-                    pa.array(np.minimum.reduceat(_mixed(values, tree * DEPTH + k), starts).view(np.int32)) for k in range(DEPTH)
+                    pa.array(
+                        np.minimum.reduceat(_mixed(values, tree * DEPTH + k), starts).view(np.int32),
+                    ) for k in range(DEPTH)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(batch.num_rows, tree, np.int32)), *signs, batch.column(0), items],
@@ -147,7 +149,9 @@ class _Verifier:
         length = self.length[a]
         ends = np.cumsum(length)
         at = np.arange(ends[-1]) - np.repeat(ends - length - self.starts[a], length)
-        wanted = (np.repeat(b, length).astype(np.uint64) << np.uint64(32)) | self.values[at].view(np.uint32).astype(np.uint64)
+        wanted = (
+            np.repeat(b, length).astype(np.uint64) << np.uint64(32)
+        ) | self.values[at].view(np.uint32).astype(np.uint64)
         where = np.searchsorted(self.keys, wanted)
         hit = self.keys[np.minimum(where, len(self.keys) - 1)] == wanted
         common = np.add.reduceat(hit.astype(np.int64), ends - length)
@@ -208,7 +212,14 @@ def _compare(sets: _Sets, floor: int, threshold: float) -> tuple[list[np.ndarray
 
 _FOUND = "a long, b long, tree int, s1 int, s2 int, s3 int, block int, no long, items array<int>"
 _FOUND_ARROW = pa.schema(
-    [("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("s1", pa.int32()), ("s2", pa.int32()), ("s3", pa.int32())]
+    [
+        ("a", pa.int64()),
+        ("b", pa.int64()),
+        ("tree", pa.int32()),
+        ("s1", pa.int32()),
+        ("s2", pa.int32()),
+        ("s3", pa.int32()),
+    ]
     + [("block", pa.int32()), ("no", pa.int64()), ("items", pa.list_(pa.int32()))]
 )
 
@@ -221,7 +232,10 @@ def _harvest(threshold: float, held: int):
         x, y = np.concatenate(left), np.concatenate(right)
         both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
         nulls = [pa.nulls(len(both), f.type) for f in list(_FOUND_ARROW)[2:]]
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), *nulls], schema=_FOUND_ARROW)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), *nulls],
+            schema=_FOUND_ARROW,
+        )
 
     def rest(sets: _Sets, first: int) -> pa.RecordBatch:
         block = ((first + np.arange(len(sets))) // held).astype(np.int32)
@@ -317,7 +331,10 @@ def _compare_blocks(threshold: float):
                 p, q = verify.similar(p, q)
                 if len(p):
                     x, y = no[p], no[q]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))],
+                        names=["a", "b"],
+                    )
 
     return compare
 
@@ -355,7 +372,14 @@ def similar_classes(found: DataFrame, threshold: float, held: int = HELD) -> Dat
         cells = (
             left.join(F.broadcast(blocks), crowd)  # at most one row per HELD rows of the forest
             .withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-            .select(*crowd, F.least("block", "_c").alias("_i"), F.greatest("block", "_c").alias("_j"), "block", "no", "items")
+            .select(
+                *crowd,
+                F.least("block", "_c").alias("_i"),
+                F.greatest("block", "_c").alias("_j"),
+                "block",
+                "no",
+                "items",
+            )
         )
         more = cells.groupBy(*crowd, "_i", "_j").applyInArrow(_compare_blocks_grouped(threshold), "a long, b long")
         near = near.unionByName(more)
@@ -367,7 +391,9 @@ def _compare_blocks_grouped(threshold: float):
 
     def of(table: pa.Table) -> pa.Table:
         out = list(compare(iter(table.to_batches())))
-        return pa.Table.from_batches(out) if out else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        return pa.Table.from_batches(out) if out else pa.table(
+            {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())},
+        )
 
     return of
 
@@ -415,7 +441,9 @@ class SimilarSets:
             for end in ("a", "b"):  # a link to a copy is one to its class
                 to = self._copies().select(F.col("no").alias(end), "class_no")
                 large = large.join(to, end, "left").withColumn(end, F.coalesce("class_no", end)).drop("class_no")
-            exact = exact.unionByName(large.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            exact = exact.unionByName(
+                large.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+            )
         self.links = cut(exact)
 
     def _copies(self) -> DataFrame:
@@ -427,13 +455,20 @@ class SimilarSets:
         """(a, b), a < b: every two baskets with similar sets; copies are expanded."""
         copies = cut(self._copies())
         within = pairs_within(copies, "class_no", "basket").select("a", "b")
-        ends = self.links.select(F.col("a").alias("no")).unionByName(self.links.select(F.col("b").alias("no"))).distinct()
+        ends = self.links.select(F.col("a").alias("no")).unionByName(
+            self.links.select(F.col("b").alias("no")),
+        ).distinct()
         firsts = self.sets.join(ends, "no", "left_semi").select(F.col("no").alias("class_no"), "basket")
         others = copies.where(F.col("no") != F.col("class_no")).select("class_no", "basket")
-        members = cut(firsts.unionByName(others.join(ends.withColumnRenamed("no", "class_no"), "class_no", "left_semi")))
+        members = cut(
+            firsts.unionByName(others.join(ends.withColumnRenamed("no", "class_no"), "class_no", "left_semi")),
+        )
         left = members.select(F.col("class_no").alias("a"), F.col("basket").alias("x"))
         right = members.select(F.col("class_no").alias("b"), F.col("basket").alias("y"))
-        across = self.links.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        across = self.links.join(left, "a").join(right, "b").select(
+            F.least("x", "y").alias("a"),
+            F.greatest("x", "y").alias("b"),
+        )
         return within.unionByName(across)
 
     def summary(self) -> DataFrame:
@@ -448,6 +483,17 @@ class SimilarSets:
 
 
 def similar_reference_lists(citation: DataFrame, threshold: float = 0.6, held: int = HELD) -> SimilarSets:
-    """Similar reference lists: sets of five or more different papers that one paper cites."""
-    rows = baskets(citation, "citing_paper_id", "cited_paper_id", 5, F.col("citing_paper_id") != F.col("cited_paper_id"), True)
+    """Similar reference lists: sets of five or more different papers that one paper cites.
+
+    NULL ends, citations of itself and repeated rows do not count; exactly the threshold is similar;
+    empty tables, or none with such lists, give empty results; further columns are ignored.
+    """
+    rows = baskets(
+        citation,
+        "citing_paper_id",
+        "cited_paper_id",
+        5,
+        F.col("citing_paper_id") != F.col("cited_paper_id"),
+        True,
+    )
     return SimilarSets(rows, threshold, held)

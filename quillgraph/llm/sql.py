@@ -46,8 +46,16 @@ _NAMES = (r"display[\s_-]*name", r"publication[\s_-]*year", "venue")
 _RECORDS = f"""
   j AS (SELECT record_id, payload, regexp_full_match(payload, '(?s)\\s*\\{{.*') AS object FROM raw_record WHERE payload IS NOT NULL),
   f AS (
-    SELECT record_id, object, {", ".join(f"coalesce({_fold(f'CASE WHEN object THEN {_object(n)} ELSE {_listed(n)} END')}, '') AS f{i}" for i, n in enumerate(_NAMES))},
-           {" + ".join(f"(regexp_matches(payload, '(?is)(?:^|[;|{chr(92)}t{chr(92)}r{chr(92)}n]{chr(92)}s*){n}{chr(92)}s*[:=]'))::INTEGER" for n in _NAMES)} AS named
+    SELECT record_id, object, {
+        ", ".join(f"coalesce({_fold(
+            f'CASE WHEN object THEN {_object(n)} ELSE {_listed(n)} END',
+        )}, '') AS f{i}" for i, n in enumerate(_NAMES))
+    },
+           {
+               " + ".join(
+                   f"(regexp_matches(payload, '(?is)(?:^|[;|{chr(92)}t{chr(92)}r{chr(92)}n]{chr(92)}s*){n}{chr(92)}s*[:=]'))::INTEGER" for n in _NAMES
+               )
+           } AS named
     FROM j WHERE NOT object OR json_valid(payload)),
   rec AS (SELECT DISTINCT record_id, f0, f1, f2 FROM f WHERE object OR named >= 2)
 """

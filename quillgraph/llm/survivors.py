@@ -34,7 +34,12 @@ def components(links: DataFrame) -> DataFrame:
     """
     there = links.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).select("u", "v")
     both = cut(there.unionByName(there.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    parents = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("parent")))
+    parents = cut(
+        both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select(
+            "node",
+            F.least("node", "v").alias("parent"),
+        ),
+    )
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         grand = cut(parents.join(up, "parent").select("node", "parent", "grand"))
@@ -48,7 +53,13 @@ def components(links: DataFrame) -> DataFrame:
             own.select(F.col("parent").alias("node"), F.col("low").alias("parent"))
         )
         new = offers.groupBy("node").agg(F.min("parent").alias("parent"))
-        new = cut(new.join(parents.withColumnRenamed("parent", "old"), "node").select("node", F.least("parent", "old").alias("parent"), "old"))
+        new = cut(
+            new.join(parents.withColumnRenamed("parent", "old"), "node").select(
+                "node",
+                F.least("parent", "old").alias("parent"),
+                "old",
+            ),
+        )
         moved = new.where(F.col("parent") != F.col("old")).limit(1).count()
         parents = new.drop("old")
         if not moved:
@@ -64,7 +75,10 @@ def groups_by_shared_key(members: DataFrame, keys: list[str], member: str) -> Da
     """
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, member]])
     own = [f"_k{i}" for i in range(len(keys))]  # whatever the keys are called
-    rows = members.where(known).select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col(member).alias("v")).distinct()
+    rows = members.where(known).select(
+        *[F.col(k).alias(o) for k, o in zip(keys, own)],
+        F.col(member).alias("v"),
+    ).distinct()
     # The smallest member of each key, found with map-side combining; keys of one member drop out.
     stars = rows.groupBy(*own).agg(F.min("v").alias("u"), F.max("v").alias("_top")).where(F.col("u") != F.col("_top"))
     links = rows.join(stars.drop("_top"), own).where(F.col("u") != F.col("v")).select("u", "v")
@@ -97,7 +111,14 @@ def beginnings(forms: DataFrame, group: str, form: str) -> DataFrame:
     return long.unionByName(short.join(prefixes, [group, form], "left_semi"))
 
 
-def survivors(rows: DataFrame, group: str, id_column: str, complete: dict[str, Column], recency: Column, trust: Column) -> DataFrame:
+def survivors(
+    rows: DataFrame,
+    group: str,
+    id_column: str,
+    complete: dict[str, Column],
+    recency: Column,
+    trust: Column,
+) -> DataFrame:
     """(group, members, <field>_id...): per group and field the id of the record that gives the value.
 
     ``complete`` says for each field whether a record has a usable value. ``recency`` is a timestamp,
@@ -111,9 +132,19 @@ def survivors(rows: DataFrame, group: str, id_column: str, complete: dict[str, C
         F.col(group).alias("_g"), F.col(id_column).alias("_id"), *flags, F.coalesce(trust, F.lit(0)).alias("_trust"), age.alias("_age")
     )
     oks = [f"_ok{i}" for i in range(len(complete))]
-    cells = base.groupBy("_g", "_trust", *oks).agg(F.min(F.struct("_age", "_id")).alias("_top"), F.count(F.lit(1)).alias("_n"))
-    cells = cells.select("_g", "_n", F.struct(*oks, "_trust", F.col("_top._age").alias("_age"), F.col("_top._id").alias("_id")).alias("_r"))
-    merged = cells.groupBy("_g").agg(F.sum("_n").alias("members"), F.collect_list("_r").alias("_all"))  # a few rows per group
+    cells = base.groupBy("_g", "_trust", *oks).agg(
+        F.min(F.struct("_age", "_id")).alias("_top"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    cells = cells.select(
+        "_g",
+        "_n",
+        F.struct(*oks, "_trust", F.col("_top._age").alias("_age"), F.col("_top._id").alias("_id")).alias("_r"),
+    )
+    merged = cells.groupBy("_g").agg(
+        F.sum("_n").alias("members"),
+        F.collect_list("_r").alias("_all"),
+    )  # a few rows per group
 
     def dominates(y: Column, x: Column) -> Column:
         least = [y[c] >= x[c] for c in [*oks, "_trust"]] + [y["_age"] <= x["_age"]]
@@ -124,13 +155,22 @@ def survivors(rows: DataFrame, group: str, id_column: str, complete: dict[str, C
         return F.filter(records, lambda x: ~F.exists(records, lambda y: dominates(y, x)))
 
     def pick(records: Column, ok: str) -> Column:
-        able = F.transform(F.filter(records, lambda r: r[ok]), lambda r: F.struct(r["_age"], -r["_trust"], r["_id"].alias("id")))
+        able = F.transform(
+            F.filter(records, lambda r: r[ok]),
+            lambda r: F.struct(r["_age"], -r["_trust"], r["_id"].alias("id")),
+        )
         return F.array_min(able)["id"]
 
-    layered = merged.withColumn("_first", undominated(F.col("_all"))).withColumn("_rest", F.array_except("_all", "_first"))
+    layered = merged.withColumn("_first", undominated(F.col("_all"))).withColumn(
+        "_rest",
+        F.array_except("_all", "_first"),
+    )
     # Completeness is a dimension, so a field that any record has is present in the first layer; the
     # later layers are asked for what the first lacks.
-    chosen = [F.coalesce(pick(F.col("_first"), ok), pick(F.col("_rest"), ok)).alias(f"{name}_id") for name, ok in zip(complete, oks)]
+    chosen = [F.coalesce(
+        pick(F.col("_first"), ok),
+        pick(F.col("_rest"), ok),
+    ).alias(f"{name}_id") for name, ok in zip(complete, oks)]
     return layered.select(F.col("_g").alias(group), "members", *chosen)
 
 
@@ -140,7 +180,13 @@ def paper_groups(paper: DataFrame, identifier: DataFrame) -> DataFrame:
     Papers are joined by an equal (scheme, normalized_value), directly or through other papers.
     Identifiers of papers that are not stored, and missing or blank ones, join nothing.
     """
-    papers = paper.where(F.col("id").isNotNull()).select("id", "title", "publication_year", "created_at", "library_added_at").distinct()
+    papers = paper.where(F.col("id").isNotNull()).select(
+        "id",
+        "title",
+        "publication_year",
+        "created_at",
+        "library_added_at",
+    ).distinct()
     stored = identifier.where(F.trim("normalized_value") != "").join(
         papers.select(F.col("id").alias("paper_id")), "paper_id", "left_semi"
     )
@@ -153,10 +199,21 @@ def best_papers(paper: DataFrame, identifier: DataFrame, years: tuple[int, int]
 
     A title is complete if it is neither missing, blank, a placeholder nor only the beginning of a
     longer title of its group; a year if it lies in ``years``. A paper in the Library is trusted more,
-    which matters only between equal times. NULL where no paper of the group has such a value.
+    which matters only between equal times. NULL where no paper of the group has such a value. Repeated
+    rows change nothing, titles of any length are compared in full, empty tables give an empty result,
+    and further columns are ignored, whatever their names.
     """
-    rows = cut(paper_groups(paper, identifier).withColumn("_form", F.when(~names_no_work(fold(F.col("title"))), fold(F.col("title")))))
-    cut_short = beginnings(rows.where(F.col("_form").isNotNull()), "group_id", "_form").withColumn("_short", F.lit(True))
+    rows = cut(
+        paper_groups(paper, identifier).withColumn(
+            "_form",
+            F.when(~names_no_work(fold(F.col("title"))), fold(F.col("title"))),
+        ),
+    )
+    cut_short = beginnings(
+        rows.where(F.col("_form").isNotNull()),
+        "group_id",
+        "_form",
+    ).withColumn("_short", F.lit(True))
     rows = rows.join(cut_short, ["group_id", "_form"], "left")
     return survivors(
         rows,
@@ -176,4 +233,9 @@ def best_records(paper: DataFrame, identifier: DataFrame) -> DataFrame:
     best = best_papers(paper, identifier)
     titles = paper.select(F.col("id").alias("title_id"), "title").dropDuplicates(["title_id"])
     years = paper.select(F.col("id").alias("year_id"), "publication_year").dropDuplicates(["year_id"])
-    return best.join(titles, "title_id", "left").join(years, "year_id", "left").select("group_id", "members", "title", "publication_year")
+    return best.join(titles, "title_id", "left").join(years, "year_id", "left").select(
+        "group_id",
+        "members",
+        "title",
+        "publication_year",
+    )

@@ -16,14 +16,19 @@ CITATION = "id string, citing_paper_id string, cited_paper_id string, created_at
 
 
 def citations(spark, pairs):
-    return spark.createDataFrame([(str(i), a, b, None, 1, "x", "y", 2, 3, "u", "v") for i, (a, b) in enumerate(pairs)], CITATION)
+    return spark.createDataFrame(
+        [(str(i), a, b, None, 1, "x", "y", 2, 3, "u", "v") for i, (a, b) in enumerate(pairs)],
+        CITATION,
+    )
 
 
 def random_lists(seed, papers=60, lists=50, hot=0.5):
     rng = random.Random(seed)
     pairs = []
     for i in range(lists):
-        items = {f"p{rng.randrange(papers):03}" for _ in range(rng.randint(1, 14))} | ({"p000"} if rng.random() < hot else set())
+        items = {
+            f"p{rng.randrange(papers):03}" for _ in range(rng.randint(1, 14))
+        } | ({"p000"} if rng.random() < hot else set())
         pairs += [(f"c{i:03}", x) for x in items]
         if rng.random() < 0.3:  # a list much like it, and an exact copy
             other = sorted(items)[1:]
@@ -56,7 +61,9 @@ def test_cooccurrence_is_brute_force(spark, seed):
     n = Counter(x for s in lists.values() for x in s)
     both = Counter(p for s in lists.values() for p in itertools.combinations(sorted(s), 2))
     got = cooccurrence.reference_list_pairs(citations(spark, pairs)).collect()
-    assert {(r.a, r.b): (r.n_ab, r.n_a, r.n_b, r.baskets) for r in got} == {(a, b): (k, n[a], n[b], len(lists)) for (a, b), k in both.items()}
+    assert {
+        (r.a, r.b): (r.n_ab, r.n_a, r.n_b, r.baskets) for r in got
+    } == {(a, b): (k, n[a], n[b], len(lists)) for (a, b), k in both.items()}
     assert all(abs(r.lift - r.n_ab * r.baskets / (r.n_a * r.n_b)) < 1e-9 and abs(2**r.pmi - r.lift) < 1e-9 for r in got)
     strict = cooccurrence.reference_list_pairs(citations(spark, pairs), 2, 2).collect()
     want = {p for p, k in both.items() if k >= 2 and k * len(lists) >= 2 * n[p[0]] * n[p[1]]}
@@ -66,7 +73,11 @@ def test_cooccurrence_is_brute_force(spark, seed):
 @pytest.mark.parametrize("least", [1, 2, 4])
 def test_huge_baskets_lose_no_pair(spark, least):
     rng = random.Random(8)
-    lists = {f"b{i}": set(rng.sample(range(40), 6)) for i in range(60)} | {"h1": set(range(30)), "h2": set(range(15, 40)), "h3": set(range(40))}
+    lists = {f"b{i}": set(rng.sample(range(40), 6)) for i in range(60)} | {
+        "h1": set(range(30)),
+        "h2": set(range(15, 40)),
+        "h3": set(range(40)),
+    }
     both = Counter(p for s in lists.values() for p in itertools.combinations(sorted(s), 2))
     members = spark.createDataFrame([(b, c) for b, s in lists.items() for c in s], "basket string, code long")
     got = {(r.a, r.b): r.n_ab for r in cooccurrence.pair_counts(members, least, 10).collect()}
@@ -89,15 +100,38 @@ def papers(spark, rows):
 
 def test_titles_equal_but_for_formatting(spark):
     rows = [
-        ("a", "The  Tale, of Straße!", 2001, 0), ("b", "the tale​ of STRASSE", 2001, 0), ("c", "The Tale of Strasse", None, 0),
-        ("d", "«The-Tale_of\nstrasse»", None, 0), ("e", "Other", 2001, 0), ("f", None, 2001, 0), ("g", "  ", 2001, 0), ("h", "[Untitled]", 2001, 0),
-        ("i", "untitled", 2001, 0), ("j", "???", 2001, 0), ("k", " \t", 2001, 0), ("a", "The  Tale, of Straße!", 2001, 0), (None, "Other", 2001, 0),
+        (
+            "a",
+            "The  Tale, of Straße!",
+            2001,
+            0,
+        ), ("b", "the tale​ of STRASSE", 2001, 0), ("c", "The Tale of Strasse", None, 0),
+        (
+            "d",
+            "«The-Tale_of\nstrasse»",
+            None,
+            0,
+        ), ("e", "Other", 2001, 0), ("f", None, 2001, 0), ("g", "  ", 2001, 0), ("h", "[Untitled]", 2001, 0),
+        ("i", "untitled", 2001, 0), ("j", "???", 2001, 0), ("k", " \t", 2001, 0), (
+            "a",
+            "The  Tale, of Straße!",
+            2001,
+            0,
+        ), (None, "Other", 2001, 0),
     ]
     encoded = formatting.encoded_papers(papers(spark, rows))
     assert {(r.id_a, r.id_b) for r in formatting.copies(encoded).collect()} == {("a", "b"), ("c", "d")}
     assert {(r.id, r.copies) for r in formatting.collapse(encoded).collect()} == {("a", 2), ("c", 2), ("e", 2)}
 
 
+def test_very_long_titles(spark):
+    long = "Word " * 200_000
+    rows = [("a", long, 2000, 0), ("b", long.upper() + ".", 2000, 0), ("c", long + "x", 2000, 0)]
+    assert [tuple(r) for r in formatting.copies(formatting.encoded_papers(papers(spark, rows))).collect()] == [("a", "b")]
+    best = survivors.best_papers(papers(spark, rows), identifiers(spark, [(i, "doi", "1") for i in "abc"])).first()
+    assert (best.members, best.title_id) == (3, "c")
+
+
 def test_a_large_group_of_copies_is_whole(spark):
     rows = [(f"{i:04}", "Same  title" + "." * (i % 5), 2000, 0) for i in range(600)]
     assert formatting.copies(formatting.encoded_papers(papers(spark, rows))).count() == 600 * 599 // 2
@@ -111,10 +145,19 @@ def test_records_in_any_layout(spark):
         ("r4", '{"venue": null, "display name": "On Tea", "publication_year": "2001"}'),
         ("r5", "display_name: On Tea | publication_year: 2001 | venue: "),
         ("r6", '{"display_name": "On Tea", "publication_year": 2001}'),
-        ("r7", '{"display_name": "On Te'), ("r8", "display_name=On Te"), ("r9", None), ("r10", ""), ("r11", "no record at all"),
-        ("r12", '{"display_name": "A \\"quoted\\" \\u00e9", "publication_year": 2001.0, "venue": ""}'), ("r13", "venue: | display_name: a quoted é | publication_year: 2001"),
+        (
+            "r7",
+            '{"display_name": "On Te',
+        ), ("r8", "display_name=On Te"), ("r9", None), ("r10", ""), ("r11", "no record at all"),
+        (
+            "r12",
+            '{"display_name": "A \\"quoted\\" \\u00e9", "publication_year": 2001.0, "venue": ""}',
+        ), ("r13", "venue: | display_name: a quoted é | publication_year: 2001"),
     ]
-    raw = spark.createDataFrame([(*r, None, "x") for r in rows], "record_id string, payload string, fetched_at timestamp, venue string").drop("venue")
+    raw = spark.createDataFrame(
+        [(*r, None, "x") for r in rows],
+        "record_id string, payload string, fetched_at timestamp, venue string",
+    )
     got = {(r.id_a, r.id_b) for r in formatting.copies(formatting.encoded_records(raw)).collect()}
     assert got == {("r1", "r2"), ("r1", "r3"), ("r2", "r3"), ("r4", "r5"), ("r4", "r6"), ("r5", "r6"), ("r12", "r13")}
     assert formatting.found(papers(spark, []), raw.limit(0)).count() == 0
@@ -130,7 +173,12 @@ def identifiers(spark, rows):
 def test_best_record_of_each_group(spark):
     long = "A Long and Complete Title of Some Work: With a Subtitle"
     rows = [
-        ("b1", long, 1700, 0), ("b2", "A long and complete title of some work: with", 2001, 5), ("b3", "Unknown", 2002, 9), ("b4", None, None, 12),
+        ("b1", long, 1700, 0), (
+            "b2",
+            "A long and complete title of some work: with",
+            2001,
+            5,
+        ), ("b3", "Unknown", 2002, 9), ("b4", None, None, 12),
         ("c1", "Short", 2000, 3), ("c2", "Short", 2000, 3), ("c3", "sho", 9999, 8), ("d1", None, None, 1), ("d2", "???", 20199, 2),
         ("x1", "alone", 2000, 1), ("e1", "Tea", 2000, None), ("e2", "Cup", None, None),
     ]
@@ -139,9 +187,19 @@ def test_best_record_of_each_group(spark):
         ("c1", "doi", "2"), ("c2", "doi", "2"), ("c3", "doi", "2"), ("d1", "doi", "3"), ("d2", "doi", "3"), ("x1", "arxiv", "1"), ("x1", "doi", None),
         ("gone", "arxiv", "1"), ("e1", "doi", "5"), ("e2", "doi", "5"), (None, "doi", "1"), ("c1", "doi", None), ("d1", "doi", None), ("b1", "doi", " "), ("x1", "doi", " "),
     ]
-    got = {r.group_id: (r.members, r.title_id, r.year_id) for r in survivors.best_papers(papers(spark, rows), identifiers(spark, ids)).collect()}
+    got = {
+        r.group_id: (r.members, r.title_id, r.year_id) for r in survivors.best_papers(
+            papers(spark, rows),
+            identifiers(spark, ids),
+        ).collect()
+    }
     assert got == {"b1": (4, "b1", "b3"), "c1": (3, "c1", "c1"), "d1": (2, None, None), "e1": (2, "e1", "e1")}
-    record = {r.group_id: (r.title, r.publication_year) for r in survivors.best_records(papers(spark, rows), identifiers(spark, ids)).collect()}
+    record = {
+        r.group_id: (r.title, r.publication_year) for r in survivors.best_records(
+            papers(spark, rows),
+            identifiers(spark, ids),
+        ).collect()
+    }
     assert record["b1"] == (long, 2002) and record["d1"] == (None, None)
     assert survivors.best_papers(papers(spark, []), identifiers(spark, [])).count() == 0
 
@@ -149,7 +207,9 @@ def test_best_record_of_each_group(spark):
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
-    links = [(f"n{rng.randrange(80):02}", f"n{rng.randrange(80):02}") for _ in range(55)] + [(f"z{i:03}", f"z{i + 1:03}") for i in range(40)] + [(None, "n01"), ("n01", None)]
+    links = [
+        (f"n{rng.randrange(80):02}", f"n{rng.randrange(80):02}") for _ in range(55)
+    ] + [(f"z{i:03}", f"z{i + 1:03}") for i in range(40)] + [(None, "n01"), ("n01", None)]
     parent = {}
 
     def find(x):
@@ -162,15 +222,25 @@ def test_components(spark, seed):
         if a and b and a != b:
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
-    got = {r.node: r.component for r in survivors.components(spark.createDataFrame(links, "u string, v string")).collect()}
+    got = {
+        r.node: r.component for r in survivors.components(spark.createDataFrame(links, "u string, v string")).collect()
+    }
     assert got == {x: find(x) for x in parent}
 
 
 def test_beginnings(spark):
     rng = random.Random(4)
-    texts = {("g", "".join(rng.choice("ab") for _ in range(rng.randint(1, 24)))) for _ in range(120)} | {("h", "a"), ("h", "b")}
+    texts = {
+        ("g", "".join(rng.choice("ab") for _ in range(rng.randint(1, 24)))) for _ in range(120)
+    } | {("h", "a"), ("h", "b")}
     texts |= {(g, t[: rng.randint(1, len(t))]) for g, t in list(texts)}
-    got = {(r.g, r.t) for r in survivors.beginnings(spark.createDataFrame(sorted(texts), "g string, t string"), "g", "t").collect()}
+    got = {
+        (r.g, r.t) for r in survivors.beginnings(
+            spark.createDataFrame(sorted(texts), "g string, t string"),
+            "g",
+            "t",
+        ).collect()
+    }
     assert got == {(g, t) for g, t in texts if any(h == g and s != t and s.startswith(t) for h, s in texts)}
 
 
@@ -220,5 +290,7 @@ def test_verifier_loses_no_similar_pair():
     sets = similar_sets._Sets([np.zeros(80, np.int32)] * 4 + [np.arange(80)], starts, np.concatenate(rows))
     p, q = np.triu_indices(80, 1)
     p, q = similar_sets._Verifier(sets, 0.3).similar(p, q)
-    want = {(i, j) for i, j in itertools.combinations(range(80), 2) if len(np.intersect1d(rows[i], rows[j])) / len(np.union1d(rows[i], rows[j])) >= 0.3}
+    want = {(i, j) for i, j in itertools.combinations(range(80), 2) if len(
+        np.intersect1d(rows[i], rows[j]),
+    ) / len(np.union1d(rows[i], rows[j])) >= 0.3}
     assert set(zip(p.tolist(), q.tolist())) == want

@@ -45,7 +45,31 @@ def test_encoding_equals_the_library(own, reference, texts):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.sampled_from([" ", "  ", "\n", "the", "ing", "é", "日本語", "<|endoftext|>", "'ll", "1234", "aaaa", "\x1c", "--", "👩‍🔬", "İ", "　"]), max_size=40))
+@given(
+    st.lists(
+        st.sampled_from(
+            [
+                " ",
+                "  ",
+                "\n",
+                "the",
+                "ing",
+                "é",
+                "日本語",
+                "<|endoftext|>",
+                "'ll",
+                "1234",
+                "aaaa",
+                "\x1c",
+                "--",
+                "👩‍🔬",
+                "İ",
+                "　",
+            ],
+        ),
+        max_size=40,
+    ),
+)
 def test_encoding_of_hard_pieces(own, reference, pieces):
     text = "".join(pieces)
     assert ids_of(own, [text]) == [reference.encode_ordinary(text)]
@@ -53,7 +77,12 @@ def test_encoding_of_hard_pieces(own, reference, pieces):
 
 def test_encoding_of_one_long_word_and_of_many(own, reference):
     rng = random.Random(3)
-    texts = ["".join(rng.choice("abcdefg") for _ in range(20_000)), " ".join("".join(rng.choice("etaoin") for _ in range(rng.randint(1, 9))) for _ in range(5_000)), "語" * 3000, " " * 999]
+    texts = [
+        "".join(rng.choice("abcdefg") for _ in range(20_000)),
+        " ".join("".join(rng.choice("etaoin") for _ in range(rng.randint(1, 9))) for _ in range(5_000)),
+        "語" * 3000,
+        " " * 999,
+    ]
     assert ids_of(own, texts) == [reference.encode_ordinary(t) for t in texts]
     assert own.count(texts).tolist() == [len(reference.encode_ordinary(t)) for t in texts]
 
@@ -68,7 +97,15 @@ def test_encoder_starts_afresh_within_its_bounds(reference, monkeypatch):
 
 
 def test_encoding_of_a_table(spark, reference):
-    rows = [(1, "Hello <|endoftext|> world", "en"), (2, "", "en"), (3, None, None), (4, "x" * 300_000, "en"), (1, "Hello <|endoftext|> world", "en"), (None, "a b", "en"), (6, " \n", "en")]
+    rows = [
+        (1, "Hello <|endoftext|> world", "en"),
+        (2, "", "en"),
+        (3, None, None),
+        (4, "x" * 300_000, "en"),
+        (1, "Hello <|endoftext|> world", "en"),
+        (None, "a b", "en"),
+        (6, " \n", "en"),
+    ]
     got = sorted(((r.doc_id, list(r.ids)) for r in bpe.encode_column(documents(spark, rows)).collect()), key=str)
     want = sorted(((i, reference.encode_ordinary(t or "")) for i, t, _ in rows), key=str)
     assert got == want
@@ -131,7 +168,11 @@ def test_containers_of_a_table(spark, block):
 
 
 def test_packed_documents(spark):
-    rows = [(i, "word " * (i % 90), "en") for i in range(200)] + [(900, "long " * 500, "en"), (901, None, "en"), (902, "", "en")]
+    rows = [(i, "word " * (i % 90), "en") for i in range(200)] + [
+        (900, "long " * 500, "en"),
+        (901, None, "en"),
+        (902, "", "en"),
+    ]
     got = packing.packed_documents(documents(spark, rows), 128).toPandas()
     assert set(got.doc_id) == {i for i, _, _ in rows} and got[got.doc_id == 900].tokens.sum() == 501
     assert got[got.container.notna()].groupby("container").tokens.sum().max() <= 128
@@ -181,7 +222,17 @@ def test_sentences_and_what_they_tell():
 
 
 def test_labels_in_any_spelling():
-    known = {"en-US": "en", "EN": "en", "eng": "en", "English": "en", "pt_BR": "pt", "ja-JP": "ja", "ger": "de", " de ": "de", "Español": "es"}
+    known = {
+        "en-US": "en",
+        "EN": "en",
+        "eng": "en",
+        "English": "en",
+        "pt_BR": "pt",
+        "ja-JP": "ja",
+        "ger": "de",
+        " de ": "de",
+        "Español": "es",
+    }
     assert {k: language.label_code(k) for k in known} == known
     assert [language.label_code(x) for x in (None, "", " ", "und", "??", "n/a", "unknown", "xx-YY")] == [None] * 8
 
@@ -224,12 +275,22 @@ def test_languages_of_a_table(spark, network):
     rng = random.Random(5)
     say = lambda k, n=4: " ".join(made(k, rng) for _ in range(n))
     rows = [
-        (1, say("en"), "en-GB"), (2, say("de"), None), (3, say("fr"), "de"), (4, say("ru") + "\n\n" + say("en"), "ru"), (5, None, "en"), (6, " \n", None),
+        (1, say("en"), "en-GB"), (2, say("de"), None), (3, say("fr"), "de"), (
+            4,
+            say("ru") + "\n\n" + say("en"),
+            "ru",
+        ), (5, None, "en"), (6, " \n", None),
         (7, "10.5555/1.2\n10.5555/3.4\n/srv/a1.pdf", "fr"), (8, say("en", 3000), "unknown"), (2, say("de"), None),
     ]
     docs = documents(spark, rows)
     whole = language.label(docs, None, network, whole=True).where("lang IS NOT NULL").toPandas()
-    assert {i: set(x) for i, x in whole.groupby("doc_id").lang} == {1: {"en"}, 2: {"de"}, 3: {"fr"}, 4: {"ru", "en"}, 8: {"en"}}
+    assert {i: set(x) for i, x in whole.groupby("doc_id").lang} == {
+        1: {"en"},
+        2: {"de"},
+        3: {"fr"},
+        4: {"ru", "en"},
+        8: {"en"},
+    }
     assert whole.confidence.between(0.5, 1).all()
     parts = language.label(docs, None, network).toPandas()
     assert set(parts[parts.lang.isna()].doc_id) == {5, 6, 7} and len(parts[parts.doc_id == 2]) == 2
@@ -244,6 +305,9 @@ def test_training_on_a_table(spark, monkeypatch):
     monkeypatch.setattr(language.fit, "__defaults__", (3, (4, 2)))
     rng = random.Random(6)
     docs = documents(spark, [(i, made(k, rng), k) for i, k in enumerate(list(SEEDS) * 5)])
-    samples = spark.createDataFrame([(1, "en", made("en", rng)), (2, "xx", "nothing"), (3, "de", None)], "sample_id int, lang string, text string")
+    samples = spark.createDataFrame(
+        [(1, "en", made("en", rng)), (2, "xx", "nothing"), (3, "de", None)],
+        "sample_id int, lang string, text string",
+    )
     assert set(language.found(docs, samples).columns) == {"doc_id", "lang"}
     assert language.found(docs.limit(0), samples.limit(0)).count() == 0
