@@ -61,7 +61,11 @@ def parser() -> argparse.ArgumentParser:
     add("lib-add", paper)
     add("lib-remove", paper)
     add("citation-add", paper, target)
-    add("citation-list", (("paper_id",), {"nargs": "?"}), (("--direction",), {"choices": ["references", "citations"], "default": "references"}))
+    add(
+        "citation-list",
+        (("paper_id",), {"nargs": "?"}),
+        (("--direction",), {"choices": ["references", "citations"], "default": "references"}),
+    )
     add("graph-neighborhood", paper, depth, way)
     add("graph-library")
     add("path", paper, target)
@@ -141,10 +145,17 @@ def _lines(value: object, indent: str = "") -> list[str]:
     if isinstance(value, dict):
         out = []
         for k, v in value.items():
-            out += [f"{indent}{k}:", *_lines(v, indent + "  ")] if isinstance(v, (dict, list)) and v else [f"{indent}{k}: {_plain(v)}"]
+            out += [
+                f"{indent}{k}:",
+                *_lines(v, indent + "  "),
+            ] if isinstance(v, (dict, list)) and v else [f"{indent}{k}: {_plain(v)}"]
         return out
     if isinstance(value, list):
-        return [line for v in value for line in (_lines(v, indent + "  ") + [""] if isinstance(v, dict) else [f"{indent}- {_plain(v)}"])]
+        return [
+            line for v in value for line in (
+                _lines(v, indent + "  ") + [""] if isinstance(v, dict) else [f"{indent}- {_plain(v)}"]
+            )
+        ]
     return [f"{indent}{_plain(value)}"]
 
 

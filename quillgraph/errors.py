@@ -74,4 +74,6 @@ class IdentifierConflict(LibraryError):
 
     def __init__(self, conflicts: list[tuple[str, str, str]]):
         self.conflicts = sorted(conflicts)
-        super().__init__("identifiers belong to other papers: " + ", ".join(f"{s}:{v} ({p})" for s, v, p in self.conflicts))
+        super().__init__(
+            "identifiers belong to other papers: " + ", ".join(f"{s}:{v} ({p})" for s, v, p in self.conflicts)
+        )

@@ -103,13 +103,32 @@ class Library:
 
     def library_graph(self) -> dict:
         t = self._t()
-        return self._graph("library", t, graph.library_graph(t["paper"], cut(self._edges(t))), seed=None, depth=None, direction=None)
+        return self._graph(
+            "library",
+            t,
+            graph.library_graph(t["paper"], cut(self._edges(t))),
+            seed=None,
+            depth=None,
+            direction=None,
+        )
 
     def _graph(self, kind: str, t: dict[str, DataFrame], sub: graph.Subgraph, **about: object) -> dict:
         """A graph as nested rows, for display: what is collected is the subgraph that was asked for."""
-        records = {r.id: r for r in papers.paper_records(t["paper"], t["paper_identifier"], sub.selected.select("id")).collect()}
+        records = {
+            r.id: r for r in papers.paper_records(
+                t["paper"],
+                t["paper_identifier"],
+                sub.selected.select("id"),
+            ).collect()
+        }
         nodes = [
-            {"paper": records[n.id], "distance": n.distance, "in_degree": n.in_degree, "out_degree": n.out_degree, "pagerank": n.pagerank}
+            {
+                "paper": records[n.id],
+                "distance": n.distance,
+                "in_degree": n.in_degree,
+                "out_degree": n.out_degree,
+                "pagerank": n.pagerank,
+            }
             for n in sub.ordered_nodes().collect()
         ]
         edges = [{"citing_paper_id": e.citing, "cited_paper_id": e.cited} for e in sub.ordered_edges().collect()]
@@ -120,7 +139,10 @@ class Library:
     def _normalized(self, pairs: Pairs) -> list[Row]:
         """Strict: an invalid identifier is an error."""
         row = self.spark.createDataFrame([(pairs,)], f"i {IDENTIFIERS}")
-        bad, good = row.select(identity.invalid_identifiers(F.col("i")), identity.normalized_identifiers(F.col("i"))).first()
+        bad, good = row.select(
+            identity.invalid_identifiers(F.col("i")),
+            identity.normalized_identifiers(F.col("i")),
+        ).first()
         if bad:
             raise E.InvalidIdentifier(bad[0].scheme, bad[0].value)
         return good
@@ -129,7 +151,10 @@ class Library:
         if not keys:
             return {}
         asked = self.spark.createDataFrame(keys, "scheme string, normalized_value string").distinct()
-        held = identity.holders(t["paper_identifier"]).join(F.broadcast(asked), ["scheme", "normalized_value"])  # as many as were given
+        held = identity.holders(t["paper_identifier"]).join(
+            F.broadcast(asked),
+            ["scheme", "normalized_value"],
+        )  # as many as were given
         return {(r.scheme, r.normalized_value): r.paper_id for r in held.orderBy(F.desc("paper_id")).collect()}
 
     def create_paper(self, identifiers: Pairs = (), title: str | None = None) -> str:
@@ -139,7 +164,14 @@ class Library:
         if held:
             raise E.IdentifierConflict([(s, v, p) for (s, v), p in held.items()])
         paper_id = _new_id()
-        self.catalog.commit(self._with_papers(t, [(paper_id, title, None)], [(paper_id, k.scheme, k.value, k.normalized_value) for k in keys]), at)
+        self.catalog.commit(
+            self._with_papers(
+                t,
+                [(paper_id, title, None)],
+                [(paper_id, k.scheme, k.value, k.normalized_value) for k in keys],
+            ),
+            at,
+        )
         return paper_id
 
     def _with_papers(self, t: dict[str, DataFrame], new: list[tuple], keys: list[tuple]) -> dict[str, DataFrame]:
@@ -153,7 +185,10 @@ class Library:
         """Papers whose missing titles and years are filled; what is there stays."""
         if not fills:
             return paper
-        new = self.spark.createDataFrame([(i, t, y) for i, (t, y) in fills.items()], "id string, _title string, _year int")
+        new = self.spark.createDataFrame(
+            [(i, t, y) for i, (t, y) in fills.items()],
+            "id string, _title string, _year int",
+        )
         joined = paper.join(F.broadcast(new), "id", "left")  # as many as a use case touches
         joined = joined.withColumn("title", F.coalesce("title", clean_title(F.col("_title"))))
         return joined.withColumn("publication_year", F.coalesce("publication_year", "_year")).select(paper.columns)
@@ -165,7 +200,10 @@ class Library:
         if is_member == member:
             return False
         value = F.lit(_now()) if member else F.lit(None)
-        changed = t["paper"].withColumn("library_added_at", F.when(F.col("id") == paper_id, value).otherwise(F.col("library_added_at")))
+        changed = t["paper"].withColumn(
+            "library_added_at",
+            F.when(F.col("id") == paper_id, value).otherwise(F.col("library_added_at")),
+        )
         self.catalog.commit({"paper": changed}, at)
         return True
 
@@ -232,19 +270,46 @@ class Library:
         hashes = cut(files.hash_documents(diff.where(F.col("state").isin("new", "changed")).select("normalized_path")))
         # A file that cannot be hashed was seen, but nothing about it is known or counted.
         unread = hashes.where("content_hash IS NULL").select("normalized_path", F.lit(True).alias("_unread"))
-        diff = diff.join(unread, "normalized_path", "left").withColumn("state", F.when(F.col("_unread"), "unreadable").otherwise(F.col("state")))
+        diff = diff.join(unread, "normalized_path", "left").withColumn(
+            "state",
+            F.when(F.col("_unread"), "unreadable").otherwise(F.col("state")),
+        )
         diff = cut(diff.withColumn("reappeared", F.col("reappeared") & F.col("_unread").isNull()).drop("_unread"))
         now = F.lit(_now())
         copies = cut(scan.apply_scan(t["document_copy"].distinct(), diff, hashes, now))
         counters = scan.scan_counters(listing, diff, chosen).orderBy("normalized_path").collect()
-        stamped = t["scan_source"].join(chosen.where("available").select("id", F.lit(True).alias("_scanned")), "id", "left")
-        sources = stamped.withColumn("last_scanned_at", F.when(F.col("_scanned"), now).otherwise(F.col("last_scanned_at"))).drop("_scanned")
+        stamped = t["scan_source"].join(
+            chosen.where("available").select("id", F.lit(True).alias("_scanned")),
+            "id",
+            "left",
+        )
+        sources = stamped.withColumn(
+            "last_scanned_at",
+            F.when(F.col("_scanned"), now).otherwise(F.col("last_scanned_at")),
+        ).drop("_scanned")
         touched = diff.where(F.col("state").isin("new", "changed")).select("normalized_path", "state")
-        found = copies.join(touched, "normalized_path").select(F.col("id").alias("document_id"), "normalized_path", "state")
-        changed, identified = self._identified(t, copies, found.withColumn("order", F.struct(F.when(F.col("state") == "new", 0).otherwise(1), "normalized_path")))
+        found = copies.join(touched, "normalized_path").select(
+            F.col("id").alias("document_id"),
+            "normalized_path",
+            "state",
+        )
+        changed, identified = self._identified(
+            t,
+            copies,
+            found.withColumn("order", F.struct(F.when(F.col("state") == "new", 0).otherwise(1), "normalized_path")),
+        )
         self.catalog.commit({"scan_source": sources, **changed}, at)
-        new, old = ([r.document_id for r in found.where(F.col("state") == s).orderBy("normalized_path").collect()] for s in ("new", "changed"))
-        return {"sources": counters, "new_document_ids": new, "changed_document_ids": old, "identifications": identified}
+        new, old = (
+            [
+                r.document_id for r in found.where(F.col("state") == s).orderBy("normalized_path").collect()
+            ] for s in ("new", "changed")
+        )
+        return {
+            "sources": counters,
+            "new_document_ids": new,
+            "changed_document_ids": old,
+            "identifications": identified,
+        }
 
     # --- documents ------------------------------------------------------------------------------
 
@@ -263,22 +328,53 @@ class Library:
     def _hints(self, paths: DataFrame) -> DataFrame:
         """(normalized_path, hints) of files."""
         read = cut(H.with_xmp_values(pdf.read_documents(paths)).withColumn("matches", H.located(F.col("page1_text"))))
-        return read.select("normalized_path", H.document_hints(F.col("normalized_path"), F.col("info"), F.col("xmp_values"), F.col("matches")).alias("hints"))
+        return read.select(
+            "normalized_path",
+            H.document_hints(
+                F.col("normalized_path"),
+                F.col("info"),
+                F.col("xmp_values"),
+                F.col("matches"),
+            ).alias("hints"),
+        )
 
-    def _identified(self, t: dict[str, DataFrame], copies: DataFrame, wanted: DataFrame) -> tuple[dict[str, DataFrame], list[Row]]:
+    def _identified(
+        self,
+        t: dict[str, DataFrame],
+        copies: DataFrame,
+        wanted: DataFrame,
+    ) -> tuple[dict[str, DataFrame], list[Row]]:
         """The tables after identifying the documents of ``wanted`` (document_id, normalized_path, order)
         that are present and not linked, and what came of each."""
         free = copies.where("paper_id IS NULL AND missing_since IS NULL").select(F.col("id").alias("document_id"))
         wanted = cut(wanted.join(free, "document_id", "left_semi"))
-        selected = wanted.join(self._hints(wanted), "normalized_path").select("document_id", "order", H.select_identifiers(F.col("hints")).alias("identifiers"))
+        selected = wanted.join(self._hints(wanted), "normalized_path").select(
+            "document_id",
+            "order",
+            H.select_identifiers(F.col("hints")).alias("identifiers"),
+        )
         outcome = cut(documents.identify(selected, t["paper_identifier"]))
         links = outcome.where("paper_id IS NOT NULL").select("document_id", "paper_id")
         made = outcome.where("status = 'created'").select("paper_id", F.explode("identifiers").alias("i"))
         now = F.lit(_now())
-        paper = made.select(F.col("paper_id").alias("id"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("publication_year"), now.alias("created_at"), F.lit(None).cast("timestamp").alias("library_added_at"))
-        key = F.regexp_replace(F.md5(F.concat_ws(":", F.lit("identifier"), "i.scheme", "i.normalized_value")), r"\A(.{8})(.{4})(.{4})(.{4})(.{12})\z", "$1-$2-$3-$4-$5")
+        paper = made.select(
+            F.col("paper_id").alias("id"),
+            F.lit(None).cast("string").alias("title"),
+            F.lit(None).cast("int").alias("publication_year"),
+            now.alias("created_at"),
+            F.lit(None).cast("timestamp").alias("library_added_at"),
+        )
+        key = F.regexp_replace(
+            F.md5(F.concat_ws(":", F.lit("identifier"), "i.scheme", "i.normalized_value")),
+            r"\A(.{8})(.{4})(.{4})(.{4})(.{12})\z",
+            "$1-$2-$3-$4-$5",
+        )
         held = made.select(key.alias("id"), "paper_id", "i.scheme", "i.value", "i.normalized_value")
-        changed = {"document_copy": documents.linked(copies, links), "paper": t["paper"].unionByName(paper), "paper_identifier": t["paper_identifier"].unionByName(held)}
+        changed = {
+            "document_copy": documents.linked(copies, links),
+            "paper": t["paper"].unionByName(paper),
+            "paper_identifier": t["paper_identifier"].unionByName(held),
+        }
         order = wanted.select("document_id", "normalized_path", "order")
         return changed, outcome.join(order, "document_id").orderBy("order").drop("order").collect()
 
@@ -287,7 +383,10 @@ class Library:
         for i in document_ids:
             self._document(t, i)
         place = self.spark.createDataFrame(list(enumerate(document_ids)), "order int, document_id string")
-        wanted = t["document_copy"].select(F.col("id").alias("document_id"), "normalized_path").join(F.broadcast(place), "document_id")
+        wanted = t["document_copy"].select(
+            F.col("id").alias("document_id"),
+            "normalized_path",
+        ).join(F.broadcast(place), "document_id")
         changed, out = self._identified(t, t["document_copy"], wanted)
         self.catalog.commit(changed, at)
         return out
@@ -302,12 +401,26 @@ class Library:
         found = cut(self._hints(path).select(F.lit(document_id).alias("document_id"), "hints"))
         matches = documents.hint_matches(found, t["paper_identifier"]).orderBy("pos").collect()
         ids = list(dict.fromkeys(m.paper_id for m in matches if m.paper_id))
-        records = papers.paper_records(t["paper"], t["paper_identifier"], self._ids(*ids)).orderBy("created_at", "id").collect() if ids else []
+        records = papers.paper_records(
+            t["paper"],
+            t["paper_identifier"],
+            self._ids(*ids),
+        ).orderBy("created_at", "id").collect() if ids else []
         assessment = None
         if document.paper_id is None:
             chosen = found.select("document_id", H.select_identifiers(F.col("hints")).alias("identifiers"))
-            assessment = identity.resolve(chosen, t["paper_identifier"], "document_id").select(documents.assess()).first()[0]
-        return {"document": document, "available": True, "hints": matches, "assessment": assessment, "candidates": records}
+            assessment = identity.resolve(
+                chosen,
+                t["paper_identifier"],
+                "document_id",
+            ).select(documents.assess()).first()[0]
+        return {
+            "document": document,
+            "available": True,
+            "hints": matches,
+            "assessment": assessment,
+            "candidates": records,
+        }
 
     def _relink(self, paper_id: str, document_id: str, link: bool) -> bool:
         at, t = self.catalog.pointer(), self._t()
@@ -335,10 +448,21 @@ class Library:
 
     def _apply(self, t: dict[str, DataFrame], work: expand.Work, asked: list[Row]) -> tuple[dict, dict[str, DataFrame]]:
         keys = {(s, n) for s, _, n in work.keys}
-        row = {"paper_id": None, "title": work.title, "publication_year": work.publication_year, "identifiers": [tuple(a) for a in asked], "identifiers_added": [], "identifiers_ignored": [], "candidate_paper_ids": []}
+        row = {
+            "paper_id": None,
+            "title": work.title,
+            "publication_year": work.publication_year,
+            "identifiers": [tuple(a) for a in asked],
+            "identifiers_added": [],
+            "identifiers_ignored": [],
+            "candidate_paper_ids": [],
+        }
         if not keys & {(a.scheme, a.normalized_value) for a in asked}:
             return row | {"status": ImportStatus.unconfirmed}, {}
-        row |= {"identifiers": work.keys, "identifiers_ignored": [tuple(a) for a in asked if (a.scheme, a.normalized_value) not in keys]}
+        row |= {
+            "identifiers": work.keys,
+            "identifiers_ignored": [tuple(a) for a in asked if (a.scheme, a.normalized_value) not in keys],
+        }
         owners, free = self._stored(t, work)
         row["candidate_paper_ids"] = owners
         if len(owners) > 1:
@@ -348,7 +472,11 @@ class Library:
         changed = self._with_papers(t, new, [(paper_id, *k) for k in free])
         if owners:
             changed["paper"] = self._filled(t["paper"], {paper_id: (work.title, work.publication_year)})
-        return row | {"status": ImportStatus.matched if owners else ImportStatus.created, "paper_id": paper_id, "identifiers_added": free}, changed
+        return row | {
+            "status": ImportStatus.matched if owners else ImportStatus.created,
+            "paper_id": paper_id,
+            "identifiers_added": free,
+        }, changed
 
     def import_paper(self, provider, identifiers: Pairs, document_id: str | None = None) -> dict:
         """Import the work that the identifiers name; with a document, link it to the paper as well."""
@@ -364,7 +492,10 @@ class Library:
         result, changed = self._apply(t, work, asked)
         if document_id is not None and result["paper_id"]:
             self._document(t, document_id)
-            pair = self.spark.createDataFrame([(document_id, result["paper_id"])], "document_id string, paper_id string")
+            pair = self.spark.createDataFrame(
+                [(document_id, result["paper_id"])],
+                "document_id string, paper_id string",
+            )
             changed["document_copy"] = documents.linked(t["document_copy"], pair)
         if changed:
             self.catalog.commit(changed, at)
@@ -380,12 +511,23 @@ class Library:
             if work.keys:
                 owners, _ = self._stored(t, work)
                 status = CandidateStatus.new if not owners else CandidateStatus.existing if len(owners) == 1 else CandidateStatus.ambiguous
-                out.append({"title": work.title, "publication_year": work.publication_year, "identifiers": work.keys, "status": status, "paper_id": owners[0] if len(owners) == 1 else None, "candidate_paper_ids": owners})
+                out.append(
+                    {
+                        "title": work.title,
+                        "publication_year": work.publication_year,
+                        "identifiers": work.keys,
+                        "status": status,
+                        "paper_id": owners[0] if len(owners) == 1 else None,
+                        "candidate_paper_ids": owners,
+                    },
+                )
         return out
 
     def _seed_work(self, provider, t: dict[str, DataFrame], paper_id: str) -> tuple[set[tuple[str, str]], expand.Work]:
         self._require_paper(t, paper_id)
-        own = t["paper_identifier"].where((F.col("paper_id") == paper_id) & F.col("normalized_value").isNotNull()).select("scheme", "normalized_value").distinct()
+        own = t["paper_identifier"].where(
+            (F.col("paper_id") == paper_id) & F.col("normalized_value").isNotNull(),
+        ).select("scheme", "normalized_value").distinct()
         keys = [tuple(r) for r in own.orderBy("scheme", "normalized_value").collect()]
         if not keys:
             raise E.PaperNotIdentifiable(paper_id)
@@ -416,10 +558,20 @@ class Library:
         result = self._metadata(t, paper_id, work)
         if result["status"] == MetadataStatus.updated:
             changed = self._with_papers(t, [], [(paper_id, *k) for k in result["identifiers_added"]])
-            self.catalog.commit(changed | {"paper": self._filled(t["paper"], {paper_id: (work.title, work.publication_year)})}, at)
+            self.catalog.commit(
+                changed | {"paper": self._filled(t["paper"], {paper_id: (work.title, work.publication_year)})},
+                at,
+            )
         return result
 
-    def expand(self, provider, paper_id: str, direction: Direction = Direction.both, depth: int = 1, max_nodes: int = expand.DEFAULT_MAX_NODES) -> dict:
+    def expand(
+        self,
+        provider,
+        paper_id: str,
+        direction: Direction = Direction.both,
+        depth: int = 1,
+        max_nodes: int = expand.DEFAULT_MAX_NODES,
+    ) -> dict:
         """Store the works around a paper, as papers, and the citations between them."""
         if depth < 1 or max_nodes < 1:
             raise ValueError("depth and max_nodes must be at least 1")
@@ -427,11 +579,26 @@ class Library:
         if seed.key is None:
             raise E.ProviderWorkNotFound(paper_id)
         shares = bool(own & {(s, n) for s, _, n in seed.keys})
-        walk = expand.walk(seed, provider.neighbours, Direction(direction), depth, max_nodes) if shares else expand.Walk({seed.key: seed})
+        walk = expand.walk(
+            seed,
+            provider.neighbours,
+            Direction(direction),
+            depth,
+            max_nodes,
+        ) if shares else expand.Walk({seed.key: seed})
         at, t = self.catalog.pointer(), self._t()
         self._require_paper(t, paper_id)
         metadata = self._metadata(t, paper_id, seed)
-        result = {"seed_paper_id": paper_id, "seed_metadata": metadata, "papers_created": [], "papers_matched": [], "citations_created": 0, "citations_confirmed": 0, "skipped": [], "truncated": False}
+        result = {
+            "seed_paper_id": paper_id,
+            "seed_metadata": metadata,
+            "papers_created": [],
+            "papers_matched": [],
+            "citations_created": 0,
+            "citations_confirmed": 0,
+            "skipped": [],
+            "truncated": False,
+        }
         if metadata["status"] != MetadataStatus.updated:
             return result
         held = self._holders(t, [(s, n) for w in walk.works.values() for s, _, n in w.keys])
@@ -439,16 +606,29 @@ class Library:
         fold = expand.fold(walk, seed.key, paper_id, held, lambda key: _new_id())
         made = set(fold.created)
         changed = self._with_papers(
-            t, [(i, *fold.fills[i]) for i in fold.created], [(paper_id, *k) for k in metadata["identifiers_added"]] + fold.added
+            t, [(i, *fold.fills[i]) for i in fold.created], [
+                (paper_id, *k) for k in metadata["identifiers_added"]
+            ] + fold.added
         )
         fills = {i: v for i, v in fold.fills.items() if i not in made} | {paper_id: (seed.title, seed.publication_year)}
         changed["paper"] = self._filled(changed["paper"], fills)
         if fold.edges:
             new = self.spark.createDataFrame(fold.edges, "citing string, cited string")
-            known = {(r.citing, r.cited) for r in self._edges(t).join(F.broadcast(new), ["citing", "cited"], "left_semi").collect()}  # at most the walk's
+            known = {
+                (r.citing, r.cited) for r in self._edges(t).join(
+                    F.broadcast(new),
+                    ["citing", "cited"],
+                    "left_semi",
+                ).collect()
+            }  # at most the walk's
             fresh = [e for e in fold.edges if e not in known]
             changed["citation"] = t["citation"].unionByName(self._citation_rows(fresh))
             result |= {"citations_created": len(fresh), "citations_confirmed": len(known)}
         self.catalog.commit(changed, at)
-        return result | {"papers_created": fold.created, "papers_matched": fold.matched, "skipped": fold.skipped, "truncated": walk.truncated}
+        return result | {
+            "papers_created": fold.created,
+            "papers_matched": fold.matched,
+            "skipped": fold.skipped,
+            "truncated": walk.truncated,
+        }
 

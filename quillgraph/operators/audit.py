@@ -18,7 +18,9 @@ def _repeated(df: DataFrame, *keys: str) -> DataFrame:
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
     """(rule, violations) of all rules on the tables of ``schema.TABLES``; rows repeated under one id
     count as broken once per key."""
-    paper, identifier, source, copy, citation = (tables[t] for t in ("paper", "paper_identifier", "scan_source", "document_copy", "citation"))
+    paper, identifier, source, copy, citation = (
+        tables[t] for t in ("paper", "paper_identifier", "scan_source", "document_copy", "citation")
+    )
     ids = paper.select(F.col("id").alias("paper_id"))
     end = lambda c: citation.where(F.col(c).isNotNull()).select(F.col(c).alias("paper_id"))
     shared = holders(identifier).groupBy("scheme", "normalized_value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -36,12 +38,18 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
         "citing paper not stored": end("citing_paper_id").join(ids, "paper_id", "left_anti"),
         "cited paper not stored": end("cited_paper_id").join(ids, "paper_id", "left_anti"),
     }
-    counts = [rows.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(rule).alias("rule"), "violations") for rule, rows in broken.items()]
+    counts = [rows.agg(F.count(F.lit(1)).alias("violations")).select(
+        F.lit(rule).alias("rule"),
+        "violations",
+    ) for rule, rows in broken.items()]
     return reduce(DataFrame.unionByName, counts)
 
 
 def equal_contents(copy: DataFrame) -> DataFrame:
     """(content_hash, copies, paths): contents that lie at several paths."""
     known = copy.where("content_hash IS NOT NULL").select("content_hash", "normalized_path").distinct()
-    counts = known.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("normalized_path").alias("first_path"))
+    counts = known.groupBy("content_hash").agg(
+        F.count(F.lit(1)).alias("copies"),
+        F.min("normalized_path").alias("first_path"),
+    )
     return counts.where("copies > 1")

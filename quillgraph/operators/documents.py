@@ -29,7 +29,10 @@ def with_paper_labels(copies: DataFrame, paper: DataFrame, identifier: DataFrame
     """(id, normalized_path, presence, paper_id, label): NULL label without a stored paper."""
     rows = copies.distinct().select("id", "normalized_path", presence().alias("presence"), "paper_id")
     wanted = rows.where("paper_id IS NOT NULL").select(F.col("paper_id").alias("id"))
-    labels = paper_records(paper, identifier, wanted).select(F.col("id").alias("paper_id"), paper_label().alias("label"))
+    labels = paper_records(paper, identifier, wanted).select(
+        F.col("id").alias("paper_id"),
+        paper_label().alias("label"),
+    )
     return rows.join(labels, "paper_id", "left").select("id", "normalized_path", "presence", "paper_id", "label")
 
 
@@ -44,7 +47,9 @@ def assess() -> Column:
     """What identification makes of a resolution, before anything is written. Several identifiers are
     accepted only if one paper already holds them all: a file with an arXiv id and a DOI may well be
     about two papers, a preprint and its published version."""
-    agreed = (F.size("identifiers") == 1) | ((F.col("status") == ResolutionStatus.matched.value) & (F.size("unassigned") == 0))
+    agreed = (F.size("identifiers") == 1) | (
+        (F.col("status") == ResolutionStatus.matched.value) & (F.size("unassigned") == 0)
+    )
     return (
         F.when(F.col("status") == ResolutionStatus.insufficient.value, IdentificationStatus.unidentified.value)
         .when((F.col("status") == ResolutionStatus.ambiguous.value) | ~agreed, IdentificationStatus.ambiguous.value)
@@ -61,7 +66,11 @@ def identify(selected: DataFrame, identifier: DataFrame, order: str = "order") -
     are linked to it. A paper made so holds one identifier, so it cannot change what becomes of a
     document with several, only appear among its candidates. That makes the scan a few joins.
     """
-    rows = resolve(selected.select("document_id", "identifiers"), identifier, "document_id").withColumn("outcome", assess())
+    rows = resolve(
+        selected.select("document_id", "identifiers"),
+        identifier,
+        "document_id",
+    ).withColumn("outcome", assess())
     rows = rows.join(selected.select("document_id", F.col(order).alias("_order")), "document_id")
     one = F.get("identifiers", F.lit(0))
     fresh = F.col("outcome") == IdentificationStatus.created.value
@@ -72,12 +81,18 @@ def identify(selected: DataFrame, identifier: DataFrame, order: str = "order") -
         .agg(F.min(F.struct("_order", "document_id")).alias("first"))
         .withColumn("made", minted_paper_id(F.col("scheme"), F.col("normalized_value")))
     )
-    single = rows.withColumn("scheme", F.when(fresh, one["scheme"])).withColumn("normalized_value", F.when(fresh, one["normalized_value"]))
+    single = rows.withColumn("scheme", F.when(fresh, one["scheme"])).withColumn(
+        "normalized_value",
+        F.when(fresh, one["normalized_value"]),
+    )
     single = single.join(firsts, ["scheme", "normalized_value"], "left")
     later = F.col("made").isNotNull() & (F.col("first.document_id") != F.col("document_id"))
     several = rows.where(F.size("identifiers") > 1).select("document_id", "_order", F.explode("identifiers").alias("i"))
     seen = (
-        several.join(firsts, (F.col("i.scheme") == F.col("scheme")) & (F.col("i.normalized_value") == F.col("normalized_value")))
+        several.join(
+            firsts,
+            (F.col("i.scheme") == F.col("scheme")) & (F.col("i.normalized_value") == F.col("normalized_value")),
+        )
         .where(F.col("first._order") < F.col("_order"))
         .groupBy("document_id")
         .agg(F.collect_set("made").alias("_more"))
@@ -85,7 +100,9 @@ def identify(selected: DataFrame, identifier: DataFrame, order: str = "order") -
     out = single.join(seen, "document_id", "left")
     status = F.when(later, IdentificationStatus.linked.value).otherwise(F.col("outcome"))
     linked = status.isin(IdentificationStatus.created.value, IdentificationStatus.linked.value)
-    candidates = F.array_sort(F.array_union("candidate_paper_ids", F.coalesce("_more", F.array().cast("array<string>"))))
+    candidates = F.array_sort(
+        F.array_union("candidate_paper_ids", F.coalesce("_more", F.array().cast("array<string>"))),
+    )
     return out.select(
         "document_id",
         status.alias("status"),
@@ -98,7 +115,11 @@ def identify(selected: DataFrame, identifier: DataFrame, order: str = "order") -
 def summary(identified: DataFrame) -> DataFrame:
     """One row: (linked, ambiguous, unidentified), where created counts as linked."""
     count = lambda *s: F.count_if(F.col("status").isin(*s))
-    return identified.agg(count("linked", "created").alias("linked"), count("ambiguous").alias("ambiguous"), count("unidentified").alias("unidentified"))
+    return identified.agg(
+        count("linked", "created").alias("linked"),
+        count("ambiguous").alias("ambiguous"),
+        count("unidentified").alias("unidentified"),
+    )
 
 
 def hint_matches(hints: DataFrame, identifier: DataFrame) -> DataFrame:
@@ -106,7 +127,15 @@ def hint_matches(hints: DataFrame, identifier: DataFrame) -> DataFrame:
     ``hints`` (document_id, hints): whether it decides, and the paper that holds it (the least, if several)."""
     held = holders(identifier).groupBy("scheme", "normalized_value").agg(F.min("paper_id").alias("paper_id"))
     each = hints.select("document_id", F.posexplode("hints").alias("pos", "h"))
-    rows = each.select("document_id", "pos", "h.scheme", "h.value", "h.normalized_value", "h.origin", is_strong(F.col("h")).alias("strong"))
+    rows = each.select(
+        "document_id",
+        "pos",
+        "h.scheme",
+        "h.value",
+        "h.normalized_value",
+        "h.origin",
+        is_strong(F.col("h")).alias("strong"),
+    )
     return rows.join(held, ["scheme", "normalized_value"], "left").select(
         "document_id", "pos", "scheme", "value", "normalized_value", "origin", "strong", "paper_id"
     )
@@ -120,9 +149,14 @@ def importable(matches: DataFrame) -> DataFrame:
 def next_steps(matches: DataFrame) -> DataFrame:
     """(document_id, step): link to a candidate, else import a hint, else search; of unlinked documents."""
     found = matches.groupBy("document_id").agg(
-        F.count_if(F.col("paper_id").isNotNull()).alias("held"), F.count_if(F.col("paper_id").isNull() & F.col("scheme").isin("doi", "arxiv")).alias("open")
+        F.count_if(F.col("paper_id").isNotNull()).alias("held"), F.count_if(
+            F.col("paper_id").isNull() & F.col("scheme").isin("doi", "arxiv"),
+        ).alias("open")
+    )
+    return found.select(
+        "document_id",
+        F.when(F.col("held") > 0, "link").when(F.col("open") > 0, "import").otherwise("search").alias("step"),
     )
-    return found.select("document_id", F.when(F.col("held") > 0, "link").when(F.col("open") > 0, "import").otherwise("search").alias("step"))
 
 
 def linked(copies: DataFrame, links: DataFrame) -> DataFrame:
@@ -143,4 +177,7 @@ def scan_order(diff: DataFrame) -> DataFrame:
 
     The order is a struct, compared where it is needed; nothing is ranked over all rows."""
     kind = F.when(F.col("state") == "new", 0).otherwise(1)
-    return diff.where(F.col("state").isin("new", "changed")).select("document_id", F.struct(kind.alias("kind"), "normalized_path").alias("order"))
+    return diff.where(F.col("state").isin("new", "changed")).select(
+        "document_id",
+        F.struct(kind.alias("kind"), "normalized_path").alias("order"),
+    )

@@ -76,7 +76,11 @@ def induced(edges: DataFrame, nodes: DataFrame, rows: int | None = None) -> Data
     """All edges with both ends among ``nodes`` (id)."""
     ids = nodes.select("id")
     ids = _sized(ids, rows) if rows is not None else ids
-    inner = edges.join(ids.withColumnRenamed("id", "citing"), "citing", "left_semi").join(ids.withColumnRenamed("id", "cited"), "cited", "left_semi")
+    inner = edges.join(
+        ids.withColumnRenamed("id", "citing"),
+        "citing",
+        "left_semi",
+    ).join(ids.withColumnRenamed("id", "cited"), "cited", "left_semi")
     return inner.select("citing", "cited")
 
 
@@ -124,7 +128,13 @@ def _rank_loop(nodes: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     """The same on tables of any size: a join and an aggregation per step, whose change and dangling
     mass come with the step's one aggregation on the driver (two numbers)."""
     out = edges.groupBy("citing").agg(F.count(F.lit(1)).alias("out"))
-    state = cut(nodes.select("id").join(out.withColumnRenamed("citing", "id"), "id", "left").select("id", F.coalesce("out", F.lit(0)).alias("out"), F.lit(1.0 / n).alias("rank")))
+    state = cut(
+        nodes.select("id").join(out.withColumnRenamed("citing", "id"), "id", "left").select(
+            "id",
+            F.coalesce("out", F.lit(0)).alias("out"),
+            F.lit(1.0 / n).alias("rank"),
+        ),
+    )
     edges = cut(edges)
     lost = state.agg(F.sum(F.when(F.col("out") == 0, F.col("rank")))).first()[0] or 0.0
     for _ in range(MOST_STEPS):
@@ -132,7 +142,10 @@ def _rank_loop(nodes: DataFrame, edges: DataFrame, n: int) -> DataFrame:
         flow = edges.join(given, "citing").groupBy(F.col("cited").alias("id")).agg(F.sum("part").alias("flow"))
         new = (1 - DAMPING) / n + DAMPING * (F.coalesce("flow", F.lit(0.0)) + lost / n)
         state = cut(state.join(flow, "id", "left").select("id", "out", new.alias("rank"), F.col("rank").alias("old")))
-        change, lost = state.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0))).first()
+        change, lost = state.agg(
+            F.sum(F.abs(F.col("rank") - F.col("old"))),
+            F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0)),
+        ).first()
         state = state.drop("old")
         if change < n * TOLERANCE:
             break
@@ -171,14 +184,23 @@ class Subgraph:
 
     def edges(self) -> DataFrame:
         """(citing, cited) with what orders them: the places of both ends in the order of the nodes."""
-        place = lambda end: self.selected.select(F.col("id").alias(end), F.struct(F.coalesce("distance", F.lit(0)), "created_at", "id").alias(f"{end}_place"))
+        place = lambda end: self.selected.select(
+            F.col("id").alias(end),
+            F.struct(F.coalesce("distance", F.lit(0)), "created_at", "id").alias(f"{end}_place"),
+        )
         return self.inner.join(place("citing"), "citing").join(place("cited"), "cited")
 
     def ordered_edges(self) -> DataFrame:
         return self.edges().orderBy("citing_place", "cited_place").select("citing", "cited")
 
 
-def neighborhood(paper: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 1, direction: Direction = Direction.both) -> Subgraph:
+def neighborhood(
+    paper: DataFrame,
+    edges: DataFrame,
+    seeds: DataFrame,
+    depth: int = 1,
+    direction: Direction = Direction.both,
+) -> Subgraph:
     """The papers within ``depth`` steps of the seeds, with all citations between them."""
     return Subgraph(paper, edges, distances(edges, seeds, depth, direction))
 
@@ -214,11 +236,19 @@ def shortest_path(edges: DataFrame, source: DataFrame, target: Column, most: int
 
 def references(edges: DataFrame, paper: DataFrame, of: DataFrame) -> DataFrame:
     """Papers that the papers ``of`` (id) cite."""
-    ends = edges.join(of.select(F.col("id").alias("citing")), "citing", "left_semi").select(F.col("cited").alias("id")).distinct()
+    ends = edges.join(
+        of.select(F.col("id").alias("citing")),
+        "citing",
+        "left_semi",
+    ).select(F.col("cited").alias("id")).distinct()
     return paper.join(ends, "id", "left_semi")
 
 
 def cited_by(edges: DataFrame, paper: DataFrame, of: DataFrame) -> DataFrame:
     """Papers that cite the papers ``of`` (id)."""
-    ends = edges.join(of.select(F.col("id").alias("cited")), "cited", "left_semi").select(F.col("citing").alias("id")).distinct()
+    ends = edges.join(
+        of.select(F.col("id").alias("cited")),
+        "cited",
+        "left_semi",
+    ).select(F.col("citing").alias("id")).distinct()
     return paper.join(ends, "id", "left_semi")

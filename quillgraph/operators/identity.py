@@ -70,7 +70,14 @@ def resolve(groups: DataFrame, identifier: DataFrame, key: str) -> DataFrame:
         F.when(count == 1, F.get("candidate_paper_ids", F.lit(0))).alias("paper_id"),
         "candidate_paper_ids",
         F.coalesce(
-            F.transform("_free", lambda f: F.struct(f["scheme"].alias("scheme"), f["value"].alias("value"), f["normalized_value"].alias("normalized_value"))),
+            F.transform(
+                "_free",
+                lambda f: F.struct(
+                    f["scheme"].alias("scheme"),
+                    f["value"].alias("value"),
+                    f["normalized_value"].alias("normalized_value"),
+                ),
+            ),
             F.array().cast(KEYS),
         ).alias("unassigned"),
     )
@@ -78,7 +85,10 @@ def resolve(groups: DataFrame, identifier: DataFrame, key: str) -> DataFrame:
 
 def keys_of(identifiers: Column) -> Column:
     """The comparable part of identifiers: structs (scheme, normalized_value)."""
-    return F.transform(identifiers, lambda i: F.struct(i["scheme"].alias("scheme"), i["normalized_value"].alias("normalized_value")))
+    return F.transform(
+        identifiers,
+        lambda i: F.struct(i["scheme"].alias("scheme"), i["normalized_value"].alias("normalized_value")),
+    )
 
 
 def shares_identifier(a: Column, b: Column) -> Column:
@@ -88,10 +98,19 @@ def shares_identifier(a: Column, b: Column) -> Column:
 def without(a: Column, b: Column) -> Column:
     """Identifiers of ``a`` whose key is not among those of ``b``."""
     other = keys_of(b)
-    return F.filter(a, lambda i: ~F.array_contains(other, F.struct(i["scheme"].alias("scheme"), i["normalized_value"].alias("normalized_value"))))
+    return F.filter(
+        a,
+        lambda i: ~F.array_contains(
+            other,
+            F.struct(i["scheme"].alias("scheme"), i["normalized_value"].alias("normalized_value")),
+        ),
+    )
 
 
 def conflicts(identifier: DataFrame) -> DataFrame:
     """(scheme, normalized_value, paper_ids): keys that more than one paper holds."""
     held = holders(identifier).groupBy("scheme", "normalized_value")
-    return held.agg(F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_set("paper_id")).alias("paper_ids")).where("_n > 1").drop("_n")
+    return held.agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.array_sort(F.collect_set("paper_id")).alias("paper_ids"),
+    ).where("_n > 1").drop("_n")

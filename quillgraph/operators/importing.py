@@ -23,7 +23,11 @@ def import_status(requests: DataFrame, works: DataFrame, identifier: DataFrame,
     found = requests.join(lookup(requests, works, key), key, "left")
     known = with_keys(works).select("work_id", "title", "publication_year", "keys")
     rows = found.select(key, F.col("identifiers").alias("asked"), "work_id").join(known, "work_id", "left")
-    outcome = resolve(rows.where("work_id IS NOT NULL").select(key, F.col("keys").alias("identifiers")), identifier, key)
+    outcome = resolve(
+        rows.where("work_id IS NOT NULL").select(key, F.col("keys").alias("identifiers")),
+        identifier,
+        key,
+    )
     both = rows.join(outcome.withColumnRenamed("status", "resolution"), key, "left")
     sure = shares_identifier(F.col("asked"), F.col("keys"))
     first = F.try_element_at("keys", F.lit(1))
@@ -42,13 +46,19 @@ def import_status(requests: DataFrame, works: DataFrame, identifier: DataFrame,
         key,
         "status",
         "work_id",
-        F.when(done, F.coalesce("paper_id", minted_paper_id(first["scheme"], first["normalized_value"]))).alias("paper_id"),
+        F.when(
+            done,
+            F.coalesce("paper_id", minted_paper_id(first["scheme"], first["normalized_value"])),
+        ).alias("paper_id"),
         "title",
         "publication_year",
         F.when(confirmed, F.col("keys")).otherwise(F.col("asked")).alias("identifiers"),
         F.when(done, F.col("unassigned")).otherwise(none).alias("added"),
         F.when(confirmed, without(F.col("asked"), F.col("keys"))).otherwise(none).alias("ignored"),
-        F.when(confirmed, F.col("candidate_paper_ids")).otherwise(F.array().cast("array<string>")).alias("candidate_paper_ids"),
+        F.when(
+            confirmed,
+            F.col("candidate_paper_ids"),
+        ).otherwise(F.array().cast("array<string>")).alias("candidate_paper_ids"),
     )
 
 
@@ -84,15 +94,37 @@ def metadata_fill(paper: DataFrame, identifier: DataFrame, works: DataFrame, of:
     rows = paper if of is None else paper.join(of.select("id"), "id", "left_semi")
     held = identifier.where("normalized_value IS NOT NULL").select("paper_id", "scheme", "normalized_value", "value")
     keys = held.groupBy("paper_id", "scheme", "normalized_value").agg(F.min("value").alias("value"))
-    asked = keys.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("scheme", "value", "normalized_value"))).alias("identifiers"))
+    asked = keys.groupBy("paper_id").agg(
+        F.sort_array(F.collect_list(F.struct("scheme", "value", "normalized_value"))).alias("identifiers"),
+    )
     asked = asked.join(rows.select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
-    hits = lookup(asked, works, "paper_id").join(with_keys(works).select("work_id", "title", "publication_year", "keys"), "work_id")
-    outcome = resolve(hits.select(F.col("paper_id").alias("asked_by"), F.col("keys").alias("identifiers")), identifier, "asked_by")
-    own = rows.select(F.col("id").alias("asked_by"), F.col("title").alias("old_title"), F.col("publication_year").alias("old_year"))
-    known = hits.select(F.col("paper_id").alias("asked_by"), F.col("title").alias("new_title"), F.col("publication_year").alias("new_year"))
+    hits = lookup(asked, works, "paper_id").join(
+        with_keys(works).select("work_id", "title", "publication_year", "keys"),
+        "work_id",
+    )
+    outcome = resolve(
+        hits.select(F.col("paper_id").alias("asked_by"), F.col("keys").alias("identifiers")),
+        identifier,
+        "asked_by",
+    )
+    own = rows.select(
+        F.col("id").alias("asked_by"),
+        F.col("title").alias("old_title"),
+        F.col("publication_year").alias("old_year"),
+    )
+    known = hits.select(
+        F.col("paper_id").alias("asked_by"),
+        F.col("title").alias("new_title"),
+        F.col("publication_year").alias("new_year"),
+    )
     both = own.join(known, "asked_by").join(outcome, "asked_by")
-    conflict = (F.col("status") == ResolutionStatus.ambiguous.value) | (F.col("paper_id").isNotNull() & (F.col("paper_id") != F.col("asked_by")))
-    status = F.when(conflict, MetadataStatus.conflict.value).when(F.col("paper_id").isNull(), MetadataStatus.unconfirmed.value).otherwise(MetadataStatus.updated.value)
+    conflict = (F.col("status") == ResolutionStatus.ambiguous.value) | (
+        F.col("paper_id").isNotNull() & (F.col("paper_id") != F.col("asked_by"))
+    )
+    status = F.when(conflict, MetadataStatus.conflict.value).when(
+        F.col("paper_id").isNull(),
+        MetadataStatus.unconfirmed.value,
+    ).otherwise(MetadataStatus.updated.value)
     rows = both.withColumn("outcome", status)
     updated = F.col("outcome") == MetadataStatus.updated.value
     fill = lambda old, new: F.when(updated, F.coalesce(old, new)).otherwise(F.col(old))

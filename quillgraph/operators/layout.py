@@ -18,7 +18,10 @@ LEFT, RIGHT, BOTH = "citations", "references", "both"
 def node_size(n: int | Column) -> Column:
     """A library node's size from its PageRank in a graph of ``n`` nodes."""
     n = F.lit(n) if isinstance(n, int) else n
-    return F.least(F.greatest(F.lit(SMALLEST) + F.lit(GROWTH) * F.sqrt(F.col("pagerank") * n), F.lit(float(SMALLEST))), F.lit(float(LARGEST)))
+    return F.least(
+        F.greatest(F.lit(SMALLEST) + F.lit(GROWTH) * F.sqrt(F.col("pagerank") * n), F.lit(float(SMALLEST))),
+        F.lit(float(LARGEST)),
+    )
 
 
 def rings(nodes: DataFrame) -> DataFrame:
@@ -51,8 +54,17 @@ def sides(nodes: DataFrame, edges: DataFrame, seed: DataFrame) -> DataFrame:
         .when(F.col("ahead").isNull() | (F.col("back") < F.col("ahead")), F.lit(LEFT))
         .otherwise(F.lit(BOTH))
     )
-    state = known.select("id", F.lit(None).cast("string").alias("other"), side.alias("side"), F.struct("distance", "created_at", "id").alias("place"))
-    pairs = edges.select(F.col("citing").alias("id"), F.col("cited").alias("other"), F.lit(None).cast("string").alias("side")).join(
+    state = known.select(
+        "id",
+        F.lit(None).cast("string").alias("other"),
+        side.alias("side"),
+        F.struct("distance", "created_at", "id").alias("place"),
+    )
+    pairs = edges.select(
+        F.col("citing").alias("id"),
+        F.col("cited").alias("other"),
+        F.lit(None).cast("string").alias("side"),
+    ).join(
         nodes.select("id", F.struct("distance", "created_at", "id").alias("place")), "id"
     )
     # Which side a node inherits depends on those settled before it, so this is one pass after the
@@ -102,5 +114,8 @@ def columns(nodes: DataFrame) -> DataFrame:
     rows = nodes.withColumn("_row", F.row_number().over(order) - 1).withColumn("_all", F.count(F.lit(1)).over(whole))
     seed = F.col("distance") == 0
     x = F.when(seed, 0).when(F.col("side") == BOTH, swing).otherwise(sign * out)
-    y = F.when(seed, 0.0).when(F.col("side") == BOTH, MIDDLE_TOP + place * ROW).otherwise((place - (in_chunk - 1) / 2) * ROW)
+    y = F.when(seed, 0.0).when(
+        F.col("side") == BOTH,
+        MIDDLE_TOP + place * ROW,
+    ).otherwise((place - (in_chunk - 1) / 2) * ROW)
     return rows.select("id", x.cast("long").alias("x"), y.cast("double").alias("y"))

@@ -14,7 +14,9 @@ def paper_identifiers(identifier: DataFrame) -> DataFrame:
     known = identifier.where(F.col("normalized_value").isNotNull() & F.col("paper_id").isNotNull())
     # The set is combined map-side; the least spelling of a key is taken before, so it is small.
     keys = known.groupBy("paper_id", "scheme", "normalized_value").agg(F.min("value").alias("value"))
-    return keys.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("scheme", "normalized_value", "value"))).alias("identifiers"))
+    return keys.groupBy("paper_id").agg(
+        F.sort_array(F.collect_list(F.struct("scheme", "normalized_value", "value"))).alias("identifiers"),
+    )
 
 
 def paper_records(paper: DataFrame, identifier: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -45,7 +47,10 @@ def library(paper: DataFrame) -> DataFrame:
 
 def identifier_text(identifiers: str = "identifiers") -> Column:
     """``scheme:value`` of every identifier, in their order."""
-    return F.array_join(F.transform(identifiers, lambda i: F.concat(i["scheme"], F.lit(":"), i["normalized_value"])), " ")
+    return F.array_join(
+        F.transform(identifiers, lambda i: F.concat(i["scheme"], F.lit(":"), i["normalized_value"])),
+        " ",
+    )
 
 
 def primary_identifier(identifiers: str = "identifiers") -> Column:
@@ -67,7 +72,10 @@ def paper_label() -> Column:
 def short_label(width: int = 40) -> Column:
     """For a node of a drawing: the title, cut at ``width``, else the first identifier, else the id."""
     first = F.try_element_at(F.col("identifiers"), F.lit(1))
-    title = F.when(F.length("title") > width, F.concat(F.substring("title", 1, width), F.lit("…"))).otherwise(F.nullif("title", F.lit("")))
+    title = F.when(
+        F.length("title") > width,
+        F.concat(F.substring("title", 1, width), F.lit("…")),
+    ).otherwise(F.nullif("title", F.lit("")))
     return F.coalesce(title, F.concat(first["scheme"], F.lit(":"), first["value"]), F.substring("id", 1, 8))
 
 
@@ -101,5 +109,11 @@ def most_cited(edges: DataFrame, count: int = 5) -> DataFrame:
     """The ``count`` papers with the most citations, ties by id; a paper without any never appears."""
     from quillgraph.operators.heavy_keys import salted_aggregate
 
-    per_key = salted_aggregate(edges, "cited", [F.col("citing")], {"citations": F.count(F.lit(1))}, {"citations": F.sum})
+    per_key = salted_aggregate(
+        edges,
+        "cited",
+        [F.col("citing")],
+        {"citations": F.count(F.lit(1))},
+        {"citations": F.sum},
+    )
     return per_key.select(F.col("cited").alias("id"), "citations").orderBy(F.desc("citations"), "id").limit(count)

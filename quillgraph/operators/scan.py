@@ -21,7 +21,13 @@ def covering(paths: DataFrame, sources: DataFrame, path: str = "normalized_path"
     """(path, source_id, source_path): every source above every path of ``paths``."""
     above = paths.select(path, F.explode(ancestors(F.col(path))).alias("source_path"))
     # A root is stored with or without a slash at its end.
-    roots = sources.select(F.col("id").alias("source_id"), F.coalesce(F.nullif(F.regexp_replace("normalized_path", r"/+\z", ""), F.lit("")), F.lit("/")).alias("source_path"))
+    roots = sources.select(
+        F.col("id").alias("source_id"),
+        F.coalesce(
+            F.nullif(F.regexp_replace("normalized_path", r"/+\z", ""), F.lit("")),
+            F.lit("/"),
+        ).alias("source_path"),
+    )
     return above.join(roots, "source_path").select(path, "source_id", "source_path")
 
 
@@ -45,7 +51,9 @@ def scan_diff(listing: DataFrame, copies: DataFrame, sources: DataFrame) -> Data
     files = listing.groupBy("normalized_path").agg(
         F.max(F.struct("file_mtime_ns", "file_size", F.coalesce("readable", F.lit(True)).alias("readable"))).alias("f")
     )
-    known = copies.groupBy("normalized_path").agg(F.max(F.struct("id", "content_hash", "file_size", "file_mtime_ns", "missing_since")).alias("c"))
+    known = copies.groupBy("normalized_path").agg(
+        F.max(F.struct("id", "content_hash", "file_size", "file_mtime_ns", "missing_since")).alias("c"),
+    )
     both = files.join(known, "normalized_path", "full_outer")
     owned = both.join(owners(covering(both.select("normalized_path"), able)), "normalized_path")
     same_file = (F.col("c.file_size") == F.col("f.file_size")) & (F.col("c.file_mtime_ns") == F.col("f.file_mtime_ns"))
@@ -74,9 +82,15 @@ def scan_counters(listing: DataFrame, diff: DataFrame, sources: DataFrame) -> Da
     paths = listing.select("normalized_path").distinct()
     found = covering(paths, sources.where("available")).groupBy("source_id").agg(F.count(F.lit(1)).alias("found"))
     counted = diff.groupBy("source_id").agg(
-        *[F.count_if(F.col("state") == s).alias(s) for s in ("new", "changed", "missing")], F.count_if("reappeared").alias("reappeared")
+        *[
+            F.count_if(F.col("state") == s).alias(s) for s in ("new", "changed", "missing")
+        ], F.count_if("reappeared").alias("reappeared")
     )
-    rows = sources.select(F.col("id").alias("source_id"), "normalized_path", "available").join(found, "source_id", "left").join(counted, "source_id", "left")
+    rows = sources.select(
+        F.col("id").alias("source_id"),
+        "normalized_path",
+        "available",
+    ).join(found, "source_id", "left").join(counted, "source_id", "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("found", "new", "changed", "reappeared", "missing")]
     return rows.select("source_id", "normalized_path", "available", *zero)
 
@@ -85,8 +99,17 @@ def apply_scan(copies: DataFrame, diff: DataFrame, hashes: DataFrame, now: Colum
     """The document copies after a scan. ``hashes`` has normalized_path and content_hash of the stale
     files; one without hash could not be read and stays as it was. A new copy's id follows from its
     path, so the same scan gives the same ids."""
-    new_id = F.regexp_replace(F.md5(F.concat(F.lit("document:"), "normalized_path")), r"\A(.{8})(.{4})(.{4})(.{4})(.{12})\z", "$1-$2-$3-$4-$5")
-    change = diff.select("normalized_path", "state", F.col("file_size").alias("_size"), F.col("file_mtime_ns").alias("_time")).join(
+    new_id = F.regexp_replace(
+        F.md5(F.concat(F.lit("document:"), "normalized_path")),
+        r"\A(.{8})(.{4})(.{4})(.{4})(.{12})\z",
+        "$1-$2-$3-$4-$5",
+    )
+    change = diff.select(
+        "normalized_path",
+        "state",
+        F.col("file_size").alias("_size"),
+        F.col("file_mtime_ns").alias("_time"),
+    ).join(
         hashes.select("normalized_path", F.col("content_hash").alias("_hash")), "normalized_path", "left"
     )
     rows = copies.join(change, "normalized_path", "full_outer")
@@ -102,7 +125,10 @@ def apply_scan(copies: DataFrame, diff: DataFrame, hashes: DataFrame, now: Colum
         pick("_size", "file_size"),
         pick("_time", "file_mtime_ns"),
         F.when(seen, now).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
-        F.when(seen, None).when(F.col("state") == "missing", now).otherwise(F.col("missing_since")).alias("missing_since"),
+        F.when(seen, None).when(
+            F.col("state") == "missing",
+            now,
+        ).otherwise(F.col("missing_since")).alias("missing_since"),
         F.coalesce("created_at", now).alias("created_at"),
     )
     return out

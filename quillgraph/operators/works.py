@@ -21,7 +21,10 @@ def arxiv_of_work(doi: Column, urls: Column) -> Column:
     """A work's arXiv id. With a DOI, only arXiv's own gives one: the record may have merged a
     preprint and its published version. Without, the linked pages must agree on one id."""
     own = F.when(F.lower(doi).startswith(ARXIV_DOI), normalize_arxiv(F.substr(doi, F.lit(len(ARXIV_DOI) + 1))))
-    linked = F.filter(F.transform(urls, lambda u: normalize_arxiv(F.nullif(F.regexp_extract(u, ARXIV_PAGE, 1), F.lit("")))), lambda v: v.isNotNull())
+    linked = F.filter(
+        F.transform(urls, lambda u: normalize_arxiv(F.nullif(F.regexp_extract(u, ARXIV_PAGE, 1), F.lit("")))),
+        lambda v: v.isNotNull(),
+    )
     distinct = F.array_distinct(linked)
     return F.when(doi.isNotNull(), own).when(F.size(distinct) == 1, F.get(distinct, F.lit(0)))
 
@@ -35,12 +38,24 @@ def parse_works(records: DataFrame, payload: str = "payload") -> DataFrame:
     doi = strip_doi_prefix(F.col("r.doi"))
     doi = F.when(normalize_doi(doi).isNotNull(), doi)
     urls = F.transform("r.locations", lambda x: x["landing_page_url"])
-    ident = lambda scheme, value: F.when(value.isNotNull(), F.struct(F.lit(scheme).alias("scheme"), value.alias("value")))
+    ident = lambda scheme, value: F.when(
+        value.isNotNull(),
+        F.struct(F.lit(scheme).alias("scheme"), value.alias("value")),
+    )
     out = rows.select(
         normalize_openalex(F.col("r.id")).alias("work_id"),
-        F.array_compact(F.array(ident("openalex", normalize_openalex(F.col("r.id"))), ident("doi", doi), ident("arxiv", arxiv_of_work(doi, urls)))).alias("identifiers"),
+        F.array_compact(
+            F.array(
+                ident("openalex", normalize_openalex(F.col("r.id"))),
+                ident("doi", doi),
+                ident("arxiv", arxiv_of_work(doi, urls)),
+            ),
+        ).alias("identifiers"),
         clean_title(F.col("r.display_name")).alias("title"),
-        F.when(F.col("r.publication_year").rlike(r"\A-?\d{1,9}\z"), F.col("r.publication_year").cast("int")).alias("publication_year"),
+        F.when(
+            F.col("r.publication_year").rlike(r"\A-?\d{1,9}\z"),
+            F.col("r.publication_year").cast("int"),
+        ).alias("publication_year"),
         F.col("r.referenced_works").alias("referenced_works"),
         F.col("r.cited_by_count").alias("cited_by_count"),
     )
@@ -62,8 +77,15 @@ def lookup(requests: DataFrame, works: DataFrame, key: str) -> DataFrame:
     asked = requests.select(key, F.posexplode("identifiers").alias("pos", "i")).select(
         key, "pos", rank.alias("rank"), F.col("i.scheme").alias("scheme"), F.col("i.normalized_value").alias("normalized_value")
     ).where("rank > 0")
-    offered = with_keys(works).select("work_id", F.explode("keys").alias("k")).select("work_id", "k.scheme", "k.normalized_value")
-    known = offered.groupBy("scheme", "normalized_value").agg(F.min("work_id").alias("work_id"), F.count_distinct("work_id").alias("n"))
+    offered = with_keys(works).select("work_id", F.explode("keys").alias("k")).select(
+        "work_id",
+        "k.scheme",
+        "k.normalized_value",
+    )
+    known = offered.groupBy("scheme", "normalized_value").agg(
+        F.min("work_id").alias("work_id"),
+        F.count_distinct("work_id").alias("n"),
+    )
     known = known.where((F.col("scheme") != "arxiv") | (F.col("n") == 1)).drop("n")
     hits = asked.join(known, ["scheme", "normalized_value"])
     return hits.groupBy(key).agg(F.min_by("work_id", F.struct("rank", "pos")).alias("work_id"))
@@ -77,7 +99,11 @@ def fetch_references(of: DataFrame, works: DataFrame, limit: int) -> DataFrame:
     first staying. A work the provider does not know is a stub with nothing but its id.
     """
     raw = of.select("work_id", F.posexplode(F.slice("referenced_works", 1, limit)).alias("pos", "raw"))
-    each = raw.select("work_id", "pos", normalize_openalex(F.col("raw")).alias("other_id")).where("other_id IS NOT NULL")
+    each = raw.select(
+        "work_id",
+        "pos",
+        normalize_openalex(F.col("raw")).alias("other_id"),
+    ).where("other_id IS NOT NULL")
     first = each.groupBy("work_id", "other_id").agg(F.min("pos").alias("pos"))
     others = works.select(F.col("work_id").alias("other_id"), "identifiers", "title", "publication_year")
     stub = F.array(F.struct(F.lit("openalex").alias("scheme"), F.col("other_id").alias("value")))
@@ -99,7 +125,11 @@ def fetch_citations(of: DataFrame, works: DataFrame, limit: int) -> DataFrame:
     counts = works.select(F.col("work_id").alias("citing"), F.coalesce("cited_by_count", F.lit(0)).alias("n"))
     order = Window.partitionBy("cited").orderBy(F.desc("n"), "citing")
     ranked = citing.join(counts, "citing").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
-    return ranked.select(F.col("cited").alias("work_id"), (F.col("pos") - 1).alias("pos"), F.col("citing").alias("other_id"))
+    return ranked.select(
+        F.col("cited").alias("work_id"),
+        (F.col("pos") - 1).alias("pos"),
+        F.col("citing").alias("other_id"),
+    )
 
 
 def search(works: DataFrame, query: str, limit: int) -> DataFrame:

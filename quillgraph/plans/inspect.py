@@ -8,11 +8,26 @@ from collections import Counter
 from pyspark.sql import DataFrame
 
 #: Operators worth counting.
-WATCHED = ("Exchange", "BroadcastExchange", "BroadcastHashJoin", "SortMergeJoin", "CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython", "MapInArrow", "MapInPandas", "Window", "ReusedExchange")
+WATCHED = (
+    "Exchange",
+    "BroadcastExchange",
+    "BroadcastHashJoin",
+    "SortMergeJoin",
+    "CartesianProduct",
+    "BroadcastNestedLoopJoin",
+    "ArrowEvalPython",
+    "BatchEvalPython",
+    "MapInArrow",
+    "MapInPandas",
+    "Window",
+    "ReusedExchange",
+)
 
 
 def plan_text(df: DataFrame) -> str:
-    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"),
+    )
 
 
 def operators(df: DataFrame) -> Counter:

@@ -31,7 +31,9 @@ def _nodes(sub):
 def _path(s, d):
     """The path from the seed to the farthest node within 4 references, ties by id."""
     e = cut(edges(s, d))
-    far = cut(graph.distances(e, seed(s, d), 4, Direction.references).orderBy(F.desc("distance"), "id").limit(1).select("id"))
+    far = cut(
+        graph.distances(e, seed(s, d), 4, Direction.references).orderBy(F.desc("distance"), "id").limit(1).select("id"),
+    )
     path = graph.shortest_path(e, seed(s, d), far.scalar())
     return path.select(F.array_join("path", " ").alias("path"), (F.size("path") - 1).alias("length"))
 
@@ -67,8 +69,16 @@ def _rings(s, d):
 
 QUERIES = {
     "all_citations": lambda s, d: edges(s, d),
-    "references": lambda s, d: graph.references(edges(s, d), table(s, d, "paper"), seed(s, d)).select("id", "title", "created_at"),
-    "cited_by": lambda s, d: graph.cited_by(edges(s, d), table(s, d, "paper"), edges(s, d).agg(F.max("cited").alias("id"))).select("id", "title", "created_at"),
+    "references": lambda s, d: graph.references(
+        edges(s, d),
+        table(s, d, "paper"),
+        seed(s, d),
+    ).select("id", "title", "created_at"),
+    "cited_by": lambda s, d: graph.cited_by(
+        edges(s, d),
+        table(s, d, "paper"),
+        edges(s, d).agg(F.max("cited").alias("id")),
+    ).select("id", "title", "created_at"),
     "edge_upsert": _upsert,
     "bfs_refs": _bfs(3, Direction.references),
     "bfs_cites": _bfs(3, Direction.citations),
@@ -77,7 +87,10 @@ QUERIES = {
     "induced_edges": lambda s, d: _neighborhood(s, d).edges().select("citing", "cited"),
     "library_graph_nodes": lambda s, d: _nodes(_library(s, d)),
     "library_graph_edges": lambda s, d: _library(s, d).edges().select("citing", "cited"),
-    "pagerank_all": lambda s, d: graph.pagerank(table(s, d, "paper"), cut(edges(s, d))).select("id", F.round("pagerank", 9).alias("pagerank")),
+    "pagerank_all": lambda s, d: graph.pagerank(table(s, d, "paper"), cut(edges(s, d))).select(
+        "id",
+        F.round("pagerank", 9).alias("pagerank"),
+    ),
     "shortest_path": _path,
     "side_assignment": _sides,
     "layout_columns": _columns,

@@ -12,32 +12,61 @@ from quillgraph.session import cut
 from quillgraph.tables import table
 
 _joined = lambda c: F.array_join(c, " ")
-_keys = lambda c: F.array_join(F.array_sort(F.transform(c, lambda i: F.concat(i["scheme"], F.lit(":"), i["normalized_value"]))), " ")
+_keys = lambda c: F.array_join(
+    F.array_sort(F.transform(c, lambda i: F.concat(i["scheme"], F.lit(":"), i["normalized_value"]))),
+    " ",
+)
 
 
 def _resolve(s, d):
     groups = with_keys(works(s, d)).select("work_id", F.col("keys").alias("identifiers"))
     rows = identity.resolve(groups, table(s, d, "paper_identifier"), "work_id")
-    return rows.select("work_id", "status", "paper_id", _joined("candidate_paper_ids").alias("candidates"), F.size("unassigned").cast("long").alias("unassigned"))
+    return rows.select(
+        "work_id",
+        "status",
+        "paper_id",
+        _joined("candidate_paper_ids").alias("candidates"),
+        F.size("unassigned").cast("long").alias("unassigned"),
+    )
 
 
 def _candidates(s, d):
     rows = importing.candidates(cut(works(s, d)), table(s, d, "paper_identifier"))
-    return rows.select("work_id", "status", "title", "paper_id", importing.import_choice()["normalized_value"].alias("import_by"))
+    return rows.select(
+        "work_id",
+        "status",
+        "title",
+        "paper_id",
+        importing.import_choice()["normalized_value"].alias("import_by"),
+    )
 
 
 def _requests(known):
     """One request per work: its identifiers, of which the first is replaced by a stranger for some."""
     keyed = with_keys(known).where(F.size("keys") > 0)
-    stranger = F.struct(F.lit("doi").alias("scheme"), F.lit("10.5555/nobody").alias("value"), F.lit("10.5555/nobody").alias("normalized_value"))
-    return keyed.select(F.col("work_id").alias("request"), F.concat(F.col("keys"), F.array(stranger)).alias("identifiers"))
+    stranger = F.struct(
+        F.lit("doi").alias("scheme"),
+        F.lit("10.5555/nobody").alias("value"),
+        F.lit("10.5555/nobody").alias("normalized_value"),
+    )
+    return keyed.select(
+        F.col("work_id").alias("request"),
+        F.concat(F.col("keys"), F.array(stranger)).alias("identifiers"),
+    )
 
 
 def _import(s, d):
     known = cut(works(s, d))  # read by the requests, the lookup and the answer
     rows = importing.import_status(_requests(known), known, table(s, d, "paper_identifier"), "request")
     held = F.when(F.col("status") == "matched", F.col("paper_id"))
-    return rows.select("request", "status", "work_id", held.alias("paper_id"), _keys("added").alias("added"), _keys("ignored").alias("ignored"))
+    return rows.select(
+        "request",
+        "status",
+        "work_id",
+        held.alias("paper_id"),
+        _keys("added").alias("added"),
+        _keys("ignored").alias("ignored"),
+    )
 
 
 def _fill(s, d):
@@ -51,7 +80,10 @@ def _filename(s, d):
 
 
 def _first_pages(s, d):
-    return table(s, d, "documents").select(F.col("doc_id").alias("document_id"), hints.located(F.col("text")).alias("matches"))
+    return table(s, d, "documents").select(
+        F.col("doc_id").alias("document_id"),
+        hints.located(F.col("text")).alias("matches"),
+    )
 
 
 def _text_hints(s, d):
@@ -60,17 +92,32 @@ def _text_hints(s, d):
 
 
 def _selected(s, d):
-    pages = _first_pages(s, d).select("document_id", hints.document_hints(F.lit(""), matches=F.col("matches")).alias("hints"))
-    return pages.select("document_id", F.col("document_id").alias("order"), hints.select_identifiers(F.col("hints")).alias("identifiers"))
+    pages = _first_pages(s, d).select(
+        "document_id",
+        hints.document_hints(F.lit(""), matches=F.col("matches")).alias("hints"),
+    )
+    return pages.select(
+        "document_id",
+        F.col("document_id").alias("order"),
+        hints.select_identifiers(F.col("hints")).alias("identifiers"),
+    )
 
 
 def _identify(s, d):
     rows = documents.identify(_selected(s, d), table(s, d, "paper_identifier"))
-    return rows.select("document_id", "status", _keys("identifiers").alias("identifiers"), F.size("candidate_paper_ids").cast("long").alias("candidates"))
+    return rows.select(
+        "document_id",
+        "status",
+        _keys("identifiers").alias("identifiers"),
+        F.size("candidate_paper_ids").cast("long").alias("candidates"),
+    )
 
 
 def _matches(s, d):
-    rows = _first_pages(s, d).select("document_id", hints.document_hints(F.lit(""), matches=F.col("matches")).alias("hints"))
+    rows = _first_pages(s, d).select(
+        "document_id",
+        hints.document_hints(F.lit(""), matches=F.col("matches")).alias("hints"),
+    )
     return documents.hint_matches(rows, table(s, d, "paper_identifier"))
 
 
@@ -85,19 +132,43 @@ QUERIES = {
     "metadata_fill": _fill,
     "filename_hints": _filename,
     "text_hints": _text_hints,
-    "strip_punct": lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("document_id"), hints.strip_trailing_punctuation(F.col("text")).alias("stripped")),
+    "strip_punct": lambda s, d: table(s, d, "documents").select(
+        F.col("doc_id").alias("document_id"),
+        hints.strip_trailing_punctuation(F.col("text")).alias("stripped"),
+    ),
     "select_identifiers": lambda s, d: _selected(s, d).select("document_id", _keys("identifiers").alias("identifiers")),
     "identify_batch": _identify,
-    "identify_summary": lambda s, d: documents.summary(documents.identify(_selected(s, d), table(s, d, "paper_identifier"))),
-    "hint_matches": lambda s, d: _matches(s, d).select("document_id", "scheme", "normalized_value", "strong", "paper_id"),
+    "identify_summary": lambda s, d: documents.summary(
+        documents.identify(_selected(s, d), table(s, d, "paper_identifier")),
+    ),
+    "hint_matches": lambda s, d: _matches(s, d).select(
+        "document_id",
+        "scheme",
+        "normalized_value",
+        "strong",
+        "paper_id",
+    ),
     "next_steps": lambda s, d: documents.next_steps(_matches(s, d)),
     "scan_diff": lambda s, d: _diff(s, d).select("normalized_path", "document_id", "source_id", "state", "reappeared"),
     "scan_counters": lambda s, d: scan.scan_counters(listing(s, d), _diff(s, d), sources(s, d)),
-    "missing_docs": lambda s, d: documents.documents(copies(s, d)).select("id", documents.presence().alias("presence")).where("presence = 'missing'"),
-    "documents_unlinked": lambda s, d: documents.documents(table(s, d, "document_copy"), unlinked_only=True).select("id", "normalized_path"),
-    "document_paper_join": lambda s, d: documents.with_paper_labels(table(s, d, "document_copy"), table(s, d, "paper"), table(s, d, "paper_identifier")),
+    "missing_docs": lambda s, d: documents.documents(copies(s, d)).select(
+        "id",
+        documents.presence().alias("presence"),
+    ).where("presence = 'missing'"),
+    "documents_unlinked": lambda s, d: documents.documents(
+        table(s, d, "document_copy"),
+        unlinked_only=True,
+    ).select("id", "normalized_path"),
+    "document_paper_join": lambda s, d: documents.with_paper_labels(
+        table(s, d, "document_copy"),
+        table(s, d, "paper"),
+        table(s, d, "paper_identifier"),
+    ),
     "duplicate_hashes": lambda s, d: audit.equal_contents(table(s, d, "document_copy")),
-    "source_prefix_join": lambda s, d: scan.covering(copies(s, d).select("normalized_path").distinct(), table(s, d, "scan_source")).select("normalized_path", "source_id"),
+    "source_prefix_join": lambda s, d: scan.covering(
+        copies(s, d).select("normalized_path").distinct(),
+        table(s, d, "scan_source"),
+    ).select("normalized_path", "source_id"),
 }
 
 _STATUS = "CASE WHEN n_keys = 0 THEN 'insufficient' WHEN n_papers = 0 THEN 'new' WHEN n_papers = 1 THEN 'matched' ELSE 'ambiguous' END"
@@ -241,7 +312,10 @@ def _expand(s, d):
     refs = of.groupBy(F.col("a").alias("work_id")).agg(F.sort_array(F.collect_set("b")).alias("referenced_works"))
     counts = of.groupBy(F.col("b").alias("work_id")).agg(F.count(F.lit(1)).alias("cited_by_count"))
     full = cut(own.join(refs, "work_id", "left").join(counts, "work_id", "left"))
-    first = full.orderBy(F.desc(F.size(F.coalesce("referenced_works", F.array().cast("array<string>")))), "work_id").first()
+    first = full.orderBy(
+        F.desc(F.size(F.coalesce("referenced_works", F.array().cast("array<string>")))),
+        "work_id",
+    ).first()
     seed = expand.Work(first.work_id, [("openalex", first.work_id, first.work_id)], first.title, first.publication_year)
     found = expand.walk(seed, expand.offline_neighbours(full), Direction.both, 2, 50)
     rows = [(a[1], b[1], found.truncated) for a, b in dict.fromkeys(found.edges)]

@@ -17,11 +17,22 @@ def _records(s, d):
 
 
 def _paper_list(s, d):
-    return _records(s, d).select("id", "title", "publication_year", "created_at", papers.identifier_text().alias("identifiers"), "in_library")
+    return _records(s, d).select(
+        "id",
+        "title",
+        "publication_year",
+        "created_at",
+        papers.identifier_text().alias("identifiers"),
+        "in_library",
+    )
 
 
 def _paper_label(s, d):
-    return _records(s, d).select("id", papers.paper_label().alias("label"), papers.primary_identifier().alias("primary_identifier"))
+    return _records(s, d).select(
+        "id",
+        papers.paper_label().alias("label"),
+        papers.primary_identifier().alias("primary_identifier"),
+    )
 
 
 def _spellings(s, d, scheme, how):
@@ -32,19 +43,34 @@ def _spellings(s, d, scheme, how):
 def _generic(s, d):
     rows = table(s, d, "paper_identifier").select("id", "scheme", "value").distinct()
     scheme = normalize.normalize_scheme(F.concat(F.lit(" "), F.upper("scheme"), F.lit("\t")))
-    return rows.where(~F.col("scheme").isin("doi", "arxiv", "openalex")).select("id", scheme.alias("scheme"), normalize.normalize_value(scheme, F.col("value")).alias("normalized"))
+    return rows.where(~F.col("scheme").isin("doi", "arxiv", "openalex")).select(
+        "id",
+        scheme.alias("scheme"),
+        normalize.normalize_value(scheme, F.col("value")).alias("normalized"),
+    )
 
 
 def _dedup_first(s, d):
     """Each paper's identifiers as stored, in the order of row ids, each key once, the first staying."""
     rows = table(s, d, "paper_identifier").where("normalized_value IS NOT NULL").distinct()
-    held = rows.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("id", "scheme", "value", "normalized_value"))).alias("all"))
-    kept = first_wins(F.col("all"), "array<struct<id:string,scheme:string,value:string,normalized_value:string>>", "scheme", "normalized_value")
+    held = rows.groupBy("paper_id").agg(
+        F.sort_array(F.collect_list(F.struct("id", "scheme", "value", "normalized_value"))).alias("all"),
+    )
+    kept = first_wins(
+        F.col("all"),
+        "array<struct<id:string,scheme:string,value:string,normalized_value:string>>",
+        "scheme",
+        "normalized_value",
+    )
     return held.select("paper_id", F.array_join(F.transform(kept, lambda i: i["id"]), " ").alias("kept"))
 
 
 def _conflicts(s, d):
-    return identity.conflicts(table(s, d, "paper_identifier")).select("scheme", "normalized_value", F.array_join("paper_ids", " ").alias("paper_ids"))
+    return identity.conflicts(table(s, d, "paper_identifier")).select(
+        "scheme",
+        "normalized_value",
+        F.array_join("paper_ids", " ").alias("paper_ids"),
+    )
 
 
 def _totals(s, d):

@@ -34,7 +34,11 @@ SEED = "s AS (SELECT citing AS id FROM e GROUP BY citing ORDER BY count(*) DESC,
 
 
 def identifiers(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "paper_identifier").where("normalized_value IS NOT NULL").select("paper_id", "scheme", "normalized_value").distinct()
+    return table(s, d, "paper_identifier").where("normalized_value IS NOT NULL").select(
+        "paper_id",
+        "scheme",
+        "normalized_value",
+    ).distinct()
 
 
 def works(s: SparkSession, d: str) -> DataFrame:
@@ -44,7 +48,9 @@ def works(s: SparkSession, d: str) -> DataFrame:
     reports the DOI of the first paper that its own cites; every 17th reports nothing but an invalid DOI.
     """
     keys = identifiers(s, d)
-    own = keys.where("scheme = 'openalex'").groupBy(F.col("normalized_value").alias("w")).agg(F.min("paper_id").alias("paper_id"))
+    own = keys.where("scheme = 'openalex'").groupBy(
+        F.col("normalized_value").alias("w"),
+    ).agg(F.min("paper_id").alias("paper_id"))
     doi = keys.where("scheme = 'doi'").groupBy("paper_id").agg(F.min("normalized_value").alias("doi"))
     cites = edges(s, d).groupBy("citing").agg(F.min("cited").alias("other"))
     other = doi.select(F.col("paper_id").alias("other"), F.col("doi").alias("other_doi"))
@@ -52,8 +58,14 @@ def works(s: SparkSession, d: str) -> DataFrame:
     rows = own.join(paper, "paper_id").join(doi, "paper_id", "left")
     rows = rows.join(cites.withColumnRenamed("citing", "paper_id"), "paper_id", "left").join(other, "other", "left")
     n = F.substring("w", 2, 20).cast("long")
-    rows = rows.withColumn("n", n).withColumn("work_id", F.when(n % 7 == 0, F.concat(F.lit("W"), (n + 500_000_000_000).cast("string"))).otherwise(F.col("w")))
-    ident = lambda on, scheme, value: F.when(on & value.isNotNull(), F.struct(F.lit(scheme).alias("scheme"), value.alias("value")))
+    rows = rows.withColumn("n", n).withColumn(
+        "work_id",
+        F.when(n % 7 == 0, F.concat(F.lit("W"), (n + 500_000_000_000).cast("string"))).otherwise(F.col("w")),
+    )
+    ident = lambda on, scheme, value: F.when(
+        on & value.isNotNull(),
+        F.struct(F.lit(scheme).alias("scheme"), value.alias("value")),
+    )
     good = F.col("n") % 17 != 0
     parts = [
         ident(good, "openalex", F.concat(F.lit("https://openalex.org/"), "work_id")),
@@ -61,7 +73,13 @@ def works(s: SparkSession, d: str) -> DataFrame:
         ident(good & (F.col("n") % 13 == 0), "doi", F.concat(F.lit(" doi:"), "other_doi")),
         ident(~good, "doi", F.lit("not a doi")),
     ]
-    return rows.select("work_id", F.array_compact(F.array(*parts)).alias("identifiers"), F.nullif(F.trim("title"), F.lit("")).alias("title"), "publication_year", "paper_id")
+    return rows.select(
+        "work_id",
+        F.array_compact(F.array(*parts)).alias("identifiers"),
+        F.nullif(F.trim("title"), F.lit("")).alias("title"),
+        "publication_year",
+        "paper_id",
+    )
 
 
 WORKS = f"""
@@ -100,14 +118,24 @@ def listing(s: SparkSession, d: str) -> DataFrame:
     known = copies(s, d).select("normalized_path", "file_size", "file_mtime_ns").distinct()
     digit = F.substring(F.md5("normalized_path"), 1, 1)
     rest = known.where(digit != "0").select(
-        "normalized_path", (F.coalesce("file_size", F.lit(1)) + F.when(digit == "1", 1).otherwise(0)).alias("file_size"), F.coalesce("file_mtime_ns", F.lit(1)).alias("file_mtime_ns")
+        "normalized_path", (
+            F.coalesce("file_size", F.lit(1)) + F.when(digit == "1", 1).otherwise(0)
+        ).alias("file_size"), F.coalesce("file_mtime_ns", F.lit(1)).alias("file_mtime_ns")
+    )
+    new = known.where(digit == "2").select(
+        F.concat("normalized_path", F.lit(".new.pdf")).alias("normalized_path"),
+        F.lit(1000).cast("long").alias("file_size"),
+        F.lit(1).cast("long").alias("file_mtime_ns"),
     )
-    new = known.where(digit == "2").select(F.concat("normalized_path", F.lit(".new.pdf")).alias("normalized_path"), F.lit(1000).cast("long").alias("file_size"), F.lit(1).cast("long").alias("file_mtime_ns"))
     return rest.unionByName(new).withColumn("readable", F.lit(True))
 
 
 def sources(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "scan_source").select("id", "normalized_path", F.col("last_scanned_at").isNotNull().alias("available"))
+    return table(s, d, "scan_source").select(
+        "id",
+        "normalized_path",
+        F.col("last_scanned_at").isNotNull().alias("available"),
+    )
 
 
 SCAN = """

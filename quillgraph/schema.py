@@ -15,22 +15,53 @@ _S, _TS, _L = T.StringType(), T.TimestampType(), T.LongType()
 
 #: Library membership is ``library_added_at`` not being NULL. A title is metadata, never identity.
 PAPER = _table(
-    ("id", _S, False), ("title", _S, True), ("publication_year", T.IntegerType(), True), ("created_at", _TS, False), ("library_added_at", _TS, True)
+    ("id", _S, False), ("title", _S, True), (
+        "publication_year",
+        T.IntegerType(),
+        True,
+    ), ("created_at", _TS, False), ("library_added_at", _TS, True)
+)
+PAPER_IDENTIFIER = _table(
+    ("id", _S, False),
+    ("paper_id", _S, False),
+    ("scheme", _S, False),
+    ("value", _S, False),
+    ("normalized_value", _S, True),
+)
+SCAN_SOURCE = _table(
+    ("id", _S, False),
+    ("path", _S, False),
+    ("normalized_path", _S, False),
+    ("created_at", _TS, False),
+    ("last_scanned_at", _TS, True),
 )
-PAPER_IDENTIFIER = _table(("id", _S, False), ("paper_id", _S, False), ("scheme", _S, False), ("value", _S, False), ("normalized_value", _S, True))
-SCAN_SOURCE = _table(("id", _S, False), ("path", _S, False), ("normalized_path", _S, False), ("created_at", _TS, False), ("last_scanned_at", _TS, True))
 DOCUMENT_COPY = _table(
     ("id", _S, False), ("paper_id", _S, True), ("path", _S, False), ("normalized_path", _S, False), ("content_hash", _S, True),
     ("file_size", _L, True), ("file_mtime_ns", _L, True), ("last_seen_at", _TS, True), ("missing_since", _TS, True), ("created_at", _TS, False),
 )
-CITATION = _table(("id", _S, False), ("citing_paper_id", _S, True), ("cited_paper_id", _S, True), ("created_at", _TS, False))
+CITATION = _table(
+    ("id", _S, False),
+    ("citing_paper_id", _S, True),
+    ("cited_paper_id", _S, True),
+    ("created_at", _TS, False),
+)
 
-TABLES = {"paper": PAPER, "paper_identifier": PAPER_IDENTIFIER, "scan_source": SCAN_SOURCE, "document_copy": DOCUMENT_COPY, "citation": CITATION}
+TABLES = {
+    "paper": PAPER,
+    "paper_identifier": PAPER_IDENTIFIER,
+    "scan_source": SCAN_SOURCE,
+    "document_copy": DOCUMENT_COPY,
+    "citation": CITATION,
+}
 
 #: A work as a provider reports it. ``works`` are rows of this; ``referenced_works`` are its work ids.
 IDENTIFIER = T.StructType([T.StructField("scheme", _S), T.StructField("value", _S)])
 WORK = _table(
-    ("work_id", _S, False), ("identifiers", T.ArrayType(IDENTIFIER), True), ("title", _S, True), ("publication_year", T.IntegerType(), True),
+    ("work_id", _S, False), (
+        "identifiers",
+        T.ArrayType(IDENTIFIER),
+        True,
+    ), ("title", _S, True), ("publication_year", T.IntegerType(), True),
     ("referenced_works", T.ArrayType(_S), True), ("cited_by_count", _L, True),
 )
 

@@ -52,7 +52,11 @@ def _iso(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.TimestampType):
         whole = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
         fraction = F.date_format(column, "SSSSSS")
-        return F.concat(whole, F.when(fraction != "000000", F.concat(F.lit("."), fraction)).otherwise(""), F.lit("+00:00"))
+        return F.concat(
+            whole,
+            F.when(fraction != "000000", F.concat(F.lit("."), fraction)).otherwise(""),
+            F.lit("+00:00"),
+        )
     return column
 
 

@@ -52,7 +52,10 @@ class Catalog:
         jvm = self.spark._jvm
         over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            self._fs.getUri(),
+            self.spark._jsc.hadoopConfiguration(),
+        )
         context.rename(self._fs.makeQualified(part), self._fs.makeQualified(self._path(f"{self.root}/{name}")), over)
 
     def pointer(self) -> dict:
@@ -60,7 +63,9 @@ class Catalog:
         if current is None:
             raise DatabaseNotInitialized(f"no tables at {self.root}")
         if current["schema_version"] != SCHEMA_VERSION:
-            raise DatabaseNotInitialized(f"tables at {self.root} have version {current['schema_version']}, not {SCHEMA_VERSION}")
+            raise DatabaseNotInitialized(
+                f"tables at {self.root} have version {current['schema_version']}, not {SCHEMA_VERSION}",
+            )
         return current
 
     def initialize(self) -> bool:

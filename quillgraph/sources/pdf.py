@@ -45,6 +45,9 @@ def read_documents(paths: DataFrame) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([read_pdf(p) for p in frame.normalized_path], columns=["normalized_path", "info", "xmp", "page1_text"])
+            yield pd.DataFrame(
+                [read_pdf(p) for p in frame.normalized_path],
+                columns=["normalized_path", "info", "xmp", "page1_text"],
+            )
 
     return paths.select("normalized_path").mapInPandas(read, PAGES)

@@ -38,7 +38,14 @@ class Provider(Protocol):
 
 def _driver_works(rows: DataFrame) -> list[Work]:
     keyed = rows.withColumn("keys", normalized_identifiers(F.col("identifiers")))
-    return [Work(r.work_id, [tuple(k) for k in r["keys"]], r.title, r.publication_year) for r in keyed.select("work_id", F.transform("keys", lambda k: F.struct(k["scheme"], k["value"], k["normalized_value"])).alias("keys"), "title", "publication_year").collect()]
+    return [
+        Work(r.work_id, [tuple(k) for k in r["keys"]], r.title, r.publication_year) for r in keyed.select(
+            "work_id",
+            F.transform("keys", lambda k: F.struct(k["scheme"], k["value"], k["normalized_value"])).alias("keys"),
+            "title",
+            "publication_year",
+        ).collect()
+    ]
 
 
 class TableProvider:
@@ -53,7 +60,10 @@ class TableProvider:
 
     def lookup_work(self, identifiers: list[tuple[str, str]]) -> Work | None:
         spark = self._works.sparkSession
-        asked = spark.createDataFrame([("x", identifiers)], "request string, identifiers array<struct<scheme:string,value:string>>")
+        asked = spark.createDataFrame(
+            [("x", identifiers)],
+            "request string, identifiers array<struct<scheme:string,value:string>>",
+        )
         asked = asked.withColumn("identifiers", normalized_identifiers(F.col("identifiers")))
         hit = W.lookup(asked, self._works, "request").select("work_id")
         found = _driver_works(self._works.join(F.broadcast(hit), "work_id", "left_semi"))  # one row
@@ -63,7 +73,11 @@ class TableProvider:
         return _driver_works(W.search(self._works, query, limit))
 
 
-def http_transport(api_key: str | None = None, opener: Callable = urllib.request.urlopen, sleep: Callable = time.sleep) -> Transport:
+def http_transport(
+    api_key: str | None = None,
+    opener: Callable = urllib.request.urlopen,
+    sleep: Callable = time.sleep,
+) -> Transport:
     """JSON of a URL. 404 is None; 429 and 5xx are tried again, waiting 1, 2, 4 seconds or as long as
     the service says, up to a limit; anything else is a ``ProviderError`` that does not show the key."""
 

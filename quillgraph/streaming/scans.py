@@ -26,12 +26,23 @@ def scan_batch(catalog: Catalog, listing: DataFrame) -> dict[str, int]:
     at = catalog.pointer()
     copies, sources = catalog.table("document_copy", at), catalog.table("scan_source", at).withColumn("available", F.lit(True))
     diff = cut(scan_diff(listing, copies, sources))
-    changed = apply_scan(copies, diff, listing.select("normalized_path", "content_hash").distinct(), F.current_timestamp())
+    changed = apply_scan(
+        copies,
+        diff,
+        listing.select("normalized_path", "content_hash").distinct(),
+        F.current_timestamp(),
+    )
     catalog.commit({"document_copy": changed}, at)
     return {r.state: r["count"] for r in diff.groupBy("state").count().collect()}
 
 
-def scan_stream(spark: SparkSession, catalog: Catalog, folder: str, checkpoint: str, done: Callable[[int, dict[str, int]], None] | None = None) -> StreamingQuery:
+def scan_stream(
+    spark: SparkSession,
+    catalog: Catalog,
+    folder: str,
+    checkpoint: str,
+    done: Callable[[int, dict[str, int]], None] | None = None,
+) -> StreamingQuery:
     """A stream that stores each listing file that appears in ``folder``, one per batch."""
     rows = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).parquet(folder)
 
@@ -42,7 +53,10 @@ def scan_stream(spark: SparkSession, catalog: Catalog, folder: str, checkpoint:
         if done:
             done(number, states)
 
-    return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store).trigger(availableNow=True).start()
+    return rows.writeStream.option(
+        "checkpointLocation",
+        checkpoint,
+    ).foreachBatch(store).trigger(availableNow=True).start()
 
 
 def citation_counts(stream: DataFrame, late: str = "30 days", window: str = "7 days") -> DataFrame:

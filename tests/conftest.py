@@ -14,7 +14,12 @@ os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
 def spark():
     from quillgraph.session import local_session, ship
 
-    session = local_session(4, spark__sql__shuffle__partitions="4", spark__driver__memory="4g", spark__default__parallelism="4")
+    session = local_session(
+        4,
+        spark__sql__shuffle__partitions="4",
+        spark__driver__memory="4g",
+        spark__default__parallelism="4",
+    )
     ship(session)
     yield session
     session.stop()

@@ -20,7 +20,10 @@ LIBRARY = "ACFH"
 def frames(spark, edges, library="", nodes=None):
     nodes = nodes or sorted({x for e in edges for x in e})
     at = datetime(2024, 1, 1)
-    paper = spark.createDataFrame([(n, n, 2000, at + timedelta(seconds=i), at if n in library else None) for i, n in enumerate(nodes)], "id string, title string, publication_year int, created_at timestamp, library_added_at timestamp")
+    paper = spark.createDataFrame(
+        [(n, n, 2000, at + timedelta(seconds=i), at if n in library else None) for i, n in enumerate(nodes)],
+        "id string, title string, publication_year int, created_at timestamp, library_added_at timestamp",
+    )
     return paper, spark.createDataFrame([tuple(e) for e in edges], "citing string, cited string")
 
 
@@ -49,7 +52,9 @@ def test_demo_paths(spark, demo):
 
 
 def test_demo_most_cited(demo):
-    assert [(r.id, r.citations) for r in papers.most_cited(demo[1], 5).collect()] == [("C", 4), ("D", 4), ("B", 2), ("E", 2), ("J", 2)]
+    assert [
+        (r.id, r.citations) for r in papers.most_cited(demo[1], 5).collect()
+    ] == [("C", 4), ("D", 4), ("B", 2), ("E", 2), ("J", 2)]
 
 
 def test_demo_library(demo):
@@ -62,7 +67,14 @@ def test_demo_library(demo):
     "start, depth, way, order, edges, some",
     [
         ("C", 1, "both", "CBDEIL", 6, {"D": 0.375917, "C": 0.311062, "B": 0.078255}),
-        ("A", 2, "references", "ABECDJ", 8, {"D": 0.379849, "C": 0.206093, "B": 0.112307, "J": 0.110632, "A": 0.078812}),
+        (
+            "A",
+            2,
+            "references",
+            "ABECDJ",
+            8,
+            {"D": 0.379849, "C": 0.206093, "B": 0.112307, "J": 0.110632, "A": 0.078812},
+        ),
         ("D", 1, "citations", "DCEHJ", 7, {"D": 0.459947, "J": 0.184826, "C": 0.138845, "E": 0.108191}),
         ("A", 0, "both", "A", 0, {"A": 1.0}),
     ],
@@ -74,8 +86,12 @@ def test_demo_neighborhoods(spark, demo, start, depth, way, order, edges, some):
     assert {n.id: n.pagerank for n in nodes if n.id in some} == pytest.approx(some, abs=1e-6)
     inner = sub.ordered_edges().collect()
     place = {n.id: i for i, n in enumerate(nodes)}
-    assert len(inner) == edges and [(place[e.citing], place[e.cited]) for e in inner] == sorted((place[e.citing], place[e.cited]) for e in inner)
-    assert {n.id: (n.in_degree, n.out_degree) for n in nodes} == {n.id: (sum(e.cited == n.id for e in inner), sum(e.citing == n.id for e in inner)) for n in nodes}
+    assert len(inner) == edges and [
+        (place[e.citing], place[e.cited]) for e in inner
+    ] == sorted((place[e.citing], place[e.cited]) for e in inner)
+    assert {n.id: (n.in_degree, n.out_degree) for n in nodes} == {
+        n.id: (sum(e.cited == n.id for e in inner), sum(e.citing == n.id for e in inner)) for n in nodes
+    }
 
 
 def test_small_shapes(spark):
@@ -83,7 +99,9 @@ def test_small_shapes(spark):
     assert ranks(graph.library_graph(paper, edges)) == pytest.approx({"a": 0.350877, "b": 0.649123}, abs=1e-6)
     paper, edges = frames(spark, ["ab", "bc", "ca"], "abc")
     assert ranks(graph.library_graph(paper, edges)) == pytest.approx(dict.fromkeys("abc", 1 / 3))
-    assert {r.id: r.distance for r in graph.distances(edges, seed(spark, "a"), 5, Direction.references).collect()} == {"a": 0, "b": 1, "c": 2}
+    assert {
+        r.id: r.distance for r in graph.distances(edges, seed(spark, "a"), 5, Direction.references).collect()
+    } == {"a": 0, "b": 1, "c": 2}
     _, edges = frames(spark, ["ab", "bc", "cd", "ad"])
     assert path(spark, edges, "a", "d") == ["a", "d"]
     paper, edges = frames(spark, ["ab"])
@@ -129,7 +147,11 @@ def test_pagerank_in_one_task_and_in_steps(spark, one_task):
 def test_random_graphs(spark, number):
     nodes, edges = random_graph(number)
     paper, rows = frames(spark, edges, nodes=nodes)
-    got = graph._rank_arrays(30, np.array([nodes.index(a) for a, _ in edges]), np.array([nodes.index(b) for _, b in edges]))
+    got = graph._rank_arrays(
+        30,
+        np.array([nodes.index(a) for a, _ in edges]),
+        np.array([nodes.index(b) for _, b in edges]),
+    )
     assert dict(zip(nodes, got)) == pytest.approx(plain_rank(nodes, edges), abs=1e-9)
     ahead = {a: sorted(b for x, b in edges if x == a) for a in nodes}
     reach, level = {nodes[0]: [nodes[0]]}, [nodes[0]]
@@ -149,12 +171,24 @@ def test_random_graphs(spark, number):
 
 def test_stored_edges_and_upserts(spark):
     paper, _ = frames(spark, ["ab"], nodes=["a", "b", "c"])
-    stored = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "a"), (None, "b"), ("a", None), ("a", "gone")], "citing_paper_id string, cited_paper_id string")
+    stored = spark.createDataFrame(
+        [("a", "b"), ("a", "b"), ("a", "a"), (None, "b"), ("a", None), ("a", "gone")],
+        "citing_paper_id string, cited_paper_id string",
+    )
     edges = graph.stored_edges(stored, paper)
     assert [tuple(r) for r in edges.collect()] == [("a", "b")]
-    new = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "c"), ("c", "c"), ("a", "gone"), (None, "a")], "citing string, cited string")
+    new = spark.createDataFrame(
+        [("a", "b"), ("b", "c"), ("b", "c"), ("c", "c"), ("a", "gone"), (None, "a")],
+        "citing string, cited string",
+    )
     got = {(r.citing, r.cited): r.outcome for r in citations.classify(new, edges, paper).collect()}
-    assert got == {("a", "b"): "confirmed", ("b", "c"): "created", ("c", "c"): "self", ("a", "gone"): "unknown_paper", (None, "a"): "unknown_paper"}
+    assert got == {
+        ("a", "b"): "confirmed",
+        ("b", "c"): "created",
+        ("c", "c"): "self",
+        ("a", "gone"): "unknown_paper",
+        (None, "a"): "unknown_paper",
+    }
     assert {tuple(r) for r in citations.upsert(new, edges, paper).collect()} == {("a", "b"), ("b", "c")}
 
 
@@ -168,11 +202,22 @@ def test_drawing(spark, demo):
     paper, edges = demo
     sub = graph.neighborhood(paper, edges, seed(spark, "C"), 1)
     side = {r.id: r.side for r in layout.sides(sub.selected, sub.inner, seed(spark, "C")).collect()}
-    assert side == {"C": "both", "B": "citations", "E": "citations", "I": "citations", "L": "citations", "D": "references"}
+    assert side == {
+        "C": "both",
+        "B": "citations",
+        "E": "citations",
+        "I": "citations",
+        "L": "citations",
+        "D": "references",
+    }
     many = [("s", f"r{i:02}") for i in range(35)]
     paper, edges = frames(spark, many)
     sub = graph.neighborhood(paper, edges, seed(spark, "s"), 1)
-    placed = {r.id: (r.x, r.y) for r in layout.columns(sub.selected.join(layout.sides(sub.selected, sub.inner, seed(spark, "s")), "id")).collect()}
+    placed = {
+        r.id: (r.x, r.y) for r in layout.columns(
+            sub.selected.join(layout.sides(sub.selected, sub.inner, seed(spark, "s")), "id"),
+        ).collect()
+    }
     assert placed["s"] == (0, 0.0) and placed["r00"] == (260, -14.5 * 56) and placed["r30"] == (460, -2 * 56.0)
     ranked = graph.library_graph(*frames(spark, ["ab", "cb"], "abc")).nodes()
     assert all(16 <= r.s <= 56 for r in ranked.select(layout.node_size(3).alias("s")).collect())
@@ -184,7 +229,9 @@ def test_undecided_nodes_inherit_a_side(spark):
     # x cites a reference of the seed: it is reached neither along nor against references.
     paper, edges = frames(spark, ["sr", "xr", "yx"])
     sub = graph.neighborhood(paper, edges, seed(spark, "s"), 3)
-    assert {r.id: r.side for r in layout.sides(sub.selected, sub.inner, seed(spark, "s")).collect()} == {"s": "both", "r": "references", "x": "references", "y": "references"}
+    assert {
+        r.id: r.side for r in layout.sides(sub.selected, sub.inner, seed(spark, "s")).collect()
+    } == {"s": "both", "r": "references", "x": "references", "y": "references"}
 
 
 def test_degrees_and_totals(spark, demo):

@@ -13,13 +13,25 @@ SCHEMA = "id string, citing_paper_id string, cited_paper_id string, created_at t
 
 
 def table(spark, rows):
-    return spark.createDataFrame([(str(i), a, b, t, 1, "x", "y", "z", 2, 3) for i, (a, b, t) in enumerate(rows)], SCHEMA)
+    return spark.createDataFrame(
+        [(str(i), a, b, t, 1, "x", "y", "z", 2, 3) for i, (a, b, t) in enumerate(rows)],
+        SCHEMA,
+    )
 
 
 def rows_of(hot=400, others=60):
     at = datetime(2024, 1, 1)
-    rows = [(f"c{i}", "hot", at + timedelta(hours=i)) for i in range(hot)] + [(f"c{i}", f"p{i % 20}", at - timedelta(hours=i)) for i in range(others)]
-    rows += rows[:50] + [(None, "hot", at), ("c1", None, at), (None, None, None), ("p3", "p3", at), ("c9000", "p3", None), ("c9001", "late", None)]
+    rows = [(f"c{i}", "hot", at + timedelta(hours=i)) for i in range(hot)] + [
+        (f"c{i}", f"p{i % 20}", at - timedelta(hours=i)) for i in range(others)
+    ]
+    rows += rows[:50] + [
+        (None, "hot", at),
+        ("c1", None, at),
+        (None, None, None),
+        ("p3", "p3", at),
+        ("c9000", "p3", None),
+        ("c9001", "late", None),
+    ]
     rows += [("c0", "hot", at + timedelta(days=900))]
     return rows
 
@@ -39,7 +51,13 @@ def plain(rows):
 def test_summary_is_brute_force_with_and_without_heavy_keys(spark):
     rows = rows_of()
     for share in (1 / 2000, 0.3, 2.0):
-        got = {r.cited_paper_id: (r.citations, r.first_at, r.last_at) for r in H.cited_paper_summary(table(spark, rows), share, 7).collect()}
+        got = {
+            r.cited_paper_id: (
+                r.citations,
+                r.first_at,
+                r.last_at,
+            ) for r in H.cited_paper_summary(table(spark, rows), share, 7).collect()
+        }
         assert got == plain(rows)
 
 
@@ -57,7 +75,19 @@ def test_empty_tables(spark):
 
 
 def test_salts_spread_heavy_and_missing_keys_only(spark):
-    df = spark.createDataFrame([("hot", i) for i in range(1000)] + [(None, i) for i in range(50)] + [("one", 1), ("two", 2)], "k string, v int")
-    got = {r.k: (r.n, r.top) for r in H.salted_aggregate(df, "k", [F.col("v")], {"n": F.count(F.lit(1)), "top": F.max("v")}, {"n": F.sum, "top": F.max}, share=0.5).collect()}
+    df = spark.createDataFrame(
+        [("hot", i) for i in range(1000)] + [(None, i) for i in range(50)] + [("one", 1), ("two", 2)],
+        "k string, v int",
+    )
+    got = {
+        r.k: (r.n, r.top) for r in H.salted_aggregate(
+            df,
+            "k",
+            [F.col("v")],
+            {"n": F.count(F.lit(1)), "top": F.max("v")},
+            {"n": F.sum, "top": F.max},
+            share=0.5,
+        ).collect()
+    }
     assert got == {"hot": (1000, 999), None: (50, 49), "one": (1, 1), "two": (1, 2)}
     assert [r.k for r in H.heavy_keys(df, "k", 0.5).collect()] == ["hot"]

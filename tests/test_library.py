@@ -32,7 +32,12 @@ def library(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def provider(spark):
-    return TableProvider(spark.createDataFrame(WORKS, "work_id string, identifiers array<struct<scheme:string,value:string>>, title string, publication_year int, referenced_works array<string>, cited_by_count long"))
+    return TableProvider(
+        spark.createDataFrame(
+            WORKS,
+            "work_id string, identifiers array<struct<scheme:string,value:string>>, title string, publication_year int, referenced_works array<string>, cited_by_count long",
+        ),
+    )
 
 
 def test_catalog(spark, tmp_path):
@@ -74,7 +79,9 @@ def test_papers_citations_and_graphs(library):
         library.path(c, a)
     assert [r.id for r in library.citations_of(b, Direction.citations).collect()] == [a]
     graph = library.neighborhood(a, 2)
-    assert [(n["paper"].id, n["distance"]) for n in graph["nodes"]] == [(a, 0), (b, 1), (c, 2)] and len(graph["edges"]) == 2
+    assert [
+        (n["paper"].id, n["distance"]) for n in graph["nodes"]
+    ] == [(a, 0), (b, 1), (c, 2)] and len(graph["edges"]) == 2
     assert [n["paper"].id for n in library.library_graph()["nodes"]] == [a]
     assert library.totals().asDict() == {"papers": 3, "library": 1, "citations": 2}
     assert json.loads(dumps(success(graph)))["data"]["nodes"][0]["paper"]["in_library"] is True
@@ -100,7 +107,9 @@ def test_scans(library, tmp_path):
     assert [r.status for r in first["identifications"]] == ["created", "unidentified", "unidentified"]
     assert not library.papers().where("in_library").count()
     again = library.scan()
-    assert [(s.found, s.new, s.changed, s.reappeared, s.missing) for s in again["sources"]] == [(3, 0, 0, 0, 0), (1, 0, 0, 0, 0)]
+    assert [
+        (s.found, s.new, s.changed, s.reappeared, s.missing) for s in again["sources"]
+    ] == [(3, 0, 0, 0, 0), (1, 0, 0, 0, 0)]
     (root / "inner" / "Paper.PDF").write_bytes(b"changed content")
     os.rename(root / "2401.12345v2.pdf", root / "moved.pdf")
     (root / "link.pdf").unlink()
@@ -122,7 +131,9 @@ def test_scans(library, tmp_path):
 
     document = by_name["2401.12345v2.pdf"]
     seen = library.inspect(document.id)
-    assert seen["available"] and [(h.scheme, h.strong) for h in seen["hints"]] == [("arxiv", True)] and len(seen["candidates"]) == 1
+    assert seen["available"] and [
+        (h.scheme, h.strong) for h in seen["hints"]
+    ] == [("arxiv", True)] and len(seen["candidates"]) == 1
     paper = library.create_paper(title="By hand")
     free = by_name["moved.pdf"]
     assert library.link(paper, free.id) and not library.link(paper, free.id)
@@ -146,9 +157,19 @@ def test_imports_and_expansion(library, provider):
         library.import_paper(provider, [("openalex", "x")])
     out = library.expand(provider, seed, Direction.both, 1)
     # Two citing works report the same arXiv id, so the second meets the paper made for the first.
-    assert (out["citations_created"], out["citations_confirmed"], len(out["papers_created"]), out["truncated"]) == (4, 0, 4, False)
+    assert (
+        out["citations_created"],
+        out["citations_confirmed"],
+        len(out["papers_created"]),
+        out["truncated"],
+    ) == (4, 0, 4, False)
     again = library.expand(provider, seed, Direction.both, 1)
-    assert (again["citations_created"], again["citations_confirmed"], again["papers_created"], len(again["papers_matched"])) == (0, 4, [], 4)
+    assert (
+        again["citations_created"],
+        again["citations_confirmed"],
+        again["papers_created"],
+        len(again["papers_matched"]),
+    ) == (0, 4, [], 4)
     assert library.expand(provider, seed, Direction.both, 2, 3)["truncated"]
     assert library.totals().library == 0
     by_title = {c["title"]: c["status"] for c in library.search(provider, " ref ", 10)}
@@ -178,7 +199,10 @@ def test_command_line(spark, tmp_path, capsys, provider):
     assert call("init")["data"] == {"created": True}
     a = call("paper-create", "doi:10.1/a", "--title", "A")["data"]["paper_id"]
     b = call("paper-create", "arxiv:2401.00001")["data"]["paper_id"]
-    assert call("citation-add", a, b)["data"] == {"created": True} and call("path", a, b)["data"] == {"paper_ids": [a, b], "length": 1}
+    assert call("citation-add", a, b)["data"] == {"created": True} and call("path", a, b)["data"] == {
+        "paper_ids": [a, b],
+        "length": 1,
+    }
     assert call("lib-add", a)["data"] == {"changed": True} and call("graph-library")["data"]["nodes"][0]["paper"]["id"] == a
     assert call("graph-neighborhood", a, "--depth", "-1", code=2)["ok"] is False
     assert call("show", "nobody", code=1)["error"]["type"] == "PaperNotFound"
@@ -196,7 +220,10 @@ class Colour(Enum):
 def test_json(spark):
     value = {"at": datetime(2024, 1, 1, 12, tzinfo=timezone.utc), "c": Colour.red, "t": (1, None), "f": 0.5}
     assert to_json_value(value) == {"at": "2024-01-01T12:00:00+00:00", "c": "r", "t": [1, None], "f": 0.5}
-    assert failure(errors.PaperNotFound("x")) == {"ok": False, "error": {"type": "PaperNotFound", "message": "paper not found: x"}}
+    assert failure(errors.PaperNotFound("x")) == {
+        "ok": False,
+        "error": {"type": "PaperNotFound", "message": "paper not found: x"},
+    }
     with pytest.raises(TypeError):
         to_json_value(object())
     df = spark.sql("SELECT timestamp'2024-01-01 12:00:00.5' AS at, CAST(NULL AS STRING) AS none, array(1) AS a")
@@ -247,18 +274,42 @@ def test_streaming(spark, tmp_path):
     library.initialize()
     library.add_source(str(tmp_path))
     folder = str(tmp_path / "listings")
-    one = spark.createDataFrame([(f"{tmp_path}/a.pdf", 1, 1, True, "sha256:a"), (f"{tmp_path}/b.pdf", 1, 1, True, "sha256:b")], ROWS)
+    one = spark.createDataFrame(
+        [(f"{tmp_path}/a.pdf", 1, 1, True, "sha256:a"), (f"{tmp_path}/b.pdf", 1, 1, True, "sha256:b")],
+        ROWS,
+    )
     one.coalesce(1).write.parquet(folder)
     seen = []
-    run = lambda: scan_stream(spark, library.catalog, folder, str(tmp_path / "state"), lambda n, s: seen.append(s)).awaitTermination(120)
+    run = lambda: scan_stream(
+        spark,
+        library.catalog,
+        folder,
+        str(tmp_path / "state"),
+        lambda n,
+        s: seen.append(s),
+    ).awaitTermination(120)
     run()
     one.where("normalized_path LIKE '%a.pdf'").coalesce(1).write.mode("append").parquet(folder)
     run()
     assert seen == [{"new": 2}, {"same": 1, "missing": 1}]
-    assert {(r.content_hash, r.missing_since is None) for r in library.documents().collect()} == {("sha256:a", True), ("sha256:b", False)}
-
-    spark.createDataFrame([("a", "x", datetime(2024, 1, 2)), ("a", "x", datetime(2024, 1, 2)), ("b", "x", datetime(2024, 1, 3)), ("x", "x", datetime(2024, 1, 3))], "citing_paper_id string, cited_paper_id string, created_at timestamp").write.parquet(str(tmp_path / "c"))
-    stream = citation_counts(spark.readStream.schema("citing_paper_id string, cited_paper_id string, created_at timestamp").parquet(str(tmp_path / "c")))
+    assert {
+        (r.content_hash, r.missing_since is None) for r in library.documents().collect()
+    } == {("sha256:a", True), ("sha256:b", False)}
+
+    spark.createDataFrame(
+        [
+            ("a", "x", datetime(2024, 1, 2)),
+            ("a", "x", datetime(2024, 1, 2)),
+            ("b", "x", datetime(2024, 1, 3)),
+            ("x", "x", datetime(2024, 1, 3)),
+        ],
+        "citing_paper_id string, cited_paper_id string, created_at timestamp",
+    ).write.parquet(str(tmp_path / "c"))
+    stream = citation_counts(
+        spark.readStream.schema(
+            "citing_paper_id string, cited_paper_id string, created_at timestamp",
+        ).parquet(str(tmp_path / "c")),
+    )
     query = stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [(r.cited_paper_id, r.citations) for r in spark.table("counts").collect()] == [("x", 2)]
@@ -266,7 +317,10 @@ def test_streaming(spark, tmp_path):
 
 def test_plans(spark, tmp_path):
     rows = [("a", "b", datetime(2024, 1, 1)), ("c", "b", datetime(2024, 1, 2))]
-    spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)], "id string, citing_paper_id string, cited_paper_id string, created_at timestamp").write.parquet(str(tmp_path / "citation"))
+    spark.createDataFrame(
+        [(str(i), *r) for i, r in enumerate(rows)],
+        "id string, citing_paper_id string, cited_paper_id string, created_at timestamp",
+    ).write.parquet(str(tmp_path / "citation"))
     from quillgraph.operators.heavy_keys import most_cited
 
     df = most_cited(spark.read.parquet(str(tmp_path / "citation")))
