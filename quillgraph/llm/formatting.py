@@ -16,8 +16,8 @@ from quillgraph.functions.text import fold
 from quillgraph.llm.blocks import pairs_within
 from quillgraph.session import cut
 
-#: A dictionary of up to this many raw values is broadcast (some tens of bytes each).
-BROADCAST_VALUES = 50_000
+#: A dictionary of up to so many raw values, and so many bytes of them, is broadcast.
+BROADCAST_VALUES, BROADCAST_BYTES = 50_000, 8_000_000
 
 # Titles that name no work, without case, white space and punctuation.
 PLACEHOLDERS = (
@@ -46,8 +46,8 @@ def encode(
     ``fields`` names string columns and gives how a value of each is canonicalised; ``numbers`` names
     integer columns, which are their own codes. A field is absent where it is NULL or ``absent`` holds
     for its canonical form, so absent, null and empty are the same. Each distinct raw value is
-    canonicalised once, in full, however long. A dictionary that is small by count is broadcast, a
-    larger one is joined by a shuffle, in which adaptive execution splits hot values. Repeated rows come
+    canonicalised once, in full, however long. A dictionary that is small by count and bytes is broadcast,
+    a larger one is joined by a shuffle, in which adaptive execution splits hot values. Repeated rows come
     out as often as they occur; an empty table gives an empty result; further columns are ignored.
     """
     out = df.select(
@@ -63,7 +63,8 @@ def encode(
         numbered = cut(forms.select("form").distinct().withColumn("value", F.monotonically_increasing_id()))
         numbered = numbered.where(~absent(F.col("form")))
         dictionary = forms.join(numbered, "form").select(f"_raw{i}", F.col("value").alias(f"_v{i}"))
-        if raw.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES:
+        first = raw.limit(BROADCAST_VALUES + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(f"_raw{i}")), F.lit(0))).first()
+        if first[0] <= BROADCAST_VALUES and first[1] <= BROADCAST_BYTES:
             dictionary = F.broadcast(dictionary)
         out = out.join(dictionary, f"_raw{i}", "left").drop(f"_raw{i}")
     values = [f"_v{i}" for i in range(len(fields))] + [f"_n{i}" for i in range(len(numbers))]

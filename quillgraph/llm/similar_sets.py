@@ -370,7 +370,7 @@ def similar_classes(found: DataFrame, threshold: float, held: int = HELD) -> Dat
     if left.limit(1).count():
         blocks = left.groupBy(*crowd).agg(F.max("block").alias("_last"))
         cells = (
-            left.join(F.broadcast(blocks), crowd)  # at most one row per HELD rows of the forest
+            left.join(blocks, crowd)
             .withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_last"))))
             .select(
                 *crowd,
