@@ -17,7 +17,7 @@ from quillgraph.operators.papers import degrees
 from quillgraph.schema import Direction
 from quillgraph.session import cut
 
-#: A side of up to so many rows (an id each) is broadcast; its size is counted first.
+#: A side of up to so many ids is broadcast; they are counted first.
 BROADCAST_ROWS = 100_000
 #: A graph of up to so many nodes and edges together is ranked by one task, in memory.
 ONE_TASK = 2_000_000
@@ -220,14 +220,14 @@ def shortest_path(edges: DataFrame, source: DataFrame, target: Column, most: int
     """
     level = cut(source.select("id", F.array("id").alias("path")))
     seen = level.select("id")
-    for _ in range(most):
+    for step in range(most):
         hit = level.where(F.col("id") == target)
         if hit.count():
             return hit.select("path")
         rows = level.count()
         if not rows:
             break
-        side = _sized(level.select(F.col("id").alias("citing"), "path"), rows)
+        side = _sized(level.select(F.col("id").alias("citing"), "path"), rows * (step + 2))  # ids in all
         near = edges.join(side, "citing").groupBy(F.col("cited").alias("id")).agg(F.min("path").alias("path"))
         level = cut(near.join(seen, "id", "left_anti").select("id", F.concat("path", F.array("id")).alias("path")))
         seen = seen.unionByName(level.select("id"))
