@@ -25,5 +25,6 @@ def fold(value: Column) -> Column:
     Case is folded over upper and back to lower case, so that ``ß`` equals ``SS``; the replacement
     between keeps the optimizer from dropping the first of the two. Symbols and marks stay. NULL stays NULL; a text of nothing but such characters becomes ''.
     """
-    bare = F.regexp_replace(value, r"(?U)[\s\p{P}\p{Z}\p{Cc}\p{Cf}]+", "")
+    # Categories are Unicode ones as they stand, and hold all white space.
+    bare = F.regexp_replace(value, r"[\p{P}\p{Z}\p{Cc}\p{Cf}]+", "")
     return F.lower(F.replace(F.upper(bare), F.lit("ẞ"), F.lit("SS")))

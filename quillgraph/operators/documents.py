@@ -9,6 +9,7 @@ from quillgraph.functions.hints import is_strong
 from quillgraph.operators.identity import holders, resolve
 from quillgraph.operators.papers import paper_label, paper_records
 from quillgraph.schema import IdentificationStatus, ResolutionStatus
+from quillgraph.session import cut
 
 
 def documents(copies: DataFrame, paper_id: str | None = None, unlinked_only: bool = False) -> DataFrame:
@@ -66,12 +67,10 @@ def identify(selected: DataFrame, identifier: DataFrame, order: str = "order") -
     are linked to it. A paper made so holds one identifier, so it cannot change what becomes of a
     document with several, only appear among its candidates. That makes the scan a few joins.
     """
-    rows = resolve(
-        selected.select("document_id", "identifiers"),
-        identifier,
-        "document_id",
-    ).withColumn("outcome", assess())
-    rows = rows.join(selected.select("document_id", F.col(order).alias("_order")), "document_id")
+    # Hints are read from texts once, and the resolution is looked at three times below.
+    chosen = cut(selected.select("document_id", F.col(order).alias("_order"), "identifiers"))
+    rows = resolve(chosen.select("document_id", "identifiers"), identifier, "document_id")
+    rows = cut(rows.withColumn("outcome", assess()).join(chosen.select("document_id", "_order"), "document_id"))
     one = F.get("identifiers", F.lit(0))
     fresh = F.col("outcome") == IdentificationStatus.created.value
     # The first per key by a minimum, which is combined before the shuffle, not by ranking all rows.

@@ -9,6 +9,7 @@ from quillgraph.operators.documents import minted_paper_id
 from quillgraph.operators.identity import KEYS, resolve, shares_identifier, without
 from quillgraph.operators.works import lookup, with_keys
 from quillgraph.schema import CandidateStatus, ImportStatus, MetadataStatus, ResolutionStatus
+from quillgraph.session import cut
 
 
 def import_status(requests: DataFrame, works: DataFrame, identifier: DataFrame, key: str) -> DataFrame:
@@ -22,7 +23,9 @@ def import_status(requests: DataFrame, works: DataFrame, identifier: DataFrame,
     """
     found = requests.join(lookup(requests, works, key), key, "left")
     known = with_keys(works).select("work_id", "title", "publication_year", "keys")
-    rows = found.select(key, F.col("identifiers").alias("asked"), "work_id").join(known, "work_id", "left")
+    rows = cut(
+        found.select(key, F.col("identifiers").alias("asked"), "work_id").join(known, "work_id", "left")
+    )  # resolved, and joined to its resolution
     outcome = resolve(
         rows.where("work_id IS NOT NULL").select(key, F.col("keys").alias("identifiers")),
         identifier,
@@ -98,10 +101,12 @@ def metadata_fill(paper: DataFrame, identifier: DataFrame, works: DataFrame, of:
         F.sort_array(F.collect_list(F.struct("scheme", "value", "normalized_value"))).alias("identifiers"),
     )
     asked = asked.join(rows.select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
-    hits = lookup(asked, works, "paper_id").join(
-        with_keys(works).select("work_id", "title", "publication_year", "keys"),
-        "work_id",
-    )
+    hits = cut(
+        lookup(asked, works, "paper_id").join(
+            with_keys(works).select("work_id", "title", "publication_year", "keys"),
+            "work_id",
+        )
+    )  # resolved, and joined to its resolution
     outcome = resolve(
         hits.select(F.col("paper_id").alias("asked_by"), F.col("keys").alias("identifiers")),
         identifier,

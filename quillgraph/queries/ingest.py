@@ -182,7 +182,8 @@ _HINTS = rf"""
       SELECT doc_id, unnest(regexp_extract_all(text, '\b10\.\d{{4,9}}/[^\s\p{{Z}}"<>]+')) AS v FROM documents))),
   hv AS (
     SELECT document_id, scheme, value, CASE WHEN scheme = 'arxiv' THEN regexp_replace(value, 'v\d+$', '') ELSE lower(value) END AS normalized_value
-    FROM h WHERE scheme = 'arxiv' OR regexp_full_match(value, '10\.[^/\s]+/[^\s]+')),
+    FROM h WHERE CASE WHEN scheme = 'arxiv' THEN regexp_full_match(value, '\d{{4}}\.\d{{4,5}}(v\d+)?')
+                      ELSE regexp_full_match(value, '10\.[^/\s]+/[^\s]+') END),
   strong AS (SELECT DISTINCT document_id FROM hv WHERE scheme = 'arxiv'),
   sel AS (SELECT DISTINCT document_id, scheme, normalized_value AS v FROM hv WHERE scheme = 'arxiv' OR document_id NOT IN (SELECT document_id FROM strong)),
   held AS (SELECT DISTINCT scheme, normalized_value AS v, paper_id FROM paper_identifier WHERE normalized_value IS NOT NULL)
