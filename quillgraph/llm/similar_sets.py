@@ -472,14 +472,19 @@ class SimilarSets:
         return within.unionByName(across)
 
     def summary(self) -> DataFrame:
-        """(basket, class_id, links): the basket that stands for the set's class and the number of
-        other classes that are similar to it."""
+        """(basket, class_id, links): the smallest basket of the set's class and the number of other
+        classes that are similar to it."""
         ends = self.links.select(F.col("a").alias("no")).unionByName(self.links.select(F.col("b").alias("no")))
         counts = ends.groupBy("no").agg(F.count(F.lit(1)).alias("links"))
-        all_sets = self.sets.select("no", "basket").join(self._copies().select("no", "class_no"), "no", "left")
+        copies = cut(self._copies())
+        first = copies.groupBy(F.col("class_no").alias("no")).agg(F.min("basket").alias("class_id"))
+        all_sets = self.sets.select("no", "basket").join(copies.select("no", "class_no"), "no", "left")
         of = all_sets.select("basket", F.coalesce("class_no", "no").alias("no"))
-        named = self.sets.select("no", F.col("basket").alias("class_id")).join(counts, "no", "left")
-        return of.join(named, "no").select("basket", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+        return (
+            of.join(first, "no", "left")
+            .join(counts, "no", "left")
+            .select("basket", F.coalesce("class_id", "basket").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+        )
 
 
 def similar_reference_lists(citation: DataFrame, threshold: float = 0.6, held: int = HELD) -> SimilarSets:
