@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import citations, graph, layout, papers
+from quillgraph.queries import graphs
 from quillgraph.schema import Direction
 
 DEMO = "AB AE BC EC CD ED EJ FA FG FI GB GK HD HJ IC IH JD KE KL LC"
@@ -192,6 +193,21 @@ def test_stored_edges_and_upserts(spark):
     assert {tuple(r) for r in citations.upsert(new, edges, paper).collect()} == {("a", "b"), ("b", "c")}
 
 
+def test_every_stored_edge_gets_outcomes_both_ways(spark, tmp_path):
+    # Ids below and from 8 on, also as the first digit of a citing paper; one edge is stored both ways.
+    stored = ["03", "30", "37", "79", "97", "f2", "2f", "89"]
+    stored = [tuple(e) for e in stored] + [("3", "7"), ("5", "5"), ("6", None), ("6", "gone")]
+    paper, _ = frames(spark, [], nodes="02356789f")
+    paper.write.parquet(f"{tmp_path}/paper.parquet")
+    spark.createDataFrame(stored, "citing_paper_id string, cited_paper_id string").write.parquet(
+        f"{tmp_path}/citation.parquet",
+    )
+    valid = {e for e in stored if e[0] != e[1] and None not in e and "gone" not in e}
+    want = {(b, a): "created" for a, b in valid} | dict.fromkeys(valid, "confirmed")
+    got = graphs.QUERIES["edge_upsert"](spark, str(tmp_path)).collect()
+    assert {(r.citing, r.cited): r.outcome for r in got} == want and len(got) == len(want)
+
+
 def test_references_and_cited_by(spark, demo):
     paper, edges = demo
     assert {r.id for r in graph.references(edges, paper, seed(spark, "F")).collect()} == set("AGI")
