@@ -66,8 +66,10 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 #: A word of letters alone, not part of a path, an address or an identifier.
 _PLAIN = re.compile(r"(?<![\w/.:@=\-])[^\W\d_]{2,}(?:['’\-][^\W\d_]+)*(?![\w/@=]|[.:]\w)")
 _WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]{2}")
-#: Sentences shorter than that join the next, unless a line ends.
+#: Sentences shorter than that join the next, unless a line ends or the mark is Chinese or Japanese.
 _SHORT = 12
+#: Bytes of the shortest run of another language within a sentence, and the price of a change of language.
+RUN, CHANGE = 32, 8.0
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -80,13 +82,17 @@ def sentences(text: str) -> list[tuple[int, int]]:
         line = mark in "\r\n\u2028\u2029"
         if line and soft and (a in soft or a + 1 in soft) and text.count("\n", a, b) < 2:
             continue
-        if not line and b - begin < _SHORT and b < size:
+        if not line and mark not in "。！？" and b - begin < _SHORT and b < size:
             continue  # "J." and the like stay with what follows
         out.append((begin, a if line else b))
         begin = b
     out.append((begin, size))
+    return _trimmed(text, out)
+
+
+def _trimmed(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     trimmed = []
-    for a, b in out:
+    for a, b in spans:
         piece = text[a:b]
         bare = piece.lstrip()
         if bare:
@@ -132,6 +138,20 @@ def tells(sentence: str) -> int:
     return count
 
 
+def _place(sentence: str, size: int) -> int:
+    """The place in a sentence before which the network reads about ``size`` bytes, not within a word."""
+    low, high = 0, len(sentence)
+    while low < high:
+        middle = (low + high) // 2
+        if len(prepared(sentence[:middle]).encode("utf-8", "ignore")) < size:
+            low = middle + 1
+        else:
+            high = middle
+    narrow = lambda c: c.isalnum() and not "\u3040" <= c <= "\u9fff"
+    near = [i for i in range(1, len(sentence)) if abs(i - low) <= 16 and not (narrow(sentence[i - 1]) and narrow(sentence[i]))]
+    return min(near, key=lambda i: abs(i - low), default=low)
+
+
 # --- training -----------------------------------------------------------------------------------
 
 
@@ -284,10 +304,16 @@ class Reader:
         self.known: dict[str, int] = {}
         self.told = np.zeros(0, np.int8)
         self.rows = np.zeros((0, NONE + 1), np.float32)
+        self.second = np.zeros(0, np.float32)
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How much each sentence tells, and its class probabilities: the mean over all its positions.
         A sentence that tells nothing is not read; its class is NONE."""
+        at = self._at(texts)
+        return self.told[at], self.rows[at]
+
+    def _at(self, texts: list[str]) -> np.ndarray:
+        """Where the sentences are kept; those not known are read. ``second`` has the bytes of their second language."""
         keys = list(map(prepared, texts))
         if len(self.known) > self.KEPT:
             self.__init__(self.network)
@@ -299,6 +325,7 @@ class Reader:
             told = np.fromiter(map(tells, new), np.int8, len(new))
             rows = np.zeros((len(new), NONE + 1), np.float32)
             rows[told == 0, NONE] = 1
+            second = np.zeros(len(new), np.float32)
             raw = {int(i): new[i].encode("utf-8", "ignore") for i in np.flatnonzero(told)}
             order = sorted(raw, key=lambda i: len(raw[i]))
             start = 0
@@ -310,11 +337,64 @@ class Reader:
                 p = self.network.probabilities(x, lengths)
                 if lengths.min() != len(x):
                     p *= (np.arange(len(x))[:, None] < lengths)[:, :, None]
-                rows[part] = p.sum(0) / lengths[:, None]
+                sums = p.sum(0)
+                rows[part] = sums / lengths[:, None]
+                second[part] = np.partition(sums[:, :NONE], -2, axis=1)[:, -2] * gru.PATCH
                 start += len(part)
             self.told, self.rows = np.concatenate([self.told, told]), np.concatenate([self.rows, rows])
-        at = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
-        return self.told[at], self.rows[at]
+            self.second = np.concatenate([self.second, second])
+        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+
+    def read_texts(self, texts: list[str | None]) -> list[tuple[list[tuple[int, int]], list[int], np.ndarray]]:
+        """Of each whole text: its sentences, how much each tells, and their class probabilities. A sentence
+        that changes its language comes out in parts."""
+        spans = [sentences(t) if t else [] for t in texts]
+        at = self._at([t[a:b] for t, s in zip(texts, spans) for a, b in s])
+        told, rows, mixed = self.told[at], self.rows[at], self.second[at] >= SURE * RUN
+        out, begin = [], 0
+        for text, s in zip(texts, spans):
+            own = slice(begin, begin + len(s))
+            begin += len(s)
+            if mixed[own].any():
+                s = [part for span, m in zip(s, mixed[own]) for part in (self.parts(text, *span) if m else [span])]
+            if len(s) == own.stop - own.start:
+                out.append((s, told[own].tolist(), rows[own]))
+            else:
+                own_told, own_rows = self.read([text[a:b] for a, b in s])
+                out.append((s, own_told.tolist(), own_rows))
+        return out
+
+    def parts(self, text: str, begin: int, end: int) -> list[tuple[int, int]]:
+        """(begin, end) of the parts of a sentence that are each in one language: the likeliest labels
+        of its positions where a change has a price, in runs of at least RUN bytes. It stays whole unless
+        each part, read alone, is surely in another language than the one before it."""
+        sentence = text[begin:end]
+        p = np.log(np.maximum(self.positions(prepared(sentence))[:: gru.PATCH, :NONE], 1e-6))
+        back = np.zeros(p.shape, np.int64)
+        best = p[0]
+        for i in range(1, len(p)):
+            other = int(best.argmax())
+            back[i] = np.where(best[other] - CHANGE > best, other, np.arange(NONE))
+            best = np.maximum(best, best[other] - CHANGE) + p[i]
+        labels = [int(best.argmax())]
+        for i in range(len(p) - 1, 0, -1):
+            labels.append(int(back[i, labels[-1]]))
+        labels.reverse()
+        starts = [0] + [i for i in range(1, len(labels)) if labels[i] != labels[i - 1]]
+        runs: list[list[int]] = []
+        for a, b in zip(starts, [*starts[1:], len(labels)]):
+            # A short run, of a borrowed term or a name, stays with what is before it.
+            if runs and ((b - a) * gru.PATCH < RUN or labels[a] == runs[-1][1]):
+                continue
+            runs.append([a, labels[a]])
+        if len(runs) > 1 and (runs[1][0] - runs[0][0]) * gru.PATCH < RUN:
+            del runs[1]
+        cuts = [begin + _place(sentence, a * gru.PATCH) for a, _ in runs[1:]]
+        parts = _trimmed(text, list(zip([begin, *cuts], [*cuts, end])))
+        told, rows = self.read([text[a:b] for a, b in parts])
+        alone = rows[:, :NONE]
+        changes = (alone.argmax(1)[1:] != alone.argmax(1)[:-1]).all()
+        return parts if changes and told.min() >= 3 and alone.max(1).min() >= SURE else [(begin, end)]
 
     def pooled(self, texts: list[str]) -> np.ndarray:
         return self.read(texts)[1]
@@ -407,13 +487,9 @@ def label(
             for start in range(0, all_rows.num_rows, 1000):
                 batch = all_rows.slice(start, 1000)
                 texts = batch.column(2).to_pylist()
-                spans = [sentences(t) if t else [] for t in texts]
-                told, pooled = reader.read([t[a:b] for t, s in zip(texts, spans) for a, b in s])
                 rows: list[tuple] = []
-                at = 0
-                for i, s in enumerate(spans):
-                    found = stretches(s, told[at : at + len(s)].tolist(), pooled[at : at + len(s)])
-                    at += len(s)
+                for i, read_text in enumerate(reader.read_texts(texts)):
+                    found = stretches(*read_text)
                     if whole:
                         found = _by_language(found)
                     rows += [(i, *f) for f in found] or [(i, None, None, None, None)]

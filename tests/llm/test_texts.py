@@ -221,6 +221,12 @@ def test_sentences_and_what_they_tell():
     assert language.tells("three plain words") == 3 and language.tells("短い文です") >= 2
 
 
+def test_a_short_sentence_ends_at_an_east_asian_mark():
+    text = "我们提出新方法。We propose it as well. 短い文？ J. Smith agrees."
+    parts = [text[a:b] for a, b in language.sentences(text)]
+    assert parts == ["我们提出新方法。", "We propose it as well.", "短い文？", "J. Smith agrees."]
+
+
 def test_labels_in_any_spelling():
     known = {
         "en-US": "en",
@@ -300,6 +306,15 @@ def test_languages_of_a_table(spark, network):
     assert language.label(docs.limit(0), None, network).count() == 0
 
 
+def test_a_language_changes_within_a_sentence(spark, network):
+    rng = random.Random(8)
+    first, second = made("ru", rng)[:-1], made("en", rng)
+    rows = [(1, f"{first} {second}", None), (2, made("en", rng, 30), None)]
+    got = language.label(documents(spark, rows), None, network).orderBy("doc_id", "begin").toPandas()
+    assert list(zip(got.doc_id, got.lang)) == [(1, "ru"), (1, "en"), (2, "en")]
+    assert abs(got.begin[1] - len(first)) <= 8 and got.end[1] == len(rows[0][1])
+
+
 def test_training_on_a_table(spark, monkeypatch):
     monkeypatch.setattr(language, "STEPS", (4, 2))
     monkeypatch.setattr(language.fit, "__defaults__", (3, (4, 2)))
