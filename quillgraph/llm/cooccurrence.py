@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.blocks import pairs_within
+from quillgraph.llm.blocks import BLOCK, pairs_within
 from quillgraph.session import cut
 
-#: Baskets of more items are not paired, where a pair needs more baskets than there are such.
+#: Baskets of more items are asked for pairs, and paired by classes of items.
 HUGE = 2000
 
 
@@ -43,30 +43,104 @@ def baskets(
     return rows.join(large.select("basket"), "basket", "left_semi")
 
 
-def pair_counts(members: DataFrame, least_together: int = 1, huge: int = HUGE) -> DataFrame:
+def _count(members: DataFrame) -> DataFrame:
+    """(a, b, n_ab): pairs of codes by the number of baskets that hold both."""
+    return pairs_within(members, "basket", "code").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
+
+
+def _lifted(n_ab: str, n_a: str, n_b: str, total: int, least: int | None) -> Column:
+    """n_ab * N >= least * n_a * n_b, in exact integers; true without a limit."""
+    exact = lambda x: F.col(x).cast("decimal(19,0)")
+    return F.lit(True) if least is None else exact(n_ab) * F.lit(total) >= exact(n_a) * exact(n_b) * F.lit(least)
+
+
+def pair_counts(
+    members: DataFrame,
+    least_together: int = 1,
+    huge: int = HUGE,
+    total: int = 0,
+    least_lift: int | None = None,
+) -> DataFrame:
     """(a, b, n_ab), a < b, of the codes of (basket, code) rows that share ``least_together`` baskets.
 
-    With fewer huge baskets than a pair needs, a pair must meet in one of the others too. Then only
-    those are paired, and a huge basket, which may hold a third of all rows, is merely asked which of
-    the remaining pairs it holds: two joins, whatever its size. Else all baskets are paired, in blocks.
+    Baskets of up to ``huge`` items are paired, and the pairs counted. A basket of more items, which may
+    hold a third of all rows, is asked which of those pairs it holds, by two joins. Pairs that only huge
+    baskets hold come from ``huge_pairs``. All of it holds for any number of huge baskets. ``least_lift``
+    of ``total`` baskets may leave out pairs that cannot reach it; ``members`` then has ``n``, how many
+    baskets hold the code.
     """
     sizes = members.groupBy("basket").agg(F.count(F.lit(1)).alias("_n"))
-    count = lambda df: pairs_within(df, "basket", "code").groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n_ab"),
-    )
-    few = [r.basket for r in sizes.where(F.col("_n") > huge).select("basket").limit(least_together).collect()]
-    if not few or len(few) >= least_together:
-        counts = count(members)
-        return counts.where(F.col("n_ab") >= least_together) if least_together > 1 else counts
-    in_huge = F.col("basket").isin(few)
-    near = count(members.where(~in_huge)).where(F.col("n_ab") >= least_together - len(few))
-    held = members.where(in_huge)
-    a, b = held.select("basket", F.col("code").alias("a")), held.select("basket", F.col("code").alias("b"))
-    more = near.join(a, "a").join(b, ["basket", "b"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_more"))
-    total = F.col("n_ab") + F.coalesce("_more", F.lit(0))
-    return near.join(more, ["a", "b"], "left").select("a", "b", total.alias("n_ab")).where(
-        F.col("n_ab") >= least_together,
+    large = cut(sizes.where(F.col("_n") > huge).select("basket"))  # at most rows / huge
+    if not large.limit(1).count():
+        return _count(members).where(F.col("n_ab") >= least_together)
+    held = cut(members.join(large, "basket", "left_semi"))
+    near = _count(members.join(large, "basket", "left_anti"))
+    # No pair lies in more huge baskets than its rarer item, so most need not be asked for.
+    often = held.groupBy("code").agg(F.count(F.lit(1)).alias("h"))
+    h = lambda end: often.select(F.col("code").alias(end), F.col("h").alias(f"h_{end}"))
+    near = near.join(h("a"), "a", "left").join(h("b"), "b", "left")
+    most = F.coalesce(F.least("h_a", "h_b") * F.when(F.col("h_a").isNotNull() & F.col("h_b").isNotNull(), 1), F.lit(0))
+    near = cut(near.select("a", "b", "n_ab", most.alias("most")).where(F.col("n_ab") + F.col("most") >= least_together))
+    a, b = (held.select("basket", F.col("code").alias(end)) for end in ("a", "b"))
+    asked = near.where("most > 0").join(a, "a").join(b, ["basket", "b"])
+    more = asked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_more"))
+    both = near.join(more, ["a", "b"], "left").select("a", "b", (F.col("n_ab") + F.coalesce("_more", F.lit(0))).alias("n_ab"))
+    # A pair of both kinds has its whole number in the first and only its huge baskets in the second.
+    every = both.unionByName(huge_pairs(held, often, least_together, total, least_lift))
+    counts = every.groupBy("a", "b").agg(F.max("n_ab").alias("n_ab"))
+    return counts.where(F.col("n_ab") >= least_together)
+
+
+def huge_pairs(
+    held: DataFrame,
+    often: DataFrame,
+    least_together: int,
+    total: int = 0,
+    least_lift: int | None = None,
+) -> DataFrame:
+    """(a, b, n_ab): pairs of codes that lie together in ``least_together`` of the huge baskets ``held``.
+
+    ``often`` has the number h of huge baskets of each code; one in fewer than ``least_together`` has no
+    such pair. Codes that lie in the same huge baskets, and as often in all, are alike in what they share
+    with others: they form a class, of which one code is paired. Classes that qualify are expanded, in
+    blocks, so what is emitted beyond pairs of classes is what comes out.
+    """
+    able = held.join(often.where(F.col("h") >= least_together), "code")
+    n = F.max("n") if "n" in held.columns else F.lit(0).cast("long")
+    marks = able.groupBy("code").agg(
+        F.bit_xor(F.xxhash64("basket")).alias("_x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "basket")).alias("_y"),
+        F.first("h").alias("h"),
+        n.alias("n"),
+    )  # the set of a code's huge baskets by 128 bits, whatever their number
+    alike = ["_x", "_y", "h", "n"]
+    marks = cut(marks)
+    kinds = cut(marks.groupBy(*alike).agg(F.min("code").alias("kind"), F.count(F.lit(1)).alias("size")))
+    first = able.select("basket", "code").join(kinds.select(F.col("kind").alias("code")), "code", "left_semi")
+    across = _count(first).where(F.col("n_ab") >= least_together)
+    within = kinds.where("size > 1").select(F.col("kind").alias("a"), F.col("kind").alias("b"), F.col("h").alias("n_ab"))
+    of = lambda end: kinds.select(
+        F.col("kind").alias(end),
+        F.col("n").alias(f"n_{end}"),
+        F.ceil(F.col("size") / BLOCK).cast("int").alias(f"k_{end}"),
     )
+    pairs = across.unionByName(within).join(of("a"), "a").join(of("b"), "b")
+    pairs = pairs.where(_lifted("n_ab", "n_a", "n_b", total, least_lift))
+    cells = pairs.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("k_a") - 1))).withColumn(
+        "_j",
+        F.explode(F.sequence(F.lit(0), F.col("k_b") - 1)),
+    )
+    codes = marks.join(kinds, alike).select(
+        "kind",
+        "code",
+        F.pmod(F.xxhash64("code"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("block"),
+    )
+    left = codes.select(F.col("kind").alias("a"), F.col("block").alias("_i"), F.col("code").alias("x"))
+    right = codes.select(F.col("kind").alias("b"), F.col("block").alias("_j"), F.col("code").alias("y"))
+    out = cells.select("a", "b", "_i", "_j", "n_ab").join(left, ["a", "_i"]).join(right, ["b", "_j"])
+    # Within a class every two codes meet both ways round.
+    out = out.where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n_ab")
 
 
 def cooccurrence(
@@ -104,15 +178,13 @@ def cooccurrence(
             F.monotonically_increasing_id(),
         ),
     )
-    members = rows.join(coded.select("item", "code"), "item").select("basket", "code")
-    counts = pair_counts(members, least_together)
+    members = rows.join(coded, "item").select("basket", "code", "n")
+    counts = pair_counts(members, least_together, HUGE, total, least_lift)
     names = coded.select("code", "item", "n")
     left = names.select(F.col("code").alias("a"), F.col("item").alias("item_a"), F.col("n").alias("n_a"))
     right = names.select(F.col("code").alias("b"), F.col("item").alias("item_b"), F.col("n").alias("n_b"))
     out = counts.join(left, "a").join(right, "b")
-    if least_lift is not None:
-        exact = lambda x: F.col(x).cast("decimal(19,0)")
-        out = out.where(exact("n_ab") * F.lit(total) >= exact("n_a") * exact("n_b") * F.lit(least_lift))
+    out = out.where(_lifted("n_ab", "n_a", "n_b", total, least_lift))
     lift = F.col("n_ab") * F.lit(float(total)) / (F.col("n_a").cast("double") * F.col("n_b"))
     return out.select(
         F.col("item_a").alias("a"),

@@ -132,6 +132,9 @@ def containers(sized: DataFrame, id_column: str, capacity: int, block: int = BLO
     items = rows.select("no", (F.col("_t") % capacity).alias("tokens")).where("tokens > 0")
     blocks = max(1, math.ceil(items.count() / block))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("no"), F.lit(blocks)))
+    # Blocks are a few bytes a text but seconds of work, so tasks are counted by blocks, not by bytes: a
+    # number that is named is not coalesced.
+    dealt = dealt.repartition(blocks, "block")
     packed = dealt.groupBy("block").applyInArrow(_pack_block(capacity), "block long, no long, window long, at long")
     last = rows.join(packed, "no").select(
         F.concat_ws("-", F.lit("b"), "block", "window").alias("container"),

@@ -84,6 +84,28 @@ def test_huge_baskets_lose_no_pair(spark, least):
     assert got == {p: n for p, n in both.items() if n >= least}
 
 
+@pytest.mark.parametrize("least, lift", [(1, None), (4, None), (6, 2)])
+def test_any_number_of_huge_baskets(spark, least, lift):
+    rng = random.Random(5)
+    lists = {f"b{i}": set(rng.sample(range(60), 5)) for i in range(80)}
+    lists |= {f"h{i}": {0} | set(rng.sample(range(20 * (i % 3), 20 * (i % 3) + 30), 20)) for i in range(14)}
+    lists |= {f"t{i}": {0, *range(70, 110)} for i in range(7)}  # the same forty in seven of them
+    n = Counter(x for s in lists.values() for x in s)
+    both = Counter(p for s in lists.values() for p in itertools.combinations(sorted(s), 2))
+    rows = [(b, c, n[c]) for b, s in lists.items() for c in s]
+    members = spark.createDataFrame(rows, "basket string, code long, n long")
+    got = {(r.a, r.b): r.n_ab for r in cooccurrence.pair_counts(members, least, 10, len(lists), lift).collect()}
+    good = lambda p, k: k >= least and (lift is None or k * len(lists) >= lift * n[p[0]] * n[p[1]])
+    assert {p: k for p, k in got.items() if good(p, k)} == {p: k for p, k in both.items() if good(p, k)}
+    assert all(both[p] == k for p, k in got.items())
+
+
+def test_huge_baskets_with_nothing_in_common_make_no_pairs(spark):
+    rows = [(f"h{i}", f"x{i}-{j}") for i in range(10) for j in range(20_000)] + [(f"h{i}", "hot") for i in range(10)]
+    held = spark.createDataFrame(rows, "basket string, item string")
+    assert cooccurrence.cooccurrence(held, "basket", "item", 5, 6).count() == 0
+
+
 def test_cooccurrence_of_nothing(spark):
     assert cooccurrence.reference_list_pairs(citations(spark, []), 6, 4).count() == 0
     assert cooccurrence.reference_list_pairs(citations(spark, [("a", "b"), (None, None)])).count() == 0
