@@ -3,6 +3,10 @@
 Method: dictionary encoding. Each distinct raw value of a field is canonicalised once and gets the
 integer of its canonical value; a record becomes the tuple of its integers in the order of the fields;
 the compact tuples are grouped.
+
+The integer of a canonical value is a 128-bit hash of it, held as two longs: it needs no numbering of
+all values, does not change when a task runs again, and two values of a hundred billion share one with a
+chance below 1e-16.
 """
 
 from __future__ import annotations
@@ -16,8 +20,8 @@ from quillgraph.functions.text import fold
 from quillgraph.llm.blocks import pairs_within
 from quillgraph.session import cut
 
-#: A dictionary of up to so many raw values, and so many bytes of them, is broadcast.
-BROADCAST_VALUES, BROADCAST_BYTES = 50_000, 8_000_000
+#: A raw value of this share of the rows is hot, so there are at most 1 / HOT of them.
+HOT = 1 / 2000
 
 # Titles that name no work, without case, white space and punctuation.
 PLACEHOLDERS = (
@@ -34,6 +38,11 @@ def names_no_work(canonical: Column) -> Column:
     return F.coalesce((canonical == "") | canonical.isin(*PLACEHOLDERS), F.lit(True))
 
 
+def _integer(value: Column) -> tuple[Column, Column]:
+    """The two halves of the 128-bit integer of a text."""
+    return F.xxhash64(value), F.xxhash64(F.lit(1), value)
+
+
 def encode(
     df: DataFrame,
     id_column: str,
@@ -41,14 +50,16 @@ def encode(
     numbers: Sequence[str] = (),
     absent: Callable[[Column], Column] = lambda form: form == "",
 ) -> DataFrame:
-    """(id, key): each record as a tuple of integers, one per field, NULL where the field is absent.
+    """(id, key): each record as a tuple of integers, two per text field, NULL where the field is absent.
 
     ``fields`` names string columns and gives how a value of each is canonicalised; ``numbers`` names
     integer columns, which are their own codes. A field is absent where it is NULL or ``absent`` holds
     for its canonical form, so absent, null and empty are the same. Each distinct raw value is
-    canonicalised once, in full, however long. A dictionary that is small by count and bytes is broadcast,
-    a larger one is joined by a shuffle, in which adaptive execution splits hot values. Repeated rows come
-    out as often as they occur; an empty table gives an empty result; further columns are ignored.
+    canonicalised once, in full, however long: in the dictionary, which stays where its distinct values
+    were brought together, and to which only the rows are shuffled. Hot raw values, at most 1 / HOT by
+    their counts, are looked up in a broadcast of fixed width, and rows with one, or with NULL, are
+    spread evenly. Repeated rows come out as often as they occur; an empty table gives an empty result;
+    further columns are ignored.
     """
     out = df.select(
         F.col(id_column).alias("id"),
@@ -56,18 +67,35 @@ def encode(
         *[F.col(c).cast("long").alias(f"_n{i}") for i, c in enumerate(numbers)],
     )
     for i, (name, canonicalise) in enumerate(fields.items()):
-        raw = df.select(F.col(name).alias(f"_raw{i}")).where(F.col(f"_raw{i}").isNotNull()).distinct()
-        forms = raw.withColumn("form", canonicalise(F.col(f"_raw{i}")))
-        # Integers are fixed by the checkpoint: a task that runs again would number values anew. What
-        # is absent is dropped behind it, else the filter would canonicalise every value again.
-        numbered = cut(forms.select("form").distinct().withColumn("value", F.monotonically_increasing_id()))
-        numbered = numbered.where(~absent(F.col("form")))
-        dictionary = forms.join(numbered, "form").select(f"_raw{i}", F.col("value").alias(f"_v{i}"))
-        first = raw.limit(BROADCAST_VALUES + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(f"_raw{i}")), F.lit(0))).first()
-        if first[0] <= BROADCAST_VALUES and first[1] <= BROADCAST_BYTES:
-            dictionary = F.broadcast(dictionary)
-        out = out.join(dictionary, f"_raw{i}", "left").drop(f"_raw{i}")
-    values = [f"_v{i}" for i in range(len(fields))] + [f"_n{i}" for i in range(len(numbers))]
+        raw, v, w = f"_raw{i}", f"_v{i}", f"_w{i}"
+        values = df.select(F.col(name).alias("_key")).where(F.col("_key").isNotNull())
+        counted = values.groupBy("_key").agg(F.count(F.lit(1)).alias("_times"))
+        forms = counted.withColumn("_form", canonicalise(F.col("_key")))
+        high, low = (F.when(~absent(F.col("_form")), half) for half in _integer(F.col("_form")))
+        dictionary = forms.select("_key", "_times", high.alias(v), low.alias(w))
+        every = counted.agg(F.sum("_times")).scalar()
+        by_hash = [x.alias(n) for n, x in zip(("_x", "_y"), _integer(F.col("_key")))]
+        hot = dictionary.where(F.col("_times") >= F.lit(HOT) * every).select(
+            *by_hash,
+            F.col(v).alias("_hot_v"),
+            F.col(w).alias("_hot_w"),
+            F.lit(True).alias("_hot"),
+        )
+        marked = out.withColumns(dict(zip(("_x", "_y"), _integer(F.col(raw)))))
+        marked = marked.join(F.broadcast(hot), ["_x", "_y"], "left")  # four longs each, at most 1 / HOT
+        # Rows that need no look-up get keys of their own; one that happens to be a raw value is not used.
+        needed = F.col(raw).isNotNull() & F.col("_hot").isNull()
+        elsewhere = F.concat(F.lit("\0"), F.hex(F.xxhash64("id", *[F.col(c) for c in out.columns if c not in ("id", raw)])))
+        marked = marked.withColumn("_key", F.when(needed, F.col(raw)).otherwise(elsewhere))
+        rest = [c for c in out.columns if c != raw]
+        found = marked.select(*rest, "_key", "_hot", "_hot_v", "_hot_w", F.col(raw).isNull().alias("_none")).join(
+            dictionary.drop("_times"),
+            "_key",
+            "left",
+        )
+        pick = lambda own, hot: F.when(F.col("_hot"), F.col(hot)).when(~F.col("_none"), F.col(own)).alias(own)
+        out = found.select(*rest, pick(v, "_hot_v"), pick(w, "_hot_w"))
+    values = [f"{x}{i}" for i in range(len(fields)) for x in ("_v", "_w")] + [f"_n{i}" for i in range(len(numbers))]
     return out.select("id", F.struct(*values).alias("key"))
 
 
@@ -85,7 +113,7 @@ def copies(encoded: DataFrame) -> DataFrame:
 
     A row that is stored twice under one id is one record. Large groups are paired in blocks.
     """
-    members = encoded.where(F.col("id").isNotNull())
+    members = cut(encoded.where(F.col("id").isNotNull()))  # counted, then paired
     return pairs_within(members, "key", "id").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 
@@ -95,7 +123,8 @@ def copies(encoded: DataFrame) -> DataFrame:
 def encoded_papers(paper: DataFrame) -> DataFrame:
     """Papers by folded title and publication year. Papers without a title that names a work are left
     out; a missing year equals a missing year."""
-    encoded = encode(paper, "id", {"title": fold}, ["publication_year"], names_no_work)
+    titled = paper.where(F.col("title").isNotNull())
+    encoded = encode(titled, "id", {"title": fold}, ["publication_year"], names_no_work)
     return encoded.where(F.col("key._v0").isNotNull())
 
 
@@ -152,7 +181,7 @@ def parse_records(raw: DataFrame, id_column: str = "record_id", payload: str = "
 
 def encoded_records(raw: DataFrame) -> DataFrame:
     """Readable raw records by their three folded fields. A number and its digits are the same year."""
-    rows = parse_records(raw).where("readable")
+    rows = cut(parse_records(raw).where("readable"))  # parsed once, read by each field's dictionary
     year = lambda c: F.regexp_replace(fold(F.regexp_replace(c, r"\.0+\s*\z", "")), r"\A0+(?=\d)", "")
     return encode(rows, "record_id", {"display_name": fold, "publication_year": year, "venue": fold})
 

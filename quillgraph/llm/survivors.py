@@ -1,12 +1,18 @@
 """One surviving record per group of duplicates, with the best available value of every field.
 
-Method: skyline selection. Records of a group are compared in completeness (one dimension per field),
-recency and trust. The undominated records form the first layer. Each field takes its value from the
-first layer that has one, by a lexicographic policy within the layer: later, more trusted, smaller id.
+Method: skyline selection. Records of a group are compared in completeness, recency and trust. The
+undominated records form the first layer, those that only the first dominates the second, and so on.
+Each field takes its value from the first layer that has one, by a lexicographic policy within the
+layer: later, more trusted, smaller id.
+
+Completeness is one dimension per field, or, by another policy, the number of complete fields. With one
+per field, whatever dominates a record has all of its fields, so the first layer has every field that
+the group has; with the number, a field may first come with a later layer.
 
 Completeness and trust take few values, so within a combination of them (a cell) records are ordered
-by recency alone, and all but the first are dominated by it. One row per cell therefore carries the
-whole skyline: a group of any size is reduced to a few rows before it is brought together.
+by recency alone: all but the first are dominated by it and have no field that it lacks, so only the
+first can give a value. Layers are those of these records, one per cell: a group of any size is reduced
+to a few rows before it is brought together.
 """
 
 from __future__ import annotations
@@ -118,13 +124,15 @@ def survivors(
     complete: dict[str, Column],
     recency: Column,
     trust: Column,
+    by_field: bool = True,
 ) -> DataFrame:
-    """(group, members, <field>_id...): per group and field the id of the record that gives the value.
+    """(group, members, <field>_id..., <field>_layer...): per group and field the id of the record that
+    gives the value, and the dominance layer it comes from, 1 for the undominated.
 
-    ``complete`` says for each field whether a record has a usable value. ``recency`` is a timestamp,
-    NULL is older than any; ``trust`` a small integer, NULL is 0. Equal recency is resolved by higher
-    trust, then by the smaller id, so repeated rows change nothing. A field that no record of the group
-    has gives NULL.
+    ``complete`` says for each field whether a record has a usable value; ``by_field`` makes each a
+    dimension of its own, else their number is one. ``recency`` is a timestamp, NULL is older than any;
+    ``trust`` a small integer, NULL is 0. Equal recency is resolved by higher trust, then by the smaller
+    id, so repeated rows change nothing. A field that no record of the group has gives NULL.
     """
     flags = [F.coalesce(c, F.lit(False)).alias(f"_ok{i}") for i, c in enumerate(complete.values())]
     age = F.coalesce(-F.unix_micros(recency), F.lit(2**62))
@@ -136,42 +144,52 @@ def survivors(
         F.min(F.struct("_age", "_id")).alias("_top"),
         F.count(F.lit(1)).alias("_n"),
     )
+    number = reduce(lambda a, b: a + b, [F.col(c).cast("int") for c in oks])
+    sides = [F.col(c).cast("int").alias(f"_d{i}") for i, c in enumerate(oks)] if by_field else [number.alias("_d0")]
+    dims = [*[f"_d{i}" for i in range(len(sides))], "_trust", "_new"]
     cells = cells.select(
         "_g",
         "_n",
-        F.struct(*oks, "_trust", F.col("_top._age").alias("_age"), F.col("_top._id").alias("_id")).alias("_r"),
+        F.struct(*sides, "_trust", (-F.col("_top._age")).alias("_new"), F.col("_top._id").alias("_id"), *oks).alias("_r"),
     )
     merged = cells.groupBy("_g").agg(
         F.sum("_n").alias("members"),
         F.collect_list("_r").alias("_all"),
     )  # a few rows per group
+    shape = merged.schema["_all"].dataType.elementType.simpleString()
+    layered = f"array<struct<r:{shape},layer:int>>"
 
     def dominates(y: Column, x: Column) -> Column:
-        least = [y[c] >= x[c] for c in [*oks, "_trust"]] + [y["_age"] <= x["_age"]]
-        more = [y[c] > x[c] for c in [*oks, "_trust"]] + [y["_age"] < x["_age"]]
+        least = [y[c] >= x[c] for c in dims]
+        more = [y[c] > x[c] for c in dims]
         return reduce(lambda a, b: a & b, least) & reduce(lambda a, b: a | b, more)
 
-    def undominated(records: Column) -> Column:
-        return F.filter(records, lambda x: ~F.exists(records, lambda y: dominates(y, x)))
+    def peel(done: Column, x: Column) -> Column:
+        """A record lies one layer below the lowest that dominates it."""
+        above = F.transform(F.filter(done, lambda y: dominates(y["r"], x)), lambda y: y["layer"])
+        layer = F.coalesce(F.array_max(above), F.lit(0)) + 1
+        return F.concat(done, F.array(F.struct(x.alias("r"), layer.alias("layer"))).cast(layered))
+
+    # From the greatest on, in lexicographic order, so whatever dominates a record comes before it.
+    peeled = merged.withColumn(
+        "_layers",
+        F.aggregate(F.sort_array("_all", asc=False), F.array().cast(layered), peel),
+    )
 
-    def pick(records: Column, ok: str) -> Column:
+    def best(ok: str) -> Column:
         able = F.transform(
-            F.filter(records, lambda r: r[ok]),
-            lambda r: F.struct(r["_age"], -r["_trust"], r["_id"].alias("id")),
+            F.filter("_layers", lambda l: l["r"][ok]),
+            lambda l: F.struct(l["layer"].alias("layer"), -l["r"]["_new"], -l["r"]["_trust"], l["r"]["_id"].alias("id")),
         )
-        return F.array_min(able)["id"]
+        return F.array_min(able)
 
-    layered = merged.withColumn("_first", undominated(F.col("_all"))).withColumn(
-        "_rest",
-        F.array_except("_all", "_first"),
+    chosen = peeled.select("_g", "members", *[best(ok).alias(name) for name, ok in zip(complete, oks)])
+    return chosen.select(
+        F.col("_g").alias(group),
+        "members",
+        *[F.col(name)["id"].alias(f"{name}_id") for name in complete],
+        *[F.col(name)["layer"].alias(f"{name}_layer") for name in complete],
     )
-    # Completeness is a dimension, so a field that any record has is present in the first layer; the
-    # later layers are asked for what the first lacks.
-    chosen = [F.coalesce(
-        pick(F.col("_first"), ok),
-        pick(F.col("_rest"), ok),
-    ).alias(f"{name}_id") for name, ok in zip(complete, oks)]
-    return layered.select(F.col("_g").alias(group), "members", *chosen)
 
 
 def paper_groups(paper: DataFrame, identifier: DataFrame) -> DataFrame:
@@ -195,7 +213,7 @@ def paper_groups(paper: DataFrame, identifier: DataFrame) -> DataFrame:
 
 
 def best_papers(paper: DataFrame, identifier: DataFrame, years: tuple[int, int] = (1800, 2026)) -> DataFrame:
-    """(group_id, members, title_id, year_id) of every group of ``paper_groups``.
+    """(group_id, members, title_id, year_id, title_layer, year_layer) of every group of ``paper_groups``.
 
     A title is complete if it is neither missing, blank, a placeholder nor only the beginning of a
     longer title of its group; a year if it lies in ``years``. A paper in the Library is trusted more,

@@ -159,6 +159,15 @@ def test_a_large_group_of_copies_is_whole(spark):
     assert formatting.copies(formatting.encoded_papers(papers(spark, rows))).count() == 600 * 599 // 2
 
 
+def test_hot_values_are_looked_up_apart(spark):
+    rows = [(f"{i:04}", ["Hot title", "hot TITLE!", "Unknown", None][i % 4], 2000, 0) for i in range(400)]
+    rows += [(f"x{i:04}", f"Title {i // 2}", 2000 + i % 2, 0) for i in range(4400)] + [(f"y{i}", f"title {i}.", 2000, 0) for i in range(50)]
+    encoded = formatting.encoded_papers(papers(spark, rows))
+    got = {r.id: r.copies for r in formatting.collapse(encoded).collect()}
+    assert got["0000"] == 200 and len(got) == 1 + 4400 and sum(got.values()) == 200 + 4400 + 50
+    assert formatting.copies(encoded).count() == 200 * 199 // 2 + 50
+
+
 def test_records_in_any_layout(spark):
     rows = [
         ("r1", '{"display_name": "On Tea; or, Venue: none", "publication_year": 2001, "venue": "Acta"}'),
@@ -226,6 +235,42 @@ def test_best_record_of_each_group(spark):
     assert survivors.best_papers(papers(spark, []), identifiers(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("by_field", [True, False])
+def test_layers_are_peeled_by_brute_force(spark, by_field):
+    rng = random.Random(6)
+    at = datetime(2024, 1, 1)
+    rows = [
+        (f"g{rng.randrange(25)}", f"r{i:03}", rng.random() < 0.4, rng.random() < 0.4, at + timedelta(days=rng.randrange(12)), rng.randrange(3))
+        for i in range(160)
+    ]
+    df = spark.createDataFrame(rows + rows[:9], "g string, id string, a boolean, b boolean, at timestamp, trust int")
+    from pyspark.sql import functions as F
+
+    out = survivors.survivors(df, "g", "id", {"a": F.col("a"), "b": F.col("b")}, F.col("at"), F.col("trust"), by_field)
+    got = {r.g: (r.a_id, r.a_layer, r.b_id, r.b_layer) for r in out.collect()}
+    deep = 0
+    for g in {r[0] for r in rows}:
+        tops = {}  # of records with the same fields and trust, the latest
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-(r[4] - at).days, r[1])):
+            tops.setdefault((r[2], r[3], r[5]), r)
+        left, layers = list(tops.values()), {}
+        dims = lambda r: ((r[2], r[3]) if by_field else (r[2] + r[3],)) + (r[5], r[4])
+        beats = lambda y, x: dims(y) != dims(x) and all(p >= q for p, q in zip(dims(y), dims(x)))
+        number = 0
+        while left:
+            number += 1
+            top = [x for x in left if not any(beats(y, x) for y in left)]
+            layers |= {x: number for x in top}
+            left = [x for x in left if x not in top]
+        want = []
+        for f in (2, 3):
+            able = sorted((n, -(x[4] - at).days, -x[5], x[1]) for x, n in layers.items() if x[f])
+            want += [able[0][3], able[0][0]] if able else [None, None]
+        assert list(got[g]) == want
+        deep += any(n is not None and n > 1 for n in (got[g][1], got[g][3]))
+    assert (deep == 0) if by_field else (deep > 0)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
