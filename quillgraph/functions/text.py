@@ -14,11 +14,6 @@ def strip(value: Column) -> Column:
     return F.regexp_replace(value, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
 
 
-def blank_to_null(value: Column) -> Column:
-    """Stripped text, NULL where nothing is left."""
-    return F.nullif(strip(value), F.lit(""))
-
-
 def fold(value: Column) -> Column:
     """Text without case, white space (visible or not), control characters and punctuation.
 

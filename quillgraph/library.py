@@ -1,6 +1,7 @@
 """The use cases: a library of papers in a catalog of stored tables.
 
-Each writing use case reads one snapshot, computes the changed tables, and makes them current at once.
+Each writing use case reads one snapshot, computes the changed tables, or rows that are added, and makes
+them current at once. What may be large, a graph or what a scan found, is given as DataFrames.
 Finding something never makes it a member of the Library; only ``add_to_library`` does.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from quillgraph import errors as E
 from quillgraph.functions import hints as H
 from quillgraph.functions.normalize import clean_title
-from quillgraph.operators import citations, documents, expand, graph, identity, papers, scan
+from quillgraph.operators import documents, expand, graph, identity, papers, scan
 from quillgraph.schema import CITATION, PAPER, PAPER_IDENTIFIER, SCAN_SOURCE, CandidateStatus, Direction, ImportStatus, MetadataStatus
 from quillgraph.session import cut
 from quillgraph.sources import files, pdf
@@ -74,11 +75,19 @@ class Library:
         t = self._t()
         return papers.totals(t["paper"], self._edges(t)).first()
 
+    def counts(self) -> DataFrame:
+        """(id, in_degree, out_degree) of every paper, over all citations."""
+        t = self._t()
+        return papers.degrees(self._edges(t), t["paper"])
+
+    def most_cited(self, count: int = 5) -> DataFrame:
+        return papers.most_cited(self._edges(self._t()), count)
+
     def citations_of(self, paper_id: str, direction: Direction) -> DataFrame:
         t = self._t()
         self._require_paper(t, paper_id)
         side = graph.references if direction == Direction.references else graph.cited_by
-        found = side(self._edges(t), t["paper"], self._ids(paper_id))
+        found = side(t["citation"], t["paper"], self._ids(paper_id))
         return papers.paper_records(t["paper"], t["paper_identifier"], found.select("id")).orderBy("created_at", "id")
 
     def all_citations(self) -> DataFrame:
@@ -88,7 +97,8 @@ class Library:
         """Ids of a shortest way along citations; equal ends give the one paper."""
         t = self._t()
         self._require_paper(t, source, target)
-        rows = graph.shortest_path(cut(self._edges(t)), self._ids(source), F.lit(target)).collect()
+        edges = graph.raw_edges(t["citation"])
+        rows = graph.shortest_path(edges, self._ids(source), F.lit(target), t["paper"]).collect()
         if not rows:
             raise E.CitationPathNotFound(f"no citation path from {source} to {target}")
         return list(rows[0].path)
@@ -98,41 +108,36 @@ class Library:
             raise ValueError("depth must not be negative")
         t = self._t()
         self._require_paper(t, paper_id)
-        sub = graph.neighborhood(t["paper"], cut(self._edges(t)), self._ids(paper_id), depth, Direction(direction))
-        return self._graph("neighborhood", t, sub, seed=paper_id, depth=depth, direction=Direction(direction).value)
+        way = Direction(direction)
+        edges = graph.raw_edges(t["citation"])
+        sub = graph.neighborhood(t["paper"], edges, self._ids(paper_id), depth, way, raw=True)
+        return self._graph("neighborhood", t, sub, seed=paper_id, depth=depth, direction=way.value)
 
     def library_graph(self) -> dict:
         t = self._t()
         return self._graph(
             "library",
             t,
-            graph.library_graph(t["paper"], cut(self._edges(t))),
+            graph.library_graph(t["paper"], graph.raw_edges(t["citation"])),
             seed=None,
             depth=None,
             direction=None,
         )
 
     def _graph(self, kind: str, t: dict[str, DataFrame], sub: graph.Subgraph, **about: object) -> dict:
-        """A graph as nested rows, for display: what is collected is the subgraph that was asked for."""
-        records = {
-            r.id: r for r in papers.paper_records(
-                t["paper"],
-                t["paper_identifier"],
-                sub.selected.select("id"),
-            ).collect()
+        """A graph whose ``nodes`` and ``edges`` are DataFrames in their order."""
+        records = papers.paper_records(t["paper"], t["paper_identifier"], sub.selected.select("id"))
+        paper = records.select("id", F.struct(*records.columns).alias("paper"))
+        # Nodes are ranked once, and sorted last, so that what is read from them comes in order.
+        nodes = cut(sub.nodes()).join(paper, "id").orderBy(F.asc_nulls_first("distance"), "created_at", "id")
+        edges = sub.ordered_edges().select(F.col("citing").alias("citing_paper_id"), F.col("cited").alias("cited_paper_id"))
+        return {
+            "kind": kind,
+            "seed_paper_id": about.pop("seed"),
+            **about,
+            "nodes": nodes.select("paper", "distance", "in_degree", "out_degree", "pagerank"),
+            "edges": edges,
         }
-        nodes = [
-            {
-                "paper": records[n.id],
-                "distance": n.distance,
-                "in_degree": n.in_degree,
-                "out_degree": n.out_degree,
-                "pagerank": n.pagerank,
-            }
-            for n in sub.ordered_nodes().collect()
-        ]
-        edges = [{"citing_paper_id": e.citing, "cited_paper_id": e.cited} for e in sub.ordered_edges().collect()]
-        return {"kind": kind, "seed_paper_id": about.pop("seed"), **about, "nodes": nodes, "edges": edges}
 
     # --- papers ---------------------------------------------------------------------------------
 
@@ -164,27 +169,22 @@ class Library:
         if held:
             raise E.IdentifierConflict([(s, v, p) for (s, v), p in held.items()])
         paper_id = _new_id()
-        self.catalog.commit(
-            self._with_papers(
-                t,
-                [(paper_id, title, None)],
-                [(paper_id, k.scheme, k.value, k.normalized_value) for k in keys],
-            ),
-            at,
-        )
+        new = [(paper_id, k.scheme, k.value, k.normalized_value) for k in keys]
+        self.catalog.commit({}, at, self._new_rows([(paper_id, title, None)], new))
         return paper_id
 
-    def _with_papers(self, t: dict[str, DataFrame], new: list[tuple], keys: list[tuple]) -> dict[str, DataFrame]:
-        now = _now()
-        rows = self.spark.createDataFrame([(i, title, year, now, None) for i, title, year in new], PAPER)
-        rows = rows.withColumn("title", clean_title(F.col("title")))
-        held = self.spark.createDataFrame([(_new_id(), *k) for k in keys], PAPER_IDENTIFIER)
-        return {"paper": t["paper"].unionByName(rows), "paper_identifier": t["paper_identifier"].unionByName(held)}
+    def _new_rows(self, new: list[tuple], keys: list[tuple]) -> dict[str, DataFrame]:
+        """Rows of new papers (id, title, year) and of identifiers (paper, scheme, value, normal form)."""
+        now, out = _now(), {}
+        if new:
+            rows = self.spark.createDataFrame([(i, title, year, now, None) for i, title, year in new], PAPER)
+            out["paper"] = rows.withColumn("title", clean_title(F.col("title")))
+        if keys:
+            out["paper_identifier"] = self.spark.createDataFrame([(_new_id(), *k) for k in keys], PAPER_IDENTIFIER)
+        return out
 
     def _filled(self, paper: DataFrame, fills: dict[str, tuple[str | None, int | None]]) -> DataFrame:
         """Papers whose missing titles and years are filled; what is there stays."""
-        if not fills:
-            return paper
         new = self.spark.createDataFrame(
             [(i, t, y) for i, (t, y) in fills.items()],
             "id string, _title string, _year int",
@@ -225,12 +225,17 @@ class Library:
             raise E.SelfCitation(f"paper {citing} cannot cite itself")
         at, t = self.catalog.pointer(), self._t()
         self._require_paper(t, citing, cited)
-        new = self.spark.createDataFrame([(citing, cited)], "citing string, cited string")
-        if citations.classify(new, self._edges(t), t["paper"]).first().outcome != "created":
+        if self._known(t, [(citing, cited)]):
             return False
-        self.catalog.commit({"citation": t["citation"].unionByName(self._citation_rows([(citing, cited)]))}, at)
+        self.catalog.commit({}, at, {"citation": self._citation_rows([(citing, cited)])})
         return True
 
+    def _known(self, t: dict[str, DataFrame], edges: list[tuple[str, str]]) -> set[tuple[str, str]]:
+        """Those of a use case's edges that are stored: they are looked for in the rows as scanned."""
+        asked = self.spark.createDataFrame(edges, "citing string, cited string")
+        rows = graph.raw_edges(t["citation"]).join(F.broadcast(asked), ["citing", "cited"], "left_semi")
+        return {(r.citing, r.cited) for r in rows.distinct().collect()}  # at most those asked for
+
     # --- sources and scans ----------------------------------------------------------------------
 
     def sources(self) -> DataFrame:
@@ -245,7 +250,7 @@ class Library:
         if not os.path.isdir(normal):
             raise E.SourceNotADirectory(normal)
         row = self.spark.createDataFrame([(_new_id(), path, normal, _now(), None)], SCAN_SOURCE)
-        self.catalog.commit({"scan_source": t["scan_source"].unionByName(row)}, at)
+        self.catalog.commit({}, at, {"scan_source": row})
         return row.first()
 
     def remove_source(self, id_or_path: str) -> None:
@@ -277,7 +282,7 @@ class Library:
         diff = cut(diff.withColumn("reappeared", F.col("reappeared") & F.col("_unread").isNull()).drop("_unread"))
         now = F.lit(_now())
         copies = cut(scan.apply_scan(t["document_copy"].distinct(), diff, hashes, now))
-        counters = scan.scan_counters(listing, diff, chosen).orderBy("normalized_path").collect()
+        counters = cut(scan.scan_counters(listing, diff, chosen)).orderBy("normalized_path")
         stamped = t["scan_source"].join(
             chosen.where("available").select("id", F.lit(True).alias("_scanned")),
             "id",
@@ -288,26 +293,21 @@ class Library:
             F.when(F.col("_scanned"), now).otherwise(F.col("last_scanned_at")),
         ).drop("_scanned")
         touched = diff.where(F.col("state").isin("new", "changed")).select("normalized_path", "state")
-        found = copies.join(touched, "normalized_path").select(
-            F.col("id").alias("document_id"),
-            "normalized_path",
-            "state",
-        )
-        changed, identified = self._identified(
-            t,
-            copies,
-            found.withColumn("order", F.struct(F.when(F.col("state") == "new", 0).otherwise(1), "normalized_path")),
-        )
-        self.catalog.commit({"scan_source": sources, **changed}, at)
-        new, old = (
-            [
-                r.document_id for r in found.where(F.col("state") == s).orderBy("normalized_path").collect()
-            ] for s in ("new", "changed")
+        found = cut(
+            copies.join(touched, "normalized_path").select(
+                F.col("id").alias("document_id"),
+                "normalized_path",
+                "state",
+            ),
         )
+        order = F.struct(F.when(F.col("state") == "new", 0).otherwise(1), "normalized_path")
+        changed, added, identified = self._identified(t, copies, found.withColumn("order", order))
+        self.catalog.commit({"scan_source": sources, **changed}, at, added)
+        of = lambda state: found.where(F.col("state") == state).orderBy("normalized_path").select("document_id")
         return {
             "sources": counters,
-            "new_document_ids": new,
-            "changed_document_ids": old,
+            "new_document_ids": of("new"),
+            "changed_document_ids": of("changed"),
             "identifications": identified,
         }
 
@@ -319,6 +319,12 @@ class Library:
             self._require_paper(t, paper_id)
         return documents.documents(t["document_copy"], paper_id, unlinked_only)
 
+    def labelled_documents(self, unlinked_only: bool = False) -> DataFrame:
+        """Copies with the label of their paper, in the order of paths."""
+        t = self._t()
+        rows = t["document_copy"].where("paper_id IS NULL") if unlinked_only else t["document_copy"]
+        return documents.with_paper_labels(rows, t["paper"], t["paper_identifier"]).orderBy("normalized_path", "id")
+
     def _document(self, t: dict[str, DataFrame], document_id: str) -> Row:
         row = t["document_copy"].where(F.col("id") == document_id).first()
         if row is None:
@@ -343,9 +349,9 @@ class Library:
         t: dict[str, DataFrame],
         copies: DataFrame,
         wanted: DataFrame,
-    ) -> tuple[dict[str, DataFrame], list[Row]]:
-        """The tables after identifying the documents of ``wanted`` (document_id, normalized_path, order)
-        that are present and not linked, and what came of each."""
+    ) -> tuple[dict[str, DataFrame], dict[str, DataFrame], DataFrame]:
+        """The tables that change, and rows that are added, by identifying the documents of ``wanted``
+        (document_id, normalized_path, order) that are present and not linked, and what came of each."""
         free = copies.where("paper_id IS NULL AND missing_since IS NULL").select(F.col("id").alias("document_id"))
         wanted = cut(wanted.join(free, "document_id", "left_semi"))
         selected = wanted.join(self._hints(wanted), "normalized_path").select(
@@ -370,25 +376,26 @@ class Library:
             "$1-$2-$3-$4-$5",
         )
         held = made.select(key.alias("id"), "paper_id", "i.scheme", "i.value", "i.normalized_value")
-        changed = {
-            "document_copy": documents.linked(copies, links),
-            "paper": t["paper"].unionByName(paper),
-            "paper_identifier": t["paper_identifier"].unionByName(held),
-        }
+        changed = {"document_copy": documents.linked(copies, links)}
         order = wanted.select("document_id", "normalized_path", "order")
-        return changed, outcome.join(order, "document_id").orderBy("order").drop("order").collect()
+        shown = outcome.join(order, "document_id").orderBy("order").drop("order")
+        return changed, {"paper": paper, "paper_identifier": held}, shown
 
-    def identify(self, document_ids: list[str]) -> list[Row]:
+    def identify(self, document_ids: list[str] | None = None) -> DataFrame:
+        """Identify documents in the given order, or, without any, all in the order of paths."""
         at, t = self.catalog.pointer(), self._t()
-        for i in document_ids:
-            self._document(t, i)
-        place = self.spark.createDataFrame(list(enumerate(document_ids)), "order int, document_id string")
-        wanted = t["document_copy"].select(
-            F.col("id").alias("document_id"),
-            "normalized_path",
-        ).join(F.broadcast(place), "document_id")
-        changed, out = self._identified(t, t["document_copy"], wanted)
-        self.catalog.commit(changed, at)
+        copies = t["document_copy"].select(F.col("id").alias("document_id"), "normalized_path")
+        if document_ids is None:
+            wanted = copies.withColumn("order", F.col("normalized_path"))
+        else:
+            place = self.spark.createDataFrame(list(enumerate(document_ids)), "order int, document_id string")
+            wanted = cut(copies.join(F.broadcast(place), "document_id"))  # as many as were given
+            known = {r.document_id for r in wanted.select("document_id").collect()}
+            for i in document_ids:
+                if i not in known:
+                    raise E.DocumentNotFound(i)
+        changed, added, out = self._identified(t, t["document_copy"], wanted)
+        self.catalog.commit(changed, at, added)
         return out
 
     def inspect(self, document_id: str) -> dict:
@@ -396,7 +403,8 @@ class Library:
         t = self._t()
         document = self._document(t, document_id)
         if document.missing_since is not None or not os.path.isfile(document.path):
-            return {"document": document, "available": False, "hints": [], "assessment": None, "candidates": []}
+            nothing = {"available": False, "hints": [], "assessment": None, "candidates": []}
+            return {"document": document, **nothing, "next_steps": self._next_steps(document, [], [])}
         path = self.spark.createDataFrame([(document.path,)], "normalized_path string")
         found = cut(self._hints(path).select(F.lit(document_id).alias("document_id"), "hints"))
         matches = documents.hint_matches(found, t["paper_identifier"]).orderBy("pos").collect()
@@ -420,8 +428,21 @@ class Library:
             "hints": matches,
             "assessment": assessment,
             "candidates": records,
+            "next_steps": self._next_steps(document, matches, records),
         }
 
+    @staticmethod
+    def _next_steps(document: Row, matches: list[Row], candidates: list[Row]) -> list[dict]:
+        """``documents.next_steps`` of one document, whose hints and candidates are at hand."""
+        if document.paper_id is not None:
+            return []
+        able = [{"step": "link", "target": c.id} for c in candidates]
+        able += [
+            {"step": "import", "target": f"{m.scheme}:{m.normalized_value}"}
+            for m in matches if m.paper_id is None and m.scheme in documents.ASKABLE
+        ]
+        return able or [{"step": "search", "target": None}]
+
     def _relink(self, paper_id: str, document_id: str, link: bool) -> bool:
         at, t = self.catalog.pointer(), self._t()
         self._require_paper(t, paper_id)
@@ -446,7 +467,13 @@ class Library:
         held = self._holders(t, [(s, n) for s, _, n in work.keys])
         return sorted(set(held.values())), [k for k in work.keys if (k[0], k[2]) not in held]
 
-    def _apply(self, t: dict[str, DataFrame], work: expand.Work, asked: list[Row]) -> tuple[dict, dict[str, DataFrame]]:
+    def _apply(
+        self,
+        t: dict[str, DataFrame],
+        work: expand.Work,
+        asked: list[Row],
+    ) -> tuple[dict, dict[str, DataFrame], dict[str, DataFrame]]:
+        """What importing a work comes to: the result, tables that change, and rows that are added."""
         keys = {(s, n) for s, _, n in work.keys}
         row = {
             "paper_id": None,
@@ -458,7 +485,7 @@ class Library:
             "candidate_paper_ids": [],
         }
         if not keys & {(a.scheme, a.normalized_value) for a in asked}:
-            return row | {"status": ImportStatus.unconfirmed}, {}
+            return row | {"status": ImportStatus.unconfirmed}, {}, {}
         row |= {
             "identifiers": work.keys,
             "identifiers_ignored": [tuple(a) for a in asked if (a.scheme, a.normalized_value) not in keys],
@@ -466,17 +493,16 @@ class Library:
         owners, free = self._stored(t, work)
         row["candidate_paper_ids"] = owners
         if len(owners) > 1:
-            return row | {"status": ImportStatus.ambiguous}, {}
+            return row | {"status": ImportStatus.ambiguous}, {}, {}
         paper_id = owners[0] if owners else _new_id()
         new = [] if owners else [(paper_id, work.title, work.publication_year)]
-        changed = self._with_papers(t, new, [(paper_id, *k) for k in free])
-        if owners:
-            changed["paper"] = self._filled(t["paper"], {paper_id: (work.title, work.publication_year)})
+        added = self._new_rows(new, [(paper_id, *k) for k in free])
+        changed = {"paper": self._filled(t["paper"], {paper_id: (work.title, work.publication_year)})} if owners else {}
         return row | {
             "status": ImportStatus.matched if owners else ImportStatus.created,
             "paper_id": paper_id,
             "identifiers_added": free,
-        }, changed
+        }, changed, added
 
     def import_paper(self, provider, identifiers: Pairs, document_id: str | None = None) -> dict:
         """Import the work that the identifiers name; with a document, link it to the paper as well."""
@@ -489,16 +515,18 @@ class Library:
         if work is None:
             raise E.WorkNotFound(", ".join(f"{a.scheme}:{a.normalized_value}" for a in asked))
         at, t = self.catalog.pointer(), self._t()  # only now: nothing is held open while a provider is asked
-        result, changed = self._apply(t, work, asked)
+        result, changed, added = self._apply(t, work, asked)
+        if document_id is not None:
+            result["linked"] = False
         if document_id is not None and result["paper_id"]:
-            self._document(t, document_id)
+            result["linked"] = self._document(t, document_id).paper_id != result["paper_id"]
             pair = self.spark.createDataFrame(
                 [(document_id, result["paper_id"])],
                 "document_id string, paper_id string",
             )
             changed["document_copy"] = documents.linked(t["document_copy"], pair)
-        if changed:
-            self.catalog.commit(changed, at)
+        if changed or added:
+            self.catalog.commit(changed, at, added)
         return result
 
     def search(self, provider, query: str, limit: int = 10) -> list[dict]:
@@ -557,11 +585,8 @@ class Library:
         at, t = self.catalog.pointer(), self._t()
         result = self._metadata(t, paper_id, work)
         if result["status"] == MetadataStatus.updated:
-            changed = self._with_papers(t, [], [(paper_id, *k) for k in result["identifiers_added"]])
-            self.catalog.commit(
-                changed | {"paper": self._filled(t["paper"], {paper_id: (work.title, work.publication_year)})},
-                at,
-            )
+            filled = {"paper": self._filled(t["paper"], {paper_id: (work.title, work.publication_year)})}
+            self.catalog.commit(filled, at, self._new_rows([], [(paper_id, *k) for k in result["identifiers_added"]]))
         return result
 
     def expand(
@@ -604,31 +629,22 @@ class Library:
         held = self._holders(t, [(s, n) for w in walk.works.values() for s, _, n in w.keys])
         held.update({(s, n): paper_id for s, _, n in metadata["identifiers_added"]})
         fold = expand.fold(walk, seed.key, paper_id, held, lambda key: _new_id())
-        made = set(fold.created)
-        changed = self._with_papers(
-            t, [(i, *fold.fills[i]) for i in fold.created], [
-                (paper_id, *k) for k in metadata["identifiers_added"]
-            ] + fold.added
-        )
-        fills = {i: v for i, v in fold.fills.items() if i not in made} | {paper_id: (seed.title, seed.publication_year)}
-        changed["paper"] = self._filled(changed["paper"], fills)
+        fills, made = fold.fills, set(fold.created)
+        keys = [(paper_id, *k) for k in metadata["identifiers_added"]] + fold.added
+        added = self._new_rows([(i, *fills[i]) for i in dict.fromkeys(fold.created)], keys)
+        old = {i: v for i, v in fills.items() if i not in made and i != paper_id}
+        title, year = fills.get(paper_id, (None, None))
+        old[paper_id] = seed.title or title, year if seed.publication_year is None else seed.publication_year
         if fold.edges:
-            new = self.spark.createDataFrame(fold.edges, "citing string, cited string")
-            known = {
-                (r.citing, r.cited) for r in self._edges(t).join(
-                    F.broadcast(new),
-                    ["citing", "cited"],
-                    "left_semi",
-                ).collect()
-            }  # at most the walk's
+            known = self._known(t, fold.edges)
             fresh = [e for e in fold.edges if e not in known]
-            changed["citation"] = t["citation"].unionByName(self._citation_rows(fresh))
+            if fresh:
+                added["citation"] = self._citation_rows(fresh)
             result |= {"citations_created": len(fresh), "citations_confirmed": len(known)}
-        self.catalog.commit(changed, at)
+        self.catalog.commit({"paper": self._filled(t["paper"], old)}, at, added)
         return result | {
             "papers_created": fold.created,
             "papers_matched": fold.matched,
             "skipped": fold.skipped,
             "truncated": walk.truncated,
         }
-

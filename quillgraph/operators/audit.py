@@ -46,7 +46,7 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def equal_contents(copy: DataFrame) -> DataFrame:
-    """(content_hash, copies, paths): contents that lie at several paths."""
+    """(content_hash, copies, first_path): contents that lie at several paths."""
     known = copy.where("content_hash IS NOT NULL").select("content_hash", "normalized_path").distinct()
     counts = known.groupBy("content_hash").agg(
         F.count(F.lit(1)).alias("copies"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.hints import is_strong
@@ -12,6 +12,10 @@ from quillgraph.schema import IdentificationStatus, ResolutionStatus
 from quillgraph.session import cut
 
 
+# Schemes that a provider is asked for by a hint.
+ASKABLE = ("doi", "arxiv")
+
+
 def documents(copies: DataFrame, paper_id: str | None = None, unlinked_only: bool = False) -> DataFrame:
     """Copies, each once, of one paper and / or without a paper, in the order of paths."""
     rows = copies.distinct()
@@ -142,19 +146,37 @@ def hint_matches(hints: DataFrame, identifier: DataFrame) -> DataFrame:
 
 def importable(matches: DataFrame) -> DataFrame:
     """Hints that no paper holds and that a provider can be asked for."""
-    return matches.where(F.col("paper_id").isNull() & F.col("scheme").isin("doi", "arxiv"))
+    return matches.where(F.col("paper_id").isNull() & F.col("scheme").isin(*ASKABLE))
+
 
+def next_steps(documents: DataFrame, matches: DataFrame, paper: DataFrame) -> DataFrame:
+    """(document_id, rank, step, target) of unlinked ``documents`` (document_id): what can be done next.
 
-def next_steps(matches: DataFrame) -> DataFrame:
-    """(document_id, step): link to a candidate, else import a hint, else search; of unlinked documents."""
-    found = matches.groupBy("document_id").agg(
-        F.count_if(F.col("paper_id").isNotNull()).alias("held"), F.count_if(
-            F.col("paper_id").isNull() & F.col("scheme").isin("doi", "arxiv"),
-        ).alias("open")
+    ``link`` to each paper that holds a hint, in the order of papers; then ``import`` each hint that no
+    paper holds and a provider can be asked for, as ``scheme:value``, in the order of hints; ``search``,
+    without a target, for a document that has neither, also one without any hint.
+    """
+    held = matches.where("paper_id IS NOT NULL").select("document_id", "paper_id").distinct()
+    known = paper.select(F.col("id").alias("paper_id"), "created_at")
+    link = held.join(known, "paper_id").select(
+        "document_id", F.lit("link").alias("step"), F.col("paper_id").alias("target"), "created_at", F.lit(0).alias("pos")
+    )
+    open_hints = importable(matches).select(
+        "document_id",
+        F.lit("import").alias("step"),
+        F.concat("scheme", F.lit(":"), "normalized_value").alias("target"),
+        F.lit(None).cast("timestamp").alias("created_at"),
+        "pos",
     )
-    return found.select(
+    able = link.unionByName(open_hints)
+    order = Window.partitionBy("document_id").orderBy(F.desc("step"), "created_at", "pos", "target")
+    ranked = able.select("document_id", F.row_number().over(order).alias("rank"), "step", "target")
+    rows = documents.select("document_id").distinct().join(ranked, "document_id", "left")
+    return rows.select(
         "document_id",
-        F.when(F.col("held") > 0, "link").when(F.col("open") > 0, "import").otherwise("search").alias("step"),
+        F.coalesce("rank", F.lit(1)).alias("rank"),
+        F.coalesce("step", F.lit("search")).alias("step"),
+        "target",
     )
 
 
@@ -169,14 +191,3 @@ def unlinked(copies: DataFrame, links: DataFrame) -> DataFrame:
     gone = links.select(F.col("document_id").alias("id"), F.col("paper_id").alias("_gone"))
     keep = F.when(F.col("paper_id") == F.col("_gone"), None).otherwise(F.col("paper_id"))
     return copies.join(gone, "id", "left").withColumn("paper_id", keep).select(copies.columns)
-
-
-def scan_order(diff: DataFrame) -> DataFrame:
-    """(document_id, order) of new, then changed documents, either in the order of paths.
-
-    The order is a struct, compared where it is needed; nothing is ranked over all rows."""
-    kind = F.when(F.col("state") == "new", 0).otherwise(1)
-    return diff.where(F.col("state").isin("new", "changed")).select(
-        "document_id",
-        F.struct(kind.alias("kind"), "normalized_path").alias("order"),
-    )

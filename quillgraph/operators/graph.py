@@ -10,10 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.papers import degrees
+from quillgraph.operators.ranks import numbered
 from quillgraph.schema import Direction
 from quillgraph.session import cut
 
@@ -41,6 +43,13 @@ def stored_edges(citation: DataFrame, paper: DataFrame) -> DataFrame:
     )
 
 
+def raw_edges(citation: DataFrame) -> DataFrame:
+    """(citing, cited) of all citation rows with two different ends, as often as they are stored. Where
+    a few papers are asked about, these are filtered first and made distinct and checked afterwards."""
+    rows = citation.where(F.col("citing_paper_id") != F.col("cited_paper_id"))
+    return rows.select(F.col("citing_paper_id").alias("citing"), F.col("cited_paper_id").alias("cited"))
+
+
 def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -53,27 +62,37 @@ def _step(edges: DataFrame, frontier: DataFrame, rows: int, direction: Direction
     return {Direction.references: out, Direction.citations: back, Direction.both: out.unionByName(back)}[direction]
 
 
-def distances(edges: DataFrame, seeds: DataFrame, depth: int, direction: Direction = Direction.both) -> DataFrame:
-    """(id, distance): nodes within ``depth`` steps of the ``seeds`` (id), which have distance 0.
-
-    ``both`` takes edges as undirected. Stops early when a step finds nothing new.
+def distances(
+    edges: DataFrame,
+    seeds: DataFrame,
+    depth: int | None,
+    direction: Direction = Direction.both,
+    paper: DataFrame | None = None,
+) -> DataFrame:
+    """(id, distance): nodes within ``depth`` steps of the ``seeds`` (id), which have distance 0; None
+    for any number of steps.
+
+    ``both`` takes edges as undirected. Stops early when a step finds nothing new. With ``paper``, edges
+    are ``raw_edges``: repeats do not matter, and ends that are not stored are not reached. Each step is
+    a scan of the edges with the frontier broadcast, as long as that is small by count.
     """
-    if depth < 0:
+    if depth is not None and depth < 0:
         raise ValueError("depth must not be negative")
     found = cut(seeds.select("id").distinct().withColumn("distance", F.lit(0)))
-    frontier, rows = found.select("id"), found.count()
-    for level in range(1, depth + 1):
-        if not rows:
-            break
+    frontier, rows, level = found.select("id"), found.count(), 0
+    while rows and (depth is None or level < depth):
+        level += 1
         near = _step(edges, frontier, rows, Direction(direction)).distinct()
-        new = cut(near.join(found.select("id"), "id", "left_anti").withColumn("distance", F.lit(level)))
+        near = near.join(found.select("id"), "id", "left_anti")
+        near = near if paper is None else near.join(paper.select("id"), "id", "left_semi")
+        new = cut(near.withColumn("distance", F.lit(level)))
         frontier, rows = new.select("id"), new.count()
         found = found.unionByName(new)
     return found
 
 
 def induced(edges: DataFrame, nodes: DataFrame, rows: int | None = None) -> DataFrame:
-    """All edges with both ends among ``nodes`` (id)."""
+    """All edges with both ends among ``nodes`` (id), each once."""
     ids = nodes.select("id")
     ids = _sized(ids, rows) if rows is not None else ids
     inner = edges.join(
@@ -126,7 +145,13 @@ def _rank_one_task(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _rank_loop(nodes: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     """The same on tables of any size: a join and an aggregation per step, whose change and dangling
-    mass come with the step's one aggregation on the driver (two numbers)."""
+    mass come with the step's one aggregation on the driver (two numbers).
+
+    Edges lie by their citing end, in memory or on disk, for all steps: a step shuffles the ranks to them
+    and the flows from them, which are added up before. The ranks of each step are cut from their lineage,
+    as plans over plans would double with every step; lost edges are made again from the checkpoint.
+    """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = edges.groupBy("citing").agg(F.count(F.lit(1)).alias("out"))
     state = cut(
         nodes.select("id").join(out.withColumnRenamed("citing", "id"), "id", "left").select(
@@ -135,20 +160,23 @@ def _rank_loop(nodes: DataFrame, edges: DataFrame, n: int) -> DataFrame:
             F.lit(1.0 / n).alias("rank"),
         ),
     )
-    edges = cut(edges)
+    edges = cut(edges).repartition(parts, "citing").persist(StorageLevel.MEMORY_AND_DISK)
     lost = state.agg(F.sum(F.when(F.col("out") == 0, F.col("rank")))).first()[0] or 0.0
-    for _ in range(MOST_STEPS):
-        given = state.where("out > 0").select(F.col("id").alias("citing"), (F.col("rank") / F.col("out")).alias("part"))
-        flow = edges.join(given, "citing").groupBy(F.col("cited").alias("id")).agg(F.sum("part").alias("flow"))
-        new = (1 - DAMPING) / n + DAMPING * (F.coalesce("flow", F.lit(0.0)) + lost / n)
-        state = cut(state.join(flow, "id", "left").select("id", "out", new.alias("rank"), F.col("rank").alias("old")))
-        change, lost = state.agg(
-            F.sum(F.abs(F.col("rank") - F.col("old"))),
-            F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0)),
-        ).first()
-        state = state.drop("old")
-        if change < n * TOLERANCE:
-            break
+    try:
+        for _ in range(MOST_STEPS):
+            given = state.where("out > 0").select(F.col("id").alias("citing"), (F.col("rank") / F.col("out")).alias("part"))
+            flow = edges.join(given, "citing").groupBy(F.col("cited").alias("id")).agg(F.sum("part").alias("flow"))
+            new = (1 - DAMPING) / n + DAMPING * (F.coalesce("flow", F.lit(0.0)) + lost / n)
+            state = cut(state.join(flow, "id", "left").select("id", "out", new.alias("rank"), F.col("rank").alias("old")))
+            change, lost = state.agg(
+                F.sum(F.abs(F.col("rank") - F.col("old"))),
+                F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0)),
+            ).first()
+            state = state.drop("old")
+            if change < n * TOLERANCE:
+                break
+    finally:
+        edges.unpersist()
     return state.select("id", F.col("rank").alias("pagerank"))
 
 
@@ -169,9 +197,10 @@ class Subgraph:
     """A graph of selected papers: ``nodes`` with degrees and PageRank within it, and ``edges``."""
 
     def __init__(self, papers: DataFrame, edges: DataFrame, selected: DataFrame):
-        """``papers`` has id and created_at; ``selected`` has id and distance (NULL in a library graph)."""
+        """``papers`` has id and created_at; ``selected`` has id and distance (NULL in a library graph).
+        ``edges`` may be ``raw_edges``: only those between selected papers are made distinct."""
         self.selected = cut(selected.join(papers.select("id", "created_at"), "id"))
-        self.inner = cut(induced(edges, self.selected, self.selected.count()))
+        self.inner = cut(induced(edges, self.selected, self.selected.count()).distinct())
 
     def nodes(self) -> DataFrame:
         """(id, distance, created_at, in_degree, out_degree, pagerank)."""
@@ -182,6 +211,11 @@ class Subgraph:
         """The nodes by distance, then time of creation, then id."""
         return self.nodes().orderBy(F.asc_nulls_first("distance"), "created_at", "id")
 
+    def places(self) -> DataFrame:
+        """(id, place): each node's place from 0 on in the order of the nodes."""
+        order = [F.asc_nulls_first("distance"), F.asc("created_at"), F.asc("id")]
+        return numbered(self.selected, order, to="place").select("id", "place")
+
     def edges(self) -> DataFrame:
         """(citing, cited) with what orders them: the places of both ends in the order of the nodes."""
         place = lambda end: self.selected.select(
@@ -200,9 +234,11 @@ def neighborhood(
     seeds: DataFrame,
     depth: int = 1,
     direction: Direction = Direction.both,
+    raw: bool = False,
 ) -> Subgraph:
-    """The papers within ``depth`` steps of the seeds, with all citations between them."""
-    return Subgraph(paper, edges, distances(edges, seeds, depth, direction))
+    """The papers within ``depth`` steps of the seeds, with all citations between them. ``raw`` says that
+    ``edges`` are ``raw_edges``."""
+    return Subgraph(paper, edges, distances(edges, seeds, depth, direction, paper if raw else None))
 
 
 def library_graph(paper: DataFrame, edges: DataFrame) -> Subgraph:
@@ -211,44 +247,56 @@ def library_graph(paper: DataFrame, edges: DataFrame) -> Subgraph:
     return Subgraph(paper, edges, members)
 
 
-def shortest_path(edges: DataFrame, source: DataFrame, target: Column, most: int = 10_000) -> DataFrame:
+def shortest_path(edges: DataFrame, source: DataFrame, target: Column, paper: DataFrame | None = None) -> DataFrame:
     """(path): ids on the shortest way along citations from ``source`` (one row, id) to ``target`` (a
     literal or scalar), ends included; no row if there is none. Of several, the smallest in the order of ids.
 
-    Each step keeps, for every node first reached, the smallest path, which the smallest path of a later
-    node extends.
+    The search goes on from both ends, a step at a time from the one with fewer nodes, until they meet or
+    one has no more: every shortest path then has a node in the last step of either. Each step keeps, for
+    every node first reached, the smallest path from there to its end, which that of a node beyond extends.
+    With ``paper``, edges are ``raw_edges``, as in ``distances``.
     """
-    level = cut(source.select("id", F.array("id").alias("path")))
-    seen = level.select("id")
-    for step in range(most):
-        hit = level.where(F.col("id") == target)
-        if hit.count():
-            return hit.select("path")
-        rows = level.count()
-        if not rows:
-            break
-        side = _sized(level.select(F.col("id").alias("citing"), "path"), rows * (step + 2))  # ids in all
-        near = edges.join(side, "citing").groupBy(F.col("cited").alias("id")).agg(F.min("path").alias("path"))
-        level = cut(near.join(seen, "id", "left_anti").select("id", F.concat("path", F.array("id")).alias("path")))
-        seen = seen.unionByName(level.select("id"))
-    return level.limit(0).select("path")
-
-
-def references(edges: DataFrame, paper: DataFrame, of: DataFrame) -> DataFrame:
-    """Papers that the papers ``of`` (id) cite."""
-    ends = edges.join(
-        of.select(F.col("id").alias("citing")),
-        "citing",
-        "left_semi",
-    ).select(F.col("cited").alias("id")).distinct()
-    return paper.join(ends, "id", "left_semi")
-
-
-def cited_by(edges: DataFrame, paper: DataFrame, of: DataFrame) -> DataFrame:
-    """Papers that cite the papers ``of`` (id)."""
-    ends = edges.join(
-        of.select(F.col("id").alias("cited")),
-        "cited",
-        "left_semi",
-    ).select(F.col("citing").alias("id")).distinct()
-    return paper.join(ends, "id", "left_semi")
+    level = {
+        "citing": cut(source.select("id", F.array("id").alias("path"))),
+        "cited": cut(source.select(target.alias("id"), F.array(target).alias("path"))),
+    }
+    seen = {end: of.select("id") for end, of in level.items()}
+    rows, steps = {"citing": 1, "cited": 1}, 1
+    while True:
+        back = level["cited"].select("id", F.slice("path", 2, steps).alias("rest"))
+        path = level["citing"].join(back, "id").agg(F.min(F.concat("path", "rest"))).first()[0]  # one path
+        if path is not None or not all(rows.values()):
+            found = [] if path is None else [(path,)]
+            return source.sparkSession.createDataFrame(found, source.select(F.array("id").alias("path")).schema)
+        steps += 1
+        own = min(rows, key=rows.get)
+        other = "cited" if own == "citing" else "citing"
+        side = _sized(level[own].select(F.col("id").alias(own), "path"), rows[own] * steps)  # ids in all
+        near = edges.join(side, own).groupBy(F.col(other).alias("id")).agg(F.min("path").alias("path"))
+        near = near.join(seen[own], "id", "left_anti")
+        near = near if paper is None else near.join(paper.select("id"), "id", "left_semi")
+        path = F.concat("path", F.array("id")) if own == "citing" else F.concat(F.array("id"), "path")
+        level[own] = cut(near.select("id", path.alias("path")))
+        rows[own] = level[own].count()
+        seen[own] = seen[own].unionByName(level[own].select("id"))
+
+
+def _ends(citation: DataFrame, of: DataFrame, own: str, other: str) -> DataFrame:
+    """(id): the other ends of the citations of the papers ``of`` (id), which are few: rows are filtered
+    as they are scanned, and only what is left is made distinct."""
+    rows = raw_edges(citation).join(F.broadcast(of.select(F.col("id").alias(own))), own, "left_semi")
+    return rows.select(F.col(other).alias("id")).distinct()
+
+
+def references(citation: DataFrame, paper: DataFrame, of: DataFrame) -> DataFrame:
+    """Papers that the papers ``of`` (id), as many as one asks about at once, cite; both ends stored."""
+    return paper.join(_ends(citation, _stored(of, paper), "citing", "cited"), "id", "left_semi")
+
+
+def cited_by(citation: DataFrame, paper: DataFrame, of: DataFrame) -> DataFrame:
+    """Papers that cite the papers ``of`` (id), as many as one asks about at once; both ends stored."""
+    return paper.join(_ends(citation, _stored(of, paper), "cited", "citing"), "id", "left_semi")
+
+
+def _stored(of: DataFrame, paper: DataFrame) -> DataFrame:
+    return paper.select("id").join(F.broadcast(of.select("id")), "id", "left_semi")

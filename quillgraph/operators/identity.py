@@ -41,45 +41,43 @@ def resolve(groups: DataFrame, identifier: DataFrame, key: str) -> DataFrame:
     """(key, status, identifiers, paper_id, candidate_paper_ids, unassigned) of every input group.
 
     ``groups`` has ``key``, unique, and ``identifiers``, normalised ones. A group whose keys are held by
-    no paper is new, by one matched, by several ambiguous; one without keys is insufficient. Candidates
-    come in the order of ids; ``unassigned`` are the keys that nobody holds. Only keys are joined; the
-    groups' other columns are not needed, and groups meet their outcome by one join on ``key``.
+    no paper is new, by one matched, by several ambiguous; one without keys, or with NULL, is
+    insufficient. Candidates come in the order of ids; ``unassigned`` are the keys that nobody holds.
+    The groups are read once: what a group holds is brought together again with what is known of it.
     """
-    keys = groups.select(F.col(key).alias("_g"), F.posexplode("identifiers").alias("_pos", "_i")).select(
-        "_g", "_pos", F.col("_i.scheme").alias("scheme"), F.col("_i.value").alias("value"), F.col("_i.normalized_value").alias("normalized_value")
+    keys = groups.select(key, F.posexplode_outer("identifiers").alias("_pos", "_i")).select(
+        key,
+        "_pos",
+        F.col("_i.scheme").alias("scheme"),
+        F.col("_i.value").alias("value"),
+        F.col("_i.normalized_value").alias("normalized_value"),
     )
     held = keys.join(holders(identifier), ["scheme", "normalized_value"], "left")
-    free = F.when(F.col("paper_id").isNull(), F.struct("_pos", "scheme", "value", "normalized_value"))
-    outcome = held.groupBy("_g").agg(
+    own = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "scheme", "value", "normalized_value"))
+    bare = lambda c: F.transform(
+        c,
+        lambda i: F.struct(*[i[f].alias(f) for f in ("scheme", "value", "normalized_value")]),
+    ).cast(KEYS)
+    outcome = held.groupBy(key).agg(
         F.array_sort(F.collect_set("paper_id")).alias("candidate_paper_ids"),
-        F.sort_array(F.collect_list(free)).alias("_free"),
+        # A key with several holders is there as often, and counts once.
+        F.sort_array(F.collect_set(own)).alias("_own"),
+        F.sort_array(F.collect_list(F.when(F.col("paper_id").isNull(), own))).alias("_free"),
     )
     count = F.size("candidate_paper_ids")
     status = (
-        F.when(F.size("identifiers") == 0, ResolutionStatus.insufficient.value)
+        F.when(F.size("_own") == 0, ResolutionStatus.insufficient.value)
         .when(count == 0, ResolutionStatus.new.value)
         .when(count == 1, ResolutionStatus.matched.value)
         .otherwise(ResolutionStatus.ambiguous.value)
     )
-    rows = groups.select(key, "identifiers").join(outcome.withColumnRenamed("_g", key), key, "left")
-    rows = rows.withColumn("candidate_paper_ids", F.coalesce("candidate_paper_ids", F.array().cast("array<string>")))
-    return rows.select(
+    return outcome.select(
         key,
         status.alias("status"),
-        "identifiers",
+        bare("_own").alias("identifiers"),
         F.when(count == 1, F.get("candidate_paper_ids", F.lit(0))).alias("paper_id"),
         "candidate_paper_ids",
-        F.coalesce(
-            F.transform(
-                "_free",
-                lambda f: F.struct(
-                    f["scheme"].alias("scheme"),
-                    f["value"].alias("value"),
-                    f["normalized_value"].alias("normalized_value"),
-                ),
-            ),
-            F.array().cast(KEYS),
-        ).alias("unassigned"),
+        bare("_free").alias("unassigned"),
     )
 
 
@@ -108,9 +106,9 @@ def without(a: Column, b: Column) -> Column:
 
 
 def conflicts(identifier: DataFrame) -> DataFrame:
-    """(scheme, normalized_value, paper_ids): keys that more than one paper holds."""
-    held = holders(identifier).groupBy("scheme", "normalized_value")
-    return held.agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.array_sort(F.collect_set("paper_id")).alias("paper_ids"),
-    ).where("_n > 1").drop("_n")
+    """(scheme, normalized_value, paper_id): every holder of the keys that more than one paper holds. A
+    row per holder, as one key may be held by any number of papers."""
+    held = holders(identifier)
+    ends = held.groupBy("scheme", "normalized_value").agg(F.min("paper_id").alias("_a"), F.max("paper_id").alias("_z"))
+    shared = ends.where(F.col("_a") != F.col("_z")).select("scheme", "normalized_value")
+    return held.join(shared, ["scheme", "normalized_value"], "left_semi")

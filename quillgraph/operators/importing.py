@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators.documents import minted_paper_id
 from quillgraph.operators.identity import KEYS, resolve, shares_identifier, without
-from quillgraph.operators.works import lookup, with_keys
+from quillgraph.operators.works import LOOKUP_ORDER, lookup, with_keys
 from quillgraph.schema import CandidateStatus, ImportStatus, MetadataStatus, ResolutionStatus
 from quillgraph.session import cut
 
@@ -21,8 +21,9 @@ def import_status(requests: DataFrame, works: DataFrame, identifier: DataFrame,
     identifiers; matched if one does, created if none. Only the work's identifiers are ever attached;
     those of the request that it lacks are ``ignored``. A request that finds no work has NULL status and work.
     """
-    found = requests.join(lookup(requests, works, key), key, "left")
-    known = with_keys(works).select("work_id", "title", "publication_year", "keys")
+    works = normalized_once(works)
+    found = requests.select(key, "identifiers").join(lookup(requests, works, key), key, "left")
+    known = works.select("work_id", "title", "publication_year", "keys")
     rows = cut(
         found.select(key, F.col("identifiers").alias("asked"), "work_id").join(known, "work_id", "left")
     )  # resolved, and joined to its resolution
@@ -65,10 +66,15 @@ def import_status(requests: DataFrame, works: DataFrame, identifier: DataFrame,
     )
 
 
+def normalized_once(works: DataFrame) -> DataFrame:
+    """``works`` with ``keys``, which are made once although works are read several times."""
+    return works if "keys" in works.columns else cut(with_keys(works))
+
+
 def candidates(found: DataFrame, identifier: DataFrame) -> DataFrame:
     """(work_id, status, title, publication_year, identifiers, paper_id, candidate_paper_ids) of works
     found by a search: new, existing or ambiguous. Works without a usable identifier do not come out."""
-    keyed = with_keys(found).where(F.size("keys") > 0)
+    keyed = normalized_once(found).where(F.size("keys") > 0)
     outcome = resolve(keyed.select("work_id", F.col("keys").alias("identifiers")), identifier, "work_id")
     status = (
         F.when(F.col("status") == ResolutionStatus.matched.value, CandidateStatus.existing.value)
@@ -95,17 +101,19 @@ def metadata_fill(paper: DataFrame, identifier: DataFrame, works: DataFrame, of:
     identifiers that nobody holds are added.
     """
     rows = paper if of is None else paper.join(of.select("id"), "id", "left_semi")
-    held = identifier.where("normalized_value IS NOT NULL").select("paper_id", "scheme", "normalized_value", "value")
-    keys = held.groupBy("paper_id", "scheme", "normalized_value").agg(F.min("value").alias("value"))
-    asked = keys.groupBy("paper_id").agg(
-        F.sort_array(F.collect_list(F.struct("scheme", "value", "normalized_value"))).alias("identifiers"),
+    works = normalized_once(works)
+    # Of every scheme only the first identifier, in the order of normal forms, is asked for.
+    first = lambda s: F.min(F.when(F.col("scheme") == s, F.col("normalized_value"))).alias(s)
+    held = identifier.where(F.col("normalized_value").isNotNull() & F.col("scheme").isin(*LOOKUP_ORDER))
+    keys = held.groupBy("paper_id").agg(*[first(s) for s in LOOKUP_ORDER])
+    key = lambda s: F.when(
+        F.col(s).isNotNull(),
+        F.struct(F.lit(s).alias("scheme"), F.col(s).alias("value"), F.col(s).alias("normalized_value")),
     )
+    asked = keys.select("paper_id", F.array_compact(F.array(*[key(s) for s in LOOKUP_ORDER])).alias("identifiers"))
     asked = asked.join(rows.select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
     hits = cut(
-        lookup(asked, works, "paper_id").join(
-            with_keys(works).select("work_id", "title", "publication_year", "keys"),
-            "work_id",
-        )
+        lookup(asked, works, "paper_id").join(works.select("work_id", "title", "publication_year", "keys"), "work_id")
     )  # resolved, and joined to its resolution
     outcome = resolve(
         hits.select(F.col("paper_id").alias("asked_by"), F.col("keys").alias("identifiers")),

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.graph import distances
+from quillgraph.operators.ranks import numbered
 from quillgraph.schema import Direction
+from quillgraph.session import cut
 
 # Fixed values of the drawing, in pixels, and its limits.
 COLUMN, ROW, CHUNK_SHIFT, CHUNK_ROWS, MIDDLE_TOP = 260, 56, 200, 30, 80
 SMALLEST, LARGEST, GROWTH = 16, 56, 20
-RINGS, FORCE_LIMIT = 10, 500
+RINGS = 10
 LEFT, RIGHT, BOTH = "citations", "references", "both"
 
 
@@ -33,68 +35,69 @@ def rings(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("ring", ring.cast("int"))
 
 
-def uses_rings(n: int) -> bool:
-    return n > FORCE_LIMIT
-
-
 def sides(nodes: DataFrame, edges: DataFrame, seed: DataFrame) -> DataFrame:
     """(id, side): whether a node is reached from the seed sooner along references or against them.
 
     Equal distances, and the seed, give ``both``. A node reached neither way takes the side of an
     adjacent decided node, the nearest one first in the order of nodes, in rounds until nothing changes,
     else ``both``. ``nodes`` has id, distance, created_at.
+
+    A round visits the nodes in their order, so a node is decided at its first visit after one beside it:
+    in the same round if that one comes before it, else in the next. The rounds are found by relaxation,
+    a join per step; then each undecided node knows whom it takes its side from, the first in order
+    of those beside it that were decided earlier, and sides are handed on by doubling.
     """
-    depth = nodes.agg(F.coalesce(F.count(F.lit(1)), F.lit(0))).first()[0]
-    ahead = distances(edges, seed, depth, Direction.references).withColumnRenamed("distance", "ahead")
-    back = distances(edges, seed, depth, Direction.citations).withColumnRenamed("distance", "back")
-    known = nodes.join(ahead, "id", "left").join(back, "id", "left")
+    place = F.struct("distance", "created_at", "id")
+    # Along references and against them in one search, over nodes that are told apart by the way.
+    at = lambda way, end: F.struct(F.lit(way).alias("way"), F.col(end).alias("id"))
+    both = F.array(
+        F.struct(at("ahead", "citing").alias("citing"), at("ahead", "cited").alias("cited")),
+        F.struct(at("back", "cited").alias("citing"), at("back", "citing").alias("cited")),
+    )
+    starts = seed.select(F.explode(F.array(at("ahead", "id"), at("back", "id"))).alias("id"))
+    reached = distances(edges.select(F.inline(both)), starts, None, Direction.references)
+    of = lambda way: F.min(F.when(F.col("id.way") == way, F.col("distance"))).alias(way)
+    reached = reached.groupBy(F.col("id.id").alias("id")).agg(of("ahead"), of("back"))
     side = (
-        F.when(F.col("ahead").isNull() & F.col("back").isNull(), F.lit(None))
-        .when(F.col("back").isNull() | (F.col("ahead") < F.col("back")), F.lit(RIGHT))
+        F.when(F.col("back").isNull() | (F.col("ahead") < F.col("back")), F.lit(RIGHT))
         .when(F.col("ahead").isNull() | (F.col("back") < F.col("ahead")), F.lit(LEFT))
         .otherwise(F.lit(BOTH))
     )
-    state = known.select(
-        "id",
-        F.lit(None).cast("string").alias("other"),
-        side.alias("side"),
-        F.struct("distance", "created_at", "id").alias("place"),
-    )
-    pairs = edges.select(
-        F.col("citing").alias("id"),
-        F.col("cited").alias("other"),
-        F.lit(None).cast("string").alias("side"),
-    ).join(
-        nodes.select("id", F.struct("distance", "created_at", "id").alias("place")), "id"
-    )
-    # Which side a node inherits depends on those settled before it, so this is one pass after the
-    # other in one task. A drawing has thousands of nodes, not millions.
-    rows = state.unionByName(pairs).coalesce(1).select("id", "other", "side", "place.distance", "place.created_at")
-    return rows.mapInPandas(_inherit, "id string, side string")
-
-
-def _inherit(batches):
-    import pandas as pd
-
-    frames = list(batches)
-    if not frames:
-        return
-    rows = pd.concat(frames)
-    own = rows[rows.other.isna()].sort_values(["distance", "created_at", "id"], kind="stable")
-    order = {x: (d, i) for i, (x, d) in enumerate(zip(own.id, own.distance))}
-    side = dict(zip(own.id, own.side))
-    near: dict[str, set] = {}
-    for a, b in zip(rows.id, rows.other):
-        if b is not None and a in order and b in order:
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-    changed = True
-    while changed:
-        changed = False
-        for x in order:
-            if side[x] is None and (able := [y for y in near.get(x, ()) if side[y] is not None]):
-                side[x], changed = side[min(able, key=order.__getitem__)], True
-    yield pd.DataFrame({"id": list(order), "side": [side[x] or BOTH for x in order]})
+    side = F.when(F.col("ahead").isNotNull() | F.col("back").isNotNull(), side)
+    known = nodes.select("id", place.alias("place")).join(reached, "id", "left")
+    state = cut(known.select("id", "place", side.alias("side"), F.when(side.isNotNull(), 0).alias("round")))
+    loose = state.where("side IS NULL").select("id")
+    if not loose.limit(1).count():
+        return state.select("id", "side")
+    both = F.array(F.struct(F.col("citing").alias("id"), F.col("cited").alias("other")), F.struct(F.col("cited").alias("id"), F.col("citing").alias("other")))
+    beside = cut(edges.select(F.inline(both)).distinct().join(loose, "id", "left_semi"))
+    while True:
+        of = state.where("round IS NOT NULL").select(F.col("id").alias("other"), F.col("place").alias("p"), F.col("round").alias("r"))
+        own = state.where("side IS NULL").select("id", "place")
+        reach = F.when((F.col("r") > 0) & (F.col("place") > F.col("p")), F.col("r")).otherwise(F.col("r") + 1)
+        offers = beside.join(of, "other").join(own, "id").groupBy("id").agg(F.min(reach).alias("offer"))
+        new = state.join(offers, "id", "left").withColumn("was", F.col("round")).withColumn("round", F.least("round", "offer"))
+        state = cut(new.select("id", "place", "side", "round", (~F.col("round").eqNullSafe(F.col("was"))).alias("moved")))
+        moved = state.where("moved").limit(1).count()
+        state = state.drop("moved")
+        if not moved:
+            break
+    of = state.where("round IS NOT NULL").select(F.col("id").alias("other"), F.col("place").alias("p"), F.col("round").alias("r"))
+    own = state.where("side IS NULL AND round IS NOT NULL").select("id", "place", "round")
+    earlier = (F.col("r") < F.col("round")) | ((F.col("r") == F.col("round")) & (F.col("p") < F.col("place")))
+    giver = beside.join(of, "other").join(own, "id").where(earlier).groupBy("id").agg(F.min_by("other", "p").alias("giver"))
+    chain = cut(state.join(giver, "id", "left").select("id", "side", F.when(F.col("side").isNull(), F.col("giver")).alias("giver")))
+    while chain.where("giver IS NOT NULL").limit(1).count():
+        up = chain.select(F.col("id").alias("giver"), F.col("side").alias("up_side"), F.col("giver").alias("up"))
+        handed = chain.join(up, "giver", "left")
+        chain = cut(
+            handed.select(
+                "id",
+                F.coalesce("side", "up_side").alias("side"),
+                F.when(F.col("side").isNull() & F.col("up_side").isNull(), F.col("up")).alias("giver"),
+            ),
+        )
+    return chain.select("id", F.coalesce("side", F.lit(BOTH)).alias("side"))
 
 
 def columns(nodes: DataFrame) -> DataFrame:
@@ -104,14 +107,15 @@ def columns(nodes: DataFrame) -> DataFrame:
     after 30 rows and goes on 200 further out; columns are centred on 0. Nodes of both sides lie from 80 on downwards
     in chunks that alternate to either side. The seed lies in the origin.
     """
-    order = Window.partitionBy("side", "distance").orderBy("created_at", "id")
-    whole = Window.partitionBy("side", "distance")
     place, chunk = F.col("_row") % CHUNK_ROWS, F.floor(F.col("_row") / CHUNK_ROWS)
     in_chunk = F.least(F.lit(CHUNK_ROWS), F.col("_all") - chunk * CHUNK_ROWS)
     sign = F.when(F.col("side") == RIGHT, 1).otherwise(-1)
     out = F.col("distance") * COLUMN + chunk * CHUNK_SHIFT
     swing = F.when(chunk % 2 == 1, F.ceil(chunk / 2)).otherwise(-F.ceil(chunk / 2)) * CHUNK_SHIFT
-    rows = nodes.withColumn("_row", F.row_number().over(order) - 1).withColumn("_all", F.count(F.lit(1)).over(whole))
+    rows = numbered(nodes.select("id", "side", "distance", "created_at"), ["created_at", "id"], ("side", "distance"), "_row")
+    # A row per column: a side and a distance.
+    sizes = rows.groupBy("side", "distance").agg(F.count(F.lit(1)).alias("_all"))
+    rows = rows.join(sizes, ["side", "distance"])
     seed = F.col("distance") == 0
     x = F.when(seed, 0).when(F.col("side") == BOTH, swing).otherwise(sign * out)
     y = F.when(seed, 0.0).when(

@@ -76,7 +76,7 @@ def short_label(width: int = 40) -> Column:
         F.length("title") > width,
         F.concat(F.substring("title", 1, width), F.lit("…")),
     ).otherwise(F.nullif("title", F.lit("")))
-    return F.coalesce(title, F.concat(first["scheme"], F.lit(":"), first["value"]), F.substring("id", 1, 8))
+    return F.coalesce(title, F.concat(first["scheme"], F.lit(":"), first["normalized_value"]), F.substring("id", 1, 8))
 
 
 def text_filter(query: str) -> Column:

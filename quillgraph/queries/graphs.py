@@ -1,22 +1,33 @@
-"""Queries on the citation graph."""
+"""Queries on the citation graph: on the stored citations, and on the deep graph of ``relations``."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quillgraph.operators import citations, graph, layout
-from quillgraph.queries.relations import EDGES, SEED, edges, seed
+from quillgraph.operators.ranks import numbered
+from quillgraph.queries.relations import DEEP, EDGES, SEED, deep_citations, deep_edges, deep_papers, deep_seed, edges, most_citing
 from quillgraph.schema import Direction
 from quillgraph.session import cut
 from quillgraph.tables import table
 
 
 def _bfs(depth, direction):
-    return lambda s, d: graph.distances(cut(edges(s, d)), seed(s, d), depth, direction)
+    end = "citing" if direction == Direction.references else "cited"
+    return lambda s, d: graph.distances(
+        graph.raw_edges(deep_citations(s, d)),
+        deep_seed(s, d, end),
+        depth,
+        direction,
+        deep_papers(s, d),
+    )
 
 
-def _neighborhood(s, d):
-    return graph.neighborhood(table(s, d, "paper"), cut(edges(s, d)), seed(s, d), 2, Direction.references)
+def _neighborhood(s, d, depth=2, way=Direction.both):
+    """Papers around the seed; citations are filtered, made distinct and checked where they are used."""
+    raw = graph.raw_edges(deep_citations(s, d))
+    seed = deep_seed(s, d, "citing" if way == Direction.references else "cited")
+    return graph.neighborhood(deep_papers(s, d), raw, seed, depth, way, raw=True)
 
 
 def _library(s, d):
@@ -24,18 +35,36 @@ def _library(s, d):
 
 
 def _nodes(sub):
-    nodes = sub.nodes()
-    return nodes.select("id", "distance", "in_degree", "out_degree", F.round("pagerank", 9).alias("pagerank"))
+    nodes = sub.nodes().join(sub.places(), "id")
+    return nodes.select("id", "distance", "in_degree", "out_degree", F.round("pagerank", 9).alias("pagerank"), "place")
 
 
-def _path(s, d):
-    """The path from the seed to the farthest node within 4 references, ties by id."""
-    e = cut(edges(s, d))
-    far = cut(
-        graph.distances(e, seed(s, d), 4, Direction.references).orderBy(F.desc("distance"), "id").limit(1).select("id"),
-    )
-    path = graph.shortest_path(e, seed(s, d), far.scalar())
-    return path.select(F.array_join("path", " ").alias("path"), (F.size("path") - 1).alias("length"))
+def _ordered(sub):
+    """Edges with their place in the order of their ends."""
+    ranked = numbered(sub.edges(), ["citing_place", "cited_place"], to="place")
+    return ranked.select("citing", "cited", "place")
+
+
+def _rank(paper, e):
+    return graph.pagerank(paper, cut(e)).select("id", F.round("pagerank", 9).alias("pagerank"))
+
+
+def _paths(s, d):
+    """Paths from the seed to the farthest paper it reaches (the least of them), to itself, and to the
+    least paper that it does not reach, which has no path and so no row."""
+    e, seed, paper = cut(deep_edges(s, d)), cut(deep_seed(s, d, "citing")), deep_papers(s, d)
+    reached = cut(graph.distances(e, seed, None, Direction.references))
+    far = cut(reached.orderBy(F.desc("distance"), "id").limit(1).select("id"))
+    lost = cut(paper.join(reached, "id", "left_anti").agg(F.min("id").alias("id")))
+    rows = None
+    for kind, target in (("far", far), ("none", lost), ("same", seed)):
+        path = graph.shortest_path(e, seed, target.scalar()).select(
+            F.lit(kind).alias("kind"),
+            F.array_join("path", " ").alias("path"),
+            (F.size("path") - 1).alias("length"),
+        )
+        rows = path if rows is None else rows.unionByName(path)
+    return rows
 
 
 def _upsert(s, d):
@@ -46,15 +75,13 @@ def _upsert(s, d):
     return citations.classify(e.select(F.inline(ways)), e, table(s, d, "paper"))
 
 
-def _columns(s, d):
-    sub = _neighborhood(s, d)
-    nodes = sub.selected
-    return layout.columns(nodes.join(layout.sides(nodes, sub.inner, nodes.where("distance = 0").select("id")), "id"))
+def _sides(sub):
+    return layout.sides(sub.selected, sub.inner, sub.selected.where("distance = 0").select("id"))
 
 
-def _sides(s, d):
-    sub = graph.neighborhood(table(s, d, "paper"), cut(edges(s, d)), seed(s, d), 1, Direction.both)
-    return layout.sides(sub.selected, sub.inner, sub.selected.where("distance = 0").select("id"))
+def _columns(s, d):
+    sub = _neighborhood(s, d, 3)
+    return layout.columns(sub.selected.join(_sides(sub), "id"))
 
 
 def _sizes(s, d):
@@ -67,32 +94,27 @@ def _rings(s, d):
     return layout.rings(nodes).select("id", "ring")
 
 
+def _referring(s, d, side, of):
+    return side(table(s, d, "citation"), table(s, d, "paper"), of).select("id", "title", "created_at")
+
+
 QUERIES = {
-    "all_citations": lambda s, d: edges(s, d),
-    "references": lambda s, d: graph.references(
-        edges(s, d),
-        table(s, d, "paper"),
-        seed(s, d),
-    ).select("id", "title", "created_at"),
-    "cited_by": lambda s, d: graph.cited_by(
-        edges(s, d),
-        table(s, d, "paper"),
-        edges(s, d).agg(F.max("cited").alias("id")),
-    ).select("id", "title", "created_at"),
+    "all_citations": lambda s, d: numbered(edges(s, d), ["citing", "cited"]),
+    "references": lambda s, d: _referring(s, d, graph.references, most_citing(s, d)),
+    "cited_by": lambda s, d: _referring(s, d, graph.cited_by, edges(s, d).groupBy("cited").count().orderBy(F.desc("count"), "cited").limit(1).select(F.col("cited").alias("id"))),
     "edge_upsert": _upsert,
     "bfs_refs": _bfs(3, Direction.references),
     "bfs_cites": _bfs(3, Direction.citations),
-    "bfs_both": _bfs(2, Direction.both),
+    "bfs_both": _bfs(3, Direction.both),
     "neighborhood_nodes": lambda s, d: _nodes(_neighborhood(s, d)),
-    "induced_edges": lambda s, d: _neighborhood(s, d).edges().select("citing", "cited"),
+    "neighborhood_references": lambda s, d: _nodes(_neighborhood(s, d, 3, Direction.references)),
+    "induced_edges": lambda s, d: _ordered(_neighborhood(s, d)),
     "library_graph_nodes": lambda s, d: _nodes(_library(s, d)),
-    "library_graph_edges": lambda s, d: _library(s, d).edges().select("citing", "cited"),
-    "pagerank_all": lambda s, d: graph.pagerank(table(s, d, "paper"), cut(edges(s, d))).select(
-        "id",
-        F.round("pagerank", 9).alias("pagerank"),
-    ),
-    "shortest_path": _path,
-    "side_assignment": _sides,
+    "library_graph_edges": lambda s, d: _ordered(_library(s, d)),
+    "pagerank_all": lambda s, d: _rank(table(s, d, "paper"), edges(s, d)),
+    "pagerank_deep": lambda s, d: _rank(deep_papers(s, d), deep_edges(s, d)),
+    "shortest_path": _paths,
+    "side_assignment": lambda s, d: _sides(_neighborhood(s, d, 3)),
     "layout_columns": _columns,
     "node_size": _sizes,
     "concentric_rings": _rings,
@@ -106,15 +128,22 @@ def _reach(depth: int, way: str) -> str:
         "both": "SELECT y, d + 1 FROM b JOIN u ON u.x = b.id",
     }[way]
     return f"""
-      WITH RECURSIVE {EDGES}, {SEED},
+      WITH RECURSIVE {DEEP}, {SEED.replace("citing", "citing" if way == "references" else "cited")},
       u AS (SELECT citing AS x, cited AS y FROM e UNION SELECT cited, citing FROM e),
       b(id, d) AS (SELECT id, 0 FROM s UNION {step} WHERE d < {depth}),
-      nodes AS (SELECT id, min(d) AS distance FROM b GROUP BY id)
+      reached AS (SELECT id, min(d) AS distance FROM b GROUP BY id),
+      nodes AS (
+        SELECT reached.id, distance, created_at, row_number() OVER (ORDER BY distance, created_at, reached.id) - 1 AS place
+        FROM reached JOIN dp ON dp.id = reached.id)
     """
 
 
 _SUB = "ge AS (SELECT * FROM e WHERE citing IN (SELECT id FROM nodes) AND cited IN (SELECT id FROM nodes))"
-_LIBRARY = f"WITH {EDGES}, nodes AS (SELECT id, CAST(NULL AS INTEGER) AS distance FROM paper WHERE library_added_at IS NOT NULL)"
+_LIBRARY = f"""
+  WITH {EDGES}, nodes AS (
+    SELECT id, CAST(NULL AS INTEGER) AS distance, row_number() OVER (ORDER BY created_at, id) - 1 AS place
+    FROM paper WHERE library_added_at IS NOT NULL)
+"""
 
 
 def _ranks(steps: int) -> str:
@@ -140,52 +169,65 @@ def _ranks(steps: int) -> str:
 
 _NODES = """
   SELECT nodes.id, distance, (SELECT count(*) FROM ge WHERE cited = nodes.id) AS in_degree,
-         (SELECT count(*) FROM ge WHERE citing = nodes.id) AS out_degree, round(v, 9) AS pagerank
+         (SELECT count(*) FROM ge WHERE citing = nodes.id) AS out_degree, round(v, 9) AS pagerank, place
   FROM nodes JOIN rank ON rank.id = nodes.id
 """
+_PLACED = """
+  SELECT ge.citing, ge.cited, row_number() OVER (ORDER BY a.place, z.place) - 1 AS place
+  FROM ge JOIN nodes a ON a.id = ge.citing JOIN nodes z ON z.id = ge.cited
+"""
+# The side of each node. One reached neither way takes that of the first node beside it; as nodes are
+# ordered by distance that one comes before it, and has its side when the node is visited.
+_SIDE = """
+  f(id, d) AS (SELECT id, 0 FROM s UNION SELECT ge.cited, d + 1 FROM f JOIN ge ON ge.citing = f.id WHERE d < 40),
+  h(id, d) AS (SELECT id, 0 FROM s UNION SELECT ge.citing, d + 1 FROM h JOIN ge ON ge.cited = h.id WHERE d < 40),
+  f2 AS (SELECT id, min(d) AS d FROM f GROUP BY 1), h2 AS (SELECT id, min(d) AS d FROM h GROUP BY 1),
+  own AS (
+    SELECT nodes.*, CASE WHEN f2.d IS NULL AND h2.d IS NULL THEN NULL WHEN h2.d IS NULL OR f2.d < h2.d THEN 'references'
+                         WHEN f2.d IS NULL OR h2.d < f2.d THEN 'citations' ELSE 'both' END AS side
+    FROM nodes LEFT JOIN f2 ON f2.id = nodes.id LEFT JOIN h2 ON h2.id = nodes.id),
+  beside AS (SELECT citing AS id, cited AS other FROM ge UNION SELECT cited, citing FROM ge),
+  giver AS (SELECT beside.id, arg_min(other, place) AS other FROM beside JOIN nodes ON nodes.id = other GROUP BY 1),
+  chain(id, top) AS (SELECT id, id FROM own UNION SELECT chain.id, giver.other FROM chain JOIN own ON own.id = top AND own.side IS NULL JOIN giver ON giver.id = top),
+  sided AS (SELECT chain.id, own.side FROM chain JOIN own ON own.id = chain.top WHERE own.side IS NOT NULL)
+"""
 _STEPS = 45
 
 SQL = {
-    "all_citations": f"WITH {EDGES} SELECT * FROM e",
+    "all_citations": f"WITH {EDGES} SELECT *, row_number() OVER (ORDER BY citing, cited) - 1 AS rank FROM e",
     "references": f"WITH {EDGES}, {SEED} SELECT id, title, created_at FROM paper WHERE id IN (SELECT cited FROM e WHERE citing IN (SELECT id FROM s))",
-    "cited_by": f"WITH {EDGES} SELECT id, title, created_at FROM paper WHERE id IN (SELECT citing FROM e WHERE cited = (SELECT max(cited) FROM e))",
+    "cited_by": f"""
+      WITH {EDGES}, t AS (SELECT cited FROM e GROUP BY cited ORDER BY count(*) DESC, cited LIMIT 1)
+      SELECT id, title, created_at FROM paper WHERE id IN (SELECT citing FROM e WHERE cited IN (SELECT cited FROM t))
+    """,
     "edge_upsert": f"""
-      WITH {EDGES}, n AS (SELECT cited AS citing, citing AS cited FROM e WHERE cited >= '8' UNION SELECT citing, cited FROM e WHERE citing < '1')
+      WITH {EDGES}, n AS (SELECT cited AS citing, citing AS cited FROM e UNION SELECT citing, cited FROM e)
       SELECT citing, cited, CASE WHEN (citing, cited) IN (SELECT (citing, cited) FROM e) THEN 'confirmed' ELSE 'created' END AS outcome FROM n
     """,
-    "bfs_refs": _reach(3, "references") + "SELECT * FROM nodes",
-    "bfs_cites": _reach(3, "citations") + "SELECT * FROM nodes",
-    "bfs_both": _reach(2, "both") + "SELECT * FROM nodes",
-    "neighborhood_nodes": f"{_reach(2, 'references')}, {_ranks(_STEPS)} {_NODES}",
-    "induced_edges": f"{_reach(2, 'references')}, {_SUB} SELECT * FROM ge",
+    "bfs_refs": _reach(3, "references") + "SELECT id, distance FROM nodes",
+    "bfs_cites": _reach(3, "citations") + "SELECT id, distance FROM nodes",
+    "bfs_both": _reach(3, "both") + "SELECT id, distance FROM nodes",
+    "neighborhood_nodes": f"{_reach(2, 'both')}, {_ranks(_STEPS)} {_NODES}",
+    "neighborhood_references": f"{_reach(3, 'references')}, {_ranks(_STEPS)} {_NODES}",
+    "induced_edges": f"{_reach(2, 'both')}, {_SUB} {_PLACED}",
     "library_graph_nodes": f"{_LIBRARY}, {_ranks(_STEPS)} {_NODES}",
-    "library_graph_edges": f"{_LIBRARY}, {_SUB} SELECT * FROM ge",
+    "library_graph_edges": f"{_LIBRARY}, {_SUB} {_PLACED}",
     "pagerank_all": f"WITH {EDGES}, nodes AS (SELECT id FROM paper), {_ranks(_STEPS)} SELECT id, round(v, 9) AS pagerank FROM rank",
+    "pagerank_deep": f"WITH {DEEP}, nodes AS (SELECT id FROM dp), {_ranks(_STEPS)} SELECT id, round(v, 9) AS pagerank FROM rank",
     "shortest_path": f"""
-      {_reach(4, "references")},
+      {_reach(60, "references")},
       t AS (SELECT id, distance FROM nodes ORDER BY distance DESC, id LIMIT 1),
       g AS (SELECT e.citing, e.cited FROM e JOIN nodes a ON a.id = e.citing JOIN nodes z ON z.id = e.cited AND z.distance = a.distance + 1),
       back(id, d, path) AS (
         SELECT id, distance, [id] FROM t
         UNION ALL SELECT g.citing, d - 1, list_prepend(g.citing, path) FROM back JOIN g ON g.cited = back.id WHERE d > 0)
-      SELECT array_to_string(min(path), ' ') AS path, len(min(path)) - 1 AS length FROM back WHERE d = 0
-    """,
-    "side_assignment": f"""
-      {_reach(1, "both")}, {_SUB},
-      f(id, d) AS (SELECT id, 0 FROM s UNION SELECT ge.cited, d + 1 FROM f JOIN ge ON ge.citing = f.id WHERE d < 12),
-      h(id, d) AS (SELECT id, 0 FROM s UNION SELECT ge.citing, d + 1 FROM h JOIN ge ON ge.cited = h.id WHERE d < 12),
-      f2 AS (SELECT id, min(d) AS d FROM f GROUP BY 1), h2 AS (SELECT id, min(d) AS d FROM h GROUP BY 1)
-      SELECT nodes.id, CASE WHEN h2.d IS NULL OR f2.d < h2.d THEN 'references' WHEN f2.d IS NULL OR h2.d < f2.d THEN 'citations' ELSE 'both' END AS side
-      FROM nodes LEFT JOIN f2 ON f2.id = nodes.id LEFT JOIN h2 ON h2.id = nodes.id
+      SELECT 'far' AS kind, array_to_string(min(path), ' ') AS path, len(min(path)) - 1 AS length FROM back WHERE d = 0
+      UNION ALL SELECT 'same', id, 0 FROM s
     """,
+    "side_assignment": f"{_reach(3, 'both')}, {_SUB}, {_SIDE} SELECT id, side FROM sided",
     "layout_columns": f"""
-      {_reach(2, "references")}, {_SUB},
-      h(id, d) AS (SELECT id, 0 FROM s UNION SELECT ge.citing, d + 1 FROM h JOIN ge ON ge.cited = h.id WHERE d < 12),
-      h2 AS (SELECT id, min(d) AS d FROM h GROUP BY 1),
-      q AS (
-        SELECT nodes.id, distance, created_at,
-               CASE WHEN h2.d IS NULL OR distance < h2.d THEN 'references' WHEN h2.d < distance THEN 'citations' ELSE 'both' END AS side
-        FROM nodes JOIN paper ON paper.id = nodes.id LEFT JOIN h2 ON h2.id = nodes.id),
+      {_reach(3, "both")}, {_SUB}, {_SIDE},
+      q AS (SELECT nodes.id, distance, created_at, side FROM nodes JOIN sided ON sided.id = nodes.id),
       w AS (
         SELECT *, row_number() OVER (PARTITION BY side, distance ORDER BY created_at, id) - 1 AS k, count(*) OVER (PARTITION BY side, distance) AS n FROM q)
       SELECT id,

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.functions import hints
-from quillgraph.operators import audit, documents, identity, importing, scan
-from quillgraph.operators.works import with_keys
-from quillgraph.queries.relations import SCAN, WORKS, copies, listing, sources, works
+from quillgraph.operators import audit, documents, expand, identity, importing, scan
+from quillgraph.operators import works as W
+from quillgraph.operators.importing import normalized_once
+from quillgraph.queries.relations import (
+    ANSWERS, DEEP_WORKS, REQUESTS, SCAN, WORKS, copies, deep_works, identifiers, listing, requests, sources, works,
+)
+from quillgraph.schema import Direction
 from quillgraph.session import cut
 from quillgraph.tables import table
 
@@ -17,9 +21,17 @@ _keys = lambda c: F.array_join(
     " ",
 )
 
+#: Works that a walk of the registered query may take.
+BUDGET = 50
+
+
+def _works(s, d):
+    """Works with their keys, made once: the queries read them for requests, look-ups and answers."""
+    return normalized_once(works(s, d))
+
 
 def _resolve(s, d):
-    groups = with_keys(works(s, d)).select("work_id", F.col("keys").alias("identifiers"))
+    groups = W.with_keys(works(s, d)).select("work_id", F.col("keys").alias("identifiers"))
     rows = identity.resolve(groups, table(s, d, "paper_identifier"), "work_id")
     return rows.select(
         "work_id",
@@ -31,47 +43,99 @@ def _resolve(s, d):
 
 
 def _candidates(s, d):
-    rows = importing.candidates(cut(works(s, d)), table(s, d, "paper_identifier"))
+    rows = importing.candidates(_works(s, d), table(s, d, "paper_identifier"))
+    choice = importing.import_choice()
     return rows.select(
         "work_id",
         "status",
         "title",
         "paper_id",
-        importing.import_choice()["normalized_value"].alias("import_by"),
+        F.concat(choice["scheme"], F.lit(":"), choice["normalized_value"]).alias("import_by"),
     )
 
 
-def _requests(known):
-    """One request per work: its identifiers, of which the first is replaced by a stranger for some."""
-    keyed = with_keys(known).where(F.size("keys") > 0)
-    stranger = F.struct(
-        F.lit("doi").alias("scheme"),
-        F.lit("10.5555/nobody").alias("value"),
-        F.lit("10.5555/nobody").alias("normalized_value"),
-    )
-    return keyed.select(
-        F.col("work_id").alias("request"),
-        F.concat(F.col("keys"), F.array(stranger)).alias("identifiers"),
-    )
+def _lookup(s, d):
+    known = _works(s, d)
+    return W.lookup(requests(s, d, known), known, "request")
 
 
 def _import(s, d):
-    known = cut(works(s, d))  # read by the requests, the lookup and the answer
-    rows = importing.import_status(_requests(known), known, table(s, d, "paper_identifier"), "request")
+    known = _works(s, d)
+    rows = importing.import_status(requests(s, d, known), known, table(s, d, "paper_identifier"), "request")
     held = F.when(F.col("status") == "matched", F.col("paper_id"))
     return rows.select(
         "request",
         "status",
         "work_id",
         held.alias("paper_id"),
+        "title",
+        "publication_year",
         _keys("added").alias("added"),
         _keys("ignored").alias("ignored"),
+        _joined("candidate_paper_ids").alias("candidates"),
     )
 
 
 def _fill(s, d):
-    rows = importing.metadata_fill(table(s, d, "paper"), table(s, d, "paper_identifier"), cut(works(s, d)))
-    return rows.select("paper_id", "status", F.size("added").cast("long").alias("added"))
+    rows = importing.metadata_fill(table(s, d, "paper"), table(s, d, "paper_identifier"), _works(s, d))
+    return rows.withColumn("added", _keys("added"))
+
+
+def _references(s, d):
+    known = cut(deep_works(s, d))
+    rows = W.fetch_references(known, known, 5)
+    return rows.select("work_id", "pos", "other_id", F.size("identifiers").alias("identifiers"), "title", "publication_year")
+
+
+def _citing(s, d):
+    known = cut(deep_works(s, d))
+    return W.fetch_citations(known.select("work_id"), known, 3)
+
+
+def _payloads(s, d):
+    """(payload) of a provider's records, one per order: DOIs in several spellings and broken ones, years
+    and titles of several kinds, and linked arXiv pages that agree or do not."""
+    n = F.col("o_orderkey")
+    text = n.cast("string")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    of = lambda by, *values: F.element_at(F.array(*values), (n % by + 1).cast("int"))
+    five = F.lpad((n % 90000).cast("string"), 5, "0")
+    page = lambda c: F.concat(F.lit('{"landing_page_url": '), quoted(c), F.lit("}"))
+    doi = of(
+        5,
+        quoted(F.concat(F.lit("https://doi.org/10.5555/Ab."), text)),
+        quoted(F.concat(F.lit(" 10.5555/Ab."), text)),
+        quoted(F.concat(F.lit("10.48550/arXiv.2401."), five)),
+        quoted(F.lit("10/broken")),
+        F.lit("null"),
+    )
+    same = F.concat(page(F.concat(F.lit("http://arxiv.org/abs/2402."), five)), F.lit(", "), page(F.concat(F.lit("https://doi.org/10.48550/arXiv.2402."), five, F.lit("v2"))))
+    other = F.concat(page(F.concat(F.lit("http://arxiv.org/abs/2402."), five)), F.lit(', {}, null, '), page(F.lit("http://arxiv.org/abs/2403.00001")))
+    payload = F.concat(
+        F.lit('{"id": '),
+        of(7, *[quoted(F.concat(F.lit(p), text)) for p in ("https://openalex.org/W", "W", "w", "A")], F.lit("5"), *[quoted(F.concat(F.lit("W"), text))] * 2),
+        F.lit(', "doi": '),
+        doi,
+        F.lit(', "display_name": '),
+        of(3, quoted(F.concat(F.lit(" Order "), text)), quoted(F.lit("  ")), F.lit("null")),
+        F.lit(', "publication_year": '),
+        of(4, F.lit("2001"), F.lit('"2001"'), F.lit("true"), F.lit("2001.5")),
+        F.lit(', "locations": ['),
+        of(3, same, other, F.lit("")),
+        F.lit("]"),
+        F.when(n % 11 == 10, F.lit("")).otherwise(F.lit("}")),
+    )
+    return table(s, d, "orders").select(payload.alias("payload"))
+
+
+def _records(s, d):
+    rows = W.parse_works(_payloads(s, d))
+    spelled = F.array_join(F.transform("identifiers", lambda i: F.concat(i["scheme"], F.lit(":"), i["value"])), " ")
+    return rows.select("work_id", spelled.alias("identifiers"), "title", "publication_year", F.size("landing_pages").alias("pages"))
+
+
+def _search(s, d):
+    return W.search(works(s, d), "for the", 25).select("work_id", "title")
 
 
 def _filename(s, d):
@@ -88,15 +152,58 @@ def _first_pages(s, d):
 
 def _text_hints(s, d):
     rows = _first_pages(s, d).select("document_id", F.posexplode(hints.text_hints(F.col("matches"))).alias("pos", "h"))
-    return rows.select("document_id", "h.scheme", "h.value", "h.normalized_value").distinct()
+    return rows.select("document_id", "pos", "h.scheme", "h.value", "h.normalized_value")
+
+
+def _files(s, d):
+    """(document_id, path, info, xmp, text): documents as files, with what a PDF says about itself.
+
+    Every fourth is named by an arXiv id, half of these with a version; Info has a DOI in one of three
+    cases, that of the document's paper if it has one, and a broken one in another; XMP gives one as
+    attribute, element, list items or general identifier.
+    """
+    n = F.col("doc_id")
+    least = identifiers(s, d).where("scheme = 'doi'").groupBy("paper_id").agg(F.min("normalized_value").alias("own"))
+    rows = table(s, d, "documents").select("doc_id", "text", "paper_id").join(least, "paper_id", "left")
+    text = n.cast("string")
+    five = F.lpad((n % 90000).cast("string"), 5, "0")
+    version = F.when(n % 8 == 0, F.lit("v2")).otherwise(F.lit(""))
+    name = F.when(n % 4 == 0, F.concat(F.lit("2404."), five, version, F.lit(".PDF"))).otherwise(F.concat(F.lit("note-2404."), five, F.lit(".pdf")))
+    doi = F.concat(F.lit("10.5555/Doc."), text)
+    info = F.when(n % 3 == 0, F.create_map(F.lit("/Title"), F.lit("10.1/no"), F.lit("/DOI"), F.concat(F.lit("https://doi.org/"), F.coalesce(F.upper("own"), doi)))).when(
+        n % 3 == 1,
+        F.create_map(F.lit("Doi"), F.lit("broken")),
+    )
+    xmp = F.element_at(
+        F.array(
+            F.concat(F.lit('<rdf:Description prism:doi="'), doi, F.lit('" rdf:about="">')),
+            F.concat(F.lit("<x><pdfx:DOI>doi:"), F.upper(doi), F.lit("</pdfx:DOI ><pdfx:doi>open")),
+            F.concat(F.lit("<dc:identifier><rdf:Bag><rdf:li>urn:7</rdf:li><rdf:li>doi:10.5555/x."), text, F.lit("</rdf:li><rdf:li>"), doi, F.lit("</rdf:li></rdf:Bag></dc:identifier>")),
+            F.concat(F.lit("<dc:identifier>see "), doi, F.lit("</dc:identifier><crossmark:DOI><b>"), doi, F.lit("</b></crossmark:DOI>")),
+            F.lit(None).cast("string"),
+        ),
+        (n % 5 + 1).cast("int"),
+    )
+    return rows.select(F.col("doc_id").alias("document_id"), F.concat(F.lit("/in/10.9/"), name).alias("path"), info.alias("info"), xmp.alias("xmp"), "text")
 
 
-def _selected(s, d):
-    pages = _first_pages(s, d).select(
+def _hints(s, d):
+    """(document_id, hints), read from the files once."""
+    read = hints.with_xmp_values(_files(s, d)).withColumn("matches", hints.located(F.col("text")))
+    read = cut(read.drop("text", "xmp"))
+    return read.select(
         "document_id",
-        hints.document_hints(F.lit(""), matches=F.col("matches")).alias("hints"),
+        hints.document_hints(F.col("path"), F.col("info"), F.col("xmp_values"), F.col("matches")).alias("hints"),
     )
-    return pages.select(
+
+
+def _document_hints(s, d):
+    each = _hints(s, d).select("document_id", F.posexplode("hints").alias("pos", "h"))
+    return each.select("document_id", "pos", "h.scheme", "h.normalized_value", "h.origin")
+
+
+def _selected(s, d):
+    return _hints(s, d).select(
         "document_id",
         F.col("document_id").alias("order"),
         hints.select_identifiers(F.col("hints")).alias("identifiers"),
@@ -108,17 +215,51 @@ def _identify(s, d):
     return rows.select(
         "document_id",
         "status",
+        "paper_id",
         _keys("identifiers").alias("identifiers"),
         F.size("candidate_paper_ids").cast("long").alias("candidates"),
     )
 
 
 def _matches(s, d):
-    rows = _first_pages(s, d).select(
-        "document_id",
-        hints.document_hints(F.lit(""), matches=F.col("matches")).alias("hints"),
+    return documents.hint_matches(_hints(s, d), table(s, d, "paper_identifier"))
+
+
+def _next_steps(s, d):
+    every = table(s, d, "documents").select(F.col("doc_id").alias("document_id"))
+    return documents.next_steps(every, cut(_matches(s, d)), table(s, d, "paper"))
+
+
+def _applied(s, d):
+    """The copies after a scan whose files have a hash of their own, some of which cannot be read."""
+    diff = cut(_diff(s, d))
+    stale = diff.where(F.col("state").isin("new", "changed"))
+    digest = F.when(F.substring(F.md5("normalized_path"), 2, 1) != "0", F.concat(F.lit("sha256:"), F.md5("normalized_path")))
+    known = table(s, d, "document_copy").groupBy("normalized_path").agg(F.max(F.struct(*table(s, d, "document_copy").columns)).alias("c")).select("c.*")
+    out = scan.apply_scan(known, diff, stale.select("normalized_path", digest.alias("content_hash")), F.lit("2030-01-01").cast("timestamp"))
+    now = F.lit("2030-01-01").cast("timestamp")
+    return out.select(
+        "id",
+        "normalized_path",
+        "content_hash",
+        "file_size",
+        "file_mtime_ns",
+        (F.col("last_seen_at") == now).alias("seen"),
+        F.when(F.col("missing_since") == now, "now").when(F.col("missing_since").isNotNull(), "before").alias("missing"),
+        (F.col("created_at") == now).alias("made"),
     )
-    return documents.hint_matches(rows, table(s, d, "paper_identifier"))
+
+
+def _expand(s, d):
+    """(turn, citing, cited, works, truncated): the edges of a budgeted walk over the deep works, both
+    ways, two steps deep, in their order, from the work that lists most references."""
+    known = cut(deep_works(s, d))
+    size = F.size(F.coalesce("referenced_works", F.array().cast("array<string>")))
+    first = known.orderBy(F.desc(size), "work_id").first()
+    seed = expand.Work(first.work_id, [("openalex", first.work_id, first.work_id)], first.title, first.publication_year)
+    found = expand.walk(seed, expand.offline_neighbours(known), Direction.both, 2, BUDGET)
+    rows = [(k, a[1], b[1], len(found.works), found.truncated) for k, (a, b) in enumerate(found.edges)]
+    return s.createDataFrame(rows, "turn int, citing string, cited string, works int, truncated boolean")
 
 
 def _diff(s, d):
@@ -128,10 +269,17 @@ def _diff(s, d):
 QUERIES = {
     "resolve_identifiers": _resolve,
     "work_candidates": _candidates,
+    "lookup_order": _lookup,
     "import_status": _import,
     "metadata_fill": _fill,
+    "walk_references": _references,
+    "walk_citations": _citing,
+    "expand_budget": _expand,
+    "provider_records": _records,
+    "provider_search": _search,
     "filename_hints": _filename,
     "text_hints": _text_hints,
+    "document_hints": _document_hints,
     "strip_punct": lambda s, d: table(s, d, "documents").select(
         F.col("doc_id").alias("document_id"),
         hints.strip_trailing_punctuation(F.col("text")).alias("stripped"),
@@ -143,12 +291,16 @@ QUERIES = {
     ),
     "hint_matches": lambda s, d: _matches(s, d).select(
         "document_id",
+        "pos",
         "scheme",
         "normalized_value",
+        "origin",
         "strong",
         "paper_id",
     ),
-    "next_steps": lambda s, d: documents.next_steps(_matches(s, d)),
+    "importable_hints": lambda s, d: documents.importable(_matches(s, d)).select("document_id", "pos", "scheme", "normalized_value"),
+    "next_steps": _next_steps,
+    "scan_apply": _applied,
     "scan_diff": lambda s, d: _diff(s, d).select("normalized_path", "document_id", "source_id", "state", "reappeared"),
     "scan_counters": lambda s, d: scan.scan_counters(listing(s, d), _diff(s, d), sources(s, d)),
     "missing_docs": lambda s, d: documents.documents(copies(s, d)).select(
@@ -172,26 +324,48 @@ QUERIES = {
 }
 
 _STATUS = "CASE WHEN n_keys = 0 THEN 'insufficient' WHEN n_papers = 0 THEN 'new' WHEN n_papers = 1 THEN 'matched' ELSE 'ambiguous' END"
-# A text's arXiv stamps and DOIs, without closing punctuation.
+# A text's arXiv stamps and DOIs in their order, without closing punctuation.
 _PUNCT = r"CASE WHEN contains({0}, '(') THEN regexp_replace({0}, '[.,;:\]}}]+$', '') ELSE regexp_replace({0}, '[.,;:)\]}}]+$', '') END"
+_TEXT = rf"""
+  raw AS (
+    SELECT doc_id AS document_id, unnest(m) AS mark, generate_subscripts(m, 1) AS i FROM (
+      SELECT doc_id, regexp_extract_all(text, '(?i:arXiv:\d{{4}}\.\d{{4,5}}(?:v\d+)?)|\b10\.\d{{4,9}}/[^\s\p{{Z}}"<>]+') AS m FROM documents)),
+  mark AS (
+    SELECT document_id, CASE WHEN mark[1:3] = '10.' THEN 'doi' ELSE 'arxiv' END AS scheme,
+           CASE WHEN mark[1:3] = '10.' THEN mark ELSE mark[7:] END AS found, min(i) AS i FROM raw GROUP BY 1, 2, 3),
+  cleaned AS (SELECT document_id, scheme, CASE WHEN scheme = 'doi' THEN {_PUNCT.format("found")} ELSE found END AS value, i FROM mark),
+  th AS (
+    SELECT document_id, scheme, value, CASE WHEN scheme = 'arxiv' THEN regexp_replace(value, 'v\d+$', '') ELSE lower(value) END AS normalized_value,
+           row_number() OVER (PARTITION BY document_id ORDER BY i) - 1 AS pos
+    FROM cleaned WHERE CASE WHEN scheme = 'arxiv' THEN regexp_full_match(value, '\d{{4}}\.\d{{4,5}}(v\d+)?')
+                            ELSE regexp_full_match(value, '10\.[^/\s]+/[^\s]+') END)
+"""
+# All hints of the files that the queries make of the documents, in their order.
 _HINTS = rf"""
-  h AS (SELECT DISTINCT document_id, scheme, value FROM (
-    SELECT doc_id AS document_id, 'arxiv' AS scheme, unnest(regexp_extract_all(text, '(?i)arXiv:(\d{{4}}\.\d{{4,5}}(?:v\d+)?)', 1)) AS value FROM documents
-    UNION ALL
-    SELECT doc_id, 'doi', {_PUNCT.format("v")} FROM (
-      SELECT doc_id, unnest(regexp_extract_all(text, '\b10\.\d{{4,9}}/[^\s\p{{Z}}"<>]+')) AS v FROM documents))),
+  {_TEXT},
+  own_doi AS (SELECT paper_id, min(normalized_value) AS own FROM paper_identifier WHERE scheme = 'doi' AND normalized_value IS NOT NULL GROUP BY 1),
+  every_hint AS (
+    SELECT doc_id AS document_id, 'arxiv' AS scheme, '2404.' || lpad(CAST(doc_id % 90000 AS VARCHAR), 5, '0') AS v, 'filename' AS origin, 0 AS part, 0 AS i
+    FROM documents WHERE doc_id % 4 = 0
+    UNION ALL SELECT doc_id, 'doi', coalesce(own, '10.5555/doc.' || doc_id), 'pdf_metadata', 1, 0 FROM documents LEFT JOIN own_doi USING (paper_id) WHERE doc_id % 3 = 0
+    UNION ALL SELECT doc_id, 'doi', '10.5555/doc.' || doc_id, 'pdf_metadata', 2, 1 FROM documents WHERE doc_id % 5 IN (0, 1, 2, 3)
+    UNION ALL SELECT doc_id, 'doi', '10.5555/x.' || doc_id, 'pdf_metadata', 2, 0 FROM documents WHERE doc_id % 5 = 2
+    UNION ALL SELECT document_id, scheme, normalized_value, 'pdf_text', 3, pos FROM th),
+  once AS (SELECT document_id, scheme, v, origin, min(part * 100000000 + i) AS turn FROM every_hint GROUP BY 1, 2, 3, 4),
   hv AS (
-    SELECT document_id, scheme, value, CASE WHEN scheme = 'arxiv' THEN regexp_replace(value, 'v\d+$', '') ELSE lower(value) END AS normalized_value
-    FROM h WHERE CASE WHEN scheme = 'arxiv' THEN regexp_full_match(value, '\d{{4}}\.\d{{4,5}}(v\d+)?')
-                      ELSE regexp_full_match(value, '10\.[^/\s]+/[^\s]+') END),
-  strong AS (SELECT DISTINCT document_id FROM hv WHERE scheme = 'arxiv'),
-  sel AS (SELECT DISTINCT document_id, scheme, normalized_value AS v FROM hv WHERE scheme = 'arxiv' OR document_id NOT IN (SELECT document_id FROM strong)),
-  held AS (SELECT DISTINCT scheme, normalized_value AS v, paper_id FROM paper_identifier WHERE normalized_value IS NOT NULL)
+    SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY turn) - 1 AS pos, scheme, v AS normalized_value, origin,
+           scheme = 'arxiv' OR origin <> 'pdf_text' AS strong FROM once),
+  strong AS (SELECT DISTINCT document_id FROM hv WHERE strong),
+  sel AS (SELECT DISTINCT document_id, scheme, normalized_value AS v FROM hv WHERE strong OR document_id NOT IN (SELECT document_id FROM strong)),
+  held AS (SELECT DISTINCT scheme, normalized_value AS v, paper_id FROM paper_identifier WHERE normalized_value IS NOT NULL),
+  least_held AS (SELECT scheme, v, min(paper_id) AS paper_id FROM held GROUP BY 1, 2),
+  matched AS (SELECT hv.*, m.paper_id FROM hv LEFT JOIN least_held m ON m.scheme = hv.scheme AND m.v = hv.normalized_value)
 """
+_MINTED = r"regexp_replace(md5('paper:' || {0}), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '\1-\2-\3-\4-\5')"
 _IDENTIFY = f"""
   {_HINTS},
   g AS (
-    SELECT d.doc_id AS document_id, count(DISTINCT sel.scheme || ':' || sel.v) AS n, count(DISTINCT held.paper_id) AS papers,
+    SELECT d.doc_id AS document_id, count(DISTINCT sel.scheme || ':' || sel.v) AS n, count(DISTINCT held.paper_id) AS papers, min(held.paper_id) AS holder,
            count(DISTINCT CASE WHEN held.paper_id IS NULL THEN sel.scheme || ':' || sel.v END) AS free,
            coalesce(string_agg(DISTINCT sel.scheme || ':' || sel.v, ' ' ORDER BY sel.scheme || ':' || sel.v), '') AS identifiers
     FROM documents d LEFT JOIN sel ON sel.document_id = d.doc_id LEFT JOIN held ON held.scheme = sel.scheme AND held.v = sel.v
@@ -203,9 +377,31 @@ _IDENTIFY = f"""
     SELECT g.document_id,
            CASE WHEN n = 0 THEN 'unidentified' WHEN papers > 1 OR (n > 1 AND NOT (papers = 1 AND free = 0)) THEN 'ambiguous'
                 WHEN papers = 1 OR fresh.first < g.document_id THEN 'linked' ELSE 'created' END AS status,
+           CASE WHEN papers = 1 AND (n = 1 OR free = 0) THEN holder WHEN n = 1 AND papers = 0 THEN {_MINTED.format("g.identifiers")} END AS paper_id,
            g.identifiers, CASE WHEN n = 1 AND papers = 0 THEN CASE WHEN fresh.first < g.document_id THEN 1 ELSE 0 END ELSE papers + coalesce(more, 0) END AS candidates
     FROM g LEFT JOIN fresh ON fresh.identifiers = g.identifiers AND g.n = 1 AND g.papers = 0 LEFT JOIN seen ON seen.document_id = g.document_id)
 """
+# A walk as one row per step: the works so far with their distances, whose turn it is and which way.
+_WALK = f"""
+  adj AS (
+    SELECT dw.id, coalesce(r.l, []) AS refs, coalesce(c.l, []) AS cites FROM (SELECT id FROM dw UNION SELECT other FROM dr) dw
+    LEFT JOIN (SELECT id, list({{'pos': pos, 'id': other}} ORDER BY pos) AS l FROM dr GROUP BY id) r ON r.id = dw.id
+    LEFT JOIN (SELECT id, list({{'pos': pos, 'id': other}} ORDER BY pos) AS l FROM dc GROUP BY id) c ON c.id = dw.id),
+  walk(i, way, works, dists, edges, truncated, done) AS (
+    SELECT 1, 0, [id], [0], CAST([] AS VARCHAR[]), false, false FROM (SELECT dw.id FROM dw LEFT JOIN dl ON dl.id = dw.id GROUP BY dw.id ORDER BY count(dl.id) DESC, dw.id LIMIT 1)
+    UNION ALL
+    SELECT CASE WHEN way = 1 THEN i + 1 ELSE i END, 1 - way, works || fits, dists || list_transform(fits, lambda x: dists[i] + 1),
+           edges || list_transform(list_filter(near, lambda x: list_contains(works || fits, x)), lambda x: CASE WHEN way = 0 THEN works[i] || ' ' || x ELSE x || ' ' || works[i] END),
+           truncated OR room <= 0 OR len(near) >= share OR len(fits) < len(fresh), room <= 0
+    FROM (
+      SELECT *, CASE WHEN room <= 0 THEN CAST([] AS VARCHAR[]) ELSE fresh[1:room] END AS fits FROM (
+        SELECT *, list_filter(near, lambda x: NOT list_contains(works, x)) AS fresh FROM (
+          SELECT *, CASE WHEN room <= 0 THEN CAST([] AS VARCHAR[]) ELSE list_filter(list_transform(list_filter(
+                      CASE WHEN way = 0 THEN refs ELSE cites END, lambda x: x.pos < share), lambda x: x.id), lambda x: x <> works[i]) END AS near FROM (
+            SELECT walk.*, adj.*, {BUDGET} - len(works) AS room, CAST(ceil(({BUDGET} - len(works)) / (2.0 - way)) AS BIGINT) AS share
+            FROM walk JOIN adj ON adj.id = works[i] WHERE NOT done AND dists[i] < 2))))),
+  last_step AS (SELECT edges, len(works) AS works, truncated FROM walk ORDER BY i DESC, way DESC, done DESC LIMIT 1)
+"""
 
 SQL = {
     "resolve_identifiers": f"""
@@ -213,47 +409,79 @@ SQL = {
       SELECT work_id, {_STATUS} AS status, CASE WHEN n_papers = 1 THEN held_by END AS paper_id, candidates, unassigned FROM r
     """,
     "work_candidates": f"""
-      WITH {WORKS}
+      WITH {WORKS}, choice AS (
+        SELECT work_id, coalesce(min(CASE WHEN scheme = 'openalex' THEN 'openalex:' || v END),
+                                 CASE WHEN any_value(n) % 17 <> 0 THEN coalesce('doi:' || any_value(lower(doi)), 'doi:' || any_value(other_doi)) END) AS import_by
+        FROM work JOIN k USING (work_id) GROUP BY 1)
       SELECT work_id, CASE WHEN n_papers = 1 THEN 'existing' WHEN n_papers = 0 THEN 'new' ELSE 'ambiguous' END AS status,
-             work.title, CASE WHEN n_papers = 1 THEN held_by END AS paper_id, work_id AS import_by
-      FROM r JOIN work USING (work_id) WHERE n_keys > 0
+             work.title, CASE WHEN n_papers = 1 THEN held_by END AS paper_id, import_by
+      FROM r JOIN work USING (work_id) JOIN choice USING (work_id) WHERE n_keys > 0
     """,
+    "lookup_order": f"WITH {WORKS}, {ANSWERS}, {REQUESTS} SELECT * FROM hit",
     "import_status": f"""
-      WITH {WORKS}, a AS (
-        SELECT k.work_id, coalesce(string_agg(DISTINCT CASE WHEN i.paper_id IS NULL THEN k.scheme || ':' || k.v END, ' '
-                                              ORDER BY CASE WHEN i.paper_id IS NULL THEN k.scheme || ':' || k.v END), '') AS added
-        FROM k LEFT JOIN i ON i.scheme = k.scheme AND i.v = k.v GROUP BY 1)
-      SELECT r.work_id AS request, CASE WHEN n_papers = 0 THEN 'created' WHEN n_papers = 1 THEN 'matched' ELSE 'ambiguous' END AS status, r.work_id,
-             CASE WHEN n_papers = 1 THEN held_by END AS paper_id, CASE WHEN n_papers < 2 THEN added ELSE '' END AS added, 'doi:10.5555/nobody' AS ignored
-      FROM r JOIN a ON a.work_id = r.work_id WHERE n_keys > 0
+      WITH {WORKS}, {ANSWERS}, {REQUESTS},
+      known AS (SELECT DISTINCT hit.request, req.scheme, req.v, k.v IS NOT NULL AS shared FROM hit JOIN req ON req.request = hit.request
+                LEFT JOIN k ON k.work_id = hit.work_id AND k.scheme = req.scheme AND k.v = req.v),
+      about AS (SELECT request, bool_or(shared) AS sure, coalesce(string_agg(CASE WHEN NOT shared THEN scheme || ':' || v END, ' ' ORDER BY scheme || ':' || v), '') AS lacking FROM known GROUP BY 1)
+      SELECT q.request, CASE WHEN hit.work_id IS NULL THEN NULL WHEN NOT sure THEN 'unconfirmed' WHEN n_papers > 1 THEN 'ambiguous'
+                             WHEN n_papers = 0 THEN 'created' ELSE 'matched' END AS status,
+             hit.work_id, CASE WHEN sure AND n_papers = 1 THEN held_by END AS paper_id, work.title, work.publication_year,
+             CASE WHEN sure AND n_papers < 2 THEN free ELSE '' END AS added, CASE WHEN sure THEN lacking ELSE '' END AS ignored,
+             CASE WHEN sure THEN candidates ELSE '' END AS candidates
+      FROM (SELECT DISTINCT request FROM req) q LEFT JOIN hit ON hit.request = q.request LEFT JOIN about ON about.request = q.request
+      LEFT JOIN r ON r.work_id = hit.work_id LEFT JOIN work ON work.work_id = hit.work_id
     """,
     "metadata_fill": f"""
-      WITH {WORKS},
-      asked AS (
-        SELECT i.paper_id, k.work_id, CASE i.scheme WHEN 'openalex' THEN 1 ELSE 2 END AS o, i.v FROM i
-        JOIN (SELECT scheme, v, min(work_id) AS work_id FROM k GROUP BY 1, 2) k ON k.scheme = i.scheme AND k.v = i.v
-        WHERE i.paper_id IN (SELECT id FROM paper)),
+      WITH {WORKS}, {ANSWERS},
+      first_of AS (SELECT paper_id, scheme, min(v) AS v FROM i WHERE scheme IN ('openalex', 'doi', 'arxiv') AND paper_id IN (SELECT id FROM paper) GROUP BY 1, 2),
       hit AS (
-        SELECT paper_id, arg_min(work_id, o || lpad(CAST(pos AS VARCHAR), 6, '0')) AS work_id FROM (
-          SELECT *, 0 AS unused FROM (
-            SELECT asked.*, p.pos FROM asked JOIN (
-              SELECT paper_id, scheme, v, row_number() OVER (PARTITION BY paper_id ORDER BY scheme, raw) AS pos FROM (
-                SELECT paper_id, scheme, normalized_value AS v, min(value) AS raw FROM paper_identifier WHERE normalized_value IS NOT NULL GROUP BY 1, 2, 3)) p
-              ON p.paper_id = asked.paper_id AND p.v = asked.v AND CASE p.scheme WHEN 'openalex' THEN 1 ELSE 2 END = asked.o))
-        GROUP BY 1)
-      SELECT hit.paper_id, CASE WHEN n_papers > 1 OR (n_papers = 1 AND held_by <> hit.paper_id) THEN 'conflict' WHEN n_papers = 0 THEN 'unconfirmed' ELSE 'updated' END AS status,
-             CASE WHEN n_papers = 1 AND held_by = hit.paper_id THEN unassigned ELSE 0 END AS added
-      FROM hit JOIN r ON r.work_id = hit.work_id
+        SELECT paper_id, arg_min(work_id, CASE f.scheme WHEN 'openalex' THEN 1 WHEN 'doi' THEN 2 ELSE 3 END) AS work_id
+        FROM first_of f JOIN answer a ON a.scheme = f.scheme AND a.v = f.v GROUP BY 1),
+      q AS (
+        SELECT hit.paper_id, CASE WHEN n_papers > 1 OR (n_papers = 1 AND held_by <> hit.paper_id) THEN 'conflict' WHEN n_papers = 0 THEN 'unconfirmed' ELSE 'updated' END AS status,
+               p.title, p.publication_year, work.title AS new_title, work.publication_year AS new_year, free
+        FROM hit JOIN r ON r.work_id = hit.work_id JOIN work ON work.work_id = hit.work_id JOIN paper p ON p.id = hit.paper_id)
+      SELECT paper_id, status, CASE WHEN status = 'updated' THEN coalesce(title, new_title) ELSE title END AS title,
+             CASE WHEN status = 'updated' THEN coalesce(publication_year, new_year) ELSE publication_year END AS publication_year,
+             status = 'updated' AND title IS NULL AND new_title IS NOT NULL AS title_set,
+             status = 'updated' AND publication_year IS NULL AND new_year IS NOT NULL AS year_set,
+             CASE WHEN status = 'updated' THEN free ELSE '' END AS added
+      FROM q
+    """,
+    "walk_references": f"""
+      WITH {DEEP_WORKS}
+      SELECT dr.id AS work_id, pos, other AS other_id, 1 AS identifiers, CASE WHEN dw.id IS NOT NULL THEN 'Order ' || substr(other, 2) END AS title,
+             CASE WHEN dw.id IS NOT NULL THEN year(o_orderdate) END::INTEGER AS publication_year
+      FROM dr LEFT JOIN dw ON dw.id = other LEFT JOIN orders ON o_orderkey = dw.key WHERE pos < 5
+    """,
+    "walk_citations": f"WITH {DEEP_WORKS} SELECT id AS work_id, pos, other AS other_id FROM dc WHERE pos < 3 AND id IN (SELECT id FROM dw)",
+    "expand_budget": f"""
+      WITH RECURSIVE {DEEP_WORKS}, {_WALK}
+      SELECT row_number() OVER (ORDER BY k) - 1 AS turn, split_part(edge, ' ', 1) AS citing, split_part(edge, ' ', 2) AS cited, works, truncated
+      FROM (SELECT edge, min(k) AS k, any_value(works) AS works, any_value(truncated) AS truncated
+            FROM (SELECT unnest(edges) AS edge, generate_subscripts(edges, 1) AS k, works, truncated FROM last_step) GROUP BY edge)
+    """,
+    "provider_records": """
+      WITH q AS (SELECT o_orderkey AS n, lpad(CAST(o_orderkey % 90000 AS VARCHAR), 5, '0') AS five FROM orders WHERE o_orderkey % 11 <> 10 AND o_orderkey % 7 NOT IN (3, 4))
+      SELECT 'W' || n AS work_id,
+             'openalex:W' || n || CASE n % 5 WHEN 0 THEN ' doi:10.5555/Ab.' || n WHEN 1 THEN ' doi:10.5555/Ab.' || n
+                                            WHEN 2 THEN ' doi:10.48550/arXiv.2401.' || five || ' arxiv:2401.' || five
+                                            ELSE CASE WHEN n % 3 = 0 THEN ' arxiv:2402.' || five ELSE '' END END AS identifiers,
+             CASE WHEN n % 3 = 0 THEN 'Order ' || n END AS title, CASE WHEN n % 4 = 0 THEN 2001 END AS publication_year,
+             CASE n % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS pages
+      FROM q
+    """,
+    "provider_search": f"""
+      WITH {WORKS}
+      SELECT work_id, title FROM work WHERE contains(lower(title), 'for') AND contains(lower(title), 'the') ORDER BY length(title), work_id LIMIT 25
     """,
     "filename_hints": r"""
       WITH q AS (SELECT DISTINCT id, regexp_extract(normalized_path, '([^/]*)$', 1) AS name FROM document_copy),
       v AS (SELECT id, regexp_extract(name, '^(\d{4}\.\d{4,5}(v\d+)?)\.[pP][dD][fF]$', 1) AS value FROM q)
       SELECT id, 'arxiv' AS scheme, value, regexp_replace(value, 'v\d+$', '') AS normalized_value FROM v WHERE value <> ''
     """,
-    "text_hints": f"""
-      WITH {_HINTS}
-      SELECT hv.* FROM hv
-    """,
+    "text_hints": f"WITH {_TEXT} SELECT document_id, pos, scheme, value, normalized_value FROM th",
+    "document_hints": f"WITH {_HINTS} SELECT document_id, pos, scheme, normalized_value, origin FROM hv",
     "strip_punct": f"SELECT doc_id AS document_id, {_PUNCT.format('text')} AS stripped FROM documents",
     "select_identifiers": f"""
       WITH {_HINTS}
@@ -265,14 +493,28 @@ SQL = {
       WITH {_IDENTIFY} SELECT count(*) FILTER (status IN ('linked', 'created')) AS linked, count(*) FILTER (status = 'ambiguous') AS ambiguous,
       count(*) FILTER (status = 'unidentified') AS unidentified FROM o
     """,
-    "hint_matches": f"""
-      WITH {_HINTS}, m AS (SELECT scheme, v, min(paper_id) AS paper_id FROM held GROUP BY 1, 2)
-      SELECT DISTINCT document_id, hv.scheme, normalized_value, hv.scheme = 'arxiv' AS strong, paper_id
-      FROM hv LEFT JOIN m ON m.scheme = hv.scheme AND m.v = hv.normalized_value
-    """,
+    "hint_matches": f"WITH {_HINTS} SELECT document_id, pos, scheme, normalized_value, origin, strong, paper_id FROM matched",
+    "importable_hints": f"WITH {_HINTS} SELECT document_id, pos, scheme, normalized_value FROM matched WHERE paper_id IS NULL",
     "next_steps": f"""
-      WITH {_HINTS} SELECT document_id, CASE WHEN count(held.paper_id) > 0 THEN 'link' ELSE 'import' END AS step
-      FROM hv LEFT JOIN held ON held.scheme = hv.scheme AND held.v = hv.normalized_value GROUP BY 1
+      WITH {_HINTS}, able AS (
+        SELECT DISTINCT document_id, 0 AS kind, 'link' AS step, paper_id AS target, created_at, 0 AS pos FROM matched JOIN paper ON paper.id = paper_id
+        UNION ALL SELECT document_id, 1, 'import', scheme || ':' || normalized_value, NULL, pos FROM matched WHERE paper_id IS NULL),
+      ranked AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY kind, created_at, pos, target) AS rank, step, target FROM able)
+      SELECT doc_id AS document_id, coalesce(rank, 1) AS rank, coalesce(step, 'search') AS step, target FROM documents LEFT JOIN ranked ON document_id = doc_id
+    """,
+    "scan_apply": f"""
+      WITH {SCAN}, one AS (SELECT normalized_path AS np, max(id) AS id FROM c GROUP BY 1), k AS (SELECT c.* FROM c JOIN one ON one.id = c.id AND one.np = c.normalized_path),
+      q AS (
+        SELECT coalesce(k.normalized_path, diff.normalized_path) AS path, k.*, state, f.size, f.t,
+               CASE WHEN state IN ('new', 'changed') AND md5(diff.normalized_path)[2] <> '0' THEN 'sha256:' || md5(diff.normalized_path) END AS hash
+        FROM k FULL JOIN diff ON diff.normalized_path = k.normalized_path LEFT JOIN f ON f.p = diff.normalized_path)
+      SELECT DISTINCT coalesce(id, regexp_replace(md5('document:' || path), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '\\1-\\2-\\3-\\4-\\5')) AS id,
+             path AS normalized_path, coalesce(hash, content_hash) AS content_hash, CASE WHEN hash IS NOT NULL THEN size ELSE file_size END AS file_size,
+             CASE WHEN hash IS NOT NULL THEN t ELSE file_mtime_ns END AS file_mtime_ns,
+             CASE WHEN hash IS NOT NULL OR state = 'same' THEN true WHEN last_seen_at IS NOT NULL THEN false END AS seen,
+             CASE WHEN hash IS NOT NULL OR state = 'same' THEN NULL WHEN state = 'missing' THEN 'now' WHEN missing_since IS NOT NULL THEN 'before' END AS missing,
+             id IS NULL AS made
+      FROM q WHERE id IS NOT NULL OR hash IS NOT NULL
     """,
     "scan_diff": f"WITH {SCAN} SELECT * FROM diff",
     "scan_counters": f"""
@@ -299,28 +541,3 @@ SQL = {
     """,
 }
 
-
-def _expand(s, d):
-    """A budgeted walk from the work with the most references; which works are met depends on a running
-    count, so there is no SQL."""
-    from quillgraph.operators import expand
-    from quillgraph.queries.relations import edges
-    from quillgraph.schema import Direction
-
-    own = works(s, d)
-    of = edges(s, d).join(own.select(F.col("paper_id").alias("citing"), F.col("work_id").alias("a")), "citing")
-    of = of.join(own.select(F.col("paper_id").alias("cited"), F.col("work_id").alias("b")), "cited")
-    refs = of.groupBy(F.col("a").alias("work_id")).agg(F.sort_array(F.collect_set("b")).alias("referenced_works"))
-    counts = of.groupBy(F.col("b").alias("work_id")).agg(F.count(F.lit(1)).alias("cited_by_count"))
-    full = cut(own.join(refs, "work_id", "left").join(counts, "work_id", "left"))
-    first = full.orderBy(
-        F.desc(F.size(F.coalesce("referenced_works", F.array().cast("array<string>")))),
-        "work_id",
-    ).first()
-    seed = expand.Work(first.work_id, [("openalex", first.work_id, first.work_id)], first.title, first.publication_year)
-    found = expand.walk(seed, expand.offline_neighbours(full), Direction.both, 2, 50)
-    rows = [(a[1], b[1], found.truncated) for a, b in dict.fromkeys(found.edges)]
-    return s.createDataFrame(rows, "citing string, cited string, truncated boolean")
-
-
-QUERIES["expand_budget"] = _expand

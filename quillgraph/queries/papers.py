@@ -66,11 +66,7 @@ def _dedup_first(s, d):
 
 
 def _conflicts(s, d):
-    return identity.conflicts(table(s, d, "paper_identifier")).select(
-        "scheme",
-        "normalized_value",
-        F.array_join("paper_ids", " ").alias("paper_ids"),
-    )
+    return identity.conflicts(table(s, d, "paper_identifier"))
 
 
 def _totals(s, d):
@@ -134,7 +130,7 @@ SQL = {
       SELECT id, coalesce(nullif(title, ''), primary_identifier, substr(id, 1, 8)) AS label, primary_identifier FROM q
     """,
     "node_label": f"""
-      WITH {_IDS}, n AS (SELECT paper_id, arg_min(scheme || ':' || raw, scheme || ':' || v) AS first FROM i GROUP BY 1)
+      WITH {_IDS}, n AS (SELECT paper_id, min(scheme || ':' || v) AS first FROM i GROUP BY 1)
       SELECT id, coalesce(CASE WHEN length(title) > 40 THEN substr(title, 1, 40) || '…' ELSE nullif(title, '') END, first, substr(id, 1, 8)) AS label
       FROM paper p LEFT JOIN n ON n.paper_id = p.id
     """,
@@ -171,7 +167,7 @@ SQL = {
     """,
     "identifier_conflicts": """
       WITH q AS (SELECT DISTINCT scheme, normalized_value, paper_id FROM paper_identifier WHERE normalized_value IS NOT NULL)
-      SELECT scheme, normalized_value, string_agg(paper_id, ' ' ORDER BY paper_id) AS paper_ids FROM q GROUP BY 1, 2 HAVING count(*) > 1
+      SELECT q.* FROM q JOIN (SELECT scheme, normalized_value FROM q GROUP BY 1, 2 HAVING count(*) > 1) USING (scheme, normalized_value)
     """,
     "dashboard_totals": f"WITH {EDGES} SELECT count(*) AS papers, count(library_added_at) AS library, (SELECT count(*) FROM e) AS citations FROM paper",
     "degree_global": f"""

@@ -35,14 +35,17 @@ def local_session(cores: str | int = "*", app: str = "quillgraph", **conf: str)
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder in which lineage is cut.
 
-    A cluster names a folder that all executors share in ``spark.checkpoint.dir``. Only where that
-    setting is absent (tests, one machine) a temporary folder is made.
+    A cluster names a folder that all executors share in ``spark.checkpoint.dir``. Where that setting is
+    absent a temporary folder is made if all runs on one machine; elsewhere it would not be shared, so
+    that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     folder = named or tempfile.mkdtemp(prefix=f"quillgraph-{os.getpid()}-")
     sc.setCheckpointDir(folder)
     return folder

@@ -1,8 +1,8 @@
 """Listing and hashing document files.
 
-A listing walks directories on the driver, as it must not follow links to directories and must keep
-nanosecond times, which Spark's file source does not give. Contents are hashed by tasks, only where a
-file is stale. Files lie on storage that driver and executors share.
+Directories are listed by tasks, a level of all trees at a time, as a listing must not follow links to
+directories and must keep nanosecond times, which Spark's file source does not do. Contents are hashed
+by tasks too, only where a file is stale. Files lie on storage that driver and executors share.
 """
 
 from __future__ import annotations
@@ -14,10 +14,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.session import cut
+
 # The suffix of documents, the size of pieces in which they are read, the hash's prefix.
 SUFFIX, PIECE, PREFIX = ".pdf", 1 << 20, "sha256:"
 
 LISTING = "normalized_path string, file_size long, file_mtime_ns long, readable boolean"
+LISTED = f"folder string, {LISTING}"
+#: Tasks that list a level of directories.
+FOLDER_TASKS = 64
 
 
 def normalize_local_path(path: str) -> str:
@@ -25,18 +30,7 @@ def normalize_local_path(path: str) -> str:
     return os.path.abspath(os.path.expanduser(path))
 
 
-def document_paths(root: str) -> Iterator[str]:
-    """Documents below a directory, in order of paths. Links to files are kept as they are, those that
-    lead nowhere are skipped, those to directories are not followed."""
-    for folder, folders, files in os.walk(root, followlinks=False):
-        folders.sort()
-        for name in sorted(files):
-            path = os.path.join(folder, name)
-            if name.lower().endswith(SUFFIX) and os.path.isfile(path):
-                yield path
-
-
-def _entry(path: str) -> tuple[str, int | None, int | None, bool]:
+def _stat(path: str) -> tuple[str, int | None, int | None, bool]:
     try:
         stat = os.stat(path)
         return path, stat.st_size, stat.st_mtime_ns, True
@@ -44,10 +38,42 @@ def _entry(path: str) -> tuple[str, int | None, int | None, bool]:
         return path, None, None, False
 
 
+def list_folder(folder: str) -> tuple[list[str], list[tuple[str, int | None, int | None, bool]]]:
+    """Directories and documents directly in a directory, in order of names. Links to files are kept as
+    they are, those that lead nowhere and those to directories are left out; so is what cannot be read."""
+    try:
+        entries = sorted(os.scandir(folder), key=lambda e: e.name)
+    except OSError:
+        return [], []
+    folders = [e.path for e in entries if e.is_dir(follow_symlinks=False)]
+    files = [_stat(e.path) for e in entries if e.name.lower().endswith(SUFFIX) and os.path.isfile(e.path)]
+    return folders, files
+
+
 def list_documents(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """The listing of all documents below the roots that exist; a file below several comes once."""
-    paths = dict.fromkeys(p for root in roots if os.path.isdir(root) for p in document_paths(root))
-    return spark.createDataFrame([_entry(p) for p in paths], LISTING)
+    """The listing of all documents below the roots that exist; a file below several comes once.
+
+    One job per level of directories: what a level finds is stored, and its directories are the next
+    level. The driver holds the roots alone.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in LISTED.split(", ")]
+        for frame in frames:
+            rows = []
+            for folder in frame.folder:
+                folders, files = list_folder(folder)
+                rows += [(f, None, None, None, None) for f in folders] + [(None, *f) for f in files]
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+    level = spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "folder string")
+    listing = spark.createDataFrame([], LISTING)
+    while level.limit(1).count():
+        # Directories differ in size, so they are dealt out.
+        found = cut(level.distinct().repartition(FOLDER_TASKS, "folder").mapInPandas(read, LISTED))
+        listing = listing.unionByName(found.where("folder IS NULL").drop("folder"))
+        level = found.where("folder IS NOT NULL").select("folder")
+    return listing.distinct()
 
 
 def hash_file(path: str) -> str | None:

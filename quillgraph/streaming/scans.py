@@ -1,7 +1,9 @@
-"""Scans as a stream: listings arrive as files, and every batch is compared with the stored copies.
+"""Scans as a stream: listings arrive in folders, and each is compared with the stored copies.
 
-An addition to the library's own scan, for sources that report their listings continuously. The state
-is the stored table itself, so a batch that is run again after a failure changes nothing more.
+An addition to the library's own scan, for sources that report their listings continuously. A listing
+may consist of any number of files, so its folder is announced, once it is complete, by a row in a file
+of its own; the announcements are what is streamed. The state is the stored table itself, so a listing
+that is stored again after a failure changes nothing more.
 """
 
 from __future__ import annotations
@@ -19,6 +21,10 @@ from quillgraph.sources.files import LISTING
 
 #: A listing's rows carry the source's state and, for stale files, the hash.
 ROWS = f"{LISTING}, content_hash string"
+#: An announcement: the folder of a complete listing, and when it was complete.
+ANNOUNCED = "listing string, complete_at timestamp"
+#: Files of announcements read at once.
+ANNOUNCEMENTS = 100
 
 
 def scan_batch(catalog: Catalog, listing: DataFrame) -> dict[str, int]:
@@ -41,17 +47,17 @@ def scan_stream(
     catalog: Catalog,
     folder: str,
     checkpoint: str,
-    done: Callable[[int, dict[str, int]], None] | None = None,
+    done: Callable[[str, dict[str, int]], None] | None = None,
 ) -> StreamingQuery:
-    """A stream that stores each listing file that appears in ``folder``, one per batch."""
-    rows = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).parquet(folder)
+    """A stream that stores each listing announced in ``folder`` (Parquet rows of ``ANNOUNCED``), one
+    after the other by time, then name. ``done`` is told a listing's folder and its states."""
+    rows = spark.readStream.schema(ANNOUNCED).option("maxFilesPerTrigger", ANNOUNCEMENTS).parquet(folder)
 
     def store(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        states = scan_batch(catalog, cut(batch))
-        if done:
-            done(number, states)
+        for row in batch.distinct().orderBy("complete_at", "listing").collect():  # a few names
+            states = scan_batch(catalog, cut(spark.read.schema(ROWS).parquet(row.listing)))
+            if done:
+                done(row.listing, states)
 
     return rows.writeStream.option(
         "checkpointLocation",
@@ -61,8 +67,8 @@ def scan_stream(
 
 def citation_counts(stream: DataFrame, late: str = "30 days", window: str = "7 days") -> DataFrame:
     """(window, cited_paper_id, citations) of a stream of citations (citing, cited, created_at): counts
-    per week of creation, for rows up to ``late`` behind the newest. A citation that is delivered again
-    within that time counts once."""
+    per week of creation, for rows up to ``late`` behind the newest. A citation that is recorded again
+    within that time, under whatever time or id, counts once, where it came first."""
     valid = stream.where(F.col("citing_paper_id") != F.col("cited_paper_id")).withWatermark("created_at", late)
-    once = valid.dropDuplicates(["citing_paper_id", "cited_paper_id", "created_at"])
+    once = valid.dropDuplicatesWithinWatermark(["citing_paper_id", "cited_paper_id"])
     return once.groupBy(F.window("created_at", window), "cited_paper_id").agg(F.count(F.lit(1)).alias("citations"))

@@ -153,8 +153,8 @@ def test_resolution(spark):
 def test_conflicts_and_records(spark):
     held = identifiers(spark, [*HELD, ("p4", "doi", "1")])
     assert [
-        (r.scheme, r.normalized_value, r.paper_ids) for r in identity.conflicts(held).collect()
-    ] == [("doi", "1", ["p1", "p4"])]
+        tuple(r) for r in identity.conflicts(held).orderBy("paper_id").collect()
+    ] == [("doi", "1", "p1"), ("doi", "1", "p4")]
     paper = spark.createDataFrame(
         [("p1", "T", 2000, None, None), ("p9", "", None, None, None)],
         "id string, title string, publication_year int, created_at timestamp, library_added_at timestamp",
@@ -295,6 +295,9 @@ def test_lookup_order_and_arxiv_guard(spark, works):
         ("c", keys(("doi", "10.1/two"), ("openalex", "W6"))),
         ("d", keys(("mag", "1"))),
         ("e", []),
+        # Only the first identifier of a scheme is asked for.
+        ("f", keys(("doi", "10.9/none"), ("doi", "10.1/s"), ("openalex", "W99"))),
+        ("g", keys(("doi", "10.9/none"), ("openalex", "W99"), ("openalex", "W2"))),
     ]
     got = {
         r.k: r.work_id for r in W.lookup(
@@ -306,6 +309,26 @@ def test_lookup_order_and_arxiv_guard(spark, works):
     assert got == {"b": "W1", "c": "W6"}
 
 
+def test_arxiv_pages_are_asked_for_one_way_after_the_other(spark):
+    page = lambda way, i: f"{way}://arxiv.org/abs/2401.0000{i}"
+    rows = [
+        ("W1", [page("http", 1), page("https", 1)]),
+        ("W2", [page("https", 2)]),
+        ("W3", [page("http", 3), page("http", 4)]),
+        ("W4", [page("https", 3), page("http", 4), page("http", 4)]),
+        ("W5", [page("https", 5)]),
+        ("W6", [page("https", 5), "http://arxiv.org/pdf/2401.00006"]),
+        ("W7", None),
+    ]
+    known = spark.createDataFrame(rows, "work_id string, landing_pages array<string>").withColumn(
+        "identifiers", F.array().cast("array<struct<scheme:string,value:string>>")
+    )
+    asked = [(str(i), keys(("arxiv", f"2401.0000{i}"))) for i in range(1, 7)]
+    hits = W.lookup(spark.createDataFrame(asked, f"k string, identifiers {KEYS}"), known, "k").collect()
+    # Several works under the http page are no answer, though one is under the https page.
+    assert {r.k: r.work_id for r in hits} == {"1": "W1", "2": "W2", "3": "W3"}
+
+
 def test_references_citations_and_search(works):
     of = works.where("work_id = 'W1'")
     refs = W.fetch_references(of, works, 10).orderBy("pos").collect()
@@ -396,24 +419,41 @@ def work(i, *more):
 
 def test_walk_within_a_budget():
     refs, cites = {"W0": [work(i) for i in range(1, 11)]}, {"W0": [work(i) for i in range(11, 21)]}
+    asked = []
 
-    def near(level, outgoing, limit):
-        return {w.work_id: (refs if outgoing else cites).get(w.work_id, [])[:limit] for w in level}
+    def prepare(level, ways, limit):
+        def near(centre, outgoing, share):
+            asked.append((centre.work_id, outgoing, share))
+            return (refs if outgoing else cites).get(centre.work_id, [])[:share]
 
-    found = expand.walk(work(0), near, Direction.both, 1, 7)
-    assert [k[1] for k in found.works] == [
-        "W0",
-        "W1",
-        "W2",
-        "W3",
-        "W11",
-        "W12",
-        "W13",
-    ] and found.truncated and len(found.edges) == 6
-    whole = expand.walk(work(0), near, Direction.both, 1, 100)
+        return near
+
+    found = expand.walk(work(0), prepare, Direction.both, 1, 7)
+    assert [k[1] for k in found.works] == ["W0", "W1", "W2", "W3", "W11", "W12", "W13"]
+    assert found.truncated and len(found.edges) == 6 and asked == [("W0", True, 3), ("W0", False, 3)]
+    whole = expand.walk(work(0), prepare, Direction.both, 1, 100)
     assert len(whole.works) == 21 and not whole.truncated
-    assert len(expand.walk(work(0), near, Direction.references, 1, 100).works) == 11
-    assert expand.walk(work(0), near, Direction.both, 2, 1).truncated
+    assert len(expand.walk(work(0), prepare, Direction.references, 1, 100).works) == 11
+    assert expand.walk(work(0), prepare, Direction.both, 2, 1).truncated
+
+
+def test_a_budget_cuts_the_list_as_given(spark):
+    rows = [
+        ("W1", ["W2", "w2", "W3", "W4"], 0),
+        ("W2", ["bad", "W5", "W1"], 0),
+        *((f"W{i}", None, 0) for i in (3, 4, 5)),
+    ]
+    known = spark.createDataFrame(rows, "work_id string, referenced_works array<string>, cited_by_count long").selectExpr(
+        "*", "array(struct('openalex' AS scheme, work_id AS value)) AS identifiers", "CAST(NULL AS STRING) AS title", "CAST(NULL AS INT) AS publication_year"
+    )
+    go = lambda most, depth=1: expand.walk(work(1), expand.offline_neighbours(known), Direction.both, depth, most)
+    # Of a budget of five, two are the references' share: W2 and its repeat, so one work.
+    first = go(5)
+    assert [k[1] for k in first.works] == ["W1", "W2"] and not first.truncated
+    assert [k[1] for k in go(8).works] == ["W1", "W2", "W3", "W4"]
+    # W2's share of three holds a broken id, W5 and the seed.
+    deep = go(7, 2)
+    assert list(deep.works)[-1] == ("openalex", "W5") and (("openalex", "W2"), ("openalex", "W1")) in deep.edges
 
 
 def test_walk_over_tables(works):
@@ -443,12 +483,39 @@ def test_storing_a_walk_in_order():
         )}
     )
     key = lambda i: ("openalex", f"W{i}")
-    walk.edges = [(key(0), key(1)), (key(0), key(2)), (key(2), key(1)), (key(3), key(0)), (key(4), key(0))]
+    walk.edges = dict.fromkeys([(key(0), key(1)), (key(0), key(2)), (key(2), key(1)), (key(3), key(0)), (key(4), key(0))])
     made = iter("xyz")
     out = expand.fold(walk, key(0), "seed", {("doi", "z"): "old", ("doi", "q"): "old"}, lambda k: next(made))
     # W2 meets the paper made for W1; W3 shares one identifier with that and one with a stored paper.
     assert out.created == ["x"] and out.matched == ["x", "old"] and [k for k, _ in out.skipped] == [key(3)]
-    assert out.edges == [("seed", "x"), ("old", "seed")]
+    assert out.edges == [("seed", "x"), ("old", "seed")] and out.fills == {"x": (None, None), "old": (None, None)}
+    assert [a[:2] + a[3:] for a in out.added] == [
+        ("x", "openalex", "W1"), ("x", "doi", "a"), ("x", "openalex", "W2"), ("x", "doi", "b"), ("old", "openalex", "W4"),
+    ]
+
+
+def test_next_steps(spark):
+    hints = "document_id int, pos int, scheme string, normalized_value string, paper_id string"
+    matches = [
+        (1, 0, "doi", "10.1/a", "p2"), (1, 1, "doi", "10.1/b", "p1"), (1, 2, "arxiv", "2401.1", None), (1, 3, "doi", "10.1/a", "p2"),
+        (2, 0, "arxiv", "2401.2", None), (2, 1, "doi", "10.1/c", None), (3, 0, "mag", "7", None),
+    ]
+    from datetime import datetime
+
+    paper = spark.createDataFrame([("p1", datetime(2024, 1, 1)), ("p2", datetime(2024, 1, 2))], "id string, created_at timestamp")
+    every = spark.createDataFrame([(1,), (2,), (3,), (4,), (4,)], "document_id int")
+    rows = documents.next_steps(every, spark.createDataFrame(matches, hints), paper).orderBy("document_id", "rank").collect()
+    assert [tuple(r) for r in rows] == [
+        (1, 1, "link", "p1"), (1, 2, "link", "p2"), (1, 3, "import", "arxiv:2401.1"), (2, 1, "import", "arxiv:2401.2"),
+        (2, 2, "import", "doi:10.1/c"), (3, 1, "search", None), (4, 1, "search", None),
+    ]
+
+
+def test_node_labels(spark):
+    ids = "array<struct<scheme:string,normalized_value:string,value:string>>"
+    rows = [("aaaaaaaabb", "t" * 41, []), ("b", "", [("doi", "10.1/a", "https://doi.org/10.1/A")]), ("ccccccccdd", None, [])]
+    df = spark.createDataFrame(rows, f"id string, title string, identifiers {ids}")
+    assert [r.l for r in df.select(papers.short_label().alias("l")).collect()] == ["t" * 40 + "…", "doi:10.1/a", "cccccccc"]
 
 
 def test_audit(spark):
