@@ -10,17 +10,21 @@ and others keep theirs only where the network does not object.
 
 from __future__ import annotations
 
+import hashlib
+import io
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import gru
+from quillgraph.session import ensure_checkpoint_dir
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "nl", "pt", "ru", "zh")
 #: The class of text that tells no language: names, references, numbers.
@@ -29,7 +33,7 @@ NONE = len(LANGUAGES)
 SAMPLE_ROWS, SENTENCES_EACH, SENTENCE_BYTES = 4000, 4, 160
 #: Steps of training in both passes, and sentences in each.
 STEPS, BATCH = (420, 420), 192
-#: Confidence at which a sentence shows a second language, and one that suffices for the only one.
+#: Confidence at which a sentence shows a second language, and one at which a document is said to have one.
 SURE, ENOUGH = 0.9, 0.5
 
 # Other spellings of the languages' labels.
@@ -61,7 +65,10 @@ def label_code(label: str | None) -> str | None:
 # A line break within a sentence: after a hyphen in a word, or beside a space that stayed.
 _SOFT = re.compile(r"(?<=\w)-\r?\n(?=[^\W\d_])|\r?\n (?=\S)| \r?\n(?=\S)")
 # Sentences end at closing punctuation before white space, at that of Chinese and Japanese, and at line breaks.
-_END = re.compile(r"[.!?…][\"'»”’)\]]?(?=\s)|[。！？][」』”]?|[\r\n\u2028\u2029]+")
+# One set of characters first, so that the search skips to these.
+_END = re.compile(
+    r"[.!?…。！？\r\n\u2028\u2029](?:(?<=[.!?…])[\"'»”’)\]]?(?=\s)|(?<=[。！？])[」』”]?|(?<=[\r\n\u2028\u2029])[\r\n\u2028\u2029]*)"
+)
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 #: A word of letters alone, not part of a path, an address or an identifier.
 _PLAIN = re.compile(r"(?<![\w/.:@=\-])[^\W\d_]{2,}(?:['’\-][^\W\d_]+)*(?![\w/@=]|[.:]\w)")
@@ -411,7 +418,8 @@ def stretches(spans: list[tuple[int, int]], told: list[int], pooled: np.ndarray)
 
     A sentence belongs to the language with the highest pooled probability if it can tell one: it has
     some words, and the network is not surer that it tells none. Sentences that tell nothing join the
-    stretch around them. The confidence of a stretch is the mean over its telling sentences, by length.
+    stretch around them. The confidence of a stretch is the mean over its telling sentences, by length;
+    a stretch of low confidence comes out as well.
     """
     out: list[list] = []
     for (a, b), words, p in zip(spans, told, pooled):
@@ -440,7 +448,7 @@ def stretches(spans: list[tuple[int, int]], told: list[int], pooled: np.ndarray)
             merged[-1][4] += o[4]
         else:
             merged.append(o)
-    return [(o[0], o[1], o[2], o[3] / o[4]) for o in merged if o[3] / o[4] >= ENOUGH]
+    return [(o[0], o[1], o[2], o[3] / o[4]) for o in merged]
 
 
 _READERS: dict[int, Reader] = {}
@@ -454,12 +462,52 @@ def _reader(network: gru.Network, key: int) -> Reader:
 
 
 def train_on(documents: DataFrame, samples: DataFrame | None) -> gru.Network:
-    """The network for a corpus. At most SAMPLE_ROWS * SENTENCES_EACH sentences reach the driver."""
+    """The network for a corpus. At most SAMPLE_ROWS * SENTENCES_EACH sentences reach the driver.
+
+    A trained network is kept in the session's checkpoint folder under a hash of what it was trained on,
+    so it is trained once for a corpus, whatever is asked of it and by whichever session.
+    """
     clean = [
-        (r.lang, r.text) for r in samples.select("lang", "text").limit(SAMPLE_ROWS).collect()
+        (r.lang, r.text) for r in samples.select("lang", "text").orderBy("lang", "text").limit(SAMPLE_ROWS).collect()
     ] if samples is not None else []
+    clean = [(label_code(c), s) for c, s in clean if s and label_code(c)]
     picked = [(r.lang, r.sentence) for r in _picked(documents).collect()]
-    return fit([(label_code(c), s) for c, s in clean if s and label_code(c)], picked)
+    spark = documents.sparkSession
+    learnt = repr((sorted(clean), sorted(picked), STEPS, BATCH, gru.PATCH, gru.UNITS)).encode("utf-8", "surrogatepass")
+    place = f"{ensure_checkpoint_dir(spark).rsplit("/", 1)[0]}/language-{hashlib.sha256(learnt).hexdigest()[:32]}.npz"
+    return _kept(spark, place) or _keep(spark, place, fit(clean, picked))
+
+
+def _kept(spark: SparkSession, place: str) -> gru.Network | None:
+    """A network that was kept, from any file system that Spark reaches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    stream = fs.open(path)
+    try:
+        raw = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+    network = gru.Network(NONE + 1)
+    with np.load(io.BytesIO(raw)) as stored:
+        network.p = {k: stored[k] for k in network.p}
+    return network
+
+
+def _keep(spark: SparkSession, place: str, network: gru.Network) -> gru.Network:
+    """Written beside and renamed, so that nobody reads a part; one that is there already stays."""
+    out = io.BytesIO()
+    np.savez(out, **network.p)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    part, whole = path(f"{place}.{uuid.uuid4().hex}"), path(place)
+    fs = whole.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.create(part, False)
+    stream.write(bytearray(out.getvalue()))
+    stream.close()
+    if fs.exists(whole) or not fs.rename(part, whole):
+        fs.delete(part, False)
+    return network
 
 
 def label(
@@ -529,7 +577,7 @@ def _by_language(found: list[tuple[int, int, int, float]]) -> list[tuple[int, fl
 
 def found(documents: DataFrame, samples: DataFrame | None) -> DataFrame:
     """(doc_id, lang): true languages of the documents whose label does not tell them."""
-    each = label(documents, samples, whole=True).where(F.col("lang").isNotNull())
+    each = label(documents, samples, whole=True).where(F.col("confidence") >= ENOUGH)
     return each.where(
         (F.col("languages") > 1) | F.col("label").isNull() | (F.col("label") != F.col("lang")),
     ).select("doc_id", "lang")

@@ -326,3 +326,27 @@ def test_training_on_a_table(spark, monkeypatch):
     )
     assert set(language.found(docs, samples).columns) == {"doc_id", "lang"}
     assert language.found(docs.limit(0), samples.limit(0)).count() == 0
+
+
+def test_a_network_is_trained_once_for_a_corpus(spark, monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(language, "STEPS", (3, 1))
+    docs = documents(spark, [(i, made(k, rng), k) for i, k in enumerate(list(SEEDS) * 3)])
+    calls, fit = [], language.fit
+    monkeypatch.setattr(language, "fit", lambda clean, picked: calls.append(1) or fit(clean, picked, steps=(3, 1)))
+    one, two = language.train_on(docs, None), language.train_on(docs.repartition(3), None)
+    assert len(calls) == 1 and all((one.p[k] == two.p[k]).all() for k in one.p)
+    language.train_on(docs.where("doc_id > 0"), None)
+    assert len(calls) == 2
+
+
+def test_a_stretch_of_low_confidence_comes_out():
+    p = np.full((1, language.NONE + 1), 0.05, np.float32)
+    p[0, 3] = 0.4
+    assert [s[:3] for s in language.stretches([(0, 9)], [2], p)] == [(0, 9, 3)]
+
+
+def test_reading_gives_the_states_of_training():
+    network = gru.Network(3, 1)
+    x, lengths = gru.patches([b"some text", b"x", b"another, longer text of more patches"])
+    assert np.array_equal(network._read(x, lengths), network.states(x, lengths)[0])
