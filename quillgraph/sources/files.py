@@ -8,6 +8,7 @@ by tasks too, only where a file is stale. Files lie on storage that driver and e
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 from collections.abc import Iterator
 
@@ -21,8 +22,8 @@ SUFFIX, PIECE, PREFIX = ".pdf", 1 << 20, "sha256:"
 
 LISTING = "normalized_path string, file_size long, file_mtime_ns long, readable boolean"
 LISTED = f"folder string, {LISTING}"
-#: Tasks that list a level of directories.
-FOLDER_TASKS = 64
+#: Directories that a task lists, where there are many.
+FOLDERS = 200
 
 
 def normalize_local_path(path: str) -> str:
@@ -68,9 +69,10 @@ def list_documents(spark: SparkSession, roots: list[str]) -> DataFrame:
 
     level = spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "folder string")
     listing = spark.createDataFrame([], LISTING)
-    while level.limit(1).count():
-        # Directories differ in size, so they are dealt out.
-        found = cut(level.distinct().repartition(FOLDER_TASKS, "folder").mapInPandas(read, LISTED))
+    while count := level.count():
+        # Directories differ in size, so they are dealt out: one a task, until there are more than tasks.
+        tasks = min(count, max(spark.sparkContext.defaultParallelism, math.ceil(count / FOLDERS)))
+        found = cut(level.distinct().repartition(tasks).mapInPandas(read, LISTED))
         listing = listing.unionByName(found.where("folder IS NULL").drop("folder"))
         level = found.where("folder IS NOT NULL").select("folder")
     return listing.distinct()
