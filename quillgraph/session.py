@@ -48,7 +48,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     folder = named or tempfile.mkdtemp(prefix=f"quillgraph-{os.getpid()}-")
     sc.setCheckpointDir(folder)
-    return folder
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that is named for checkpoints, in which each session has one of its own."""
+    return ensure_checkpoint_dir(spark).rsplit("/", 1)[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
