@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import gru
-from quillgraph.session import ensure_checkpoint_dir
+from quillgraph.session import shared_folder
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "nl", "pt", "ru", "zh")
 #: The class of text that tells no language: names, references, numbers.
@@ -264,6 +264,8 @@ def fit(
     classes = np.eye(NONE + 1, dtype=np.float32)
 
     def batches(rows: list[tuple[int, str]], count: int) -> Iterator:
+        if not rows:
+            return
         kinds = np.array([c for c, _ in rows])
         often = np.bincount(kinds, minlength=NONE + 1).astype(float)
         weight = 1 / np.maximum(often, 1)[kinds] ** 0.6
@@ -474,7 +476,7 @@ def train_on(documents: DataFrame, samples: DataFrame | None) -> gru.Network:
     picked = [(r.lang, r.sentence) for r in _picked(documents).collect()]
     spark = documents.sparkSession
     learnt = repr((sorted(clean), sorted(picked), STEPS, BATCH, gru.PATCH, gru.UNITS)).encode("utf-8", "surrogatepass")
-    place = f"{ensure_checkpoint_dir(spark).rsplit("/", 1)[0]}/language-{hashlib.sha256(learnt).hexdigest()[:32]}.npz"
+    place = f"{shared_folder(spark)}/language-{hashlib.sha256(learnt).hexdigest()[:32]}.npz"
     return _kept(spark, place) or _keep(spark, place, fit(clean, picked))
 
 
