@@ -9,7 +9,7 @@ each. Baskets of any size are paired in blocks (``blocks.pairs_within``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.blocks import BLOCK, pairs_within
@@ -17,6 +17,8 @@ from quillgraph.session import cut
 
 #: Baskets of more items are asked for pairs, and paired by classes of items.
 HUGE = 2000
+#: Rows of a basket that a task brings together.
+SPLIT = 1_000_000
 
 
 def baskets(
@@ -25,22 +27,29 @@ def baskets(
     item: str,
     least: int = 1,
     keep: Column | None = None,
-    sizes: bool = False,
+    split: int = SPLIT,
 ) -> DataFrame:
-    """(basket, item), each once, and with ``sizes`` the size n of the basket, of the baskets that hold at least ``least`` different items.
+    """(basket, item, n), each basket's items once, with its size n, of the baskets that hold at least
+    ``least`` different items.
 
-    Rows with a NULL basket or item, or that fail ``keep``, do not count. The first shuffle is on both
-    columns, so neither a hot basket nor a hot item gathers in one task.
+    Rows with a NULL basket or item, or that fail ``keep``, do not count. Rows are brought together by
+    basket, once, and made distinct, counted and left there. A basket of more than ``split`` rows is not:
+    its rows are made distinct by both columns, so they spread, and then counted; there are at most rows /
+    ``split`` such baskets.
     """
     known = F.col(basket).isNotNull() & F.col(item).isNotNull()
     rows = df.where(known if keep is None else known & keep)
-    rows = rows.select(F.col(basket).alias("basket"), F.col(item).alias("item")).distinct()
-    if least <= 1 and not sizes:
-        return rows
-    large = rows.groupBy("basket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-    if sizes:
-        return rows.join(large.withColumnRenamed("_n", "n"), "basket")
-    return rows.join(large.select("basket"), "basket", "left_semi")
+    rows = rows.select(F.col(basket).alias("basket"), F.col(item).alias("item"))
+    large = cut(rows.groupBy("basket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > split).select("basket"))
+    some = large.limit(1).count()
+    usual = rows.join(large, "basket", "left_anti") if some else rows
+    own = Window.partitionBy("basket")
+    usual = usual.repartition("basket").distinct().withColumn("n", F.count(F.lit(1)).over(own)).where(F.col("n") >= least)
+    if not some:
+        return usual.select("basket", "item", "n")
+    spread = rows.join(large, "basket", "left_semi").distinct()
+    sizes = spread.groupBy("basket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return usual.select("basket", "item", "n").unionByName(spread.join(sizes, "basket").select("basket", "item", "n"))
 
 
 def _count(members: DataFrame) -> DataFrame:
@@ -165,7 +174,7 @@ def cooccurrence(
     NULL baskets and items, repeated rows and further columns of ``df`` do not count. No baskets, or
     none that is large enough, give an empty result.
     """
-    rows = cut(baskets(df, basket, item, least_items, keep))
+    rows = cut(baskets(df, basket, item, least_items, keep).select("basket", "item"))
     total = rows.select("basket").distinct().count()
     marginals = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_together)
     if least_lift is not None:

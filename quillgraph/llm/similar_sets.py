@@ -4,10 +4,14 @@ Method: every set gets minhash signatures in many independent trees. In each tre
 sorted lexicographically, and sets whose signatures share a prefix are compared: shallow prefixes
 where few sets share them, deeper ones where many do. The depth never exceeds the one at which the
 number of trees gives the target recall at the threshold, so crowded neighbourhoods lose no more than
-that; the others lose less. Candidates are verified exactly.
-
-Sets with the same items are one class; classes are compared once, and copies are expanded at the end.
-Sets of very many items are compared by a join on their items instead, so nothing large is gathered.
+that; the others lose less. A neighbourhood that is crowded at that depth is planted anew, as a forest of
+its own with other hash functions, and so on; what is still crowded after some rounds, sets that are
+indeed all alike, is compared block by block. Candidates are verified exactly.
+
+Trees carry a set's items as 16-bit codes, which never hide a common item, so that most candidates are
+refused where they are found. A set of very many items carries none: its signature is a minimum over its
+rows, and its candidates are those of a fitting size. Sets with the same items are one class; classes are
+compared once, and copies are expanded at the end.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.blocks import pairs_within
@@ -32,8 +36,10 @@ RECALL = 0.9995
 CROWD = 96
 #: Sets held in memory at once, and sets of one deepest neighbourhood that a task compares itself.
 HELD = 60_000
-#: Sets of more items are not carried along in the trees, but verified by a join.
+#: Sets of more items do not carry them along in the trees.
 CARRIED_ITEMS = 4096
+#: Forests that are planted, one within the crowded neighbourhoods of the other.
+ROUNDS = 3
 #: Side of the blocks in which a crowded neighbourhood is compared.
 SIDE = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -56,47 +62,89 @@ def _mixed(values: np.ndarray, seed: int) -> np.ndarray:
     return (x >> np.uint64(32)).astype(np.uint32)
 
 
-_TREE_ROW = "tree int, s1 int, s2 int, s3 int, no long, items array<int>"
+_TREE_ROW = "tree int, s1 int, s2 int, s3 int, no long, n int, items array<smallint>"
+_NAMES = ["tree", "s1", "s2", "s3", "no", "n", "items"]
 
 
-def _plant(trees: int):
-    """Rows (no, hashes) to one row per tree, with the tree's signature of ``DEPTH`` minhashes."""
+def _plant(trees: int, turn: int):
+    """Rows (base, no, n, hashes) to one row per tree, with the tree's signature of ``DEPTH`` minhashes
+    and 16 bits of every hash. ``base`` is the neighbourhood that the forest grows in; trees of different
+    ones have different numbers, and should two share one, some sets are compared for nothing."""
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column(1)
+            lists = batch.column(3)
             offsets = lists.offsets.to_numpy().astype(np.int64)
-            first, values = offsets[0], lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            first, values = offsets[0], lists.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             values, starts = values[first : offsets[-1]], offsets[:-1] - first
-            short = pa.array((values >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            short = pa.array((values >> np.uint64(48)).astype(np.uint16).view(np.int16))
             items = pa.ListArray.from_arrays(pa.array((offsets - first).astype(np.int32)), short)
+            base = batch.column(0).to_numpy()
             for tree in range(trees):
                 signs = [
-                    pa.array(
-                        np.minimum.reduceat(_mixed(values, tree * DEPTH + k), starts).view(np.int32),
-                    ) for k in range(DEPTH)
+                    pa.array(np.minimum.reduceat(_mixed(values, _seed(turn, tree, k)), starts).view(np.int32))
+                    for k in range(DEPTH)
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(batch.num_rows, tree, np.int32)), *signs, batch.column(0), items],
-                    names=["tree", "s1", "s2", "s3", "no", "items"],
+                    [pa.array(base ^ np.int32(tree)), *signs, batch.column(1), batch.column(2), items],
+                    names=_NAMES,
                 )
 
     return plant
 
 
+def _seed(turn: int, tree: int, k: int) -> int:
+    return (turn * 1000 + tree) * DEPTH + k
+
+
+def _row_minima(functions: list[int]):
+    """Rows (no, hash) to (no, minima): the least value of every hash function over rows of a batch."""
+
+    def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            no, values = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            order = np.argsort(no, kind="stable")
+            own, starts = np.unique(no[order], return_index=True)
+            values = values[order]
+            least = np.stack([np.minimum.reduceat(_mixed(values, f), starts) for f in functions], 1).astype(np.int64)
+            flat = pa.array(least.ravel())
+            ends = pa.array(np.arange(0, len(flat) + 1, len(functions), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(ends, flat)], names=["no", "minima"])
+
+    return minima
+
+
+def _large_trees(rows: DataFrame, base: DataFrame, trees: int, turn: int) -> DataFrame:
+    """Tree rows of the large sets of ``base`` (base, no, n) from their ``rows`` (no, item). A set's items
+    are never together: each task gives minima over the rows it has, and these are combined."""
+    functions = [_seed(turn, tree, k) for tree in range(trees) for k in range(DEPTH)]
+    hashed = rows.join(base.select("no").distinct(), "no", "left_semi").select("no", F.xxhash64("item").alias("hash"))
+    parts = hashed.mapInArrow(_row_minima(functions), "no long, minima array<long>")
+    least = parts.groupBy("no").agg(F.array(*[F.min(F.col("minima")[i]) for i in range(len(functions))]).alias("minima"))
+    signed = F.transform("minima", lambda v: F.when(v >= 2**31, v - 2**32).otherwise(v).cast("int"))
+    own = base.join(least.select("no", signed.alias("s")), "no")
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+    each = own.select("base", "no", "n", "s", tree.alias("t"))
+    sign = lambda k: F.element_at("s", F.col("t") * DEPTH + k + 1).alias(f"s{k + 1}")
+    nothing = F.array(F.lit(0).cast("smallint")).alias("items")
+    return each.select(F.col("base").bitwiseXOR(F.col("t")).alias("tree"), *[sign(k) for k in range(DEPTH)], "no", "n", nothing)
+
+
 class _Sets:
-    """Rows of the trees as arrays; ``cols`` are tree, s1, s2, s3, no."""
+    """Rows of the trees as arrays; ``cols`` are tree, s1, s2, s3, no, n; ``values`` the 16-bit items."""
 
     def __init__(self, cols: list[np.ndarray], starts: np.ndarray, values: np.ndarray):
         self.cols, self.starts, self.values = cols, starts, values
 
     @staticmethod
     def of(batch: pa.RecordBatch) -> _Sets:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        offsets = batch.column(5).offsets.to_numpy().astype(np.int64)
-        values = batch.column(5).values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        offsets = batch.column(6).offsets.to_numpy().astype(np.int64)
+        values = batch.column(6).values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
         return _Sets(cols, offsets - offsets[0], values)
 
     def __len__(self) -> int:
@@ -112,25 +160,27 @@ class _Sets:
             return parts[0]
         lengths = np.concatenate([np.diff(p.starts) for p in parts])
         return _Sets(
-            [np.concatenate([p.cols[i] for p in parts]) for i in range(5)],
+            [np.concatenate([p.cols[i] for p in parts]) for i in range(6)],
             np.concatenate([[0], np.cumsum(lengths)]),
             np.concatenate([p.values for p in parts]),
         )
 
 
 class _Verifier:
-    """Similarity of pairs of rows, exact on 32-bit item hashes; these never hide a common item."""
+    """Similarity of pairs of rows by their 16-bit items, which never hide a common one. Rows of large sets,
+    which carry none, fit whatever has a fitting size."""
 
     def __init__(self, sets: _Sets, threshold: float):
-        self.t = threshold
-        self.n = self.length = np.diff(sets.starts)  # repeated hashes stay, so these are the sizes
-        self.starts, self.values = sets.starts[:-1], sets.values
-        bits = np.uint64(1) << (sets.values.view(np.uint32).astype(np.uint64) & np.uint64(63))
-        more = np.uint64(1) << ((sets.values.view(np.uint32).astype(np.uint64) >> np.uint64(6)) & np.uint64(63))
+        self.t, self.n = threshold, sets.cols[5].astype(np.int64)
+        self.length = np.diff(sets.starts)  # repeated codes stay, so these are the sizes
+        self.loose = self.length < self.n
+        self.starts, self.values = sets.starts[:-1], sets.values.view(np.uint16).astype(np.uint64)
+        bits = np.uint64(1) << (self.values & np.uint64(63))
+        more = np.uint64(1) << ((self.values >> np.uint64(6)) & np.uint64(63))
         self.bits = np.bitwise_or.reduceat(bits, self.starts) if len(self.n) else bits
         self.more = np.bitwise_or.reduceat(more, self.starts) if len(self.n) else more
         owner = np.repeat(np.arange(len(self.n), dtype=np.uint64), self.length)
-        self.keys = (owner << np.uint64(32)) | sets.values.view(np.uint32).astype(np.uint64)
+        self.keys = (owner << np.uint64(16)) | self.values
         self.keys.sort()  # by owner, then by item
 
     def similar(self, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,25 +188,26 @@ class _Verifier:
         need = self.t * (np_ + nq) / (1 + self.t) - 1e-6  # common items that reach the threshold
         keep = np.minimum(np_, nq) >= need
         p, q, need = p[keep], q[keep], need[keep]
+        loose = self.loose[p] | self.loose[q]
+        far, off = p[loose], q[loose]
+        p, q, need = p[~loose], q[~loose], need[~loose]
         for b in (self.bits, self.more):  # every bit that the other lacks is an item that the other lacks
             x, y = b[p], b[q]
             keep = (self.n[p] - np.bitwise_count(x & ~y) >= need) & (self.n[q] - np.bitwise_count(y & ~x) >= need)
             p, q, need = p[keep], q[keep], need[keep]
         if not len(p):
-            return p, q
+            return far, off
         swap = self.length[p] > self.length[q]
         a, b = np.where(swap, q, p), np.where(swap, p, q)
         length = self.length[a]
         ends = np.cumsum(length)
         at = np.arange(ends[-1]) - np.repeat(ends - length - self.starts[a], length)
-        wanted = (
-            np.repeat(b, length).astype(np.uint64) << np.uint64(32)
-        ) | self.values[at].view(np.uint32).astype(np.uint64)
+        wanted = (np.repeat(b, length).astype(np.uint64) << np.uint64(16)) | self.values[at]
         where = np.searchsorted(self.keys, wanted)
         hit = self.keys[np.minimum(where, len(self.keys) - 1)] == wanted
         common = np.add.reduceat(hit.astype(np.int64), ends - length)
         keep = common >= need
-        return p[keep], q[keep]
+        return np.concatenate([p[keep], far]), np.concatenate([q[keep], off])
 
 
 def _groups(sets: _Sets, floor: int) -> np.ndarray:
@@ -210,7 +261,7 @@ def _compare(sets: _Sets, floor: int, threshold: float) -> tuple[list[np.ndarray
     return left, right
 
 
-_FOUND = "a long, b long, tree int, s1 int, s2 int, s3 int, block int, no long, items array<int>"
+_FOUND = "a long, b long, tree int, s1 int, s2 int, s3 int, block int, no long, n int, items array<smallint>"
 _FOUND_ARROW = pa.schema(
     [
         ("a", pa.int64()),
@@ -220,7 +271,7 @@ _FOUND_ARROW = pa.schema(
         ("s2", pa.int32()),
         ("s3", pa.int32()),
     ]
-    + [("block", pa.int32()), ("no", pa.int64()), ("items", pa.list_(pa.int32()))]
+    + [("block", pa.int32()), ("no", pa.int64()), ("n", pa.int32()), ("items", pa.list_(pa.int16()))]
 )
 
 
@@ -242,7 +293,7 @@ def _harvest(threshold: float, held: int):
         items = pa.ListArray.from_arrays(pa.array(sets.starts.astype(np.int32)), pa.array(sets.values))
         none = pa.nulls(len(sets), pa.int64())
         c = [pa.array(x) for x in sets.cols]
-        return pa.RecordBatch.from_arrays([none, none, *c[:4], pa.array(block), c[4], items], schema=_FOUND_ARROW)
+        return pa.RecordBatch.from_arrays([none, none, *c[:4], pa.array(block), *c[4:], items], schema=_FOUND_ARROW)
 
     def harvest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[_Sets] = []
@@ -316,8 +367,7 @@ def _compare_blocks(threshold: float):
         table = pa.Table.from_batches(list(batches))
         if not table.num_rows:
             return
-        cols = ["tree", "s1", "s2", "s3", "no", "items"]
-        sets = _Sets.of(table.select(cols).combine_chunks().to_batches(max_chunksize=table.num_rows)[0])
+        sets = _Sets.of(table.select(_NAMES).combine_chunks().to_batches(max_chunksize=table.num_rows)[0])
         block = table.column("block").to_numpy()
         verify, no = _Verifier(sets, threshold), sets.cols[4]
         first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
@@ -340,50 +390,72 @@ def _compare_blocks(threshold: float):
 
 
 def numbered_sets(lists: DataFrame) -> DataFrame:
-    """(no, basket, n, items) of (basket, item, n) rows: the sorted items of every set.
+    """(no, basket, n, x, y, items) of (basket, item, n) rows: every set with its sorted items and the 128
+    bits x, y of them all.
 
     A set of more than ``CARRIED_ITEMS`` items is not brought together; its items are an empty array.
     """
     carried = F.when(F.col("n") <= CARRIED_ITEMS, F.col("item"))
-    sets = lists.groupBy("basket", "n").agg(F.sort_array(F.collect_list(carried)).alias("items"))
-    return sets.select(F.monotonically_increasing_id().alias("no"), "basket", "n", "items")
+    sets = lists.groupBy("basket", "n").agg(
+        F.sort_array(F.collect_list(carried)).alias("items"),
+        F.bit_xor(F.xxhash64("item")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "item")).alias("y"),
+    )
+    return sets.select(F.monotonically_increasing_id().alias("no"), "basket", F.col("n").cast("int").alias("n"), "x", "y", "items")
 
 
-def classes(sets: DataFrame) -> DataFrame:
-    """(no, items, copies): each different set of up to ``CARRIED_ITEMS`` items, under its least number."""
-    small = sets.where(F.col("n") <= CARRIED_ITEMS)
-    return small.groupBy("items").agg(F.min("no").alias("no"), F.count(F.lit(1)).alias("copies"))
+def copies_of(sets: DataFrame) -> DataFrame:
+    """(no, class_no, basket) of the sets of classes with more than one set: of the same size and the same
+    128 bits. A class goes by its least number, and none is brought together."""
+    of = ["n", "x", "y"]
+    several = sets.groupBy(*of).agg(F.min("no").alias("class_no"), F.max("no").alias("_last"))
+    several = several.where(F.col("class_no") != F.col("_last")).drop("_last")
+    return sets.select("no", "basket", *of).join(several, of).select("no", "class_no", "basket")
 
 
-def similar_classes(found: DataFrame, threshold: float, held: int = HELD) -> DataFrame:
-    """(a, b), a < b: numbers of similar classes; candidates whose common items, counted by 32-bit
-    hashes, reach the threshold."""
+def similar_classes(sets: DataFrame, rows: DataFrame | None, threshold: float, held: int = HELD) -> DataFrame:
+    """(a, b), a < b: numbers of sets that may be similar, which all pairs at the threshold are with the
+    target recall. ``sets`` has no, n and items; ``rows`` (no, item) those of large sets, if there are."""
     trees = tree_count(threshold)
-    hashed = found.select("no", F.transform("items", lambda i: F.xxhash64(i)).alias("hashes"))
-    forest = hashed.mapInArrow(_plant(trees), _TREE_ROW)
-    # By the first hash of a tree: a hot item can gather at most its share of one tree in a task.
-    sorted_trees = forest.repartition("tree", "s1").sortWithinPartitions("tree", "s1", "s2", "s3")
-    both = cut(sorted_trees.mapInArrow(_harvest(threshold, held), _FOUND))
-    near = both.where(F.col("a").isNotNull()).select("a", "b")
+    base = F.lit(0).alias("base")
+    small = sets if rows is None else sets.where(F.col("n") <= CARRIED_ITEMS)
+    source = small.select(base, "no", "n", F.transform("items", lambda i: F.xxhash64(i)).alias("hashes"))
     crowd = ["tree", "s1", "s2", "s3"]
-    left = both.where(F.col("no").isNotNull()).select(*crowd, "block", "no", "items")
-    if left.limit(1).count():
-        blocks = left.groupBy(*crowd).agg(F.max("block").alias("_last"))
-        cells = (
-            left.join(blocks, crowd)
-            .withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-            .select(
-                *crowd,
-                F.least("block", "_c").alias("_i"),
-                F.greatest("block", "_c").alias("_j"),
-                "block",
-                "no",
-                "items",
-            )
+    large = None if rows is None else sets.where(F.col("n") > CARRIED_ITEMS).select(base, "no", "n")
+    near = None
+    for turn in range(ROUNDS):
+        forest = source.mapInArrow(_plant(trees, turn), _TREE_ROW)
+        if large is not None:
+            forest = forest.unionByName(_large_trees(rows, large, trees, turn))
+        # By the first hash of a tree: a hot item can gather at most its share of one tree in a task.
+        sorted_trees = forest.repartition("tree", "s1").sortWithinPartitions(*crowd)
+        both = cut(sorted_trees.mapInArrow(_harvest(threshold, held), _FOUND))
+        found = both.where(F.col("a").isNotNull()).select("a", "b")
+        near = found if near is None else near.unionByName(found)
+        left = both.where(F.col("no").isNotNull())
+        if not left.limit(1).count():
+            return near.distinct()
+        # The codes of a crowd's sets, in the upper bits as hashes have them, are sets as alike as these.
+        inner = F.xxhash64(*crowd).cast("int").alias("base")
+        codes = F.transform("items", lambda i: F.shiftleft(i.cast("long"), 48))
+        source = left.where(F.col("n") <= CARRIED_ITEMS).select(inner, "no", "n", codes.alias("hashes"))
+        large = None if rows is None else left.where(F.col("n") > CARRIED_ITEMS).select(inner, "no", "n")
+    blocks = left.groupBy(*crowd).agg(F.max("block").alias("_last"))
+    cells = (
+        left.join(blocks, crowd)
+        .withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+        .select(
+            *crowd,
+            F.least("block", "_c").alias("_i"),
+            F.greatest("block", "_c").alias("_j"),
+            "block",
+            "no",
+            "n",
+            "items",
         )
-        more = cells.groupBy(*crowd, "_i", "_j").applyInArrow(_compare_blocks_grouped(threshold), "a long, b long")
-        near = near.unionByName(more)
-    return near.distinct()
+    )
+    more = cells.groupBy(*crowd, "_i", "_j").applyInArrow(_compare_blocks_grouped(threshold), "a long, b long")
+    return near.unionByName(more).distinct()
 
 
 def _compare_blocks_grouped(threshold: float):
@@ -398,68 +470,57 @@ def _compare_blocks_grouped(threshold: float):
     return of
 
 
-def large_pairs(lists: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): similar sets of which one has more than ``CARRIED_ITEMS`` items.
-
-    There are at most rows / CARRIED_ITEMS such sets. Only sets of at least ``threshold`` times that
-    size can be similar to one. Their common items are counted by a join and an aggregation, with
-    nothing brought together. Equal large sets are pairs here, not copies of a class.
-    """
-    able = sets.where(F.col("n") >= F.floor(F.lit(CARRIED_ITEMS * threshold))).select("no", "basket", "n")
-    rows = lists.select("basket", "item").join(able, "basket").select("no", "n", "item")
-    x = rows.select("item", F.col("no").alias("a"), F.col("n").alias("n_a")).where(F.col("n_a") > CARRIED_ITEMS)
-    y = rows.select("item", F.col("no").alias("b"), F.col("n").alias("n_b"))
-    near = (F.least("n_a", "n_b") >= F.lit(threshold - 1e-9) * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b"))
-    both = x.join(y, "item").where(near).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"))
-    enough = both.where(F.col("common") >= F.lit(threshold - 1e-9) * (F.col("n_a") + F.col("n_b") - F.col("common")))
-    return enough.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 class SimilarSets:
     """Similar sets among (basket, item, n) rows, each once, where n is the size of the basket.
 
-    ``links`` (a, b), a < b, are numbers of similar classes; a class is all sets with the same items,
-    and a set of more than ``CARRIED_ITEMS`` items is a class of its own.
+    ``links`` (a, b), a < b, are numbers of similar classes; a class is all sets with the same items.
     """
 
     def __init__(self, lists: DataFrame, threshold: float, held: int = HELD):
+        self.threshold = threshold
         self.sets = cut(numbered_sets(lists))
-        near = cut(similar_classes(classes(self.sets), threshold, held))
+        self.copies = cut(copies_of(self.sets))
+        again = self.copies.where(F.col("no") != F.col("class_no")).select("no")
+        kinds = self.sets.select("no", "basket", "n", "items").join(again, "no", "left_anti")
+        large = kinds.where(F.col("n") > CARRIED_ITEMS).select("basket", "no", "n")
+        rows = None
+        if large.limit(1).count():  # at most rows / CARRIED_ITEMS sets
+            rows = cut(lists.join(large.select("basket", "no"), "basket").select("no", "item"))
+        near = cut(similar_classes(kinds.select("no", "n", "items"), rows, threshold, held))
         # Only sets with a candidate are shuffled again.
         ends = near.select(F.col("a").alias("no")).unionByName(near.select(F.col("b").alias("no"))).distinct()
-        items = cut(self.sets.join(ends, "no", "left_semi").select("no", "items"))
+        items = cut(self.sets.join(ends, "no", "left_semi").select("no", "n", "items"))
+        of = lambda end: items.select(F.col("no").alias(end), F.col("n").alias(f"n_{end}"), F.col("items").alias(f"items_{end}"))
+        both = near.join(of("a"), "a").join(of("b"), "b")
         common = F.size(F.array_intersect("items_a", "items_b"))
-        union = F.size("items_a") + F.size("items_b") - common
-        exact = (
-            near.join(items.select(F.col("no").alias("a"), F.col("items").alias("items_a")), "a")
-            .join(items.select(F.col("no").alias("b"), F.col("items").alias("items_b")), "b")
-            .where(common >= F.lit(threshold - 1e-9) * union)
-            .select("a", "b")
-        )
-        if self.sets.where(F.col("n") > CARRIED_ITEMS).limit(1).count():
-            large = large_pairs(lists, self.sets, threshold)
-            for end in ("a", "b"):  # a link to a copy is one to its class
-                to = self._copies().select(F.col("no").alias(end), "class_no")
-                large = large.join(to, end, "left").withColumn(end, F.coalesce("class_no", end)).drop("class_no")
-            exact = exact.unionByName(
-                large.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-            )
+        carried = F.greatest("n_a", "n_b") <= CARRIED_ITEMS
+        exact = both.where(carried & self._enough(common)).select("a", "b")
+        if rows is not None:
+            exact = exact.unionByName(self._large(lists, cut(both.where(~carried).select("a", "b", "n_a", "n_b"))))
         self.links = cut(exact)
 
-    def _copies(self) -> DataFrame:
-        """(no, class_no) of the sets of classes with more than one set."""
-        several = classes(self.sets).where(F.col("copies") > 1).select("items", F.col("no").alias("class_no"))
-        return self.sets.where(F.col("n") <= CARRIED_ITEMS).join(several, "items").select("no", "class_no", "basket")
+    def _enough(self, common: Column) -> Column:
+        return common >= F.lit(self.threshold - 1e-9) * (F.col("n_a") + F.col("n_b") - common)
+
+    def _large(self, lists: DataFrame, near: DataFrame) -> DataFrame:
+        """Those of the candidates with a large set that are similar: common items are counted by joins on
+        the candidate and the item, with nothing brought together."""
+        ends = near.select(F.col("a").alias("no")).unionByName(near.select(F.col("b").alias("no"))).distinct()
+        baskets_of = self.sets.select("no", "basket").join(ends, "no", "left_semi")
+        rows = cut(lists.join(baskets_of, "basket").select("no", "item"))
+        left = near.join(rows.withColumnRenamed("no", "a"), "a")
+        shared = left.join(rows.withColumnRenamed("no", "b"), ["b", "item"])
+        counts = shared.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"))
+        return counts.where(self._enough(F.col("common"))).select("a", "b")
 
     def pairs(self) -> DataFrame:
         """(a, b), a < b: every two baskets with similar sets; copies are expanded."""
-        copies = cut(self._copies())
-        within = pairs_within(copies, "class_no", "basket").select("a", "b")
+        within = pairs_within(self.copies, "class_no", "basket").select("a", "b")
         ends = self.links.select(F.col("a").alias("no")).unionByName(
             self.links.select(F.col("b").alias("no")),
         ).distinct()
         firsts = self.sets.join(ends, "no", "left_semi").select(F.col("no").alias("class_no"), "basket")
-        others = copies.where(F.col("no") != F.col("class_no")).select("class_no", "basket")
+        others = self.copies.where(F.col("no") != F.col("class_no")).select("class_no", "basket")
         members = cut(
             firsts.unionByName(others.join(ends.withColumnRenamed("no", "class_no"), "class_no", "left_semi")),
         )
@@ -476,9 +537,8 @@ class SimilarSets:
         classes that are similar to it."""
         ends = self.links.select(F.col("a").alias("no")).unionByName(self.links.select(F.col("b").alias("no")))
         counts = ends.groupBy("no").agg(F.count(F.lit(1)).alias("links"))
-        copies = cut(self._copies())
-        first = copies.groupBy(F.col("class_no").alias("no")).agg(F.min("basket").alias("class_id"))
-        all_sets = self.sets.select("no", "basket").join(copies.select("no", "class_no"), "no", "left")
+        first = self.copies.groupBy(F.col("class_no").alias("no")).agg(F.min("basket").alias("class_id"))
+        all_sets = self.sets.select("no", "basket").join(self.copies.select("no", "class_no"), "no", "left")
         of = all_sets.select("basket", F.coalesce("class_no", "no").alias("no"))
         return (
             of.join(first, "no", "left")
@@ -499,6 +559,5 @@ def similar_reference_lists(citation: DataFrame, threshold: float = 0.6, held: i
         "cited_paper_id",
         5,
         F.col("citing_paper_id") != F.col("cited_paper_id"),
-        True,
     )
     return SimilarSets(rows, threshold, held)

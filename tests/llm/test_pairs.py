@@ -331,13 +331,27 @@ def test_similar_lists_are_brute_force(spark, held):
     assert all(c == classes[frozenset(lists[b])][0] for b, (c, _) in got.items())
 
 
-def test_large_sets_are_compared_by_join(spark, monkeypatch):
-    monkeypatch.setattr(similar_sets, "CARRIED_ITEMS", 8)
+@pytest.mark.parametrize("carried, held", [(8, 60_000), (8, 4), (5, 3)])
+def test_large_sets_are_in_the_forest_too(spark, monkeypatch, carried, held):
+    monkeypatch.setattr(similar_sets, "CARRIED_ITEMS", carried)
     pairs = random_lists(11, papers=30, lists=40)
-    found = similar_sets.similar_reference_lists(citations(spark, pairs), 0.6)
+    found = similar_sets.similar_reference_lists(citations(spark, pairs), 0.6, held)
     assert {(r.a, r.b) for r in found.pairs().collect()} == jaccard_pairs(lists_of(pairs), 0.6)
 
 
+@pytest.mark.parametrize("split", [3, 1000])
+def test_baskets_of_any_size(spark, split):
+    pairs = random_lists(4) + [("big", f"p{i % 7:03}") for i in range(40)]
+    got = defaultdict(set)
+    for r in cooccurrence.baskets(citations(spark, pairs), "citing_paper_id", "cited_paper_id", 5, split=split).collect():
+        got[r.basket, r.n].add(r.item)
+    want = defaultdict(set)
+    for a, b in pairs:
+        if a and b:
+            want[a].add(b)
+    assert got == {(a, len(s)): s for a, s in want.items() if len(s) >= 5}
+
+
 def test_similar_lists_of_nothing(spark):
     assert similar_sets.similar_reference_lists(citations(spark, [])).pairs().count() == 0
     assert similar_sets.similar_reference_lists(citations(spark, [("a", "b"), (None, "c")])).summary().count() == 0
@@ -354,7 +368,7 @@ def test_verifier_loses_no_similar_pair():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 60, size=rng.integers(5, 20))).astype(np.int32) for _ in range(80)]
     starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    sets = similar_sets._Sets([np.zeros(80, np.int32)] * 4 + [np.arange(80)], starts, np.concatenate(rows))
+    sets = similar_sets._Sets([np.zeros(80, np.int32)] * 4 + [np.arange(80), np.diff(starts)], starts, np.concatenate(rows).astype(np.int16))
     p, q = np.triu_indices(80, 1)
     p, q = similar_sets._Verifier(sets, 0.3).similar(p, q)
     want = {(i, j) for i, j in itertools.combinations(range(80), 2) if len(
