@@ -16,12 +16,14 @@ import base64
 import importlib.util
 import os
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: how texts are split before merging, as the tokenizer defines it.
@@ -30,6 +32,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 #: Words whose encodings a worker keeps, and bytes of such words. Beyond either it starts afresh.
 KEPT_WORDS, KEPT_BYTES = 400_000, 24_000_000
+#: Bytes of the largest vocabulary file that is sent to executors.
+LARGEST_FILE = 64_000_000
 
 
 def default_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -40,13 +44,15 @@ def default_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 class Vocabulary:
-    """Tokens and their ids, which are the order of merges, of a rank file."""
-
-    def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.ids = {base64.b64decode(token): int(rank) for token, rank in (
-                line.split() for line in lines if line.strip()
-            )}
+    """Tokens and their ids, which are the order of merges, of a rank file, given by its path or contents."""
+
+    def __init__(self, source: str | bytes):
+        if isinstance(source, str):
+            with open(source, "rb") as file:
+                source = file.read()
+        self.ids = {base64.b64decode(token): int(rank) for token, rank in (
+            line.split() for line in source.splitlines() if line.strip()
+        )}
         ids = self.ids
         # Each token's two halves: what its last merge joined. A single byte is its own halves.
         self.left, self.right = [0] * len(ids), [0] * len(ids)
@@ -164,8 +170,8 @@ def _ends(sizes: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts; keeps the encodings of words, within bounds, from batch to batch."""
 
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, source: str | bytes):
+        self.vocabulary = Vocabulary(source)
         self.split, self.split_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
         self._afresh()
 
@@ -227,14 +233,25 @@ class _Numbers(dict):
         return n
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[int, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(contents: bytes) -> Encoder:
     """The encoder of this worker process; workers are reused from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = zlib.crc32(contents) << 32 | len(contents)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(contents)
+    return _ENCODERS[key]
+
+
+def vocabulary_everywhere(spark: SparkSession, path: str | None) -> Broadcast:
+    """The contents of a vocabulary file, read where the query is made and sent to the executors, which
+    need not have it. The file of a public tokenizer has a few megabytes; a larger one is refused."""
+    with open(path or default_vocabulary(), "rb") as file:
+        contents = file.read(LARGEST_FILE + 1)
+    if len(contents) > LARGEST_FILE:
+        raise ValueError(f"a vocabulary of more than {LARGEST_FILE} bytes")
+    return spark.sparkContext.broadcast(contents)
 
 
 #: Characters encoded at once, so that a batch of long texts needs little memory.
@@ -259,10 +276,10 @@ def encode_column(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     list. Every row comes out once, also repeated rows and rows with a NULL id; further columns are
     ignored. Texts do not leave their partition: there is no shuffle.
     """
-    path = path or default_vocabulary()
+    shared = vocabulary_everywhere(df.sparkSession, path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _portions(texts):
@@ -277,10 +294,10 @@ def encode_column(df: DataFrame, id_column: str = "doc_id", text: str = "text",
 
 def count_column(df: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(id, tokens): the number of ids that ``encode_column`` gives; 0 for NULL and empty texts."""
-    path = path or default_vocabulary()
+    shared = vocabulary_everywhere(df.sparkSession, path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _portions(texts):

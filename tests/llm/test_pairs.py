@@ -46,10 +46,10 @@ def lists_of(pairs, least=5):
     return {a: s for a, s in out.items() if len(s) >= least}
 
 
-@pytest.mark.parametrize("block", [3, 256])
-def test_pairs_within_any_block_size(spark, block):
+@pytest.mark.parametrize("block, hot", [(3, 100), (256, 100), (3, 5)])
+def test_pairs_within_any_block_size(spark, block, hot):
     rows = [("k", i) for i in range(20)] + [("one", 1)] + [("k", 3)] + [("two", 1), ("two", 9)]
-    got = blocks.pairs_within(spark.createDataFrame(rows, "key string, m int"), "key", "m", block).collect()
+    got = blocks.pairs_within(spark.createDataFrame(rows, "key string, m int"), "key", "m", block, hot).collect()
     want = [("k", a, b) for a, b in itertools.combinations(range(20), 2)] + [("two", 1, 9)]
     assert sorted((r.key, r.a, r.b) for r in got) == sorted(want)
 
