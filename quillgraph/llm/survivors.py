@@ -26,9 +26,6 @@ from quillgraph.functions.text import fold
 from quillgraph.llm.formatting import names_no_work
 from quillgraph.session import cut
 
-#: Titles are searched for their beginnings among titles with the same first letters, so many.
-HEAD = 16
-
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for links (u, v): the component of a node is its smallest member.
@@ -92,29 +89,23 @@ def groups_by_shared_key(members: DataFrame, keys: list[str], member: str) -> Da
 
 
 def beginnings(forms: DataFrame, group: str, form: str) -> DataFrame:
-    """(group, form): the texts that are only the beginning of a longer text of their group.
+    """(group, form): the texts that are only the beginning of a longer text of their group. An empty text
+    is the beginning of none.
 
     In sorted order a text is directly followed by those that begin with it, so one look at the next
-    distinct text tells. The order is within texts of one group with the same first letters, so a
-    huge group is spread. Texts too short for that are looked up among the prefixes of the others.
+    distinct text tells. The order is over all texts, in ranges of about equal size, so no group need be
+    in one task; the last text of a range looks at the first one of the next.
     """
-    texts = forms.select(group, form).distinct()
-    window = Window.partitionBy(group, F.substring(form, 1, HEAD)).orderBy(form)
-    long = (
-        texts.where(F.length(form) >= HEAD)
-        .withColumn("_next", F.lead(form).over(window))
-        .where(F.startswith("_next", form))
-        .select(group, form)
-    )
-    short = texts.where((F.length(form) < HEAD) & (F.length(form) > 0))
-    prefixes = (
-        texts.join(short.select(group).distinct(), group, "left_semi")
-        .where(F.length(form) > 1)
-        .withColumn("_k", F.explode(F.sequence(F.lit(1), F.least(F.length(form) - 1, F.lit(HEAD - 1)))))
-        .select(group, F.expr(f"left({form}, _k)").alias(form))
-        .distinct()
-    )
-    return long.unionByName(short.join(prefixes, [group, form], "left_semi"))
+    texts = forms.select(group, form).where(F.length(form) > 0).distinct()
+    # Ranges are fixed by the checkpoint, else the texts at their ends might be others when read again.
+    ranged = cut(texts.repartitionByRange(group, form).withColumn("_range", F.spark_partition_id()))
+    text = F.struct(F.col(group).alias("g"), F.col(form).alias("f"))
+    firsts = ranged.groupBy("_range").agg(F.min(text).alias("_first"))  # a row per range
+    after = firsts.withColumn("_after", F.lead("_first").over(Window.orderBy("_range"))).drop("_first")
+    following = F.lead(text).over(Window.partitionBy("_range").orderBy(group, form))
+    rows = ranged.withColumn("_next", following).join(F.broadcast(after), "_range")
+    rows = rows.withColumn("_next", F.coalesce("_next", "_after"))
+    return rows.where((F.col("_next.g") == F.col(group)) & F.startswith("_next.f", form)).select(group, form)
 
 
 def survivors(
