@@ -14,6 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.operators.heavy_keys import heavy_keys, keyed_semi_join
 from quillgraph.operators.papers import degrees
 from quillgraph.operators.ranks import numbered
 from quillgraph.schema import Direction
@@ -35,11 +36,9 @@ def stored_edges(citation: DataFrame, paper: DataFrame) -> DataFrame:
     )
     ids = paper.select("id")
     # Ends are checked after the edges are distinct, when there are fewest rows to shuffle.
-    return (
-        rows.distinct()
-        .join(ids.withColumnRenamed("id", "citing"), "citing", "left_semi")
-        .join(ids.withColumnRenamed("id", "cited"), "cited", "left_semi")
-        .select("citing", "cited")
+    edges = rows.distinct().join(ids.withColumnRenamed("id", "citing"), "citing", "left_semi")
+    return keyed_semi_join(edges, "cited", ids.withColumnRenamed("id", "cited"), heavy_keys(rows, "cited")).select(
+        "citing", "cited"
     )
 
 

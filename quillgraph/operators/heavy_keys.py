@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.session import cut
+
 #: Salts of a heavy key.
 SALTS = 64
 #: A key is heavy from this share of all rows on; so at most 1 / HEAVY_SHARE keys are heavy.
@@ -64,6 +66,20 @@ def salted_aggregate(
     return first.groupBy(key).agg(*[merge[n](n).alias(n) for n in partial])
 
 
+def keyed_semi_join(df: DataFrame, key: str, among: DataFrame, heavy: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``among`` (one column of that name).
+
+    Rows of the ``heavy`` keys, at most ``1 / share`` (see ``heavy_keys``), are looked up in a broadcast and
+    stay where they are, so no task gathers them; the others are shuffled by key. ``heavy`` decides how
+    rows move, never what comes out. Rows with a NULL key are left out.
+    """
+    hot = cut(heavy.select(key))  # read twice
+    if not hot.limit(1).count():
+        return df.join(among, key, "left_semi")
+    usual = df.join(F.broadcast(hot), key, "left_anti").join(among, key, "left_semi")
+    return df.join(F.broadcast(hot.join(among, key, "left_semi")), key, "left_semi").unionByName(usual)
+
+
 def distinct_citations(citation: DataFrame) -> DataFrame:
     """(citing, cited, first_at, last_at): each citation once, however often it is stored.
 

@@ -69,8 +69,7 @@ def _paths(s, d):
 
 def _upsert(s, d):
     """Incoming edges: every stored one, as it is and turned round."""
-    e = edges(s, d)
-    # Both come from one row, so the stored edges are made once for them.
+    e = cut(edges(s, d))  # incoming ones, and those that are known
     ways = F.array(F.struct("citing", "cited"), F.struct(F.col("cited").alias("citing"), F.col("citing").alias("cited")))
     return citations.classify(e.select(F.inline(ways)), e, table(s, d, "paper"))
 

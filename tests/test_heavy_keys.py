@@ -91,3 +91,12 @@ def test_salts_spread_heavy_and_missing_keys_only(spark):
     }
     assert got == {"hot": (1000, 999), None: (50, 49), "one": (1, 1), "two": (1, 2)}
     assert [r.k for r in H.heavy_keys(df, "k", 0.5).collect()] == ["hot"]
+
+
+def test_semi_join_with_and_without_heavy_keys(spark):
+    rows = [("hot", i) for i in range(60)] + [("lost", i) for i in range(60)] + [(f"k{i}", i) for i in range(30)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    among = spark.createDataFrame([("hot",), ("hot",), ("k3",), ("k4",), (None,)], "k string")
+    want = sorted((k, v) for k, v in rows if k in ("hot", "k3", "k4"))
+    for heavy in (H.heavy_keys(df, "k", 0.2), df.limit(0)):
+        assert sorted(tuple(r) for r in H.keyed_semi_join(df, "k", among, heavy).collect()) == want
