@@ -27,6 +27,10 @@ from quillgraph.llm.formatting import names_no_work
 from quillgraph.session import cut
 
 
+#: Letters of a text by which texts are dealt to ranges.
+HEAD = 64
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for links (u, v): the component of a node is its smallest member.
 
@@ -97,8 +101,9 @@ def beginnings(forms: DataFrame, group: str, form: str) -> DataFrame:
     in one task; the last text of a range looks at the first one of the next.
     """
     texts = forms.select(group, form).where(F.length(form) > 0).distinct()
-    # Ranges are fixed by the checkpoint, else the texts at their ends might be others when read again.
-    ranged = cut(texts.repartitionByRange(group, form).withColumn("_range", F.spark_partition_id()))
+    # Ranges go by the first letters of a text, as samples of what they go by reach the driver. They are
+    # fixed by the checkpoint, else the texts at their ends might be others when read again.
+    ranged = cut(texts.repartitionByRange(group, F.substring(form, 1, HEAD)).withColumn("_range", F.spark_partition_id()))
     text = F.struct(F.col(group).alias("g"), F.col(form).alias("f"))
     firsts = ranged.groupBy("_range").agg(F.min(text).alias("_first"))  # a row per range
     after = firsts.withColumn("_after", F.lead("_first").over(Window.orderBy("_range"))).drop("_first")
