@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators.graph import distances
+from quillgraph.operators.graph import ONE_TASK, distances
 from quillgraph.operators.ranks import numbered
 from quillgraph.schema import Direction
 from quillgraph.session import cut
@@ -35,12 +39,70 @@ def rings(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("ring", ring.cast("int"))
 
 
-def sides(nodes: DataFrame, edges: DataFrame, seed: DataFrame) -> DataFrame:
+def sides(nodes: DataFrame, edges: DataFrame, seed: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(id, side): whether a node is reached from the seed sooner along references or against them.
 
     Equal distances, and the seed, give ``both``. A node reached neither way takes the side of an
     adjacent decided node, the nearest one first in the order of nodes, in rounds until nothing changes,
-    else ``both``. ``nodes`` has id, distance, created_at.
+    else ``both``. ``nodes`` has id, distance, created_at. A graph that is small by count, as what is drawn
+    mostly is, is done by one task; the result is the same.
+    """
+    small = nodes.count() + edges.count() <= one_task
+    return (_sides_one_task if small else _sides_loop)(nodes, edges, seed)
+
+
+def _sides_one_task(nodes: DataFrame, edges: DataFrame, seed: DataFrame) -> DataFrame:
+    """Nodes as rows with their place, edges as rows with another end, the seed as a row without either."""
+    no = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    text = nodes.schema["id"].dataType.simpleString()
+    placed = nodes.select("id", no("other", text), "distance", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"))
+    ends = edges.select(F.col("citing").alias("id"), F.col("cited").alias("other"), no("distance", "int"), no("at", "long"))
+    start = seed.select("id", no("other", text), no("distance", "int"), no("at", "long"))
+    rows = placed.unionByName(ends).unionByName(start).coalesce(1)
+    return rows.mapInArrow(_decide, f"id {text}, side string")
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    order, pairs, starts = [], [], []
+    for batch in batches:
+        for x, other, distance, at in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if other is not None:
+                pairs.append((x, other))
+            elif distance is not None:
+                order.append((distance, at is not None, at or 0, x))
+            else:
+                starts.append(x)
+    place = {key[3]: i for i, key in enumerate(sorted(order))}
+    steps = {RIGHT: {}, LEFT: {}, BOTH: {}}
+    for a, b in pairs:
+        for kind, x, y in ((RIGHT, a, b), (LEFT, b, a), (BOTH, a, b), (BOTH, b, a)):
+            steps[kind].setdefault(x, []).append(y)
+    found = {}
+    for way in (RIGHT, LEFT):
+        reached, level = dict.fromkeys(starts, 0), list(starts)
+        while level:
+            level = [y for y in dict.fromkeys(y for x in level for y in steps[way].get(x, ())) if y not in reached]
+            reached.update(dict.fromkeys(level, max(reached.values()) + 1))
+        found[way] = reached
+    side: dict = {}
+    for x in place:
+        ahead, back = found[RIGHT].get(x, math.inf), found[LEFT].get(x, math.inf)
+        side[x] = None if ahead == back == math.inf else BOTH if ahead == back else RIGHT if ahead < back else LEFT
+    open_nodes = [x for x in place if side[x] is None]
+    while open_nodes:
+        still = []
+        for x in open_nodes:
+            able = [y for y in steps[BOTH].get(x, ()) if side.get(y) is not None]
+            side[x] = side[min(able, key=place.__getitem__)] if able else None
+            still += [] if able else [x]
+        if len(still) == len(open_nodes):
+            break
+        open_nodes = still
+    yield pa.RecordBatch.from_arrays([pa.array(list(place)), pa.array([side[x] or BOTH for x in place], pa.string())], names=["id", "side"])
+
+
+def _sides_loop(nodes: DataFrame, edges: DataFrame, seed: DataFrame) -> DataFrame:
+    """The same on tables of any size.
 
     A round visits the nodes in their order, so a node is decided at its first visit after one beside it:
     in the same round if that one comes before it, else in the next. The rounds are found by relaxation,

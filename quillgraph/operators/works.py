@@ -159,10 +159,12 @@ def work_edges(works: DataFrame) -> DataFrame:
     return each.select("citing", normalize_openalex(F.col("raw")).alias("cited")).where("cited IS NOT NULL").distinct()
 
 
-def fetch_citations(of: DataFrame, works: DataFrame, limit: int) -> DataFrame:
+def fetch_citations(of: DataFrame, works: DataFrame, limit: int, edges: DataFrame | None = None) -> DataFrame:
     """(work_id, pos, other_id): the first ``limit`` works that cite each of ``of`` (work_id), the most
-    cited first, ties by id. Window ranks keep only the first rows of each partition before the shuffle."""
-    citing = work_edges(works).join(of.select(F.col("work_id").alias("cited")), "cited", "left_semi")
+    cited first, ties by id. Window ranks keep only the first rows of each partition before the shuffle.
+    ``edges`` are the ``work_edges`` of the works, where they are at hand."""
+    edges = work_edges(works) if edges is None else edges
+    citing = edges.join(of.select(F.col("work_id").alias("cited")), "cited", "left_semi")
     counts = works.select(F.col("work_id").alias("citing"), F.coalesce("cited_by_count", F.lit(0)).alias("n"))
     order = Window.partitionBy("cited").orderBy(F.desc("n"), "citing")
     ranked = citing.join(counts, "citing").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)

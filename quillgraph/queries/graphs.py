@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import citations, graph, layout
 from quillgraph.operators.ranks import numbered
-from quillgraph.queries.relations import DEEP, EDGES, SEED, deep_citations, deep_edges, deep_papers, deep_seed, edges, most_citing
+from quillgraph.queries.relations import DEEP, DEEP_SEED, EDGES, SEED, deep_citations, deep_edges, deep_papers, deep_seed, edges, most_citing
 from quillgraph.schema import Direction
 from quillgraph.session import cut
 from quillgraph.tables import table
@@ -15,7 +15,7 @@ from quillgraph.tables import table
 def _bfs(depth, direction):
     end = "citing" if direction == Direction.references else "cited"
     return lambda s, d: graph.distances(
-        graph.raw_edges(deep_citations(s, d)),
+        cut(graph.raw_edges(deep_citations(s, d))),
         deep_seed(s, d, end),
         depth,
         direction,
@@ -25,7 +25,7 @@ def _bfs(depth, direction):
 
 def _neighborhood(s, d, depth=2, way=Direction.both):
     """Papers around the seed; citations are filtered, made distinct and checked where they are used."""
-    raw = graph.raw_edges(deep_citations(s, d))
+    raw = cut(graph.raw_edges(deep_citations(s, d)))
     seed = deep_seed(s, d, "citing" if way == Direction.references else "cited")
     return graph.neighborhood(deep_papers(s, d), raw, seed, depth, way, raw=True)
 
@@ -50,12 +50,12 @@ def _rank(paper, e):
 
 
 def _paths(s, d):
-    """Paths from the seed to the farthest paper it reaches (the least of them), to itself, and to the
-    least paper that it does not reach, which has no path and so no row."""
+    """Paths from the seed to the farthest paper within 7 steps (the least of them), to itself, and to the
+    least paper that nobody cites, to which there is no path and so no row."""
     e, seed, paper = cut(deep_edges(s, d)), cut(deep_seed(s, d, "citing")), deep_papers(s, d)
-    reached = cut(graph.distances(e, seed, None, Direction.references))
+    reached = graph.distances(e, seed, 7, Direction.references)
     far = cut(reached.orderBy(F.desc("distance"), "id").limit(1).select("id"))
-    lost = cut(paper.join(reached, "id", "left_anti").agg(F.min("id").alias("id")))
+    lost = cut(paper.select("id").join(e.select(F.col("cited").alias("id")), "id", "left_anti").agg(F.min("id").alias("id")))
     rows = None
     for kind, target in (("far", far), ("none", lost), ("same", seed)):
         path = graph.shortest_path(e, seed, target.scalar()).select(
@@ -127,7 +127,7 @@ def _reach(depth: int, way: str) -> str:
         "both": "SELECT y, d + 1 FROM b JOIN u ON u.x = b.id",
     }[way]
     return f"""
-      WITH RECURSIVE {DEEP}, {SEED.replace("citing", "citing" if way == "references" else "cited")},
+      WITH RECURSIVE {DEEP}, {DEEP_SEED.format("citing" if way == "references" else "cited")},
       u AS (SELECT citing AS x, cited AS y FROM e UNION SELECT cited, citing FROM e),
       b(id, d) AS (SELECT id, 0 FROM s UNION {step} WHERE d < {depth}),
       reached AS (SELECT id, min(d) AS distance FROM b GROUP BY id),
@@ -214,7 +214,7 @@ SQL = {
     "pagerank_all": f"WITH {EDGES}, nodes AS (SELECT id FROM paper), {_ranks(_STEPS)} SELECT id, round(v, 9) AS pagerank FROM rank",
     "pagerank_deep": f"WITH {DEEP}, nodes AS (SELECT id FROM dp), {_ranks(_STEPS)} SELECT id, round(v, 9) AS pagerank FROM rank",
     "shortest_path": f"""
-      {_reach(60, "references")},
+      {_reach(7, "references")},
       t AS (SELECT id, distance FROM nodes ORDER BY distance DESC, id LIMIT 1),
       g AS (SELECT e.citing, e.cited FROM e JOIN nodes a ON a.id = e.citing JOIN nodes z ON z.id = e.cited AND z.distance = a.distance + 1),
       back(id, d, path) AS (

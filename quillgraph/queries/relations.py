@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.hints import KEYS
-from quillgraph.operators.graph import stored_edges
+from quillgraph.operators.graph import raw_edges, stored_edges
 from quillgraph.tables import table
 
 
@@ -72,13 +72,15 @@ _PAD = "lpad(CAST({0} AS VARCHAR), 8, '0')"
 _TO = "((l_partkey * l_partkey + l_suppkey * 13 + l_linenumber * 1009) % (SELECT count(*) FROM orders))"
 DEEP = f"""
   dp AS (SELECT {_PAD.format("o_orderkey")} AS id, o_orderdate AS created_at, o_orderpriority = '1-URGENT' AS member FROM orders),
-  e AS (SELECT DISTINCT * FROM (SELECT {_PAD.format("l_orderkey")} AS citing, {_PAD.format(_TO)} AS cited FROM lineitem) WHERE citing <> cited)
+  line AS (SELECT * FROM (SELECT {_PAD.format("l_orderkey")} AS citing, {_PAD.format(_TO)} AS cited FROM lineitem) WHERE citing <> cited),
+  e AS (SELECT DISTINCT * FROM line)
 """
+DEEP_SEED = "s AS (SELECT {0} AS id FROM line GROUP BY {0} ORDER BY count(*) DESC, {0} LIMIT 1)"
 
 
 def deep_seed(s: SparkSession, d: str, end: str) -> DataFrame:
     """(id): the paper of the deep graph that is most often at an end, citing or cited, ties by id."""
-    counts = deep_edges(s, d).groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    counts = raw_edges(deep_citations(s, d)).groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.desc("n"), "id").limit(1).select("id")
 
 

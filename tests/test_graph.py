@@ -312,15 +312,15 @@ def sequential_sides(nodes, edges, start):
     return {x: s or "both" for x, s in side.items()}
 
 
-@pytest.mark.parametrize("number", range(3))
-def test_sides_are_the_sequential_ones(spark, number):
+@pytest.mark.parametrize("number, one_task", [(0, 0), (1, 0), (0, 10**6), (1, 10**6), (2, 10**6)])
+def test_sides_are_the_sequential_ones(spark, number, one_task):
     rng = random.Random(number)
     nodes, edges = random_graph(number + 20, 28, 0.05)
     # Distances need not be those from the start, so that sides come from anywhere in the order.
     placed = sorted((rng.randrange(4), x) for x in nodes)
     at = datetime(2024, 1, 1)
     rows = spark.createDataFrame([(x, d, at) for d, x in placed], "id string, distance int, created_at timestamp")
-    got = {r.id: r.side for r in layout.sides(rows, spark.createDataFrame(edges, "citing string, cited string"), seed(spark, nodes[0])).collect()}
+    got = {r.id: r.side for r in layout.sides(rows, spark.createDataFrame(edges, "citing string, cited string"), seed(spark, nodes[0]), one_task).collect()}
     assert got == sequential_sides([(x, d) for d, x in placed], edges, nodes[0])
 
 
