@@ -10,21 +10,23 @@ def classify(new: DataFrame, edges: DataFrame, paper: DataFrame) -> DataFrame:
     """(citing, cited, outcome) of each different incoming edge: created, confirmed, self, or
     unknown_paper, where an end is not stored or NULL.
 
-    Known edges and papers are marks on a row after left joins, so all outcomes come from one pass.
-    Known edges come first: both sides lie by both ends already, so that join shuffles nothing again.
+    ``edges`` are stored ones, with two different ends that are stored. So an incoming edge among them is
+    confirmed as it is, and only the others' ends are looked up. Both sides lie by both ends already, so
+    telling them apart shuffles nothing again.
     """
     rows = new.select("citing", "cited").distinct()
+    known = edges.select("citing", "cited").distinct()
     ids = paper.select("id").distinct()
-    known = edges.select("citing", "cited").distinct().withColumn("_known", F.lit(True))
     a, b = (ids.select(F.col("id").alias(e), F.lit(True).alias(f"_{e}")) for e in ("citing", "cited"))
-    marked = rows.join(known, ["citing", "cited"], "left").join(a, "citing", "left").join(b, "cited", "left")
+    others = rows.join(known, ["citing", "cited"], "left_anti")
+    marked = others.join(a, "citing", "left").join(b, "cited", "left")
     outcome = (
         F.when(F.col("citing") == F.col("cited"), "self")
         .when(F.col("_citing").isNull() | F.col("_cited").isNull(), "unknown_paper")
-        .when(F.col("_known"), "confirmed")
         .otherwise("created")
     )
-    return marked.select("citing", "cited", outcome.alias("outcome"))
+    confirmed = rows.join(known, ["citing", "cited"], "left_semi").select("citing", "cited", F.lit("confirmed").alias("outcome"))
+    return confirmed.unionByName(marked.select("citing", "cited", outcome.alias("outcome")))
 
 
 def upsert(new: DataFrame, edges: DataFrame, paper: DataFrame) -> DataFrame:
